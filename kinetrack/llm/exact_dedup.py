@@ -50,34 +50,41 @@ def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
     return level.select("rid", F.col("name").alias("identity"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def _groups(rows: DataFrame, id_col: str, text_col: str, block: int, seed: int) -> DataFrame:
+    """``rid, last (id, rid), size`` of the rows that have equal ones; ``rows`` has ``__rid``."""
+    raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
+    keyed = rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), raw.alias("bytes"))
+    keyed = keyed.withColumn("n", F.octet_length("bytes")).withColumn("head", F.substring("bytes", 1, seed))
+    shared = keyed.groupBy("n", "head").count().where("count > 1").select("n", "head")
+    texts = written(keyed.join(shared, ["n", "head"]).select("rid", "id", "n", "bytes"))
+    ids = texts.select("rid", "id", "n").join(block_names(texts.select("rid", "bytes"), block), "rid")
+    groups = ids.groupBy("n", "identity").agg(F.max(F.struct("id", "rid")).alias("last"), F.count("*").alias("size")).where("size > 1")
+    return written(ids.join(groups, ["n", "identity"]).select("rid", "last", "size"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = SEED, carry: dict | None = None) -> DataFrame:
     """``docs`` with the group of equal texts of each row.
 
     Adds ``keep_id`` (largest id of the group), ``group_size`` and ``kept`` (true for one row of each
     group: that with the largest id; among rows that repeat the same id, the last one read). A null text
     counts as empty; a null id is smaller than any other. Other columns pass through unless they have
-    these three names, which are replaced. An empty table gives an empty result.
+    these three names, which are replaced. With ``carry`` (names and expressions) only these columns
+    stand beside the three, which spares moving the texts. An empty table gives an empty result.
     """
     rows = docs.drop("keep_id", "group_size", "kept").withColumn("__rid", F.monotonically_increasing_id())
-    raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-    keyed = rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), raw.alias("bytes"))
-    keyed = keyed.withColumn("n", F.octet_length("bytes")).withColumn("head", F.substring("bytes", 1, seed))
-    shared = keyed.groupBy("n", "head").count().where("count > 1").select("n", "head")
-    texts = keyed.join(shared, ["n", "head"])
-    named = block_names(texts.select("rid", "bytes"), block)
-    ids = rows.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.octet_length(raw).alias("n"))
-    ids = ids.join(named, "rid")
-    groups = ids.groupBy("n", "identity").agg(F.max(F.struct("id", "rid")).alias("last"), F.count("*").alias("size")).where("size > 1")
-    copies = ids.join(groups, ["n", "identity"]).select(F.col("rid").alias("__rid"), F.struct("last", "size").alias("__group"))
-    found = rows.join(written(copies), "__rid", "left")
+    copies = _groups(rows, id_col, text_col, block, seed).select(F.col("rid").alias("__rid"), F.struct("last", "size").alias("__group"))
+    chosen = [F.col(f"`{c}`") for c in rows.columns if c != "__rid"] if carry is None else [e.alias(c) for c, e in carry.items()]
+    found = rows.select(*chosen, "__rid", F.col(id_col).alias("__id")).join(copies, "__rid", "left")
     return found.select(
-        *[F.col(f"`{c}`") for c in rows.columns if c != "__rid"],
-        F.when(F.col("__group").isNotNull(), F.col("__group.last.id")).otherwise(F.col(id_col)).alias("keep_id"),
+        *[F.col(f"`{c}`") for c in found.columns if c not in ("__rid", "__id", "__group")],
+        F.when(F.col("__group").isNotNull(), F.col("__group.last.id")).otherwise(F.col("__id")).alias("keep_id"),
         F.coalesce(F.col("__group.size"), F.lit(1)).alias("group_size"),
         (F.col("__group").isNull() | (F.col("__group.last.rid") == F.col("__rid"))).alias("kept"),
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of equal texts, with the columns of ``docs``."""
-    return exact_groups(docs, id_col, text_col).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """One row of each group of equal texts (that with the largest id), with the columns of ``docs``."""
+    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    dropped = _groups(rows, id_col, text_col, block, seed).where("last.rid <> rid").select(F.col("rid").alias("__rid"))
+    return rows.join(dropped, "__rid", "left_anti").drop("__rid")

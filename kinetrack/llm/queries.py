@@ -27,8 +27,8 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = exact_dedup.exact_groups(docs)
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256).alias("text_sha256"))
+    sha = F.sha2(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")), 256)
+    return exact_dedup.exact_groups(docs, carry={"doc_id": F.col("doc_id"), "text_sha256": sha})
 
 
 OP4_SQL = """
