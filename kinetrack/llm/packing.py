@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .tables import chunks
-from .tokens import Encoder
+from .tokens import encoder
 
 LIMIT = 2048
 END_ID = 1
@@ -45,7 +45,8 @@ def choose_cuts(places: list[int], penalties: list[int], limit: int = LIMIT) ->
     for j, (place, penalty) in enumerate(zip(places, penalties, strict=True)):
         while place - queue[0][1] > limit:
             queue.popleft()
-        best, _, back[j] = queue[0]
+        # The last window costs nothing, so its start has the least cost itself; what left the queue has no less.
+        best, _, back[j] = queue[0] if j < last else min(queue, key=lambda q: (q[0] - q[1], -q[1]))
         value = best + limit + penalty  # the cost of a cut here, plus its place
         if j < last:
             while queue and queue[-1][0] >= value:
@@ -67,21 +68,21 @@ def tail_lengths(n: int, limit: int = LIMIT) -> list[int]:
 
 
 def candidate_places(counts: np.ndarray, closes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (token positions) and penalties.
+    """Places (token positions) and penalties from consecutive pieces.
 
-    ``counts`` are the tokens of consecutive pieces, ``closes`` marks pieces that end a sentence, ``ends``
-    the positions after documents, the last one included.
+    ``counts`` are the tokens of each piece, ``closes`` marks pieces that end a sentence and ``ends``
+    those that end a document, the last one included.
     """
-    at = np.cumsum(counts)[closes]
-    places = np.union1d(at, ends)
-    places = places[places > 0]
-    penalty = np.where(np.isin(places, ends), 0, SENTENCE_PENALTY)
-    gaps = np.diff(np.concatenate([[0], places]))
+    own = closes | ends
+    places = np.cumsum(counts)[own]
+    penalty = np.where(ends[own], 0, SENTENCE_PENALTY)
+    gaps = np.diff(places, prepend=0)
     more = (gaps - 1) // GRID
-    grid = np.repeat(places - gaps, more) + GRID * (W.ranges(np.zeros(len(more), np.int64), more) + 1)
-    places, penalty = np.concatenate([places, grid]), np.concatenate([penalty, np.full(len(grid), INSIDE_PENALTY)])
-    order = np.argsort(places, kind="stable")
-    return places[order], penalty[order]
+    if more.any():
+        grid = np.repeat(places - gaps, more) + GRID * (W.ranges(np.zeros(len(more), np.int64), more) + 1)
+        at = np.repeat(np.arange(len(places)), more)
+        places, penalty = np.insert(places, at, grid), np.insert(penalty, at, INSIDE_PENALTY)
+    return places, penalty
 
 
 class Packer:
@@ -89,71 +90,81 @@ class Packer:
 
     def __init__(self, limit: int, first_sequence: int):
         self.limit, self.sequence = limit, first_sequence
-        self.ids, self.ends, self.docs, self.starts, self.sizes = [], [], [], [], []
-        self.places, self.penalties, self.held = [], [], 0
+        self._empty()
 
-    def add(self, doc_id: int | None, ids: np.ndarray, places: np.ndarray, penalties: np.ndarray, start: int = 0, size: int | None = None) -> None:
+    def _empty(self) -> None:
+        self.held = 0
+        self.ids, self.places, self.penalties = [], [], []
+        self.docs, self.sizes, self.starts, self.ends = [], [], [], []
+
+    def add(self, docs: list, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, penalties: np.ndarray, starts: np.ndarray | None = None, whole: np.ndarray | None = None) -> None:
+        """Documents' tokens one after another; ``sizes`` of them are here, from ``starts`` on, of ``whole`` in all."""
+        self.docs += docs
         self.ids.append(ids)
-        self.docs.append(doc_id)
-        self.starts.append(start)
-        self.sizes.append(len(ids) if size is None else size)
-        self.places.append(places + self.held)
+        self.ends.append(self.held + np.cumsum(sizes))
+        self.sizes.append(sizes if whole is None else whole)
+        self.starts.append(np.zeros(len(sizes), np.int64) if starts is None else starts)
+        self.places.append(self.held + places)
         self.penalties.append(penalties)
         self.held += len(ids)
-        self.ends.append(self.held)
 
-    def flush(self, final: bool) -> list[tuple]:
-        """Rows of the finished windows; the open window's tokens stay unless ``final``."""
+    def flush(self, final: bool) -> list[list]:
+        """Columns of the finished windows' pieces; the open window's tokens stay unless ``final``."""
         if not self.held:
             return []
-        cuts = choose_cuts(np.concatenate(self.places).tolist(), np.concatenate(self.penalties).tolist(), self.limit)
-        open_ = cuts[-2] if len(cuts) > 1 else 0
-        stops = [*cuts[:-1]]
+        places, penalties, ids = np.concatenate(self.places), np.concatenate(self.penalties), np.concatenate(self.ids)
+        sizes, starts, ends, docs = np.concatenate(self.sizes), np.concatenate(self.starts), np.concatenate(self.ends), self.docs
+        stops = choose_cuts(places.tolist(), penalties.tolist(), self.limit)[:-1]
+        upto = stops[-1] if stops else 0
         if final:
-            stops += [open_ + int(x) for x in np.cumsum(tail_lengths(self.held - open_, self.limit))]
-        begins = np.array([0, *self.ends[:-1]])
-        ids, upto = np.concatenate(self.ids), stops[-1] if stops else 0
-        edges = np.union1d(np.union1d(stops, begins[begins < upto]), [0]).astype(np.int64) if upto else np.zeros(1, np.int64)
-        doc = np.searchsorted(begins, edges[:-1], "right") - 1
-        window = np.searchsorted(stops, edges[:-1], "right")
-        opens = np.concatenate([[0], stops]).astype(np.int64)
-        raw, rows = ids.astype("<u4"), []
-        for a, b, d, w in zip(edges[:-1].tolist(), edges[1:].tolist(), doc.tolist(), window.tolist(), strict=True):
-            rows.append((self.docs[d], self.starts[d] + a - int(begins[d]), b - a, zlib.crc32(raw[a:b].tobytes()), self.sizes[d], self.sequence + w, a - int(opens[w])))
-        self.sequence += len(stops)
-        keep = [(d, max(int(begins[d]), upto)) for d in range(len(self.docs)) if self.ends[d] > upto]
-        places, penalties = np.concatenate(self.places), np.concatenate(self.penalties)
-        kept = [(self.docs[d], ids[a : self.ends[d]], self.starts[d] + a - int(begins[d]), self.sizes[d], a, self.ends[d]) for d, a in keep]
-        self.__init__(self.limit, self.sequence)
-        for doc_id, own, start, size, a, b in kept:
-            inside = (places > a) & (places <= b)
-            self.add(doc_id, own, places[inside] - a, penalties[inside], start, size)
-        return rows
+            stops += [upto + int(x) for x in np.cumsum(tail_lengths(self.held - upto, self.limit))]
+            upto = self.held
+        begins = np.concatenate([[0], ends[:-1]])
+        out: list[list] = []
+        if upto:
+            stops_ = np.array(stops)
+            edges = np.union1d(np.concatenate([[0], stops_]), begins[begins < upto])
+            doc = np.searchsorted(begins, edges[:-1], "right") - 1
+            window = np.searchsorted(stops_, edges[:-1], "right")
+            raw = memoryview(np.ascontiguousarray(ids[:upto], "<u4").tobytes())
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            opens = np.concatenate([[0], stops_])[window]
+            out = [[docs[d] for d in doc.tolist()], starts[doc] + edges[:-1] - begins[doc], np.diff(edges), crc, sizes[doc], self.sequence + window, edges[:-1] - opens]
+            self.sequence += len(stops)
+        d = int(np.searchsorted(ends, upto, "right"))  # the first document that goes on
+        self._empty()
+        if d < len(docs):
+            begin, later = np.maximum(begins[d:], upto), places > upto
+            self.add(docs[d:], ids[upto:], ends[d:] - begin, places[later] - upto, penalties[later], starts[d:] + begin - begins[d:], sizes[d:])
+        return out
 
 
 def _pack(path: Callable[[], str] | str, limit: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+    def batch_of(columns: list[list]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path() if callable(path) else path)
+        own = encoder(path() if callable(path) else path)
         packer = Packer(limit, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in chunks([len(t) for t in texts], 2 << 20):
-                codes, parts = encoder.codes(texts[a:b])
-                ends = np.cumsum(parts)
-                for doc_id, x in zip(ids[a:b], np.split(codes, ends[:-1]), strict=True):
-                    count = encoder.count[x]
-                    tokens = encoder.ids[W.ranges(encoder.start[x], count)]
-                    places, penalties = candidate_places(count, encoder.closes[x], np.array([len(tokens) + 1]))
-                    packer.add(doc_id, np.append(tokens, np.uint32(END_ID)), places, penalties)
-                    if packer.held >= block and (rows := packer.flush(final=False)):
-                        yield batch_of(rows)
-        if rows := packer.flush(final=True):
-            yield batch_of(rows)
+            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a, b in chunks([len(t) for t in texts], 1 << 20):
+                codes, parts = own.codes(texts[a:b])
+                # After each document's pieces comes one that has the closing id alone.
+                last = np.cumsum(parts)
+                counts, closes = np.insert(own.count[codes], last, 1), np.insert(own.closes[codes], last, False)
+                ends = np.zeros(len(counts), bool)
+                ends[last + np.arange(b - a)] = True
+                total = np.cumsum(counts)
+                ids = np.full(int(total[-1]), END_ID, np.uint32)
+                ids[W.ranges((total - counts)[~ends], counts[~ends])] = own.ids[W.ranges(own.start[codes], counts[~ends])]
+                packer.add(docs[a:b], ids, np.diff(total[ends], prepend=0), *candidate_places(counts, closes, ends))
+                if packer.held >= block and (found := packer.flush(final=False)):
+                    yield batch_of(found)
+        if found := packer.flush(final=True):
+            yield batch_of(found)
 
     return pack
 

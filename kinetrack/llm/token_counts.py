@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import chunks, written
-from .tokens import UNUSUAL, Encoder, tokenizer
+from .tokens import UNUSUAL, encoder, tokenizer
 
 #: Bytes from which a text is cut, bytes of a chunk, and first overlap.
 HUGE, CHUNK, OVERLAP, WIDEN = 32_768, 16_384, 256, 8
@@ -26,13 +26,13 @@ SPACES = " \t\n\r\f\v"
 
 def _count_short(path: Callable[[], str] | str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path() if callable(path) else path)
+        own = encoder(path() if callable(path) else path)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             n = [0] * len(texts)
-            for a, b in chunks([len(t) for t in texts], 2 << 20):
-                codes, parts = encoder.codes(texts[a:b])
-                total = np.concatenate([[0], np.cumsum(encoder.count[codes])])
+            for a, b in chunks([len(t) for t in texts], 1 << 20):
+                codes, parts = own.codes(texts[a:b])
+                total = np.concatenate([[0], np.cumsum(own.count[codes])])
                 ends = np.cumsum(parts)
                 n[a:b] = (total[ends] - total[ends - parts]).tolist()
             yield pa.record_batch([batch.column("rid"), pa.array(n, pa.int64())], names=["rid", "n_tokens"])

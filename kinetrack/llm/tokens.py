@@ -1,9 +1,11 @@
 """Token ids of many texts from a tokenizer file, for use inside tasks.
 
-The byte-level pre-tokenizer never joins a character that is not white space with a space, tab or line
-end after it, and what stands before such a place does not change the tokens after it. Texts are
-therefore cut there, each distinct piece is encoded once by the library, and ids are put together by
-array gathers. Texts with unusual white space are encoded whole.
+Two places are token boundaries whatever stands around them: between a character that is not white space
+and a space, tab or line end after it, and between a letter and an ASCII sign other than an apostrophe
+after it. The byte-level pre-tokenizer never joins across them, and what stands before them does not
+change the tokens after them. Texts are therefore cut there, each distinct piece is encoded once by the
+library, and ids are put together by array gathers. Texts with unusual white space or with the strings
+of added tokens are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from functools import cache
 
 import numpy as np
 
-PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+PIECE = re.compile(r"[ \t\n\r\f\v]*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r\f\v!-&(-/:-@\[-`{-~])|[^ \t\n\r\f\v]+)|[ \t\n\r\f\v]+")
 #: White space other than the ASCII kind, and control characters that some definitions count as white space.
 UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: Characters of distinct pieces that a task remembers.
-REMEMBER = 24_000_000
+#: Characters of distinct pieces that a Python worker remembers; what comes later is encoded each time.
+REMEMBER = 4_000_000
 
 
 @cache
@@ -37,44 +39,52 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, which serves all its tasks."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Remembers the ids of pieces; ``codes`` turns texts into piece numbers of ``start``, ``count`` and ``closes``."""
+    """Remembers the ids of pieces; ``codes`` turns texts into numbers of pieces, ``start`` and ``count`` lead to their ids."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self._forget()
-
-    def _forget(self) -> None:
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
-        self.chars = self.used = 0
+        self.passing: list[str] = []
+        self.chars = 0
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.closes = np.zeros(0, bool)
+        self.start, self.count, self.closes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _learn(self, pieces: list[str]) -> None:
         got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        while self.used + count.sum() > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        end = self.used + np.cumsum(count)
-        self.ids[self.used : self.used + int(count.sum())] = np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))
-        self.start = np.concatenate([self.start, end - count])
+        used, more = (int(self.start[-1] + self.count[-1]) if len(self.start) else 0), int(count.sum())
+        if used + more > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), more), np.uint32)])
+        self.ids[used : used + more] = np.fromiter((i for x in got for i in x), np.uint32, more)
+        self.start = np.concatenate([self.start, used + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.closes = np.concatenate([self.closes, np.fromiter((p[-1] in ".!?\n" for p in pieces), bool, len(pieces))])
-        for p in pieces:
-            self.known[p] = len(self.known)
-        self.used += int(count.sum())
-        self.chars += sum(map(len, pieces))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts, and the number of pieces of each text. Valid until the next call."""
-        if self.chars > REMEMBER:
-            self._forget()
-        parts = [([t] if t else []) if UNUSUAL.search(t) else PIECE.findall(t) for t in texts]
+        if self.passing:  # pieces of the last call that are not remembered
+            for p in self.passing:
+                del self.known[p]
+            n = len(self.known)
+            self.start, self.count, self.closes, self.passing = self.start[:n], self.count[:n], self.closes[:n], []
+        parts = [([t] if t else []) if UNUSUAL.search(t) or any(a in t for a in self.added) else PIECE.findall(t) for t in texts]
         pieces = [p for x in parts for p in x]
         new = list(set(pieces).difference(self.known))
         if new:
+            size = sum(map(len, new))
+            if self.chars + size > REMEMBER:
+                self.passing = new
+            else:
+                self.chars += size
             self._learn(new)
         found = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         return found, np.fromiter(map(len, parts), np.int64, len(parts))
