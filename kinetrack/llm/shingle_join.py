@@ -36,7 +36,7 @@ K = 5
 #: Least similarity as a ratio of integers.
 NUMERATOR, DENOMINATOR = 80, 100
 #: Bytes of text for each index shard, about; shingle hashes of a batch; bytes of sets in a block.
-SHARD_BYTES, BATCH_HASHES, BLOCK_BYTES = 4 << 20, 1 << 21, 4 << 20
+SHARD_BYTES, BATCH_HASHES, BLOCK_BYTES = 4 << 20, 1 << 20, 4 << 20
 LEAST_SHARDS = 64
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     """Hashes that a set of ``n`` must share with any partner."""

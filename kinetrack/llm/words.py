@@ -11,7 +11,9 @@ import pyarrow as pa
 from .tables import chunks
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+#: Bytes that a row counts besides its text, so that a chunk of short texts has a bounded number of rows.
+ROW = 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -69,7 +71,7 @@ def raw_chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int,
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
-    for a, b in chunks(np.diff(offsets).tolist(), limit):
+    for a, b in chunks((np.diff(offsets) + ROW).tolist(), limit):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
