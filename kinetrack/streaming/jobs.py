@@ -16,6 +16,8 @@ from ..schemas import TRACKS
 from ..settings import Settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Event time of frame 0 in milliseconds: a first frame at the initial watermark, 0, would count as late.
+START_MS = 1000
 _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
 
 
@@ -59,23 +61,23 @@ class StreamingTracker(StatefulProcessor):
         if first is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1)
+            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1 + START_MS)
         yield pd.DataFrame({n: [] for n in _NAMES})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        yield from self._advance(key[0], int(mark * self.fps / 1000))
+        yield from self._advance(key[0], int((mark - START_MS) * self.fps / 1000))
         first = min((k[0] for k in self.waiting.keys()), default=None)
         if first is not None:
-            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1)
+            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1 + START_MS)
 
     def close(self) -> None:
         pass
 
 
 def track_stream(detections: DataFrame, fps: float, settings: Settings | None = None, delay: str = "1 second") -> DataFrame:
-    """Track a stream of detections. Event time is frame / fps seconds; needs the RocksDB state store."""
-    timed = detections.withColumn("ts", F.timestamp_millis((F.col("frame") * 1000 / fps).cast("long"))).withWatermark("ts", delay)
+    """Track a stream of detections. Event time is frame / fps seconds, a second later; needs the RocksDB state store."""
+    timed = detections.withColumn("ts", F.timestamp_millis((F.col("frame") * 1000 / fps).cast("long") + START_MS)).withWatermark("ts", delay)
     schema = TRACKS.replace("BIGINT", "long")
     return timed.groupBy("recording_id").transformWithStateInPandas(StreamingTracker(fps, settings), schema, "append", "EventTime")
 
