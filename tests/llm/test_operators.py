@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinetrack.llm import chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, queries, repeated_passages, shingle_join, token_counts, toxicity
+from kinetrack.llm.tables import written
 
 SF = "/root/testdata/sf0.001"
 #: Columns whose names the operators use for themselves.
@@ -46,7 +47,7 @@ TEXTS = [
 def docs(spark):
     rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(TEXTS)] + [(3, "word", "en"), (None, prose(60, 12), None), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3, "lang", "text")
-    return df.withColumns({c: F.lit(c) for c in CLASHING}).localCheckpoint()
+    return df.withColumns({c: F.lit(c) for c in CLASHING}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -393,7 +394,7 @@ def test_pipeline_stages(spark):
     known, bench = docs.columns, queries.table(spark, SF, "benchmark").collect()
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, SF).localCheckpoint()
+        before, kept = kept, written(stage(spark, kept, SF))
         assert kept.columns == known and kept.count() < before.count() or name == "decontamination"
     rows = kept.collect()
     texts = [r.text for r in rows]
