@@ -144,6 +144,31 @@ def test_repeated_passages(docs, empty):
     assert repeated_passages.repeated_passages(empty).count() == 0
 
 
+def test_middle_holders_of_a_common_line_are_paired(spark):
+    # Documents that share a passage whose centres all lie in a common line: first, last and others only share the line.
+    least = 46
+    line, rows, want = prose(45, "line"), [], set()
+    for i in range(40):
+        rows.append((i, prose(60, f"a{i}") + " " + line + " " + prose(60, f"b{i}")))
+    for i in range(10, 30, 2):
+        for j, k in ((0, 3), (1, 2), (2, 1), (3, 3)):
+            head, tail = prose(k, f"h{i}{j}"), prose(6 - k, f"t{i}{j}")
+            rows += [(1000 * (j + 1) + i + m, f"{prose(60, f'c{i}{j}{m}')} {head} {line} {tail} {prose(60, f'd{i}{j}{m}')}") for m in (0, 1)]
+            want.add((1000 * (j + 1) + i, 1000 * (j + 1) + i + 1))
+    rows += [(9000 + i, prose(60, f"e{i}") + " " + line + " " + prose(60, f"f{i}")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = repeated_passages.repeated_passages(df).collect()
+    assert want <= {(r.doc_id, r.partner_id) for r in got} | {(r.partner_id, r.doc_id) for r in got}
+    assert all(r.n_words >= least + 4 and r.partner_words >= least + 4 for r in got)
+
+
+def test_every_place_of_a_repeated_passage_is_listed(spark):
+    parts = [w for i in range(6) for w in (prose(70, f"p{i}"), PASSAGE)]
+    rows = [(1, " ".join(parts)), (2, prose(90, "q") + " " + PASSAGE), (3, PASSAGE + " " + prose(90, "r"))]
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).where("doc_id = 1").collect()
+    assert {70 + 140 * i for i in range(6)} <= {r.start_word for r in got}
+
+
 def test_repeats_are_cut_from_all_but_one(spark):
     rows = [(1, prose(100, 31) + " " + PASSAGE), (2, PASSAGE + " " + prose(100, 32)), (3, None)]
     out = {r.doc_id: r.text for r in repeated_passages.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
