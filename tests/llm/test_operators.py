@@ -169,6 +169,21 @@ def test_every_place_of_a_repeated_passage_is_listed(spark):
     assert {70 + 140 * i for i in range(6)} <= {r.start_word for r in got}
 
 
+def test_a_passage_is_tied_to_the_partner_that_shares_it(spark):
+    # 0 and 3 share a passage around a line; 0 shares more centres with 1, and 3 with 2, but there only the line.
+    rows, want = [], set()
+    for i in range(10):
+        line, long, other = prose(44, f"line{i}"), prose(400, f"long{i}"), prose(400, f"other{i}")
+        left, right = prose(3, f"left{i}"), prose(3, f"right{i}")
+        ends = [(left, right), (prose(3, f"l1{i}"), prose(3, f"r1{i}")), (prose(3, f"l2{i}"), prose(3, f"r2{i}")), (left, right)]
+        for j, (head, tail) in enumerate(ends):
+            middle = f"{head} {line} {tail}"
+            rows.append((10 * i + j, f"{long} {middle}" if j < 2 else f"{middle} {other}"))
+        want.add((10 * i + 3, 10 * i))
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert want <= {(r.doc_id, r.partner_id) for r in got}
+
+
 def test_repeats_are_cut_from_all_but_one(spark):
     rows = [(1, prose(100, 31) + " " + PASSAGE), (2, PASSAGE + " " + prose(100, 32)), (3, None)]
     out = {r.doc_id: r.text for r in repeated_passages.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
