@@ -184,6 +184,38 @@ def test_a_passage_is_tied_to_the_partner_that_shares_it(spark):
     assert want <= {(r.doc_id, r.partner_id) for r in got}
 
 
+def test_one_edit_anywhere_in_a_passage():
+    # Against all spans: a passage of 50 to 70 words with one word changed.
+    r, least = np.random.default_rng(5), 46
+    tokens = lambda words: np.array([zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(len(words) - 4)], np.uint32)
+    word = lambda n: [f"w{v}" for v in r.integers(0, 10**6, n)]
+    checked = 0
+    for n in (50, 51, 55, 60, 70):
+        for at in range(n):
+            for kind in ("change", "repeat"):
+                passage = word(n)
+                if kind == "repeat":
+                    passage[n // 2] = passage[0]
+                other = passage[:at] + word(1) + passage[at + 1 :]
+                x, y = tokens(word(20) + passage + word(20)), tokens(word(20) + other + word(20))
+                same = [i for i in np.flatnonzero(x == y)]
+                for s in {same[0], same[len(same) // 2], same[-1]}:
+                    brute = False
+                    for a in range(s + 1):
+                        for b in range(max(s, a + least - 1), len(x)):
+                            u, v = set(x[a : b + 1].tolist()), set(y[a : b + 1].tolist())
+                            brute = brute or 5 * len(u & v) >= 4 * len(u | v)
+                        if brute:
+                            break
+                    found = repeated_passages.similar_passages(x, y, [int(s)], least)
+                    assert bool(found) == brute, (n, at, s)
+                    checked += brute
+                    for a, b, c, d, _ in found:
+                        u, v = set(x[a : b + 1].tolist()), set(y[c : d + 1].tolist())
+                        assert a <= s <= b and min(b - a, d - c) + 1 >= least and 5 * len(u & v) >= 4 * len(u | v)
+    assert checked > 500
+
+
 def test_repeats_are_cut_from_all_but_one(spark):
     rows = [(1, prose(100, 31) + " " + PASSAGE), (2, PASSAGE + " " + prose(100, 32)), (3, None)]
     out = {r.doc_id: r.text for r in repeated_passages.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
