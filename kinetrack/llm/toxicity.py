@@ -196,13 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 toxic = y[a:b][pairs // max(1, len(names))]
                 t = np.bincount(pairs % max(1, len(names)), toxic, len(names)).astype(np.int64)
                 n = np.bincount(pairs % max(1, len(names)), minlength=len(names)).astype(np.int64)
-                keep = t > 0  # a feature's clean rows matter only where it has toxic ones: asked for below
-                yield pa.record_batch([pa.array(names[keep]), pa.array(t[keep]), pa.array(n[keep])], names=["h", "t", "n"])
+                yield pa.record_batch([pa.array(names), pa.array(t), pa.array(n)], names=["h", "t", "n"])
 
-    # Features of toxic rows that look telling by the rows they were counted with; clean counts follow for these.
+    # All rows of the sample count, so the choice does not depend on how they are dealt; the surest features come first.
     first = sample.mapInArrow(count, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     first = first.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_SHARE * F.col("n")))
-    chosen = np.sort(np.array([r["h"] for r in first.orderBy(F.desc("t"), "h").limit(features).collect()], np.int64))
+    chosen = np.sort(np.array([r["h"] for r in first.orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), F.desc("t"), "h").limit(features).collect()], np.int64))
     names = spark.sparkContext.broadcast(chosen)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,6 +296,15 @@ def test_deobfuscation(spark):
     assert not toxicity.DISGUISED.search("plain words, and Ünicode.")
 
 
+def test_features_do_not_depend_on_the_partitions(spark):
+    # A word as common in clean rows as in toxic ones is no feature, however few rows a task has.
+    rows = [(i, f"{prose(12, i)} " + ("ordinary " if i % 3 == 0 else "") + ("moronic" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    one, many = (toxicity.train(d, df.select("doc_id", "toxic")).features.tolist() for d in (df.coalesce(1), df.repartition(400)))
+    names = dict(zip(*(v.tolist() for v in toxicity.word_features(["ordinary"])[::-1])))
+    assert one == many and not set(names) & set(many) and many
+
+
 def test_toxicity(spark, docs, empty):
     r = random.Random(4)
     rows = []
