@@ -32,8 +32,8 @@ DISGUISED = re.compile(
     rf"|[^\s]*[^\W\d_][{SIGNS}]+[^\W\d_][^\s]*|(?<!\S)[{SIGNS}]+[^\W\d_]{{2,}}[^\s]*"  # signs among letters
     rf"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # runs of a letter
 )
-#: Longest disguised word that is decoded; longer runs without white space are no words.
-LONGEST = 40
+#: Signs that stand for no letter, between words of one run.
+PIECES = re.compile(rf"(?:[^\w{SIGNS}]|_)+")
 #: Labelled rows that are used to learn, at most, and features of the model, at most.
 TRAINING_ROWS, FEATURES = 20_000, 4096
 #: Least labelled rows with a feature, and least share of toxic ones among them.
@@ -86,33 +86,43 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
 
 
 def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters of a disguised word (Viterbi over pairs of letters)."""
-    paths = {(0, 0): (0.0, "")}
+    """The likeliest letters of a disguised word (Viterbi over pairs of letters), in time linear in its length."""
+    model = model if isinstance(model, list) else model.ravel().tolist()
+    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in lattice(word):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (cost, text) in paths.items():
             for k, letters, own in options:
-                c = cost + own - model[a, b, k]
+                c = cost + own - model[(a * LETTERS + b) * LETTERS + k]
                 state = (b, k)
                 if len(letters) == 2:
-                    c -= model[b, k, k]
+                    c -= model[(b * LETTERS + k) * LETTERS + k]
                     state = (k, k)
-                if state not in new or (c, text + letters) < new[state]:
-                    new[state] = (c, text + letters)
+                if state not in new or c < new[state][0]:
+                    new[state] = (c, (text, letters))
         paths = new
-    ends = [(c - model[a, b, 0], t) for (a, b), (c, t) in paths.items()]
-    return min(ends)[1]
+    _, text = min(((c - model[(a * LETTERS + b) * LETTERS], t) for (a, b), (c, t) in paths.items()), key=lambda e: e[0])
+    out = []
+    while text:
+        text, letters = text
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def readings(word: str) -> list[str]:
+    """What is decoded of a match: the whole, and its pieces between signs that stand for no letter."""
+    return list(dict.fromkeys([word, *(p for p in PIECES.split(word) if len(p) > 1)]))
 
 
-#: Restored words that a task remembers.
-REMEMBER = 100_000
+#: Restored words that a task remembers, and longest one of them; longer ones are decoded each time.
+REMEMBER, REMEMBERED = 100_000, 40
 
 
 class Restorer:
     """Restored words of texts, remembering each disguised word's result."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+        self.model, self.known = model.ravel().tolist(), {}
 
     def __call__(self, text: str) -> str:
         found = {m.group(0) for m in DISGUISED.finditer(text)}
@@ -120,12 +130,14 @@ class Restorer:
             return text
         added = []
         for w in sorted(found):
-            if len(w) <= LONGEST:
-                if w not in self.known:
+            restored = self.known.get(w)
+            if restored is None:
+                restored = " ".join(restore(r, self.model) for r in readings(w))
+                if len(w) <= REMEMBERED:
                     if len(self.known) > REMEMBER:
                         self.known.clear()
-                    self.known[w] = restore(w, self.model)
-                added.append(self.known[w])
+                    self.known[w] = restored
+            added.append(restored)
         return text + " \n " + " ".join(added)
 
 

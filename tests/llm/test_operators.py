@@ -296,6 +296,15 @@ def test_deobfuscation(spark):
     assert not toxicity.DISGUISED.search("plain words, and Ünicode.")
 
 
+def test_long_disguised_words_are_decoded(spark):
+    text = " ".join(["the worthless idiot and the moron met a stupid clown"] * 50)
+    restorer = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(text,)], "text string")))
+    assert "stupid" in restorer("a st" + "u" * 60 + "pid").split()
+    found = restorer("w0rthl3ss,1d10t,m0r0n,cl0wn.$tup1d_m0r0n;1d10t").split()
+    assert {"worthless", "idiot", "moron", "clown", "stupid"} <= set(found)
+    assert "moron" in restorer("m0r0n," * 20_000).split()
+
+
 def test_features_do_not_depend_on_the_partitions(spark):
     # A word as common in clean rows as in toxic ones is no feature, however few rows a task has.
     rows = [(i, f"{prose(12, i)} " + ("ordinary " if i % 3 == 0 else "") + ("moronic" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
