@@ -1,7 +1,7 @@
 """Toxicity scores with noisy-channel deobfuscation.
 
-Words that look disguised (digits or signs among letters, letters repeated three times or more, single
-letters apart) become a lattice of the letters that each character may stand for. Viterbi decoding under
+Words that look disguised (digits or signs with letters, repeated letters, single letters or signs
+apart) become a lattice of the letters that each character may stand for. Viterbi decoding under
 a character trigram model of the whole corpus restores the most likely word. Restored words are added to
 the text, and a logistic model over words and word beginnings scores it.
 """
@@ -27,10 +27,12 @@ STANDS_FOR = {
 #: Costs (natural logarithms) of a sign for a letter, and of a letter that stands for a run of itself.
 SIGN_COST, RUN_COST = 0.7, 0.3
 SIGNS = re.escape("".join(STANDS_FOR))
+APART = rf"(?:[^\W\d_]|[{SIGNS}])(?:(?:[ .\-_]+|\*+)(?:[^\W\d_]|[{SIGNS}])){{2,}}"
 DISGUISED = re.compile(
-    rf"(?<![^\W\d_])(?:[^\W\d_][ .\-_*]){{3,}}[^\W\d_](?![^\W\d_])"  # letters apart
-    rf"|[^\s]*[^\W\d_][{SIGNS}]+[^\W\d_][^\s]*|(?<!\S)[{SIGNS}]+[^\W\d_]{{2,}}[^\s]*"  # signs among letters
-    rf"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # runs of a letter
+    rf"(?<![\w{SIGNS}])(?=[ .\-_{SIGNS}]*[^\W\d_]){APART}(?![\w{SIGNS}])"  # letters or signs apart
+    rf"|(?<!\S)(?=\S*?[^\W\d_])(?=\S*?[{SIGNS}])\S+"  # a letter and a sign in one run
+    rf"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*",  # runs of a letter
+    re.I,
 )
 #: Signs that stand for no letter, between words of one run.
 PIECES = re.compile(rf"(?:[^\w{SIGNS}]|_)+")
@@ -67,11 +69,17 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((table + 5 * two) / (table.sum(axis=2, keepdims=True) + 5))
 
 
+def _units(low: str) -> list[str]:
+    """The letters and signs of a word whose letters stand apart; stars alone between them are separators."""
+    units = [c for c in low if c not in " .-_"]
+    return units if len(units) < len(low) else [c for c in units if c != "*"]
+
+
 def lattice(word: str) -> list[list[tuple[int, str, float]]]:
-    """For each place of a disguised word: (letter class, letters, cost). Runs of a letter may shrink to one or two."""
+    """For each place of a disguised word: (letter class, letters, cost). Runs of a letter or sign may shrink to one or two."""
     low = word.lower()
-    if re.fullmatch(r"(?:[^\W\d_][ .\-_*])+[^\W\d_]", low):
-        low = low[::2]
+    if re.fullmatch(APART, low):
+        low = "".join(_units(low))
     low = low.strip(".,;:?\"'()[]{}<>-_")
     out = []
     for m in re.finditer(r"(.)\1*", low, re.S):
@@ -80,7 +88,7 @@ def lattice(word: str) -> list[list[tuple[int, str, float]]]:
             k = ord(c) - 96 if "a" <= c <= "z" else 27
             out.append([(k, c, RUN_COST * (n > 1)), (k, c * 2, RUN_COST * (n > 2))] if n > 1 else [(k, c, 0.0)])
         elif c in STANDS_FOR:
-            out.append([(ord(x) - 96, x, SIGN_COST) for x in STANDS_FOR[c]])
+            out.append([(ord(x) - 96, x * k, SIGN_COST + RUN_COST * (n > k)) for x in STANDS_FOR[c] for k in (1, 2)[: min(n, 2)]])
         # other signs are noise between letters and are skipped
     return out
 
@@ -110,8 +118,16 @@ def restore(word: str, model: np.ndarray) -> str:
 
 
 def readings(word: str) -> list[str]:
-    """What is decoded of a match: the whole, and its pieces between signs that stand for no letter."""
-    return list(dict.fromkeys([word, *(p for p in PIECES.split(word) if len(p) > 1)]))
+    """What is decoded of a match: the whole, without the signs that may be punctuation at its ends, and its pieces.
+
+    Of letters apart the first and the last may be words of their own. Pieces stand between signs for no letter.
+    """
+    if re.fullmatch(APART, word):
+        units = _units(word)
+        found = [units, units[1:], units[:-1]] if len(units) > 3 else [units]
+        return list(dict.fromkeys("".join(u) for u in found))
+    pieces = [p for p in PIECES.split(word) if len(p) > 1]
+    return list(dict.fromkeys([word, *pieces, *(q for p in pieces if len(q := p.strip("!|+(*")) > 1)]))
 
 
 #: Restored words that a task remembers, and longest one of them; longer ones are decoded each time.

@@ -305,6 +305,19 @@ def test_long_disguised_words_are_decoded(spark):
     assert "moron" in restorer("m0r0n," * 20_000).split()
 
 
+def test_all_combinations_of_disguise(spark):
+    text = " ".join(["the worthless idiot and the moron met a stupid clown"] * 50)
+    restorer = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(text,)], "text string")))
+    signs = {"idiot": ("idiot", "1d107", "1diot", "idi0t"), "stupid": ("stupid", "$tup1d", "5tup1d"), "moron": ("moron", "m0r0n", "mor0n")}
+    for word, forms in signs.items():
+        for form, gap, double in itertools.product(forms, ("", " ", "  ", ".", "-", " . "), (1, 2, 3)):
+            seen = gap.join(c * double if not gap else c for c in form) if not gap or double == 1 else gap.join(form[0] * double + form[1:])
+            if seen != word:
+                assert word in restorer(f"you {seen} there").split(), seen
+    for seen in ("a55", "a$$", "iddiioott", "1 d 1 0 t", "s t u p 1 d"):
+        assert toxicity.DISGUISED.search(f"the {seen} here").group(0) == seen
+
+
 def test_features_do_not_depend_on_the_partitions(spark):
     # A word as common in clean rows as in toxic ones is no feature, however few rows a task has.
     rows = [(i, f"{prose(12, i)} " + ("ordinary " if i % 3 == 0 else "") + ("moronic" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
