@@ -1,16 +1,20 @@
 """Toxicity scores with noisy-channel deobfuscation.
 
-Words that look disguised (digits or signs with letters, repeated letters, single letters or signs
-apart) become a lattice of the letters that each character may stand for. Viterbi decoding under
-a character trigram model of the whole corpus restores the most likely word. Restored words are added to
-the text, and a logistic model over words and word beginnings scores it.
+A text is split at white space once, and each distinct word is looked at once: words that look disguised
+(a sign that may stand for a letter, or a doubled letter) and letters or signs that stand apart become a
+lattice of the letters that each character may stand for. Viterbi decoding under a character trigram
+model of the whole corpus restores the most likely word. Restored words are added to the text's own, and a
+logistic model over words and word beginnings scores them. All steps are linear in the length of a text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .tables import written
 
 #: What a sign may stand for. Fixed values.
 STANDS_FOR = {
@@ -27,17 +32,17 @@ STANDS_FOR = {
 #: Costs (natural logarithms) of a sign for a letter, and of a letter that stands for a run of itself.
 SIGN_COST, RUN_COST = 0.7, 0.3
 SIGNS = re.escape("".join(STANDS_FOR))
-APART = rf"(?:[^\W\d_]|[{SIGNS}])(?:(?:[ .\-_]+|\*+)(?:[^\W\d_]|[{SIGNS}])){{2,}}"
-DISGUISED = re.compile(
-    rf"(?<![\w{SIGNS}])(?=[ .\-_{SIGNS}]*[^\W\d_]){APART}(?![\w{SIGNS}])"  # letters or signs apart
-    rf"|(?<!\S)(?=\S*?[^\W\d_])(?=\S*?[{SIGNS}])\S+"  # a letter and a sign in one run
-    rf"|(?<![^\W\d_])[^\W\d_]*([^\W\d_])\1[^\W\d_]*",  # runs of a letter
-    re.I,
-)
+UNIT = rf"(?:[^\W\d_]|[{SIGNS.replace(re.escape('*'), '')}])"
+#: Three or more letters or signs apart, with a letter among them. Possessive separators keep the search linear.
+APART = re.compile(rf"(?<![\w{SIGNS}]){UNIT}(?:[\s.\-_*]++{UNIT}){{2,}}(?![\w{SIGNS}])")
+#: A sign or a doubled letter, in lower case.
+DISGUISED = re.compile(rf"[{SIGNS}]|([^\W\d_])\1")
+LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W_]+")
 #: Signs that stand for no letter, between words of one run.
 PIECES = re.compile(rf"(?:[^\w{SIGNS}]|_)+")
-#: Labelled rows that are used to learn, at most, and features of the model, at most.
-TRAINING_ROWS, FEATURES = 20_000, 4096
+#: Labelled rows that are used to learn, at most.
+TRAINING_ROWS = 20_000
 #: Least labelled rows with a feature, and least share of toxic ones among them.
 LEAST_ROWS, LEAST_SHARE = 4, 0.6
 LETTERS = 28  # none, a to z, any other letter
@@ -49,8 +54,9 @@ _CLASS[128:] = 27
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(LETTERS**3, np.int64)
     for batch in batches:
-        for _, _, data, _ in W.raw_chunks(batch.column("text")):
-            c = np.concatenate([[0, 0], _CLASS[W._LOWER[data]], [0]])
+        for _, _, data, offsets in W.raw_chunks(batch.column("text")):
+            # Two places without a letter stand before each text and after it.
+            c = np.insert(_CLASS[W._LOWER[data]], np.repeat(offsets, 2), 0)
             total += np.bincount(c[:-2] * LETTERS**2 + c[1:-1] * LETTERS + c[2:], minlength=LETTERS**3)
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["gram", "n"])
@@ -69,47 +75,72 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((table + 5 * two) / (table.sum(axis=2, keepdims=True) + 5))
 
 
-def _units(low: str) -> list[str]:
-    """The letters and signs of a word whose letters stand apart; stars alone between them are separators."""
-    units = [c for c in low if c not in " .-_"]
-    return units if len(units) < len(low) else [c for c in units if c != "*"]
+#: Signs that stand for one letter become it, those for several stay, and others are noise between letters.
+_ONE = {ord(c): x for c, x in STANDS_FOR.items() if len(x) == 1}
+_SEVERAL = {c: x for c, x in STANDS_FOR.items() if len(x) > 1}
+SEVERAL = re.compile(f"[{re.escape(''.join(_SEVERAL))}]")
+NOISE = re.compile(rf"(?:[\W\d_](?<!{SEVERAL.pattern}))+")
+RUN = re.compile(r"(.)\1+", re.S)
 
 
-def lattice(word: str) -> list[list[tuple[int, str, float]]]:
+def cleaned(word: str) -> str:
+    """A disguised word in lower case without signs at its ends and noise; signs that stand for one letter become it."""
+    return NOISE.sub("", word.lower().strip(".,;:?\"'()[]{}<>-_").translate(_ONE))
+
+
+def _class(c: str) -> int:
+    return ord(c) - 96 if "a" <= c <= "z" else 27
+
+
+@cache
+def _choices(c: str, n: int) -> tuple[tuple[int, str, float], ...]:
+    """(letter class, letters, cost) of a run of ``n`` (3: or more) of a letter or a sign for several."""
+    signs = _SEVERAL.get(c, "")
+    return tuple((_class(x), x * k, SIGN_COST * (x in signs) + RUN_COST * (n > k)) for x in signs or c for k in (1, 2)[: min(n, 2)])
+
+
+def lattice(word: str) -> list[tuple[tuple[int, str, float], ...]]:
     """For each place of a disguised word: (letter class, letters, cost). Runs of a letter or sign may shrink to one or two."""
-    low = word.lower()
-    if re.fullmatch(APART, low):
-        low = "".join(_units(low))
-    low = low.strip(".,;:?\"'()[]{}<>-_")
-    out = []
-    for m in re.finditer(r"(.)\1*", low, re.S):
-        c, n = m.group(1), len(m.group(0))
-        if c.isalpha():
-            k = ord(c) - 96 if "a" <= c <= "z" else 27
-            out.append([(k, c, RUN_COST * (n > 1)), (k, c * 2, RUN_COST * (n > 2))] if n > 1 else [(k, c, 0.0)])
-        elif c in STANDS_FOR:
-            out.append([(ord(x) - 96, x * k, SIGN_COST + RUN_COST * (n > k)) for x in STANDS_FOR[c] for k in (1, 2)[: min(n, 2)]])
-        # other signs are noise between letters and are skipped
-    return out
-
-
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest letters of a disguised word (Viterbi over pairs of letters), in time linear in its length."""
-    model = model if isinstance(model, list) else model.ravel().tolist()
-    paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    return [_choices(m.group(1), min(3, m.end() - m.start())) for m in re.finditer(r"(.)\1*", cleaned(word), re.S)]
+
+
+def restore(word: str, model: list[float]) -> str:
+    """The likeliest letters of a disguised word (Viterbi over pairs of letters), in time linear in its length.
+
+    ``model`` is the character model as a flat list. Where each sign stands for one letter, the paths of the lattice
+    meet again at the letter after each run, so the best path is made of each run's better half.
+    """
+    low = cleaned(word)
+    if SEVERAL.search(low):
+        return _restore_any(low, model)
+
+    def better(m: re.Match) -> str:
+        c, a, b, text = m.group(1), m.start(), m.end(), m.string
+        k, before, after = _class(c), _class(text[a - 1]) if a else 0, _class(text[b]) if b < len(text) else 0
+        pair = (before * LETTERS + k) * LETTERS
+        one = RUN_COST - model[pair + after]
+        two = RUN_COST * (b - a > 2) - model[pair + k] - model[(k * LETTERS + k) * LETTERS + after]
+        return c if one <= two else c + c
+
+    return RUN.sub(better, low)
+
+
+def _restore_any(word: str, model: list[float]) -> str:
+    # A state is the last two letter classes, as first * 28 + second.
+    paths: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     for options in lattice(word):
-        new: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (cost, text) in paths.items():
+        new: dict[int, tuple[float, tuple]] = {}
+        for state, (cost, text) in paths.items():
+            b = state % LETTERS
             for k, letters, own in options:
-                c = cost + own - model[(a * LETTERS + b) * LETTERS + k]
-                state = (b, k)
+                c, to = cost + own - model[state * LETTERS + k], b * LETTERS + k
                 if len(letters) == 2:
-                    c -= model[(b * LETTERS + k) * LETTERS + k]
-                    state = (k, k)
-                if state not in new or c < new[state][0]:
-                    new[state] = (c, (text, letters))
+                    c -= model[to * LETTERS + k]
+                    to = k * LETTERS + k
+                if to not in new or c < new[to][0]:
+                    new[to] = (c, (text, letters))
         paths = new
-    _, text = min(((c - model[(a * LETTERS + b) * LETTERS], t) for (a, b), (c, t) in paths.items()), key=lambda e: e[0])
+    _, text = min(((c - model[s * LETTERS], t) for s, (c, t) in paths.items()), key=lambda e: e[0])
     out = []
     while text:
         text, letters = text
@@ -118,82 +149,123 @@ def restore(word: str, model: np.ndarray) -> str:
 
 
 def readings(word: str) -> list[str]:
-    """What is decoded of a match: the whole, without the signs that may be punctuation at its ends, and its pieces.
-
-    Of letters apart the first and the last may be words of their own. Pieces stand between signs for no letter.
-    """
-    if re.fullmatch(APART, word):
-        units = _units(word)
-        found = [units, units[1:], units[:-1]] if len(units) > 3 else [units]
-        return list(dict.fromkeys("".join(u) for u in found))
+    """What is decoded of a disguised word: the whole, its pieces between signs for no letter, and these without the signs that may be punctuation at their ends."""
     pieces = [p for p in PIECES.split(word) if len(p) > 1]
     return list(dict.fromkeys([word, *pieces, *(q for p in pieces if len(q := p.strip("!|+(*")) > 1)]))
 
 
-#: Restored words that a task remembers, and longest one of them; longer ones are decoded each time.
-REMEMBER, REMEMBERED = 100_000, 40
+def apart(text: str) -> set[str]:
+    """The words that letters or signs apart spell. The first and the last letter may be words of their own.
+
+    Stars alone between letters are separators, among others they stand for a letter.
+    """
+    found = set()
+    for m in APART.finditer(text):
+        run = m.group(0)
+        if LETTER.search(run):
+            units = [c for c in re.split(r"[\s.\-_]+", run) if c]
+            units = "".join(units) if len(units) > 1 and max(map(len, units)) == 1 else run.translate(_NO_SEPARATORS)
+            found |= {units, units[1:], units[:-1]} if len(units) > 3 else {units}
+    return found
+
+
+_NO_SEPARATORS = {ord(c): None for c in " \t\n\r\f\v.-_*"}
 
 
-class Restorer:
-    """Restored words of texts, remembering each disguised word's result."""
+def features_of(word: str) -> list[str]:
+    """The features of a word in lower case: itself and its first 4, 5 and 6 letters. A very long word is named by a digest."""
+    return [word if len(word) <= 64 else hashlib.blake2b(word.encode(), digest_size=16).hexdigest(), *(word[:k] + "*" for k in (4, 5, 6) if len(word) > k)]
 
-    def __init__(self, model: np.ndarray):
-        self.model, self.known = model.ravel().tolist(), {}
 
-    def __call__(self, text: str) -> str:
-        found = {m.group(0) for m in DISGUISED.finditer(text)}
-        if not found:
-            return text
-        added = []
-        for w in sorted(found):
-            restored = self.known.get(w)
-            if restored is None:
-                restored = " ".join(restore(r, self.model) for r in readings(w))
+#: Characters of a text that are split at once, and words a Python worker remembers: at most, and the longest.
+SEGMENT, REMEMBER, REMEMBERED = 1 << 20, 1 << 17, 32
+_SPACE = re.compile(r"\s")
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text in parts that end at white space, so that no word is cut."""
+    start = 0
+    while start < len(text):
+        end = _SPACE.search(text, start + SEGMENT) if len(text) - start > SEGMENT else None
+        end = end.start() if end else len(text)
+        yield text[start:end]
+        start = end
+
+
+def words_of(word: str, letters: list[float]) -> set[str]:
+    """The words in lower case of a run without white space, the restored ones included."""
+    low = word.lower()
+    found = set(WORD.findall(low))
+    if DISGUISED.search(low) and LETTER.search(low):
+        for r in readings(low):
+            found.add(restore(r, letters))
+    found.discard("")
+    return found
+
+
+def all_words(text: str, letters: list[float], known: dict[str, set[str]]) -> set[str]:
+    """All words of a text in lower case, the restored ones included; ``known`` remembers those of runs."""
+    found: set[str] = set()
+    for part in segments(text):
+        for w in set(part.split()):
+            own = known.get(w)
+            if own is None:
+                own = words_of(w, letters)
                 if len(w) <= REMEMBERED:
-                    if len(self.known) > REMEMBER:
-                        self.known.clear()
-                    self.known[w] = restored
-            added.append(restored)
-        return text + " \n " + " ".join(added)
-
-
-def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, distinct and sorted: hashes of words and of their first 4, 5 and 6 bytes."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    w = W.split(data, offsets, W.ALNUM)
-    doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    docs, found = [doc], [w.hash]
-    if len(w.data):
-        total = np.zeros(len(w.data) + 1, np.uint64)
-        np.cumsum(W._BYTE[w.data] * W._power(W._BASE, len(w.data))[: len(w.data)], out=total[1:])
-        inverse = W._power(W._INVERSE, len(w.data))
-        for k in (4, 5, 6):
-            own = w.end - w.start > k
-            s = w.start[own]
-            docs.append(doc[own])
-            found.append(W.mix((total[s + k] - total[s]) * inverse[s] + np.uint64(k)))
-    doc, h = np.concatenate(docs), np.concatenate(found)
-    return doc, (h >> np.uint64(1)).astype(np.int64)
+                    if len(known) >= REMEMBER:
+                        known.clear()
+                    known[w] = own
+            found |= own
+    found |= {restore(u, letters) for u in apart(text)}
+    return found
 
 
 @dataclass
 class Model:
-    letters: np.ndarray
-    features: np.ndarray
-    weights: np.ndarray
-    bias: float
+    """The character model as a flat list, features with their weights, and the bias."""
 
-    def scores(self, texts: list[str], restorer: Restorer) -> np.ndarray:
-        doc, h = word_features([restorer(t) for t in texts])
-        total = np.full(len(texts), self.bias)
-        if len(self.features):
-            at = np.minimum(np.searchsorted(self.features, h), len(self.features) - 1)
-            hit = np.flatnonzero(self.features[at] == h)
-            pairs = np.unique(doc[hit] * len(self.features) + at[hit])
-            total += np.bincount(pairs // len(self.features), self.weights[pairs % len(self.features)], len(texts))
-        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+    letters: list[float]
+    weights: dict[str, float]
+    bias: float
+    known: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
+    begins: set[str] | None = field(default=None, compare=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}, "begins": None}
+
+    def telling(self, words: set[str]) -> tuple[str, ...]:
+        """The features of the model that the words have. Each begins like its word, long words aside."""
+        if self.begins is None:
+            self.begins = {f[:4] for f in self.weights}
+        near = [w for w in words if w[:4] in self.begins or len(w) > 64]
+        return tuple(f for w in near for f in features_of(w) if f in self.weights)
+
+    def score(self, text: str) -> float:
+        """The probability that the text is toxic. What a word tells is remembered by the Python worker."""
+        found: set[str] = set()
+        known = self.known
+        for part in segments(text):
+            for w in set(part.split()):
+                own = known.get(w)
+                if own is None:
+                    own = self.telling(words_of(w, self.letters))
+                    if len(w) <= REMEMBERED:
+                        if len(known) >= REMEMBER:
+                            known.clear()
+                        known[w] = own
+                if own:
+                    found.update(own)
+        for u in apart(text):
+            found.update(self.telling({restore(u, self.letters)}))
+        total = self.bias + sum(self.weights[f] for f in sorted(found))
+        return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+    def scores(self, texts: pa.Array) -> list[float]:
+        """Scores of a column, a bounded number of texts at a time; null texts are empty."""
+        out: list[float] = []
+        for a, b, _, _ in W.raw_chunks(texts):
+            out += [self.score(t or "") for t in texts.slice(a, b - a).to_pylist()]
+        return out
 
 
 def _learn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
@@ -204,48 +276,49 @@ def _learn_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return texts.join(F.broadcast(chosen), "id").select("text", "y")  # bounded by ``rows``
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS, features: int = FEATURES) -> Model:
+def _words_of_rows(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[str]] = {}
+        for batch in batches:
+            for a, b, _, _ in W.raw_chunks(batch.column("text")):
+                own = [sorted(all_words(t, sent.value, known)) for t in batch.column("text").slice(a, b - a).to_pylist()]
+                yield pa.record_batch([batch.column("y").slice(a, b - a), pa.array(own, pa.list_(pa.string()))], names=["y", "words"])
+
+    return run
+
+
+def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    count: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for y, words in zip(batch.column("y").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            count[int(y > 0)].update({f for w in words for f in features_of(w)})
+    for y, own in count.items():
+        yield pa.record_batch([pa.array(list(own), pa.string()), pa.array([n * y for n in own.values()], pa.int64()), pa.array(list(own.values()), pa.int64())], names=["feature", "t", "n"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> Model:
     """The character model of all ``docs`` and a logistic model of at most ``rows`` labelled ones.
 
-    Labels of unknown documents and null labels are ignored. Without labels the model scores everything 0.
+    Its features are all words and word beginnings that at least ``LEAST_ROWS`` of these rows have, toxic
+    ones to ``LEAST_SHARE``, so the model does not depend on how the rows are dealt. Labels of unknown
+    documents and null labels are ignored. Without labels the model scores everything 0.
     """
-    spark = docs.sparkSession
-    letters = spark.sparkContext.broadcast(character_model(docs, text_col))
-    sample = _learn_rows(docs, labels, id_col, text_col, label_col, rows)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(letters.value)
-        for batch in batches:
-            texts, y = batch.column("text").to_pylist(), np.array(batch.column("y").to_pylist(), np.int64)
-            for a, b in W.chunks([len(t) + W.ROW for t in texts], W.CHUNK):
-                doc, h = word_features([restorer(t) for t in texts[a:b]])
-                names, code = np.unique(h, return_inverse=True)
-                pairs = np.unique(doc * len(names) + code)
-                toxic = y[a:b][pairs // max(1, len(names))]
-                t = np.bincount(pairs % max(1, len(names)), toxic, len(names)).astype(np.int64)
-                n = np.bincount(pairs % max(1, len(names)), minlength=len(names)).astype(np.int64)
-                yield pa.record_batch([pa.array(names), pa.array(t), pa.array(n)], names=["h", "t", "n"])
-
-    # All rows of the sample count, so the choice does not depend on how they are dealt; the surest features come first.
-    first = sample.mapInArrow(count, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    first = first.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_SHARE * F.col("n")))
-    chosen = np.sort(np.array([r["h"] for r in first.orderBy(F.desc(F.col("t") * F.col("t") / F.col("n")), F.desc("t"), "h").limit(features).collect()], np.int64))
-    names = spark.sparkContext.broadcast(chosen)
+    letters = character_model(docs, text_col).ravel().tolist()
+    sent = docs.sparkSession.sparkContext.broadcast(letters)
+    sample = written(_learn_rows(docs, labels, id_col, text_col, label_col, rows).mapInArrow(_words_of_rows(sent), "y int, words array<string>"))
+    counts = sample.mapInArrow(_count_features, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    telling = counts.where((F.col("t") >= LEAST_ROWS) & (F.col("t") >= LEAST_SHARE * F.col("n")))
+    chosen = sorted(r["feature"] for r in telling.select("feature").collect())  # of the bounded sample
+    number = {f: i for i, f in enumerate(chosen)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, own = Restorer(letters.value), names.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in W.chunks([len(t) + W.ROW for t in texts], W.CHUNK):
-                doc, h = word_features([restorer(t) for t in texts[a:b]])
-                at = np.minimum(np.searchsorted(own, h), max(0, len(own) - 1))
-                hit = np.flatnonzero(own[at] == h) if len(own) else np.zeros(0, np.int64)
-                pairs = np.unique(doc[hit] * max(1, len(own)) + at[hit])
-                lists = np.split(pairs % max(1, len(own)), np.searchsorted(pairs // max(1, len(own)), np.arange(1, b - a)))
-                yield pa.record_batch([batch.column("y").slice(a, b - a), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], names=["y", "f"])
+            own = [sorted({number[f] for w in words for f in features_of(w) if f in number}) for words in batch.column("words").to_pylist()]
+            yield pa.record_batch([batch.column("y"), pa.array(own, pa.list_(pa.int64()))], names=["y", "f"])
 
     rows_ = sample.mapInArrow(found, "y int, f array<long>").groupBy("y", "f").count().collect()  # bounded by ``rows``
-    return Model(letters.value, chosen, *fit(rows_, len(chosen)))
+    weights, bias = fit(rows_, len(chosen))
+    return Model(letters, {f: float(w) for f, w in zip(chosen, weights, strict=True) if w > 0}, bias)
 
 
 def fit(rows: list, features: int, rounds: int = 3000, penalty: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -271,23 +344,26 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5) to ``docs``, from the whole text alone.
 
     Null texts are empty; an empty text scores as one without any telling word. Columns with the added
-    names are replaced; repeated rows each get the same score. An empty table gives an empty result.
+    names are replaced, whatever else a table has passes through; repeated rows each get the same score. Texts of
+    any length are read whole, a part at a time. An empty table gives an empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.drop("score", "predicted").withColumn("score", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        restorer = Restorer(m.letters)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            for a, b in W.chunks([len(t) + W.ROW for t in texts], W.CHUNK):
-                rows = batch.slice(a, b - a)
-                yield rows.set_column(rows.schema.get_field_index("score"), rows.schema.field("score"), pa.array(m.scores(texts[a:b], restorer)))
+            found = pa.array(sent.value.scores(batch.column(text_col)), pa.float64())
+            yield batch.set_column(batch.schema.get_field_index("score"), batch.schema.field("score"), found)
 
     return out.mapInArrow(run, out.schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with their own columns."""
-    return score(docs.select("*"), model, text_col).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that score below 0.5, with their own columns and values, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([s < 0.5 for s in sent.value.scores(batch.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

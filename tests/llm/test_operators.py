@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -287,44 +288,74 @@ def test_language_id_edge_cases(docs, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def letters_of(spark, text="the worthless idiot and the moron met a stupid clown"):
+    return toxicity.character_model(spark.createDataFrame([(" ".join([text] * 50),), (None,)], "text string")).ravel().tolist()
+
+
 def test_deobfuscation(spark):
-    text = " ".join(["the worthless idiot and the moron met a stupid clown"] * 50)
-    letters = toxicity.character_model(spark.createDataFrame([(text,), (None,)], "text string"))
-    for seen, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("st00pid", None), ("i d i o t", "idiot"), ("iiidiot", "idiot"), ("cl0wn", "clown"), ("$tupid", "stupid")):
-        assert toxicity.DISGUISED.search(f"a {seen} here")
-        assert word is None or toxicity.restore(seen, letters) == word
-    assert not toxicity.DISGUISED.search("plain words, and Ünicode.")
+    letters = letters_of(spark)
+    for seen, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("iiidiot", "idiot"), ("cl0wn", "clown"), ("$tupid", "stupid"), ("st*pid", "stupid")):
+        assert word in toxicity.all_words(f"a {seen} here", letters, {}), seen
+    assert toxicity.all_words("Plain words, and Ünicode.", letters, {}) == {"plain", "words", "and", "ünicode"}
+
+
+def test_best_path_against_all_paths():
+    r = random.Random(1)
+    model = [-5 * r.random() for _ in range(toxicity.LETTERS**3)]
+    for _ in range(600):
+        word = "".join(r.choice("aabbcls$10!|*é-") for _ in range(r.randint(1, 7)))
+        costs = {}
+        for path in itertools.product(*toxicity.lattice(word)):
+            a = b = 0
+            cost = sum(own for _, _, own in path)
+            for k in [k for k, letters, _ in path for _ in letters] + [0]:
+                cost -= model[(a * toxicity.LETTERS + b) * toxicity.LETTERS + k]
+                a, b = b, k
+            name = "".join(letters for _, letters, _ in path)
+            costs[name] = min(cost, costs.get(name, cost))
+        assert costs[toxicity.restore(word, model)] == pytest.approx(min(costs.values())), word
 
 
 def test_long_disguised_words_are_decoded(spark):
-    text = " ".join(["the worthless idiot and the moron met a stupid clown"] * 50)
-    restorer = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(text,)], "text string")))
-    assert "stupid" in restorer("a st" + "u" * 60 + "pid").split()
-    found = restorer("w0rthl3ss,1d10t,m0r0n,cl0wn.$tup1d_m0r0n;1d10t").split()
-    assert {"worthless", "idiot", "moron", "clown", "stupid"} <= set(found)
-    assert "moron" in restorer("m0r0n," * 20_000).split()
+    letters = letters_of(spark)
+    assert "stupid" in toxicity.all_words("a st" + "u" * 60 + "pid", letters, {})
+    assert {"worthless", "idiot", "moron", "clown", "stupid"} <= toxicity.all_words("w0rthl3ss,1d10t,m0r0n,cl0wn.$tup1d_m0r0n;1d10t", letters, {})
+    assert "moron" in toxicity.all_words("m0r0n," * 20_000, letters, {})
+
+
+def test_long_texts_take_linear_time(spark):
+    r, letters = random.Random(2), letters_of(spark)
+    model = toxicity.Model(letters, {"idiot": 9.0}, -3.0)
+    for text in ("".join(r.choice("abcdefgh") for _ in range(70_000)), "漢字" * 35_000, "a" + "*" * 70_000 + "b", "a . " * 20_000, "1l|" * 10_000, " " * 70_000):
+        begin = time.monotonic()
+        assert model.score(text) < 0.5 < model.score(text + " 1d10t")
+        assert time.monotonic() - begin < 10
 
 
 def test_all_combinations_of_disguise(spark):
-    text = " ".join(["the worthless idiot and the moron met a stupid clown"] * 50)
-    restorer = toxicity.Restorer(toxicity.character_model(spark.createDataFrame([(text,)], "text string")))
+    letters = letters_of(spark)
     signs = {"idiot": ("idiot", "1d107", "1diot", "idi0t"), "stupid": ("stupid", "$tup1d", "5tup1d"), "moron": ("moron", "m0r0n", "mor0n")}
     for word, forms in signs.items():
-        for form, gap, double in itertools.product(forms, ("", " ", "  ", ".", "-", " . "), (1, 2, 3)):
+        for form, gap, double in itertools.product(forms, ("", " ", "  ", ".", "-", " . ", "*", "\n"), (1, 2, 3)):
             seen = gap.join(c * double if not gap else c for c in form) if not gap or double == 1 else gap.join(form[0] * double + form[1:])
             if seen != word:
-                assert word in restorer(f"you {seen} there").split(), seen
-    for seen in ("a55", "a$$", "iddiioott", "1 d 1 0 t", "s t u p 1 d"):
-        assert toxicity.DISGUISED.search(f"the {seen} here").group(0) == seen
+                assert word in toxicity.all_words(f"you {seen} there", letters, {}), seen
+    for seen, word in (("a55", "ass"), ("a$$", "ass"), ("iddiioott", "idiot"), ("1 d 1 0 t", "idiot"), ("s t u p 1 d", "stupid"), ("s t * p i d", "stupid")):
+        assert word in toxicity.all_words(f"the {seen} here", letters_of(spark, "the ass and the idiot are stupid"), {}), seen
 
 
-def test_features_do_not_depend_on_the_partitions(spark):
+def test_model_does_not_depend_on_the_partitions(spark):
     # A word as common in clean rows as in toxic ones is no feature, however few rows a task has.
     rows = [(i, f"{prose(12, i)} " + ("ordinary " if i % 3 == 0 else "") + ("moronic" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    one, many = (toxicity.train(d, df.select("doc_id", "toxic")).features.tolist() for d in (df.coalesce(1), df.repartition(400)))
-    names = dict(zip(*(v.tolist() for v in toxicity.word_features(["ordinary"])[::-1])))
-    assert one == many and not set(names) & set(many) and many
+    one, *more = (toxicity.train(df.repartition(n), df.select("doc_id", "toxic")) for n in (1, 13, 97))
+    assert all(m == one for m in more) and "moronic" in one.weights and "ordinary" not in one.weights
+
+
+def test_toxicity_keeps_foreign_columns(spark, docs):
+    model = toxicity.train(docs, spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int"))
+    kept = toxicity.drop_toxic(docs.withColumns({"score": F.lit(42.0), "y": F.lit(5)}), model)
+    assert {(r.score, r.y, r.predicted) for r in kept.collect()} == {(42.0, 5, "predicted")}
 
 
 def test_toxicity(spark, docs, empty):
