@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import chunks
 from .tokens import encoder
 
 LIMIT = 2048
@@ -28,7 +27,7 @@ END_ID = 1
 GRID = 64
 SENTENCE_PENALTY, INSIDE_PENALTY = 16, 64
 #: Tokens for which cuts are chosen at once; the last window goes on with the tokens that follow.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -149,9 +148,9 @@ def _pack(path: Callable[[], str] | str, limit: int, block: int) -> Callable[[It
         own = encoder(path() if callable(path) else path)
         packer = Packer(limit, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, b in chunks([len(t) for t in texts], 1 << 20):
-                codes, parts = own.codes(texts[a:b])
+            docs = batch.column("doc_id").to_pylist()
+            for a, b, data, offsets in W.raw_chunks(batch.column("text"), 1 << 19):
+                codes, parts = own.codes(data, offsets)
                 # After each document's pieces comes one that has the closing id alone.
                 last = np.cumsum(parts)
                 counts, closes = np.insert(own.count[codes], last, 1), np.insert(own.closes[codes], last, False)

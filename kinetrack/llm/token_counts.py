@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import chunks, written
+from . import words as W
+from .tables import written
 from .tokens import UNUSUAL, encoder, tokenizer
 
 #: Bytes from which a text is cut, bytes of a chunk, and first overlap.
@@ -28,14 +29,11 @@ def _count_short(path: Callable[[], str] | str) -> Callable[[Iterator[pa.RecordB
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path() if callable(path) else path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            n = [0] * len(texts)
-            for a, b in chunks([len(t) for t in texts], 1 << 20):
-                codes, parts = own.codes(texts[a:b])
+            for a, b, data, offsets in W.raw_chunks(batch.column("text")):
+                codes, parts = own.codes(data, offsets)
                 total = np.concatenate([[0], np.cumsum(own.count[codes])])
                 ends = np.cumsum(parts)
-                n[a:b] = (total[ends] - total[ends - parts]).tolist()
-            yield pa.record_batch([batch.column("rid"), pa.array(n, pa.int64())], names=["rid", "n_tokens"])
+                yield pa.record_batch([batch.column("rid").slice(a, b - a), pa.array(total[ends] - total[ends - parts])], names=["rid", "n_tokens"])
 
     return count
 

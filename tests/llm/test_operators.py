@@ -424,18 +424,22 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, queries.tokenizer_path).count() == 0
 
 
-def test_pieces_give_the_library_ids():
-    from kinetrack.llm.tokens import encoder
-
-    r, signs = random.Random(8), list("abcXYZéß 0123 \n\t.,;'s'll!?<|>-_ 　\x1cд漢") + ["<|endoftext|>", " don't ", "  "]
-    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(3000)]
-    own = encoder(queries.tokenizer_path())
-    codes, parts = own.codes(texts)
-    at = 0
-    for t, n, want in zip(texts, parts, encodings(texts)):
-        got = [i for c in codes[at : at + n] for i in own.ids[own.start[c] : own.start[c] + own.count[c]]]
-        assert got == want, t
-        at += n
+def test_pieces_give_the_library_ids(monkeypatch):
+    from kinetrack.llm import tokens
+
+    r, signs = random.Random(8), list("abcXYZéßÿ×÷ 0123 \n\t.,;'s'll!?<|>-_\xa0\u3000\u2003\u2019\x1cд漢\x00") + ["<|endoftext|>", " don't ", "  ", "x" * 70, "été,"]
+    for remember in (tokens.REMEMBER, 300):
+        monkeypatch.setattr(tokens, "REMEMBER", remember)
+        own = tokens.Encoder(queries.tokenizer_path())
+        for _ in range(4):
+            texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+            raw = [t.encode() for t in texts]
+            codes, parts = own.codes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            at = 0
+            for t, n, want in zip(texts, parts, encodings(texts)):
+                got = [i for c in codes[at : at + n] for i in own.ids[own.start[c] : own.start[c] + own.count[c]]]
+                assert got == want, t
+                at += n
 
 
 def test_packing(docs, empty):
