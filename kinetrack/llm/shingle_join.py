@@ -38,6 +38,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 #: Bytes of text for each index shard, about; shingle hashes of a batch; bytes of sets in a block.
 SHARD_BYTES, BATCH_HASHES, BLOCK_BYTES = 4 << 20, 1 << 20, 4 << 20
 LEAST_SHARDS = 64
+
+
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     """Hashes that a set of ``n`` must share with any partner."""
     return -(-n * NUMERATOR // DENOMINATOR)
@@ -87,15 +89,12 @@ def _index_rows(buckets: int):
         listed = W.ranges(at[many], counts[many].astype(np.int64))
         key = int(W.mix(np.array([TaskContext.get().partitionId() * 2**20 + number], np.uint64))[0] >> np.uint64(1))
         own, first = values[at], doc[at]
-        edges = np.searchsorted(own >> shift, np.arange(buckets + 1, dtype=np.uint64))
         home = key % buckets  # the shard that passes on what stays with the batch
         out = {c.split()[0]: [] for c in _INDEX.split(", ")}
-        for k in range(buckets):
-            a, b = int(edges[k]), int(edges[k + 1])
-            if a < b or k == home:
-                kept = (pack(np.concatenate([ids, n])), pack_sorted(values[listed]), pack(doc[listed])) if k == home else (None,) * 3
-                for c, v in zip(out, (k, key, pack_sorted(own[a:b]), pack(first[a:b]), pack(counts[a:b]), *kept), strict=True):
-                    out[c].append(v)
+        for k, a, b in W.buckets_of(own >> shift, home):
+            kept = (pack(np.concatenate([ids, n])), pack_sorted(values[listed]), pack(doc[listed])) if k == home else (None,) * 3
+            for c, v in zip(out, (k, key, pack_sorted(own[a:b]), pack(first[a:b]), pack(counts[a:b]), *kept), strict=True):
+                out[c].append(v)
         yield _arrow(out, _INDEX)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,3 +116,9 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... (count of them) of each pair, one after another."""
     ends = np.cumsum(count)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
+
+
+def buckets_of(sorted_buckets: np.ndarray, home: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, end) of each bucket that occurs, and of ``home``: the work grows with the values, not with the buckets."""
+    names = np.union1d(sorted_buckets, np.array([home], np.uint64))
+    yield from zip(names.tolist(), np.searchsorted(sorted_buckets, names).tolist(), np.searchsorted(sorted_buckets, names, "right").tolist(), strict=True)
