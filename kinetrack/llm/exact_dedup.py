@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming, in DataFrame operations only.
 
 Texts are cut into blocks of a fixed number of bytes. Equal blocks get the same integer name: the
-distinct blocks are sorted and numbered in that order. Adjacent pairs of names are sorted and named in
+distinct blocks of each partition are sorted and numbered in that order. Adjacent pairs of names are sorted and named in
 turn until each document has one name. Names are given to the contents themselves, never to hashes, so
 two documents share an identity exactly if their texts are equal.
 
@@ -14,17 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import numbered, written
 
-BLOCK = 4096
+BLOCK = 1024
 SEED = 64
 
 
 def _named(distinct: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct ``keys`` with an integer ``name`` that follows their order."""
-    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # The table is written because the ranges, and so the numbers, may differ when it is computed again.
-    return written(ordered.withColumn("name", F.monotonically_increasing_id()))
+    """Distinct ``keys`` with an integer ``name``: equal ones meet in one partition, where they are sorted and numbered."""
+    # The partitions of the distinct step are kept, so contents move once and none goes to the driver.
+    # The table is written because the numbers may differ when it is computed again.
+    return numbered(distinct.sortWithinPartitions(*keys), "name")
 
 
 def block_names(texts: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -71,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     these three names, which are replaced. With ``carry`` (names and expressions) only these columns
     stand beside the three, which spares moving the texts. An empty table gives an empty result.
     """
-    rows = docs.drop("keep_id", "group_size", "kept").withColumn("__rid", F.monotonically_increasing_id())
+    rows = numbered(docs.drop("keep_id", "group_size", "kept"), "__rid")
     copies = _groups(rows, id_col, text_col, block, seed).select(F.col("rid").alias("__rid"), F.struct("last", "size").alias("__group"))
     chosen = [F.col(f"`{c}`") for c in rows.columns if c != "__rid"] if carry is None else [e.alias(c) for c, e in carry.items()]
     found = rows.select(*chosen, "__rid", F.col(id_col).alias("__id")).join(copies, "__rid", "left")
@@ -85,6 +85,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row of each group of equal texts (that with the largest id), with the columns of ``docs``."""
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
+    rows = numbered(docs, "__rid")
     dropped = _groups(rows, id_col, text_col, block, seed).where("last.rid <> rid").select(F.col("rid").alias("__rid"))
     return rows.join(dropped, "__rid", "left_anti").drop("__rid")
