@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import written
+from .tables import numbered, written
 from .tokens import UNUSUAL, encoder, tokenizer
 
 #: Bytes from which a text is cut, bytes of a chunk, and first overlap.
@@ -88,7 +88,8 @@ def _chunk_rows(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
         lambda k: F.struct(k.alias("k"), (k * chunk).alias("begin"), ((k + 1) * chunk).alias("stop"), F.substring(F.col("bytes"), (k * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("body")),
     )
     rows = texts.select("rid", F.explode(pieces).alias("c")).select("rid", "c.*", F.lit(overlap).cast("long").alias("overlap"))
-    return rows.repartition(F.xxhash64("rid", "k"))
+    # A stated count, so that few large chunks are not put into few tasks.
+    return rows.repartition(max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64("rid", "k"))
 
 
 def count_long(texts: DataFrame, path: Callable[[], str] | str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -117,10 +118,10 @@ def count_tokens(docs: DataFrame, path: Callable[[], str] | str, id_col: str = "
     """``doc_id, n_bytes, n_tokens`` of every row, as the tokenizer file's library gives them for the whole text.
 
     ``path`` is the file, or a function that finds it on the executor. Null texts are empty and have no
-    tokens; null and repeated ids each keep their row. An empty table gives an empty result.
+    tokens; null and repeated ids each keep their row; other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = numbered(rows.withColumn("n_bytes", F.octet_length("text").cast("long")), "rid")
     short = rows.where(F.col("n_bytes") <= huge)
     counted = short.select("rid", "text").mapInArrow(_count_short(path), "rid long, n_tokens long")
     long_ = rows.where(F.col("n_bytes") > huge).select("rid", F.encode("text", "UTF-8").alias("bytes"))
