@@ -26,7 +26,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout: the field paths that identify it and the SQL expression of its turns over ``v``."""
+    """A layout: the field paths that identify it and the SQL expression of its turns over ``__record``."""
 
     name: str
     paths: tuple[str, ...]
@@ -34,12 +34,12 @@ class Mapping:
 
 
 def _get(path: str) -> str:
-    return f"coalesce(try_variant_get(v, '{path}', 'string'), '')"
+    return f"coalesce(try_variant_get(__record, '{path}', 'string'), '')"
 
 
 def _listed(path: str, role: str, text: str) -> str:
     return (
-        f"transform(coalesce(try_variant_get(v, '{path}', 'array<struct<{role}:string,{text}:string>>'), array()),"
+        f"transform(coalesce(try_variant_get(__record, '{path}', 'array<struct<{role}:string,{text}:string>>'), array()),"
         f" x -> named_struct('role', coalesce(x.`{role}`, ''), 'text', coalesce(x.`{text}`, '')))"
     )
 
@@ -95,12 +95,12 @@ def canonical_turns(records: DataFrame, record: str, extra: tuple[Mapping, ...]
     have null ``turns`` and ``layout``; null texts and roles are empty. Lists keep their order. An empty
     table gives an empty result.
     """
-    found = records.drop("turns", "layout").withColumn("__print", fingerprint(field_paths(F.col(record)))).withColumn("v", F.col(record))
+    found = records.drop("turns", "layout").withColumn("__print", fingerprint(field_paths(F.col(record)))).withColumn("__record", F.col(record))
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for m in (*MAPPINGS, *extra):
         chosen = F.col("__print") == fingerprint(F.lit(",".join(sorted(m.paths))))
         turns, layout = F.when(chosen, F.expr(m.turns).cast(TURNS)).otherwise(turns), F.when(chosen, m.name).otherwise(layout)
-    return found.withColumns({"turns": turns, "layout": layout}).drop("__print", "v")
+    return found.withColumns({"turns": turns, "layout": layout}).drop("__print", "__record")
 
 
 def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

@@ -60,7 +60,7 @@ def find_matches(ranks: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.n
     """(word position, window, verbatim length) of all occurrences of the items' windows in one shard.
 
     ``ranks`` has 0 where no window can go on. ``verbatim`` is the longest common prefix of the item's
-    suffix and the text at that position, counted to twice the window.
+    suffix and the text at that position.
     """
     array, _ = suffix_array(ranks, items.window)
     array = array[ranks[array] > 0]
@@ -89,11 +89,13 @@ def find_matches(ranks: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.n
     count = bound(True) - low
     window = np.repeat(np.arange(len(low)), count)
     where = array[W.ranges(low, count)]
-    verbatim, same = np.zeros(len(where), np.int64), np.ones(len(where), bool)
-    for j in range(2 * items.window):
-        inside = j < items.left[window]
-        same &= inside & (padded[where + j] == own[np.minimum(items.at[window] + j, len(own) - 1)]) & (padded[where + j] > 0)
-        verbatim += same
+    verbatim, going, j = np.zeros(len(where), np.int64), np.arange(len(where)), 0
+    while len(going):  # the matches that still go on
+        x, y = where[going] + j, items.at[window[going]] + j
+        same = (j < items.left[window[going]]) & (x < len(ranks)) & (y < len(items.ranks))
+        same &= (padded[np.minimum(x, len(padded) - 1)] == own[np.minimum(y, len(own) - 1)]) & (padded[np.minimum(x, len(padded) - 1)] > 0)
+        going, j = going[same], j + 1
+        verbatim[going] = j
     return where, window, verbatim
 
 
@@ -142,8 +144,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, b
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Add ``n_words`` (long) and ``spans`` to ``docs``: each occurrence of a benchmark window.
 
-    A span is (first word, end word, item id) with the longest verbatim match from that word, up to
-    twice the window. Words are ASCII lower-cased runs of letters, digits and non-ASCII characters. An
+    A span is (first word, end word, item id) with the longest verbatim match from that word. Words are ASCII lower-cased runs of letters, digits and non-ASCII characters. An
     item of fewer words than ``window`` is one window; null texts have no words. Columns of ``docs`` named
     like the added ones are replaced; repeated rows each get their spans. An empty benchmark gives empty
     spans, empty documents an empty table.
@@ -181,6 +182,15 @@ def hits(found: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without any benchmark window, with their own columns."""
-    found = matches(docs, benchmark, text_col, window=window)
-    return found.where(F.size("spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without any benchmark window, with their own columns and values, whatever their names."""
+    kept, spark = docs, docs.sparkSession
+    for items in item_blocks(benchmark, "item_id", "text", window, BLOCK_CHARS):
+        sent = spark.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not s for _, _, spans in _search(batch.column(text_col), sent.value) for s in spans]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

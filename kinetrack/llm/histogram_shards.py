@@ -1,10 +1,11 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (key, id). The cuts between shards are found by counting: each round sums the bytes
+Rows are ordered by (key, id, row number). The cuts between shards are found by counting: each round sums the bytes
 below probe boundaries over all partitions, keeps only the probe intervals that hold a wanted cut, and
 divides these further, until every cut is within the tolerance of its target. Rows are then exchanged
 once. The default key is a hash of the text, so rows of equal texts are neighbours and share a shard
-unless their group alone is too large for the tolerance; then the group is cut between ids.
+unless their group alone is too large for the tolerance; then the group is cut between ids, and between
+rows of one id.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import numbered, written
 
 DIGIT = 10
 TOLERANCE = 0.01
@@ -34,24 +35,28 @@ def _counts(keyed: DataFrame, column: str, bits: int, inside: Column | None) ->
     return sorted((r["p"], r["b"], r["c"]) for r in got)
 
 
-def find_cut_points(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int] | None]:
-    """``shards - 1`` splitters (key, id); a row belongs to a shard below a splitter if it is smaller.
+ORDER = ("key", "id", "row")
 
-    ``keyed`` has long columns ``key, id, size`` without nulls. None stands for a cut above all rows.
+
+def find_cut_points(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[tuple[int, int, int] | None]:
+    """``shards - 1`` splitters (key, id, row); a row belongs to a shard below a splitter if it is smaller.
+
+    ``keyed`` has long columns ``key, id, row, size`` without nulls. None stands for a cut above all rows.
     """
     total = keyed.agg(F.sum("size")).first()[0] or 0
     targets = [total * k / shards for k in range(1, shards)]
     slack = tolerance * total / shards
     cuts: list = [None] * len(targets)
-    # An open cut: its probe interval (prefix and bits), the bytes below that, and its key once only ids are open.
-    open_ = {i: (0, 0, 0, None) for i in range(len(targets))} if total else {}
+    # An open cut: its probe interval (prefix and bits), the bytes below that, and the key and id that are settled.
+    open_ = {i: (0, 0, 0, ()) for i in range(len(targets))} if total else {}
     while open_:
         for bits, bound in {(x[1], x[3]) for x in open_.values()}:
             mine = {i: x for i, x in open_.items() if (x[1], x[3]) == (bits, bound)}
             now = min(64, bits + DIGIT)
-            column = "key" if bound is None else "id"
+            column = ORDER[len(bound)]
             inside = _prefix(column, bits).isin(sorted({x[0] for x in mine.values()}))
-            inside = inside if bound is None else inside & (F.col("key") == bound)
+            for c, v in zip(ORDER, bound, strict=False):
+                inside &= F.col(c) == v
             found: dict[int, list] = {}
             for p, b, c in _counts(keyed, column, now, inside):
                 found.setdefault(p >> (now - bits) if bits else 0, []).append((p, b, c))
@@ -61,31 +66,34 @@ def find_cut_points(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE)
                         break
                     below += b
                 low, high = abs(targets[i] - below), abs(below + b - targets[i])
-                if min(low, high) <= slack or (bound is not None and (now == 64 or c == 1)):
+                if min(low, high) <= slack or c == 1 or (now == 64 and len(bound) == 2):
                     cuts[i] = _position(p if low <= high else p + 1, now, bound)
                     del open_[i]
                 elif now == 64:
-                    open_[i] = (0, 0, below, p)  # one key holds the cut: go on between its ids
+                    open_[i] = (0, 0, below, (*bound, p))  # one key (or id) holds the cut: go on between its ids (or rows)
                 else:
                     open_[i] = (p, now, below, bound)
     return cuts
 
 
-def _position(prefix: int, bits: int, bound: int | None) -> tuple[int, int] | None:
-    """(key, id) of the first position whose prefix is at least this one."""
-    value = prefix << (64 - bits)
-    if bound is None:
-        return None if value > 2**63 - 1 else (value, -(2**63))
-    return (bound, value) if value <= 2**63 - 1 else (bound + 1, -(2**63)) if bound < 2**63 - 1 else None
+def _position(prefix: int, bits: int, bound: tuple[int, ...]) -> tuple[int, int, int] | None:
+    """(key, id, row) of the first position whose prefix is at least this one."""
+    value, least = prefix << (64 - bits), -(2**63)
+    while value > 2**63 - 1:
+        if not bound:
+            return None
+        *bound, value = bound
+        value += 1
+    return (*bound, value, *[least] * (2 - len(bound)))
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of every row.
 
-    ``size`` is the UTF-8 bytes of the text plus 1, a null text has none. Shards differ in bytes by the
-    tolerance and at most one row; slots are gapless from 0 in each shard and follow the order of keys,
+    ``size`` is the UTF-8 bytes of the text plus 1, a null text has none, a very long one counts whole. Shards
+    differ in bytes by the tolerance and at most one row, ties and repeated rows included; slots are gapless from 0 in each shard and follow the order of keys,
     but for groups of equal keys. A null id counts as the smallest long for the order and stays null in
-    the result; repeated rows each get their slot. An empty table gives an empty result.
+    the result; repeated rows each get their slot, and other columns are not read. An empty table gives an empty result.
     """
     raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
     keyed = docs.select(
@@ -95,9 +103,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.crc32(raw).alias("text_crc32"),
         F.xxhash64(raw).alias("key"),
     )
-    keyed = written(keyed)
+    keyed = numbered(keyed, "row")
     cuts = find_cut_points(keyed, shards, tolerance)
-    reached = [(F.col("key") > c[0]) | ((F.col("key") == c[0]) & (F.col("id") >= c[1])) for c in cuts if c is not None]
+    place = F.struct(*ORDER)
+    reached = [place >= F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(ORDER, c, strict=True)]) for c in cuts if c is not None]
     shard = reduce(lambda a, r: a + r.cast("int"), reached, F.lit(0))
     # Slots: rows are numbered inside small bins; exact counts of the bins give where each begins.
     n_rows = keyed.count()
@@ -108,10 +117,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     parts = sizes.select("shard", "bin", F.ceil(F.col("c") / BIN_ROWS).cast("long").alias("parts"))
     split = parts.where("parts > 1")
     placed = placed.join(F.broadcast(split), ["shard", "bin"], "left") if split.limit(10_001).count() <= 10_000 else placed.join(split, ["shard", "bin"], "left")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "text_crc32", F.lit(7)), F.coalesce("parts", F.lit(1))))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id", "row", F.lit(7)), F.coalesce("parts", F.lit(1))))
     counted = placed.groupBy("shard", "bin", "part").agg(F.count("*").alias("c"))
     before = Window.partitionBy("shard").orderBy("bin", "part").rowsBetween(Window.unboundedPreceding, -1)
     begins = written(counted.withColumn("begin", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c"))
-    inside = Window.partitionBy("shard", "bin", "part").orderBy("key", "id", "size", "text_crc32")
-    numbered = placed.withColumn("r", F.row_number().over(inside) - 1)
-    return numbered.join(begins, ["shard", "bin", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("r")).cast("long").alias("slot"))
+    inside = Window.partitionBy("shard", "bin", "part").orderBy("key", "id", "row")
+    counted_rows = placed.withColumn("r", F.row_number().over(inside) - 1)
+    return counted_rows.join(begins, ["shard", "bin", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begin") + F.col("r")).cast("long").alias("slot"))

@@ -26,7 +26,7 @@ UNUSUAL = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 _LEAD = np.zeros(256, bool)
 _LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: Distinct pieces that a Python worker remembers; what comes later is encoded each time. Bytes of the longest one.
-REMEMBER, LONGEST = 1 << 20, 64
+REMEMBER, LONGEST = 1 << 19, 64
 
 _SPACE, _LETTER, _SIGN = 1, 2, 3
 _KIND = np.zeros(256, np.uint8)

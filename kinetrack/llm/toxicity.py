@@ -54,7 +54,7 @@ _CLASS[128:] = 27
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(LETTERS**3, np.int64)
     for batch in batches:
-        for _, _, data, offsets in W.raw_chunks(batch.column("text")):
+        for _, _, data, offsets in W.raw_chunks(batch.column("text"), 1 << 18):
             # Two places without a letter stand before each text and after it.
             c = np.insert(_CLASS[W._LOWER[data]], np.repeat(offsets, 2), 0)
             total += np.bincount(c[:-2] * LETTERS**2 + c[1:-1] * LETTERS + c[2:], minlength=LETTERS**3)

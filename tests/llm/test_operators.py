@@ -247,6 +247,30 @@ def test_shards_split_one_large_group(spark):
     assert len(sizes) == 4 and max(sizes) < 1.05 * min(sizes)
 
 
+def test_shards_split_repeated_rows(spark):
+    # Rows that agree in everything, and null ids, are still cut within the tolerance and one row.
+    rows = [(7, "same text")] * 4000 + [(None, "same text")] * 1000 + [(10_000 + i, prose(5, i)) for i in range(1000)]
+    got = histogram_shards.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    sizes = got.groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    mean = sum(r.s for r in sizes) / 4
+    assert len(sizes) == 4 and all(abs(r.s - mean) <= 0.01 * mean + 40 and r.n == r.slots == r.last + 1 for r in sizes)
+
+
+def test_foreign_columns_keep_their_values(spark, docs):
+    """Columns that are named like an operator's own ones pass through with their values."""
+    bench = spark.createDataFrame([("a", PASSAGE)], "item_id string, text string")
+    more = docs.withColumns({"n_words": F.lit(7), "spans": F.lit("s"), "__cut": F.lit(2), "v": F.lit(3)})
+    values = lambda df: {(r.n_words, r.spans, r.v, r["__cut"], r.rid, r.bytes, r.kept) for r in df.collect()}
+    want = {(7, "s", 3, 2, "rid", "bytes", "kept")}
+    assert values(decontaminate.drop_contaminated(more, bench)) == want
+    assert values(exact_dedup.drop_exact_copies(more)) == want
+    assert values(shingle_join.keep_one_of_each(more)) == want
+    plain = docs.drop("lang").withColumn("v", F.lit(3))
+    assert {(r.rid, r.v) for r in repeated_passages.drop_repeats(plain).collect()} == {("rid", 3)}
+    chat = spark.createDataFrame([(1, '{"prompt": "hi", "response": "yo"}', 5)], "i int, j string, v int").withColumn("record", F.parse_json("j"))
+    assert chat_format.format_chats(chat).first().v == 5
+
+
 def test_exact_groups(docs, empty):
     want = {}
     for r in docs.collect():
@@ -514,6 +538,10 @@ def test_longest_match_and_place(spark):
     df = spark.createDataFrame([(1, "zz yy " + " ".join(item.split()[5:20]) + " qq")], "doc_id long, text string")
     spans = decontaminate.matches(df, spark.createDataFrame([("a", item)], "item_id string, text string")).first().spans
     assert max((s.end - s.start, s.start) for s in spans) == (15, 2)
+    long = prose(900, 51)
+    df = spark.createDataFrame([(1, "zz " + " ".join(long.split()[100:800]) + " qq"), (2, long)], "doc_id long, text string")
+    found = {r.doc_id: max(s.end - s.start for s in r.spans) for r in decontaminate.matches(df, spark.createDataFrame([("a", long)], "item_id string, text string")).collect()}
+    assert found == {1: 700, 2: 900}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
