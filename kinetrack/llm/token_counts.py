@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import words as W
 from .tables import numbered, written
@@ -33,7 +34,7 @@ def _count_short(path: Callable[[], str] | str) -> Callable[[Iterator[pa.RecordB
                 codes, parts = own.codes(data, offsets)
                 total = np.concatenate([[0], np.cumsum(own.count[codes])])
                 ends = np.cumsum(parts)
-                yield pa.record_batch([batch.column("rid").slice(a, b - a), pa.array(total[ends] - total[ends - parts])], names=["rid", "n_tokens"])
+                yield pa.record_batch([batch.column(c).slice(a, b - a) for c in ("doc_id", "n_bytes")] + [pa.array(total[ends] - total[ends - parts])], names=["doc_id", "n_bytes", "n_tokens"])
 
     return count
 
@@ -121,9 +122,9 @@ def count_tokens(docs: DataFrame, path: Callable[[], str] | str, id_col: str = "
     tokens; null and repeated ids each keep their row; other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = numbered(rows.withColumn("n_bytes", F.octet_length("text").cast("long")), "rid")
-    short = rows.where(F.col("n_bytes") <= huge)
-    counted = short.select("rid", "text").mapInArrow(_count_short(path), "rid long, n_tokens long")
-    long_ = rows.where(F.col("n_bytes") > huge).select("rid", F.encode("text", "UTF-8").alias("bytes"))
-    counted = counted.union(count_long(long_, path, chunk, overlap))
-    return rows.select("rid", "doc_id", "n_bytes").join(counted, "rid").select("doc_id", "n_bytes", "n_tokens")
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    out = StructType([rows.schema["doc_id"], rows.schema["n_bytes"], StructField("n_tokens", LongType())])
+    short = rows.where(F.col("n_bytes") <= huge).mapInArrow(_count_short(path), out)
+    long_ = numbered(rows.where(F.col("n_bytes") > huge), "rid")
+    counted = count_long(long_.select("rid", F.encode("text", "UTF-8").alias("bytes")), path, chunk, overlap)
+    return short.union(long_.join(counted, "rid").select("doc_id", "n_bytes", "n_tokens"))
