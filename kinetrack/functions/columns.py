@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import KEY
 
+
 def W() -> WindowSpec:
     """Rows of a track in time order."""
     return Window.partitionBy(*KEY).orderBy("position_t")
@@ -83,6 +84,19 @@ def local_max(c: str, order: int = 10, w: WindowSpec | None = None) -> Column:
     return ((F.col(c) == F.max(c).over((w or W()).rowsBetween(-order, order))) & (F.col(c) != 0)).cast("int")
 
 
+def local_extreme(c: str, order: int = 10, least: bool = False, strict: bool = False, fill: object = 0, w: WindowSpec | None = None) -> Column:
+    """The value where no neighbour within ``order`` rows is above it (``least``: below it), ``fill`` elsewhere.
+
+    ``strict`` also excludes equal neighbours, and with them the first and the last row.
+    """
+    w, find = w or W(), F.min if least else F.max
+    if not strict:
+        return F.when(F.col(c) == find(c).over(w.rowsBetween(-order, order)), F.col(c)).otherwise(F.lit(fill))
+    sides = [find(c).over(w.rowsBetween(-order, -1)), find(c).over(w.rowsBetween(1, order))]
+    beats = [F.col(c) < v if least else F.col(c) > v for v in sides]
+    return F.when(beats[0] & beats[1], F.col(c)).otherwise(F.lit(fill))
+
+
 def rolling_mean_centered(c: str, n: int, w: WindowSpec | None = None) -> Column:
     """Mean over n rows around each row, with fewer at the ends; of an even n the odd row lies before."""
     return F.avg(c).over((w or W()).rowsBetween(-(n // 2), (n - 1) // 2))

@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 from ..functions.columns import WT, W, binary_median, delta, fold_angle, heading_deg, local_max, safe_ratio, since_first, step, to_um
 from ..schemas import ANALYSED_COLUMNS, KEY
 from ..settings import Settings, odd_kernel
+from ..sources.tables import written
 
 MOVING_UM_PER_FRAME = 1e-3
 RATIO_MOTILE, RUN_MOTILE = 1.5, 5
 OUTSIDE = 0.7
 
 
-def by_fps(df: DataFrame, f: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    """Apply ``f`` to the rows of each distinct ``fps``: row windows need literal bounds. There are few rates."""
-    rates = [r["fps"] for r in df.select("fps").distinct().orderBy("fps").collect()]
+def by_fps(df: DataFrame, f: Callable[[DataFrame, float], DataFrame], rates: list[float] | None = None) -> DataFrame:
+    """Apply ``f`` to the rows of each distinct ``fps``: row windows need literal bounds. There are few rates.
+
+    ``rates`` come from the table of recordings; without them the rows are read for them.
+    """
+    if rates is None:
+        rates = [r["fps"] for r in df.select("fps").distinct().orderBy("fps").collect()]
     return reduce(DataFrame.unionByName, [f(df.where(F.col("fps") == r), r) for r in rates]) if rates else f(df, 30.0)
 
 
@@ -78,13 +83,13 @@ def motility(df: DataFrame, s: Settings, fps: float) -> DataFrame:
     return out.withColumn("turn_points", points)
 
 
-def features(df: DataFrame, s: Settings) -> DataFrame:
-    """All per-row features. ``df`` has the columns of ``tracks`` and ``fps``."""
+def features(df: DataFrame, s: Settings, rates: list[float] | None = None) -> DataFrame:
+    """All per-row features. ``df`` has the columns of ``tracks`` and ``fps``; ``rates`` are the frame rates that occur."""
 
     def one_rate(part: DataFrame, fps: float) -> DataFrame:
         return motility(runs(turns(headings(moving(steps(part, s), fps), s), s)), s, fps)
 
-    return by_fps(df, one_rate)
+    return by_fps(df, one_rate, rates)
 
 
 def analysed(found: DataFrame) -> DataFrame:
@@ -101,7 +106,7 @@ def recording_row_index(df: DataFrame) -> DataFrame:
 def median_speed(found: DataFrame, aligned: str = "recording") -> DataFrame:
     """Median over a track's one-second bins of the path in the bin; bins count rows from the recording's or the track's start."""
     rows = recording_row_index(found) if aligned == "recording" else found.withColumn("row_index", F.row_number().over(W()) - 1)
-    sums = rows.groupBy(*KEY, F.floor(F.col("row_index") / F.bround("fps")).alias("bin")).agg(F.sum("travelled_dist").alias("path"))
+    sums = rows.groupBy(*KEY, F.floor(F.col("row_index") / F.col("fps")).alias("bin")).agg(F.sum("travelled_dist").alias("path"))
     return sums.groupBy(*KEY).agg(F.median("path").alias("median_speed"))
 
 
@@ -138,7 +143,8 @@ def max_displacement(found: DataFrame) -> DataFrame:
 
 
 def track_stats(found: DataFrame, aligned: str = "recording") -> DataFrame:
-    """The statistics of each track."""
+    """The statistics of each track. The features are written once, as sums, hulls and medians all read them."""
+    found = written(found.select(*KEY, "position_t", "t_norm", "moving", "travelled_dist", "bac_length", "turn_points", "x_norm", "y_norm", "motility_phenotype", "fps"))
     last = lambda c: F.max_by(c, "position_t")
     g = found.groupBy(*KEY).agg(
         F.max("t_norm").alias("t"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import WT, W, area, side_ratio, step
 from ..schemas import KEY, TRACK_COLUMNS
 from ..settings import Settings
+from ..sources.tables import written
 
 
 def with_recording(df: DataFrame, recordings: DataFrame, s: Settings) -> DataFrame:
@@ -26,8 +27,19 @@ def with_recording(df: DataFrame, recordings: DataFrame, s: Settings) -> DataFra
 
 
 def min_rows(s: Settings) -> Column:
-    """Frames of the minimal length at each recording's rate (rounded half to even)."""
-    return F.lit(s.minimal_length_s) * F.bround("fps")
+    """Whole frames of the minimal length at each recording's rate (rounded half to even)."""
+    return F.floor(F.lit(s.minimal_length_s) * F.bround("fps"))
+
+
+def frame_rates(recordings: DataFrame, s: Settings) -> list[float]:
+    """The distinct frame rates, from the table of recordings alone: there are few."""
+    every = with_recording(recordings.select("recording_id"), recordings, s)
+    return [r["fps"] for r in every.select("fps").distinct().orderBy("fps").collect()]
+
+
+def sort_tracks(df: DataFrame) -> DataFrame:
+    """Rows by recording, track and time."""
+    return df.orderBy(*KEY, "position_t")
 
 
 def guard_recordings(df: DataFrame, s: Settings) -> DataFrame:
@@ -80,7 +92,7 @@ def speed_fence(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
 
 def outlier_switch(rows: DataFrame, fences: DataFrame, s: Settings) -> DataFrame:
     """Per recording: share of rows above the fence, and whether outliers count at all."""
-    share = rows.join(F.broadcast(fences), "recording_id").groupBy("recording_id").agg(F.avg((F.col("speed") > F.col("fence")).cast("double")).alias("share"), F.first("fence").alias("fence"))
+    share = rows.join(fences, "recording_id").groupBy("recording_id").agg(F.avg((F.col("speed") > F.col("fence")).cast("double")).alias("share"), F.first("fence").alias("fence"))
     return share.withColumn("use", (F.col("share") <= s.outlier_stop_percent / 100) & F.lit(s.omit_outliers))
 
 
@@ -132,9 +144,11 @@ def fragment_reason(s: Settings) -> Column:
 
 def cut_tracks(df: DataFrame, s: Settings, accuracy: int | None = None) -> DataFrame:
     """Cleaned rows with area bounds, outlier flags and fragment ids. ``df`` has fps and frame size."""
-    rows = with_speed(guard_recordings(clean_rows(guard_recordings(df, s), s), s))
+    # Bounds, fences, shares and the cut itself read the cleaned rows, so they are written once.
+    rows = written(with_speed(clean_rows(guard_recordings(df, s), s)))
+    rows = guard_recordings(rows, s)
     bounds = area_bounds(rows, s, accuracy).join(outlier_switch(rows, speed_fence(rows, accuracy), s), "recording_id")
-    rows = rows.join(F.broadcast(bounds), "recording_id")
+    rows = rows.join(bounds, "recording_id")
     rows = rows.withColumn("outlier", F.col("use") & (F.col("speed") > F.col("fence")))
     rows = fragments(rows, s)
     cuts = F.max(F.coalesce("fragment_id", F.lit(1))).over(WT())
@@ -162,7 +176,7 @@ def longest_fragment(profile: DataFrame, s: Settings) -> DataFrame:
     best = Window.partitionBy(*KEY).orderBy(F.desc("n_rows"), "start_t")
     ok = profile.where((F.col("reason") == 0) & _long_enough("n_rows", s))
     first = ok.withColumn("r", F.row_number().over(best)).where("r = 1")
-    limit = F.lit(s.limit_length_s) * F.bround("fps")
+    limit = F.floor(F.lit(s.limit_length_s) * F.bround("fps"))
     stop = F.least(F.col("stop_t"), F.col("start_t") + limit - 1) if s.limit_length_s else F.col("stop_t")
     return first.select(*KEY, "fragment_id", "n_rows", "start_t", stop.cast("long").alias("stop_t"), (F.col("start_t") + limit - 1).cast("long").alias("limit_t"))
 
@@ -178,7 +192,7 @@ def keep_fragments(rows: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame
 
 def select_tracks(df: DataFrame, s: Settings, accuracy: int | None = None) -> DataFrame:
     """The selected rows, in the columns of ``tracks``. ``df`` has fps and frame size."""
-    cut = cut_tracks(df, s, accuracy)
+    cut = written(cut_tracks(df, s, accuracy))
     return keep_fragments(cut, longest_fragment(fragment_profile(cut, s), s), s).select(*TRACK_COLUMNS)
 
 

@@ -61,10 +61,10 @@ def category_label(metric: str, cuts: tuple[float, ...]) -> tuple[Column, Column
 
 def categorise(stats: DataFrame, by: str, cuts: tuple[float, ...]) -> DataFrame:
     """All rows labelled 'All', and again by category; rows outside every category are missing from the second part."""
-    metric = resolve_metric(by)
-    label, order = category_label(metric, cuts)
-    every = stats.withColumns({"category": F.lit("All"), "category_order": F.lit(0)})
-    return every.unionByName(stats.withColumns({"category": label, "category_order": order}).where("category is not null"))
+    label, order = category_label(resolve_metric(by), cuts)
+    both = F.array(F.struct(F.lit("All").alias("category"), F.lit(0).alias("category_order")), F.struct(label.alias("category"), order.alias("category_order")))
+    found = stats.withColumn("__c", F.explode(both)).where("__c.category is not null")
+    return found.withColumns({"category": F.col("__c.category"), "category_order": F.col("__c.category_order")}).drop("__c")
 
 
 def order_categories(categorised: DataFrame) -> DataFrame:

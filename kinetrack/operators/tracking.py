@@ -142,12 +142,12 @@ class Tracker:
         return self.ids, out, self.extra
 
 
-def new_tracker(fps: float, s: Settings | None) -> Tracker:
-    """A tracker for one recording; with settings the filters are on."""
+def new_tracker(fps: float, s: Settings | None, dims: int = 2) -> Tracker:
+    """A tracker for one recording; with settings the filters are on. ``dims`` 3: brightness is a coordinate too."""
     bank = None
     if s is not None:
         bank = FilterBank(horizons(s.filters, s.min_horizon, int(round(fps)) if s.max_horizon is None else s.max_horizon))
-    return Tracker(int(round(fps)), bank)
+    return Tracker(int(round(fps)), bank, at=np.zeros((0, dims)))
 
 
 _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
@@ -156,10 +156,10 @@ _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
 def rows_of(recording: int, frame: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple:
     ids, at, extra = found
     n = len(ids)
-    return (np.full(n, recording), ids.copy(), np.full(n, frame), at[:, 0].copy(), at[:, 1].copy(), extra[:, 0].copy(), extra[:, 1].copy(), extra[:, 2].copy())
+    return (np.full(n, recording), ids.copy(), np.full(n, frame), at[:, 0].copy(), at[:, 1].copy(), extra[:, 0].copy(), extra[:, 1].copy(), extra[:, 2].copy(), *at[:, 2:].T.copy())
 
 
-def _track(s: Settings | None):
+def _track(s: Settings | None, dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tracker, recording, frame, end = None, None, 0, None
         held: list = []
@@ -169,8 +169,8 @@ def _track(s: Settings | None):
             """Visit the frames before ``stop``; only the one that is held has detections."""
             nonlocal frame, held
             while tracker is not None and frame < stop:
-                d = np.array(held, float).reshape(-1, 5)
-                out.append(rows_of(recording, frame, tracker.step(d[:, :2], d[:, 2:])))
+                d = np.concatenate([np.zeros((0, dims + 3)), *held])
+                out.append(rows_of(recording, frame, tracker.step(d[:, :dims], d[:, dims:])))
                 held, frame = [], frame + 1
                 if not len(tracker.ids) and stop - frame > 1:
                     frame = stop if stop != float("inf") else frame  # nothing lives: empty frames have no rows
@@ -178,34 +178,47 @@ def _track(s: Settings | None):
         def drained(least: int) -> Iterator[pa.RecordBatch]:
             nonlocal out
             if sum(len(r[0]) for r in out) >= least and out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_NAMES)
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[*_NAMES, "illumination"][: len(out[0])])
                 out = []
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("recording_id", "frame", "x", "y", "width", "height", "degrees_angle", "fps", "frame_count")]
-            for r, f, x, y, w, h, a, fps, count in zip(*columns, strict=True):
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ["x", "y", "illumination"][:dims] + ["width", "height", "degrees_angle"]], axis=1)
+            key = np.stack([batch.column(c).fill_null(-1).to_numpy() for c in ("recording_id", "frame")])
+            begins = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+            # One turn for each frame that has detections; a frame may go on in the next batch.
+            for i, j in zip(begins.tolist(), [*begins[1:].tolist(), batch.num_rows], strict=True):
+                r, f, fps, count = (batch.column(c)[i].as_py() for c in ("recording_id", "frame", "fps", "frame_count"))
                 if r != recording or tracker is None:
                     walk_to(max(frame + 1, end or 0) if tracker is not None else 0)
-                    tracker, recording, frame, end, held = new_tracker(fps, s), r, f, count, []
+                    tracker, recording, frame, end, held = new_tracker(fps, s, dims), r, f, count, []
                 if f > frame:
                     walk_to(f)
                     yield from drained(50_000)
-                held.append((x, y, w, h, a))
+                held.append(values[i:j])
         walk_to(max(frame + 1, end or 0) if tracker is not None else 0)
         yield from drained(1)
 
     return run
 
 
-def track(detections: DataFrame, s: Settings | None = None) -> DataFrame:
+def track(detections: DataFrame, s: Settings | None = None, luminosity: bool = False) -> DataFrame:
     """Link detections over the frames of each recording into tracks; with ``s`` positions are filtered.
 
+    With ``luminosity`` the column ``illumination`` (NULL: 0) is a third coordinate of the distance and of the result;
+    the filters work in two, so both together are refused.
+
     ``detections`` has ``fps`` and ``frame_count`` (NULL: the walk ends at the last detection). Recordings
     are walked in parallel, each in order of frames with the state of one frame in memory.
     """
-    wanted = detections.select("recording_id", "frame", "det_id", "x", "y", "width", "height", "degrees_angle", F.col("fps").cast("double").alias("fps"), F.col("frame_count").cast("long").alias("frame_count"))
+    if luminosity and s is not None:
+        raise ValueError("filtered positions have two coordinates: track by luminosity without settings")
+    more = [F.coalesce(F.col("illumination").cast("double"), F.lit(0.0)).alias("illumination")] if luminosity else []
+    wanted = detections.select("recording_id", "frame", "det_id", "x", "y", "width", "height", "degrees_angle", F.col("fps").cast("double").alias("fps"), F.col("frame_count").cast("long").alias("frame_count"), *more)
     ordered = wanted.repartition("recording_id").sortWithinPartitions("recording_id", "frame", "det_id")
-    return ordered.mapInArrow(_track(s), TRACKS.replace("BIGINT", "long"))
+    schema = TRACKS.replace("BIGINT", "long") + (", illumination double" if luminosity else "")
+    return ordered.mapInArrow(_track(s, 2 + luminosity), schema)
 
 
 def gsff(tracks: DataFrame, s: Settings, fps: float | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ WINDOW c AS (PARTITION BY track_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING
 RECORDINGS = """
 SELECT * FROM (VALUES
   (CAST(0 AS BIGINT), '191224133700_a_selected data', CAST(30 AS DOUBLE), 922, 1228, CAST(9000 AS BIGINT)),
-  (CAST(1 AS BIGINT), '200101000000_b', CAST(30 AS DOUBLE), 922, 1228, CAST(700 AS BIGINT)),
+  (CAST(1 AS BIGINT), '200101000000_b', CAST(29.97 AS DOUBLE), 922, 1228, CAST(700 AS BIGINT)),
   (CAST(2 AS BIGINT), 'sample_c', CAST(NULL AS DOUBLE), 922, CAST(NULL AS INT), CAST(600 AS BIGINT)),
   (CAST(3 AS BIGINT), '210630235959 d', CAST(25 AS DOUBLE), 922, 1228, CAST(599 AS BIGINT))
 ) AS r(recording_id, name, fps, frame_height, frame_width, frame_count)

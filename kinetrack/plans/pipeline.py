@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators import evaluate, select, summary, tracking
 from ..settings import Settings
+from ..sources.tables import written
 
 STAGES = ("track", "select", "evaluate", "summarise")
 
@@ -32,17 +31,17 @@ def run_pipeline(source: DataFrame, recordings: DataFrame, s: Settings, start_at
     order = STAGES.index
     tracks = source
     if start_at == "track":
-        detections = select.with_recording(source, recordings, s).join(F.broadcast(recordings.select("recording_id", "frame_count")), "recording_id", "left")
-        tracks = tracking.track(detections, s)
+        detections = select.with_recording(source, recordings, s).join(recordings.select("recording_id", "frame_count"), "recording_id", "left")
+        tracks = written(tracking.track(detections, s))
     out = Results(tracks)
     if order(stop_after) < order("select"):
         return out
     out.selected = select.select_tracks(select.with_recording(tracks, recordings, s), s) if order(start_at) <= order("select") else tracks
-    out.selected = out.selected.persist(StorageLevel.MEMORY_AND_DISK)
+    out.selected = written(out.selected)
     out.failed = tracks.select("recording_id").distinct().join(out.selected, "recording_id", "left_anti")
     if order(stop_after) < order("evaluate"):
         return out
-    found = evaluate.features(select.with_recording(out.selected, recordings, s), s)
+    found = evaluate.features(select.with_recording(out.selected, recordings, s), s, select.frame_rates(recordings, s))
     out.analysed, out.stats = evaluate.analysed(found), evaluate.track_stats(found)
     if order(stop_after) >= order("summarise"):
         out.summary = summary.recording_summary(out.stats)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from ..functions import columns as C
 from ..operators import evaluate, linking, select, summary, tracking
 from ..schemas import KEY, TRACK_COLUMNS
 from ..sources import files
+from ..sources.tables import scratch, written
 from ..streaming import jobs
 from . import fixtures, pipeline
 
@@ -37,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.with_recording(fixtures.tracks(spark, sf_dir), F.broadcast(fixtures.recordings(spark)), S)
+    return select.with_recording(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark), S)
 
 
 def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +45,7 @@ def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of all tracks' rows that are not lost (every phenotype occurs among them)."""
-    return evaluate.features(prepared(spark, sf_dir).where("width > 0"), S)
+    return evaluate.features(prepared(spark, sf_dir).where("width > 0"), S, select.frame_rates(fixtures.recordings(spark), S))
 
 
 # The SQL of the steps, each reading the ones before it.
@@ -128,7 +127,7 @@ _STEPS: dict[str, str] = {
         FROM found f JOIN (SELECT recording_id, track_id, coalesce(sum(n) OVER (PARTITION BY recording_id ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
           FROM (SELECT recording_id, track_id, count(*) AS n FROM found GROUP BY 1, 2)) b USING (recording_id, track_id)""",
     "medians": """SELECT recording_id, track_id, median(path) AS median_speed FROM
-        (SELECT recording_id, track_id, floor(row_index / round_even(fps, 0)) AS bin, sum(travelled_dist) AS path FROM indexed GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        (SELECT recording_id, track_id, floor(row_index / fps) AS bin, sum(travelled_dist) AS path FROM indexed GROUP BY 1, 2, 3) GROUP BY 1, 2""",
     "farthest": """SELECT a.recording_id, a.track_id, max(sqrt(pow(a.x_norm - b.x_norm, 2) + pow(a.y_norm - b.y_norm, 2))) AS displacement_um
         FROM found a JOIN found b USING (recording_id, track_id) GROUP BY 1, 2""",
     "stats": """SELECT recording_id, track_id, CASE WHEN m = 0 THEN 0 ELSE (tp - 1) * fps / m END AS turn_points_per_s, d AS distance_um,
@@ -330,7 +329,7 @@ def a10_recording_summary(spark, sf_dir):
 
 @query(" SELECT recording_id, track_id, category, category_order, round(perc_motile, 6) AS perc_motile FROM categorised")
 def u1_categorise(spark, sf_dir):
-    out = summary.order_categories(summary.categorise(stats(spark, sf_dir), S.split_by, S.split_on))
+    out = summary.order_categories(summary.categorise(written(stats(spark, sf_dir)), S.split_by, S.split_on))
     return rounded(out.select(*KEY, "category", "category_order", "perc_motile"))
 
 
@@ -340,7 +339,7 @@ def u1_categorise(spark, sf_dir):
     (SELECT recording_id, metric, category, category_order, count(*) AS n, median(value) AS median, avg(value) AS mean FROM long GROUP BY ALL)"""
 )
 def a13_category_summary(spark, sf_dir):
-    return rounded(summary.category_summary(summary.categorise(stats(spark, sf_dir), S.split_by, S.split_on)))
+    return rounded(summary.category_summary(summary.categorise(written(stats(spark, sf_dir)), S.split_by, S.split_on)))
 
 
 @query(" SELECT recording_id, metric, category, count(*) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean FROM long GROUP BY ALL")
@@ -460,9 +459,30 @@ def f8_phenotype_name(spark, sf_dir):
     return one.select(*KEY, C.phenotype_name(F.col("p")).alias("phenotype"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/kinetrack-{uuid.uuid4().hex}"
+@query(
+    """ SELECT recording_id, track_id, position_t,
+    CASE WHEN position_x < min(position_x) OVER (k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AND position_x < min(position_x) OVER (k ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) THEN position_x ELSE -1 END AS low,
+    CASE WHEN degrees_angle = max(degrees_angle) OVER (k ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) THEN degrees_angle ELSE 0 END AS high
+    FROM tracks WINDOW k AS (PARTITION BY recording_id, track_id ORDER BY position_t)"""
+)
+def x2_local_extremes(spark, sf_dir):
+    low, high = C.local_extreme("position_x", least=True, strict=True, fill=-1.0), C.local_extreme("degrees_angle", fill=0.0)
+    return fixtures.tracks(spark, sf_dir).select(*KEY, "position_t", low.alias("low"), high.alias("high"))
+
+
+@query(f" SELECT {_T} FROM tracks")
+def o1_sort_tracks(spark, sf_dir):
+    return select.sort_tracks(fixtures.tracks(spark, sf_dir))
+
+
+@query(" SELECT recording_id, fps, frame_height, frame_width, frame_count, n FROM recordings JOIN (SELECT recording_id, count(*) AS n FROM tracks GROUP BY 1) USING (recording_id)")
+def f9_parse_metadata(spark, sf_dir):
+    rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
+    text = F.to_json(F.struct("fps", "frame_height", "frame_width", "frame_count"))
+    return fixtures.recordings(spark).select("recording_id", files.parse_metadata(text).alias("m")).join(rows, "recording_id").select("recording_id", "m.*", "n")
+
+
+_scratch = scratch
 
 
 @query(f" SELECT {_T} FROM selected")
@@ -485,7 +505,7 @@ def s1_read_tracks(spark, sf_dir):
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = fixtures.recordings(spark).select("recording_id", F.coalesce("fps", F.lit(30.0)).alias("fps"), F.lit(None).cast("long").alias("frame_count"))
-    return fixtures.detections(fixtures.tracks(spark, sf_dir)).join(F.broadcast(r), "recording_id")
+    return fixtures.detections(fixtures.tracks(spark, sf_dir)).join(r, "recording_id")
 
 
 @query()
@@ -542,6 +562,15 @@ def t9_dedupe_stream(spark, sf_dir):
     return _streamed(spark, jobs.dedupe_stream, rows.union(rows)).select("recording_id", "frame", "det_id")
 
 
+@query(
+    f""" SELECT recording_id, epoch_us(until) AS until_us, CAST(trunc(avg(v)) AS INT) AS threshold FROM (SELECT user_id % 8 AS recording_id, date_trunc('second', ts) - to_seconds(k) + INTERVAL 5 SECOND AS until, round(value, 2) + 3.0 AS v
+    FROM events, range(5) r(k)) GROUP BY recording_id, until HAVING until <= {_LATE}"""
+)
+def t8_threshold_stream(spark, sf_dir):
+    rows = _event_rows(spark, sf_dir).select("recording_id", "ts", F.col("step").alias("grey_mean"), F.lit(1.0).alias("grey_std"))
+    return _streamed(spark, lambda d: jobs.threshold_stream(d, 2.0), rows).select("recording_id", F.unix_micros("at").alias("until_us"), "threshold")
+
+
 @query(f" SELECT {_T} FROM selected")
 def x3_run_pipeline(spark, sf_dir):
     return pipeline.run_pipeline(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark), S, stop_after="select").selected

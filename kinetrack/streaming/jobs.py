@@ -99,10 +99,11 @@ def fragments_stream(rows: DataFrame, gap: str, delay: str = "10 seconds") -> Da
     return out.agg(F.count("*").alias("n_rows"), F.min("ts").alias("start_ts"), F.max("ts").alias("stop_ts")).select("recording_id", "track_id", "n_rows", "start_ts", "stop_ts")
 
 
-def threshold_stream(stats: DataFrame, offset: float, length: str = "5 seconds", slide: str = "1 second", delay: str = "10 seconds") -> DataFrame:
-    """Sliding mean of the grey threshold over event time."""
+def threshold_stream(stats: DataFrame, offset: float, length: str = "5 seconds", slide: str = "1 second", delay: str = "10 seconds", dark: bool = False) -> DataFrame:
+    """Sliding mean of the grey threshold over event time; of dark cells the deviation is taken off."""
+    deviation = -F.col("grey_std") if dark else F.col("grey_std")
     out = stats.withWatermark("ts", delay).groupBy("recording_id", F.window("ts", length, slide).alias("w"))
-    return out.agg(F.avg(F.col("grey_mean") + F.col("grey_std") + offset).cast("int").alias("threshold")).select("recording_id", F.col("w.end").alias("at"), "threshold")
+    return out.agg(F.avg(F.col("grey_mean") + deviation + offset).cast("int").alias("threshold")).select("recording_id", F.col("w.end").alias("at"), "threshold")
 
 
 def dedupe_stream(detections: DataFrame, delay: str = "10 seconds") -> DataFrame:

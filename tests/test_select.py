@@ -146,3 +146,64 @@ def test_settings_are_checked():
             Settings(**wrong)
     assert summary.resolve_metric("SPEED") == "speed_um_s" and summary.resolve_metric("nothing") == "perc_motile"
     assert Settings().lag_rows(30) == 300 and Settings(minimal_length_s=5).lag_rows(25) == 62
+
+
+def test_minimal_length_is_whole_frames(spark):
+    # 2.55 s at 30 frames per second are 76 whole frames, not 76.5.
+    s = Settings(minimal_length_s=2.55)
+    df = spark.createDataFrame([(30.0,), (29.97,), (0.4,)], "fps double")
+    assert [r[0] for r in df.select(select.min_rows(s)).collect()] == [76, 76, 0]
+
+
+def test_seconds_are_counted_at_the_exact_rate(spark):
+    # Row 58 is in the second second of a recording at 29.4 frames per second; at a whole rate of 29 it would be in the third.
+    rows = [(1, 1, i, 1.0 if i < 30 else 5.0, 29.4) for i in range(60)]
+    df = spark.createDataFrame(rows, "recording_id long, track_id long, position_t long, travelled_dist double, fps double")
+    sums = {}
+    for _, _, i, d, fps in rows:
+        sums[int(i // fps)] = sums.get(int(i // fps), 0) + d
+    import statistics
+
+    assert evaluate.median_speed(df).first().median_speed == pytest.approx(statistics.median(sums.values()))
+    assert evaluate.median_speed(df.withColumn("fps", F.lit(0.4))).count() == 1
+
+
+def test_local_extremes(spark):
+    from kinetrack.functions.columns import local_extreme
+
+    values = [5.0, 3.0, 3.0, 4.0, 1.0, 6.0, 6.0, 2.0]
+    df = spark.createDataFrame([(1, 1, i, v) for i, v in enumerate(values)], "recording_id long, track_id long, position_t long, v double")
+    got = lambda **k: [r[0] for r in df.orderBy("position_t").select("position_t", local_extreme("v", 1, **k).alias("e")).orderBy("position_t").select("e").collect()]
+    assert got(fill=0.0) == [5, 0, 0, 4, 0, 6, 6, 0]
+    assert got(fill=-1.0, least=True) == [-1, 3, 3, -1, 1, -1, -1, 2]
+    assert got(fill=-1.0, strict=True) == [-1, -1, -1, 4, -1, -1, -1, -1]
+    assert got(fill=-1.0, strict=True, least=True) == [-1, -1, -1, -1, 1, -1, -1, -1]
+
+
+def test_rows_are_sorted(spark):
+    df = table(spark, {2: straight(5), 1: straight(5)}).orderBy(F.rand(1))
+    assert [(r.track_id, r.position_t) for r in select.sort_tracks(df).collect()] == [(i, t) for i in (1, 2) for t in range(5)]
+
+
+def test_settings_that_change_the_selection(spark):
+    recordings = spark.createDataFrame([(1, 25.0, None, 10)], "recording_id long, fps double, frame_height int, frame_width int")
+    rows = spark.createDataFrame([(1,)], "recording_id long")
+    assert select.with_recording(rows, recordings, Settings(force_fps=True)).first().fps == 30.0
+    assert select.frame_rates(recordings, Settings()) == [25.0] and select.frame_rates(recordings.limit(0), Settings()) == []
+    cut = select.cut_tracks(table(spark, {1: [(t if t < 30 else t + 9, 100 + t, 100) for t in range(60)], 2: straight(60)}), Settings(**{**S.__dict__, "max_recursion_depth": 0}))
+    assert {r.track_id for r in select.fragment_profile(cut, S).collect()} == {2}
+    exact, near = (select.select_tracks(table(spark, {1: straight(60), 2: straight(80)}), S, accuracy).count() for accuracy in (None, 10_000))
+    assert exact == near == 140
+
+
+def test_all_stages_from_detections(spark):
+    from kinetrack.plans.pipeline import run_pipeline
+
+    rows = [(1, t, i, 100.0 + 40 * i + t, 100.0 + 30 * i, 2.0, 5.0, 0.0) for t in range(80) for i in range(3)]
+    seen = spark.createDataFrame(rows, "recording_id long, frame long, det_id long, x double, y double, width double, height double, degrees_angle double")
+    recordings = spark.createDataFrame([(1, 10.0, 922, 1228, 80), (2, 10.0, 922, 1228, 80)], "recording_id long, fps double, frame_height int, frame_width int, frame_count long")
+    out = run_pipeline(seen, recordings, S, start_at="track")
+    assert out.tracks.count() == 240 and out.selected.count() == 240 and out.failed.count() == 0
+    assert out.stats.count() == 3 and out.summary.first().tracks == 3
+    assert {round(r.arc_chord_ratio, 6) for r in out.stats.collect()} == {1.0}
+    assert run_pipeline(seen, recordings, S, start_at="track", stop_after="track").selected is None

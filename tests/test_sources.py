@@ -33,3 +33,26 @@ def test_overwrite_replaces_only_written_recordings(spark, tmp_path):
     where = files.write_stage(df.where("recording_id = 1").withColumn("v", F.lit(9.0)), str(tmp_path), "stats", mode="overwrite")
     assert sorted((r.recording_id, r.v) for r in spark.read.parquet(where).collect()) == [(1, 9.0), (2, 2.0)]
     files.write_stage(df.select("recording_id", "v"), str(tmp_path), "x_statistics", "csv")
+
+
+def test_statistics_of_a_folder_are_collated(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    for name, rows in (("a_statistics.csv", "1,2.5\n2,\n"), ("deep/b_statistics.csv", "7,1.0\n"), ("c_list.csv", "9,9.0\n")):
+        (tmp_path / name).write_text("track_id,speed_um_s\n" + rows)
+    got = files.collate_statistics(spark, str(tmp_path), "track_id long, speed_um_s double").collect()
+    assert sorted((r.file, r.track_id, r.speed_um_s) for r in got) == [("a", 1, 2.5), ("a", 2, None), ("b", 7, 1.0)]
+
+
+def test_files_by_age(spark, tmp_path):
+    import os
+
+    for name, when in (("old_list.csv", 1_000_000_000), ("new_list.csv", 1_600_000_000)):
+        (tmp_path / name).write_text("v\n1\n")
+        os.utime(tmp_path / name, (when, when))
+    count = lambda **k: files.find_files(spark, str(tmp_path), **k).option("header", True).csv(str(tmp_path)).count()
+    assert count() == 2 and count(modified_after="2010-01-01T00:00:00") == 1 and count(modified_before="2010-01-01T00:00:00") == 1
+
+
+def test_metadata_text_is_parsed(spark):
+    got = spark.createDataFrame([('{"fps": 29.97, "frame_count": 7, "free": 1}',), ("no",), (None,)], "j string").select(files.parse_metadata("j").alias("m")).collect()
+    assert (got[0].m.fps, got[0].m.frame_count, got[0].m.frame_width) == (29.97, 7, None) and got[1].m.fps is None and got[2].m is None

@@ -177,3 +177,15 @@ def test_markers_inside_turned_boxes(spark):
     boxes = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 10.0, 2.0, 0.0), (1, 0, 1, 50.0, 0.0, 10.0, 2.0, 90.0), (1, 1, 2, 0.0, 0.0, 10.0, 2.0, 0.0)], names)
     marks = spark.createDataFrame([(1, 0, 0, 4.0, 0.0, 1.0, 1.0, 0.0), (1, 0, 1, 50.0, 4.0, 1.0, 1.0, 0.0)], names)
     assert {r.det_id for r in linking.keep_marked(boxes, marks).collect()} == {0, 1}
+
+
+def test_brightness_is_a_third_coordinate(spark):
+    # Two objects swap places in one frame; only their brightness tells them apart.
+    rows = [(1, t, i, 10.0 + (i if t < 5 else 1 - i) * 0.2, 10.0, 2.0, 5.0, 0.0, 10.0, None, float(2 * i)) for t in range(10) for i in range(2)]
+    df = spark.createDataFrame(rows, COLUMNS + ", illumination double")
+    got = tracking.track(df, luminosity=True).collect()
+    assert len(got) == 20 and all(r.illumination == 2 * r.track_id for r in got)
+    plain = {(r.track_id, r.position_t): r.position_x for r in tracking.track(df).collect()}
+    assert plain[(0, 9)] == 10.0  # without it the nearest place wins
+    with pytest.raises(ValueError):
+        tracking.track(df, Settings(), luminosity=True)
