@@ -6,18 +6,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import step
+from ..sources.tables import written
+
+
+#: Sides of the grid cells in which near detections are looked for, in the order of the rounds; what has none near meets its whole frame.
+CELLS = (64.0,)
+
+
+def _nearest(a: DataFrame, b: DataFrame, side: float | None) -> DataFrame:
+    """Each detection of ``a`` with the nearest of the same frame of ``b``, if that is within ``side`` (None: whatever it is).
+
+    All detections within ``side`` stand in the nine cells around, so the nearest of them is the nearest of all.
+    """
+    keys = ["recording_id", "frame"]
+    if side:
+        cell = lambda c: F.floor(F.col(c) / side)
+        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        a = a.withColumns({"cx": cell("x"), "cy": cell("y")})
+        b = b.withColumn("i", around).withColumn("j", around).withColumns({"cx": cell("nx") + F.col("i"), "cy": cell("ny") + F.col("j")}).drop("i", "j")
+        keys += ["cx", "cy"]
+    pairs = a.join(b, keys).withColumn("distance", step(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")))
+    pairs = pairs.where(F.col("distance") <= side) if side else pairs
+    want = pairs.groupBy("recording_id", "frame", "det_id").agg(F.min(F.struct("distance", "next_id")).alias("w"))
+    return want.select("recording_id", "frame", "det_id", "w.distance", "w.next_id")
 
 
 def link_consecutive(detections: DataFrame) -> DataFrame:
     """Link each detection to the nearest of the next frame; of several that want the same one the closest has it.
 
-    Ties go to the smaller ``det_id``. Pairs are formed inside a frame only.
+    Ties go to the smaller ``det_id``. Pairs are formed between neighbouring grid cells of a frame; only detections
+    without a near one are compared with the whole frame.
     """
-    a = detections.select("recording_id", "frame", "det_id", "x", "y")
-    b = detections.select("recording_id", (F.col("frame") - 1).alias("frame"), F.col("det_id").alias("next_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    pairs = a.join(b, ["recording_id", "frame"]).withColumn("distance", step(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")))
-    want = pairs.groupBy("recording_id", "frame", "det_id").agg(F.min(F.struct("distance", "next_id")).alias("w"))
-    want = want.select("recording_id", "frame", "det_id", "w.distance", "w.next_id")
+    rows = written(detections.select("recording_id", "frame", "det_id", "x", "y"))
+    b = rows.select("recording_id", (F.col("frame") - 1).alias("frame"), F.col("det_id").alias("next_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    want, rest = None, rows
+    for side in (*CELLS, None):
+        near = written(_nearest(rest, b, side))
+        want = near if want is None else want.unionByName(near)
+        rest = rest.join(near, ["recording_id", "frame", "det_id"], "left_anti")
     first = Window.partitionBy("recording_id", "frame", "next_id").orderBy("distance", "det_id")
     return want.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
