@@ -575,3 +575,92 @@ def test_pipeline_stages(spark):
 def test_digest_is_of_the_text(spark):
     got = {r.doc_id: r.text_sha256 for r in queries.op4_exact_dedup(spark, SF).collect()}
     assert all(got[r.doc_id] == hashlib.sha256((r.text or "").encode()).hexdigest() for r in queries.table(spark, SF, "documents").collect())
+
+
+CONTRACTS = {
+    "op1_jaccard_join": "doc_id n_shingles component_id",
+    "op2_repeated_passages": "doc_id start_word n_words partner_id partner_start partner_words similarity keeps class_id",
+    "op3_histogram_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op5_language_id": "doc_id held_out lang_pred score",
+    "op6_toxicity": "doc_id held_out score predicted",
+    "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
+    "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_registered_queries(spark, name):
+    """Each query without SQL over its whole table, its columns and their values."""
+    rows = queries.table(spark, SF, "documents").collect()
+    df = queries.QUERIES[name](spark, SF)
+    assert set(CONTRACTS[name].split()) <= set(df.columns)
+    got = df.collect()
+    by_id = {r.doc_id: r for r in got}
+    texts = {r.doc_id: r.text or "" for r in rows}
+    crc = lambda i: zlib.crc32(str(i).encode())
+    if name not in ("op2_repeated_passages", "op8_packing"):
+        assert sorted(r.doc_id for r in got) == sorted(texts)
+    if name == "op1_jaccard_join":
+        sets = brute_sets([r.text for r in rows])
+        names = components([r.doc_id for r in rows], sets)
+        assert all((by_id[r.doc_id].n_shingles, by_id[r.doc_id].component_id) == (len(sets[k]), names[k]) for k, r in enumerate(rows))
+    elif name == "op3_histogram_shards":
+        assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None and 0 <= r.shard < 16 and r.size == len(texts[r.doc_id].encode()) + 1 for r in got)
+    elif name == "op5_language_id":
+        lang = {r.doc_id: r.lang for r in rows}
+        assert all(r.held_out == (crc(r.doc_id) % 4 == 2) for r in got)
+        held = [r for r in got if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+        assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.9 * len(held)
+    elif name == "op6_toxicity":
+        marks = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}
+        assert all(r.held_out == (crc(r.doc_id) % 5 == 0) and r.predicted == int(r.score >= 0.5) for r in got)
+        held = [r for r in got if r.held_out and marks.get(r.doc_id) is not None]
+        assert sum(r.predicted == marks[r.doc_id] for r in held) >= 0.9 * len(held)
+    elif name == "op8_packing":
+        assert {r.doc_id for r in got} == set(texts) and sum(r.length for r in got) == sum(len(e) + 1 for e in encodings(list(texts.values())))
+    elif name == "op9_token_counts":
+        want = dict(zip(texts, map(len, encodings(list(texts.values())))))
+        assert all((r.n_tokens, r.n_bytes, r.over_limit) == (want[r.doc_id], len(texts[r.doc_id].encode()), want[r.doc_id] > 512) for r in got)
+    elif name == "op10_decontaminate":
+        items = [(str(b.item_id), b.text) for b in queries.table(spark, SF, "benchmark").collect()]
+        for r in got[:40]:
+            n, hit, found = brute_hits(texts[r.doc_id], items, 10)
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0)
+
+
+def test_passages_against_all_pairs(spark):
+    """Exact repeats of 50 words are all found, near ones mostly, and nothing else."""
+    r, rows = random.Random(21), []
+    passages = [[f"p{k}w{r.randrange(10**6)}" for _ in range(r.choice((50, 55, 70, 120)))] for k in range(12)]
+    for i in range(80):
+        words = [f"d{i}w{r.randrange(10**6)}" for _ in range(r.randint(20, 90))]
+        for _ in range(r.choice((0, 1, 1, 2))):
+            own = list(passages[min(r.randrange(12), r.randrange(12))])
+            if r.random() < 0.4 and len(own) >= 70:
+                own[r.randrange(len(own))] = f"e{r.randrange(10**6)}"
+            at = r.randrange(len(words))
+            words[at:at] = own
+        rows.append((i, " ".join(words)))
+    tokens = {i: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] for i, w in ((i, t.split()) for i, t in rows)}
+    exact, near = set(), set()
+    for i, j in itertools.combinations(tokens, 2):
+        place = {t: k for k, t in enumerate(tokens[j])}
+        run, by_diagonal = 0, {}
+        for k, t in enumerate(tokens[i]):
+            p = place.get(t)
+            run = run + 1 if p is not None and run and place.get(tokens[i][k - 1]) == p - 1 else int(p is not None)
+            if run >= 46:
+                exact |= {i, j}
+            if p is not None:
+                by_diagonal.setdefault(k - p, []).append(k)
+        # Near: on one diagonal a span of 46 tokens or more with a similarity of 0.8.
+        for own in by_diagonal.values():
+            if any(own[b] - own[a] >= 45 and 5 * (b - a + 1) >= 4 * (2 * (own[b] - own[a] + 1) - (b - a + 1)) for a in range(len(own)) for b in range(a + 44 if a + 44 < len(own) else a, len(own))):
+                near |= {i, j}
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {x.doc_id for x in got}
+    assert exact <= found and found <= exact | near
+    assert len(found & near) >= 0.9 * len(near)
+    group = {x.doc_id: x.class_id for x in got}
+    assert all(group[x.doc_id] == group[x.partner_id] <= x.doc_id for x in got)
