@@ -199,8 +199,10 @@ def divide_skip(lists_of: np.ndarray, first: np.ndarray, n: np.ndarray, query: n
         longest = own[np.argsort(-size[own], kind="stable")]
         aside = int(min(need - 1, need / (0.02 * np.log2(max(2, int(size[longest[0]]) if len(longest) else 2)) * need + 1)))
         long_, short = longest[:aside], longest[aside:]
-        merged = member[W.ranges(begin[short], size[short])]
-        found, times = np.unique(merged, return_counts=True)
+        # The lists are ascending runs, which a stable sort finds and merges, as a heap would one by one.
+        merged = np.sort(member[W.ranges(begin[short], size[short])], kind="stable")
+        at = np.flatnonzero(np.diff(merged, prepend=-1))
+        found, times = merged[at], np.diff(np.append(at, len(merged)))
         likely = (times >= need - aside) & (n[found] * DENOMINATOR >= n[q] * NUMERATOR) & (n[found] * NUMERATOR <= n[q] * DENOMINATOR) & (found != q)
         found, times = found[likely], times[likely]
         left = np.fromiter((not linked(q, x) for x in found.tolist()), bool, len(found))
