@@ -497,10 +497,42 @@ def s1_read_tracks(spark, sf_dir):
     where = _scratch(spark)
     csv = rows.select(F.concat(F.lit("r"), "recording_id").alias("folder"), *[F.col(c).alias(c.upper()) for c in TRACK_COLUMNS[1:]], F.lit(None).cast("double").alias("ILLUMINATION"))
     csv.write.partitionBy("folder").option("header", True).csv(where)
-    raw = files.read_tracks(spark, where, suffix=".csv", recursive=True)
-    folder = F.regexp_extract(F.col("path"), r"folder=(\w+)", 1)
-    raw = raw.withColumn("path", F.input_file_name())
-    return raw.groupBy(folder.alias("name")).agg(F.count("*").alias("n"), F.round(F.sum("position_x"), 4).alias("sum_x"), F.sum("position_t").alias("sum_t"))
+    # Each folder is a recording of several part files.
+    raw = files.read_tracks(spark, where, suffix=".csv", by="folder", recursive=True).withColumn("path", F.input_file_name())
+    name = F.regexp_extract(F.first("path"), r"folder=(\w+)", 1)
+    out = raw.groupBy("recording_id").agg(name.alias("name"), F.count("*").alias("n"), F.round(F.sum("position_x"), 4).alias("sum_x"), F.sum("position_t").alias("sum_t"))
+    return out.drop("recording_id")
+
+
+_STATISTICS = ("distance_um", "speed_um_s", "time_s")
+
+
+@query(" SELECT v.name AS folder, count(*) AS n, " + ", ".join(f"round(sum(round({c}, 6)), 3) AS {c}" for c in _STATISTICS) + " FROM stats JOIN (VALUES (0, 'r0'), (1, 'r1'), (2, 'r2'), (3, 'r3')) v(recording_id, name) USING (recording_id) GROUP BY 1")
+def s6_collate_statistics(spark, sf_dir):
+    rows = rounded(stats(spark, sf_dir).select(F.concat(F.lit("r"), "recording_id").alias("folder"), "track_id", *_STATISTICS))
+    where = _scratch(spark)
+    rows.write.partitionBy("folder").option("header", True).csv(f"{where}/all_statistics.csv")
+    schema = "track_id long, " + ", ".join(f"{c} double" for c in _STATISTICS)
+    raw = files.collate_statistics(spark, where, schema, pattern="*.csv").withColumn("path", F.input_file_name())
+    return raw.groupBy(F.regexp_extract("path", r"folder=(\w+)", 1).alias("folder")).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(c) for c in _STATISTICS])
+
+
+@query(" , t AS (SELECT *, row_number() OVER (ORDER BY recording_id) - 1 AS k FROM recordings WHERE recording_id IN (SELECT recording_id FROM tracks)) SELECT name, CASE k % 4 WHEN 0 THEN 'finished' WHEN 1 THEN 'evaluate' WHEN 2 THEN 'select' ELSE 'track' END AS stage, n FROM t JOIN (SELECT recording_id, count(*) AS n FROM tracks GROUP BY 1) USING (recording_id)")
+def s7_classify_stage(spark, sf_dir):
+    endings = F.array(*[F.lit(e) for e in ("_analysed.csv", "_selected_data.csv", "_list.csv", ".avi")])
+    rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
+    path = F.concat("name", F.element_at(endings, (F.col("recording_id") % 4 + 1).cast("int")))
+    return fixtures.recordings(spark).join(rows, "recording_id").select("name", files.classify_stage(F.regexp_replace(path, "_selected data", "")).alias("stage"), "n")
+
+
+@query(f" SELECT {_T} FROM selected WHERE recording_id <> 1 UNION ALL SELECT {_T} FROM clean WHERE recording_id = 1")
+def s5_overwrite_recordings(spark, sf_dir):
+    where = _scratch(spark)
+    rows = prepared(spark, sf_dir)
+    files.write_stage(select.select_tracks(rows, S), where, "rows")
+    one = select.clean_rows(rows.where("recording_id = 1"), S).select(*TRACK_COLUMNS)
+    where = files.write_stage(one, where, "rows", mode="overwrite")
+    return spark.read.parquet(where).select(*[F.col(c).cast("long") if c in KEY else F.col(c) for c in TRACK_COLUMNS])
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,6 +608,19 @@ def x3_run_pipeline(spark, sf_dir):
     return pipeline.run_pipeline(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark), S, stop_after="select").selected
 
 
+@query()
+def x3_from_detections(spark, sf_dir):
+    d = fixtures.detections(fixtures.tracks(spark, sf_dir))
+    return rounded(pipeline.run_pipeline(d, fixtures.recordings(spark), S, start_at="track", stop_after="summarise").summary)
+
+
+@query()
+def t2_track_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    d = fixtures.detections(fixtures.tracks(spark, sf_dir))
+    return rounded(_streamed(spark, lambda rows: jobs.track_stream(rows, 30.0), d))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far and how fast did each track go?"""
     rows = select.clean_rows(prepared(spark, sf_dir), S)

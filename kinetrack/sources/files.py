@@ -28,13 +28,22 @@ def find_files(spark: SparkSession, paths: str | list[str], suffix: str = "_list
     return reader
 
 
-def read_tracks(spark: SparkSession, paths: str | list[str], suffix: str = "_list.csv", **which) -> DataFrame:
-    """Track tables of many recordings with a fixed schema; NaN becomes NULL, the recording's name comes from the file."""
+def identity(by: str) -> Column:
+    """A file's recording: its ``name``, its ``folder`` (of several part files) or its ``path`` (folder and name)."""
+    folder, name = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""), base_name(F.col("_metadata.file_name"))
+    return F.xxhash64(*{"name": [name], "folder": [folder], "path": [folder, name]}[by])
+
+
+def read_tracks(spark: SparkSession, paths: str | list[str], suffix: str = "_list.csv", by: str = "name", **which) -> DataFrame:
+    """Track tables of many recordings with a fixed schema; NaN becomes NULL, the recording's name comes from the file.
+
+    ``by`` says what tells recordings apart (see ``identity``): names that recur in several folders need ``path``,
+    recordings in several part files ``folder``.
+    """
     raw = find_files(spark, paths, suffix, **which).schema(TRACKS_CSV).option("header", True).option("enforceSchema", False).csv(paths)
-    raw = raw.select(base_name(F.col("_metadata.file_name")).alias("name"), "*")
+    raw = raw.select(identity(by).alias("recording_id"), base_name(F.col("_metadata.file_name")).alias("name"), "*")
     clean = {c: F.when(~F.isnan(c), F.col(c)) for c, t in raw.dtypes if t == "double"}
-    out = raw.withColumns(clean).toDF(*[c.lower() for c in raw.columns])
-    return out.withColumn("recording_id", F.xxhash64("name"))
+    return raw.withColumns(clean).toDF(*[c.lower() for c in raw.columns])
 
 
 def read_recordings(spark: SparkSession, paths: str | list[str], priority: list[str] | None = None, overrides: dict | None = None) -> DataFrame:
@@ -69,7 +78,7 @@ def write_stage(df: DataFrame, path: str, stage: str, fmt: str = "parquet", mode
     return where
 
 
-def collate_statistics(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def collate_statistics(spark: SparkSession, folder: str, schema: str, pattern: str = "*statistics*.csv") -> DataFrame:
     """The statistics files of a folder as one table, each row with its file's name."""
-    raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", "*statistics*.csv").option("recursiveFileLookup", True).csv(folder)
+    raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).csv(folder)
     return raw.select("*", base_name(F.col("_metadata.file_name")).alias("file"))

@@ -56,3 +56,12 @@ def test_files_by_age(spark, tmp_path):
 def test_metadata_text_is_parsed(spark):
     got = spark.createDataFrame([('{"fps": 29.97, "frame_count": 7, "free": 1}',), ("no",), (None,)], "j string").select(files.parse_metadata("j").alias("m")).collect()
     assert (got[0].m.fps, got[0].m.frame_count, got[0].m.frame_width) == (29.97, 7, None) and got[1].m.fps is None and got[2].m is None
+
+
+def test_what_tells_recordings_apart(spark, tmp_path):
+    head = "TRACK_ID,POSITION_T,POSITION_X,POSITION_Y,WIDTH,HEIGHT,DEGREES_ANGLE,ILLUMINATION\n1,0,1,1,2,5,0,\n"
+    for name in ("a/r_list.csv", "b/r_list.csv", "b/q_list.csv"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(head)
+    ids = {by: files.read_tracks(spark, str(tmp_path), by=by, recursive=True).select("recording_id").distinct().count() for by in ("name", "folder", "path")}
+    assert ids == {"name": 2, "folder": 2, "path": 3}
