@@ -522,7 +522,7 @@ def s7_classify_stage(spark, sf_dir):
     endings = F.array(*[F.lit(e) for e in ("_analysed.csv", "_selected_data.csv", "_list.csv", ".avi")])
     rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
     path = F.concat("name", F.element_at(endings, (F.col("recording_id") % 4 + 1).cast("int")))
-    return fixtures.recordings(spark).join(rows, "recording_id").select("name", files.classify_stage(F.regexp_replace(path, "_selected data", "")).alias("stage"), "n")
+    return fixtures.recordings(spark).join(rows, "recording_id").select("name", files.classify_stage(path).alias("stage"), "n")
 
 
 @query(f" SELECT {_T} FROM selected WHERE recording_id <> 1 UNION ALL SELECT {_T} FROM clean WHERE recording_id = 1")
@@ -617,8 +617,8 @@ def x3_from_detections(spark, sf_dir):
 @query()
 def t2_track_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    d = fixtures.detections(fixtures.tracks(spark, sf_dir))
-    return rounded(_streamed(spark, lambda rows: jobs.track_stream(rows, 30.0), d))
+    d = fixtures.detections(fixtures.tracks(spark, sf_dir)).join(fixtures.recordings(spark).select("recording_id", "fps"), "recording_id")
+    return rounded(_streamed(spark, jobs.track_stream, d))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

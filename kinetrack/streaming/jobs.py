@@ -22,20 +22,24 @@ _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
 
 
 class StreamingTracker(StatefulProcessor):
-    """The batch tracker's state machine per recording; frames wait in state until the watermark has passed them."""
+    """The batch tracker's state machine per recording; frames wait in state until the watermark has passed them.
 
-    def __init__(self, fps: float, settings: Settings | None):
-        self.fps, self.settings = fps, settings
+    A recording without detections for ``idle`` seconds of event time is over: its state goes.
+    """
+
+    def __init__(self, settings: Settings | None, idle: float):
+        self.settings, self.idle = settings, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.rate = handle.getValueState("rate", "fps double")
         self.saved = handle.getValueState("tracker", "tracker binary, frame long")
         self.waiting = handle.getMapState("waiting", "frame long", "rows binary")
 
     def _advance(self, recording: int, upto: int) -> Iterator[pd.DataFrame]:
         """Walk the waiting frames before ``upto``."""
         state = self.saved.get() if self.saved.exists() else None
-        tracker, frame = (pickle.loads(state[0]), state[1]) if state else (new_tracker(self.fps, self.settings), None)
+        tracker, frame = (pickle.loads(state[0]), state[1]) if state else (new_tracker(self.rate.get()[0], self.settings), None)
         ready = sorted(k[0] for k in self.waiting.keys() if k[0] < upto)
         rows = []
         for f in ready:
@@ -51,35 +55,53 @@ class StreamingTracker(StatefulProcessor):
         if rows:
             yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(_NAMES, zip(*rows, strict=True), strict=True)})
 
+    def _wait(self, mark: int) -> None:
+        """Set the timer for the first waiting frame, or for the end of the recording, which may have come."""
+        fps = self.rate.get()[0]
+        first = min((k[0] for k in self.waiting.keys()), default=None)
+        if first is not None:
+            self.handle.registerTimer(int((first + 1) * 1000 / fps) + 1 + START_MS)
+            return
+        over = int((self.saved.get()[1] / fps + self.idle) * 1000) + START_MS
+        if over > mark:
+            self.handle.registerTimer(over)
+        else:
+            for state in (self.rate, self.saved):
+                state.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
+            if len(part) and not self.rate.exists():
+                self.rate.update((float(part["fps"].iloc[0]),))
             for f, own in part.groupby("frame"):
                 held = pickle.loads(self.waiting.getValue((int(f),))[0]) if self.waiting.containsKey((int(f),)) else []
                 held += list(own[["det_id", "x", "y", "width", "height", "degrees_angle"]].itertuples(index=False, name=None))
                 self.waiting.updateValue((int(f),), (pickle.dumps(held),))
-        first = min((k[0] for k in self.waiting.keys()), default=None)
-        if first is not None:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1 + START_MS)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self._wait(timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({n: [] for n in _NAMES})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        yield from self._advance(key[0], int((mark - START_MS) * self.fps / 1000))
-        first = min((k[0] for k in self.waiting.keys()), default=None)
-        if first is not None:
-            self.handle.registerTimer(int((first + 1) * 1000 / self.fps) + 1 + START_MS)
+        yield from self._advance(key[0], int((mark - START_MS) * self.rate.get()[0] / 1000))
+        self._wait(mark)
 
     def close(self) -> None:
         pass
 
 
-def track_stream(detections: DataFrame, fps: float, settings: Settings | None = None, delay: str = "1 second") -> DataFrame:
-    """Track a stream of detections. Event time is frame / fps seconds, a second later; needs the RocksDB state store."""
-    timed = detections.withColumn("ts", F.timestamp_millis((F.col("frame") * 1000 / fps).cast("long") + START_MS)).withWatermark("ts", delay)
+def track_stream(detections: DataFrame, fps: float | None = None, settings: Settings | None = None, delay: str = "1 second", idle: float = 3600.0) -> DataFrame:
+    """Track a stream of detections. Event time is frame / fps seconds, a second later; needs the RocksDB state store.
+
+    Without ``fps`` each recording has the rate in its rows' column ``fps`` (NULL or not above 0: the settings' default).
+    ``idle`` must be longer than any pause inside a recording: detections after it are tracked as a new one.
+    """
+    rate = F.lit(float(fps)) if fps else F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit((settings or Settings()).fps)).cast("double")
+    timed = detections.withColumn("fps", rate)
+    timed = timed.withColumn("ts", F.timestamp_millis((F.col("frame") * 1000 / F.col("fps")).cast("long") + START_MS)).withWatermark("ts", delay)
     schema = TRACKS.replace("BIGINT", "long")
-    return timed.groupBy("recording_id").transformWithStateInPandas(StreamingTracker(fps, settings), schema, "append", "EventTime")
+    return timed.groupBy("recording_id").transformWithStateInPandas(StreamingTracker(settings, idle), schema, "append", "EventTime")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -172,6 +173,24 @@ def test_streaming_tracker_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_streaming_tracker_takes_rates_and_ends_recordings(spark, tmp_path):
+    from kinetrack.streaming import jobs
+
+    rows = [(r, f, k, *d, fps, None) for r, fps in ((0, 4.0), (1, 10.0)) for f, ds in random_frames(r, 30, 3).items() for k, d in enumerate(ds)]
+    df = spark.createDataFrame(rows, COLUMNS).drop("frame_count")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    # Far ahead: first to pass all frames, then to end the recordings, then recording 0 starts anew.
+    for part, (r, f) in enumerate(((9, 1000), (9, 9000), (9, 9100), (0, 9200), (9, 20_000)), 1):
+        spark.createDataFrame([(r, f, 0, 5.0, 5.0, 1.0, 1.0, 0.0, 4.0)], df.schema).write.parquet(f"{tmp_path}/in/{part}")
+        time.sleep(0.1)  # files are taken by age
+    source = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.write_stream(jobs.track_stream(source, idle=600.0), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").where("recording_id < 9")
+    want = tracking.track(spark.createDataFrame(rows, COLUMNS))
+    assert sorted(map(tuple, got.where("position_t < 100").collect())) == sorted(map(tuple, want.collect()))
+    assert [tuple(r)[:3] for r in got.where("position_t >= 100").collect()] == [(0, 0, 9200)]
+
+
 def test_markers_inside_turned_boxes(spark):
     names = "recording_id long, frame long, det_id long, x double, y double, width double, height double, degrees_angle double"
     boxes = spark.createDataFrame([(1, 0, 0, 0.0, 0.0, 10.0, 2.0, 0.0), (1, 0, 1, 50.0, 0.0, 10.0, 2.0, 90.0), (1, 1, 2, 0.0, 0.0, 10.0, 2.0, 0.0)], names)
