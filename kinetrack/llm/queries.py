@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, repeated_passages, shingle_join, token_counts, toxicity
+from . import chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, periodic_runs, phrases, repeated_passages, shingle_join, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,5 +127,63 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_repeated_passages, op3_histogram_shards, op4_exact_dedup, op5_language_id, op6_toxicity, op7_chat_format, op8_packing, op9_token_counts, op10_decontaminate)}
-ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_chat_format": OP7_SQL}
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    list_filter(regexp_split_to_array(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM documents),
+counts AS MATERIALIZED (
+  SELECT lang, phrase, k, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+    FROM pieces, range(1, 6) r(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY 1),
+candidates AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1),
+inner_parts AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+    FROM candidates, range(2, 5) r(m) WHERE m < k) GROUP BY ALL),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n, j,
+    CAST((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM candidates c LEFT JOIN inner_parts i ON i.lang = c.lang AND i.phrase = c.phrase
+  CROSS JOIN range(1, 5) r(j) JOIN totals t ON t.lang = c.lang
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') AND x.k = j
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ') AND y.k = c.k - j
+  WHERE j < c.k AND (i.longer IS NULL OR 100 * i.longer < 100 * c.a)),
+best AS (SELECT * EXCLUDE (j) FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def _made_periodic(doc_id: F.Column, text: F.Column) -> F.Column:
+    """The text with its words from a certain one on repeated, for a tenth of the ids."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n, h = F.size(words).cast("long"), F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    g = F.floor(h / 10)
+    begin = F.pmod(g, n)
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    again = F.flatten(F.array_repeat(F.slice(words, begin.cast("int") + 1, period.cast("int")), F.ceil((n - begin) / period).cast("int")))
+    made = F.slice(F.concat(F.slice(words, F.lit(1), begin.cast("int")), again), F.lit(1), n.cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(made, " ")).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(docs.withColumn("text", _made_periodic(F.col("doc_id"), F.col("text"))))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), "best.length", (-F.col("best.p")).alias("period"),
+        F.expr("1000 * best.length div -best.p").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_repeated_passages, op3_histogram_shards, op4_exact_dedup, op5_language_id, op6_toxicity, op7_chat_format, op8_packing, op9_token_counts, op10_decontaminate, op12_phrase_collocations, op13_periodic_runs)}
+ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op12_phrase_collocations": OP12_SQL}
