@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, periodic_runs, phrases, repeated_passages, shingle_join, token_counts, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, periodic_runs, phrases, repeated_passages, shingle_join, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,6 +127,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path, decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrases.collocations(table(spark, sf_dir, "documents"))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -185,5 +191,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_repeated_passages, op3_histogram_shards, op4_exact_dedup, op5_language_id, op6_toxicity, op7_chat_format, op8_packing, op9_token_counts, op10_decontaminate, op12_phrase_collocations, op13_periodic_runs)}
+QUERIES = {q.__name__: q for q in (op1_jaccard_join, op2_repeated_passages, op3_histogram_shards, op4_exact_dedup, op5_language_id, op6_toxicity, op7_chat_format, op8_packing, op9_token_counts, op10_decontaminate, op11_bpe_round_trip, op12_phrase_collocations, op13_periodic_runs)}
 ORACLES = {"op4_exact_dedup": OP4_SQL, "op7_chat_format": OP7_SQL, "op12_phrase_collocations": OP12_SQL}

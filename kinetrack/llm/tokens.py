@@ -57,6 +57,44 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _whole(data: np.ndarray, offsets: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """Numbers of the texts that are not cut."""
+    found = []
+    lead = np.flatnonzero(_LEAD[data])
+    if len(lead):
+        second, third = np.append(data, [0, 0])[lead + 1], np.append(data, [0, 0])[lead + 2]
+        first = data[lead]
+        unusual = (first < 0x20) | ((first == 0xC2) & np.isin(second, (0x85, 0xA0))) | ((first == 0xE1) & np.isin(second, (0x9A, 0xA0)))
+        unusual |= (first == 0xE2) & (((second == 0x80) & ((third < 0x90) | (third > 0xA7) & (third < 0xB0))) | ((second == 0x81) & (third > 0x9E) & (third < 0xB0)))
+        unusual |= ((first == 0xE3) & (second == 0x80) & (third == 0x80)) | ((first == 0xEF) & (second == 0xBB) & (third == 0xBF))
+        found += lead[unusual].tolist()
+    raw = data.tobytes()
+    for a in added:
+        at = raw.find(a)
+        while at >= 0:
+            found.append(at)
+            at = raw.find(a, at + 1)
+    return np.unique(np.searchsorted(offsets, np.array(found, np.int64), "right") - 1)
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """Where the pieces of all texts (UTF-8 bytes one after another) begin; ``added`` are the strings of added tokens."""
+    n = len(data)
+    kind = _KIND[data]
+    # Letters from 00C0 to 00FF have two bytes.
+    at = np.flatnonzero(data == 0xC3)
+    after = np.append(data, 0)[at + 1]
+    at = at[(after >= 0x80) & (after != 0x97) & (after != 0xB7)]
+    kind[at] = kind[at + 1] = _LETTER
+    before, now = kind[:-1], kind[1:]
+    begins = np.zeros(n + 1, bool)
+    begins[1:n] = (now != before) & ((now == _SPACE) | ((now == _SIGN) & (before == _LETTER)) | ((now == _LETTER) & (before == _SIGN)))
+    for i in _whole(data, offsets, added).tolist():
+        begins[offsets[i] : offsets[i + 1]] = False
+    begins[offsets[:-1]] = True
+    return np.flatnonzero(begins[:n])
+
+
 class Encoder:
     """Remembers the ids of pieces; ``codes`` turns texts into numbers of pieces, ``start`` and ``count`` lead to their ids."""
 
@@ -82,43 +120,12 @@ class Encoder:
         self.closes = np.concatenate([self.closes[:known], np.fromiter((p[-1] in b".!?\n" for p in pieces), bool, len(pieces))])
         return np.arange(known, known + len(pieces), dtype=np.int32)
 
-    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Numbers of the texts that are not cut."""
-        found = []
-        lead = np.flatnonzero(_LEAD[data])
-        if len(lead):
-            second, third = np.append(data, [0, 0])[lead + 1], np.append(data, [0, 0])[lead + 2]
-            first = data[lead]
-            unusual = (first < 0x20) | ((first == 0xC2) & np.isin(second, (0x85, 0xA0))) | ((first == 0xE1) & np.isin(second, (0x9A, 0xA0)))
-            unusual |= (first == 0xE2) & (((second == 0x80) & ((third < 0x90) | (third > 0xA7) & (third < 0xB0))) | ((second == 0x81) & (third > 0x9E) & (third < 0xB0)))
-            unusual |= ((first == 0xE3) & (second == 0x80) & (third == 0x80)) | ((first == 0xEF) & (second == 0xBB) & (third == 0xBF))
-            found += lead[unusual].tolist()
-        raw = data.tobytes()
-        for a in self.added:
-            at = raw.find(a)
-            while at >= 0:
-                found.append(at)
-                at = raw.find(a, at + 1)
-        return np.unique(np.searchsorted(offsets, np.array(found, np.int64), "right") - 1)
-
     def codes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts (UTF-8 bytes one after another), and the number of pieces of each text. Valid until the next call."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        kind = _KIND[data]
-        # Letters from 00C0 to 00FF have two bytes.
-        at = np.flatnonzero(data == 0xC3)
-        after = np.append(data, 0)[at + 1]
-        at = at[(after >= 0x80) & (after != 0x97) & (after != 0xB7)]
-        kind[at] = kind[at + 1] = _LETTER
-        before, now = kind[:-1], kind[1:]
-        begins = np.zeros(n + 1, bool)
-        begins[1:n] = (now != before) & ((now == _SPACE) | ((now == _SIGN) & (before == _LETTER)) | ((now == _LETTER) & (before == _SIGN)))
-        for i in self._whole(data, offsets).tolist():
-            begins[offsets[i] : offsets[i + 1]] = False
-        begins[offsets[:-1]] = True
-        start = np.flatnonzero(begins[:n])
+        start = piece_starts(data, offsets, self.added)
         end = np.append(start[1:], n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(W._BYTE[data] * W._power(W._BASE, n)[:n], out=total[1:])
