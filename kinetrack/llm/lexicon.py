@@ -60,23 +60,25 @@ def minimal_automaton(words: list[bytes]) -> tuple[list[list[tuple[int, int, int
 
 def _displaced(edges: list[list[tuple[int, int, int]]]) -> tuple[np.ndarray, np.ndarray]:
     """Base of each state; and owner, next state and output of each place."""
-    size = sum(map(len, edges)) + 512
-    table = np.full((3, 2 * size), -1, np.int32)
-    used, base, free = bytearray(2 * size), np.zeros(len(edges), np.int32), 256
+    size, step = 2 * sum(map(len, edges)) + 1024, 4096
+    table, used = np.full((3, size), -1, np.int32), np.zeros(size + step, bool)
+    base, free = np.zeros(len(edges), np.int32), 256
     for state in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
         own = edges[state]
         if not own:
             continue
-        at = free
-        while any(used[at - own[0][0] + b] for b, _, _ in own):
-            at += 1
-        base[state] = at = at - own[0][0]
-        if at + 512 > len(used):
-            used += bytearray(len(used))
-            table = np.concatenate([table, np.full_like(table, -1)], axis=1)
+        least, at, fits = own[0][0], free, False
+        while len(own) > 1 and not fits:  # the first places where all bytes are free
+            if at + step + 256 > len(used):
+                used, table = np.concatenate([used, np.zeros(size, bool)]), np.concatenate([table, np.full((3, size), -1, np.int32)], axis=1)
+            ok = ~used[at : at + step]
+            for b, _, _ in own[1:]:
+                ok &= ~used[at + b - least : at + b - least + step]
+            fits, at = bool(ok.any()), at + int(ok.argmax()) if ok.any() else at + step
+        base[state] = at - least
         for b, to, before in own:
-            used[at + b] = 1
-            table[:, at + b] = state, to, before
+            used[at - least + b] = True
+            table[:, at - least + b] = state, to, before
         while used[free]:
             free += 1
     return base, table[:, : int(np.flatnonzero(table[0] >= 0).max(initial=0)) + 257]
