@@ -7,11 +7,13 @@ stretches all of whose pairs are frequent. What is frequent is sent on as a tabl
 that two fingerprints share only let more stretches through. A last pass counts the stretches whose
 fingerprints are frequent by their words: a chunk of text keeps a pointer to one occurrence of each
 fingerprint, compares the bytes of all others with it, and writes out the phrase it points to. So fingerprints
-choose what is looked at, the text says what is equal, and only frequent phrases become strings.
+choose what is looked at, the text says what is equal, and only frequent phrases become strings. Counts are
+shuffled in packed rows, one for each bucket of fingerprints or phrases.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
+from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tables import text_or_empty, written
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: The tables of frequent fingerprints have 2 ** BITS bits (16 MB), made in 2 ** SLICES parts.
-BITS, SLICES = 27, 8
+#: Bits of a fingerprint that are counted. The tables of frequent ones have 2 ** BITS bits (16 MB).
+PRINT, BITS = 48, 27
+#: Bytes of text whose stretches one bucket of the shuffle has.
+BUCKET_BYTES = 1 << 22
 #: Distinct fingerprints and phrases that a task holds before it passes their counts on.
 HELD, HELD_PHRASES = 1 << 20, 1 << 18
 
@@ -92,50 +97,54 @@ def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return prints[new], np.add.reduceat(counts, new)
 
 
-def _count_prints(chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]]):
-    """Counts of the fingerprints that ``chosen`` gives for the stretches of a chunk."""
+def _rows(bucket: np.ndarray, size: int) -> Iterator[tuple[int, slice]]:
+    """Each bucket that occurs, and where it lies in the ascending ``bucket``."""
+    cut = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] - 1))
+    yield from ((int(bucket[a]), slice(a, b)) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), size], strict=True))
 
-    def batch(held: list) -> pa.RecordBatch:
-        prints, counts = held[0]
-        return pa.record_batch([pa.array(prints.view(np.int64)), pa.array(counts.astype(np.int64))], names=["print", "n"])
+
+def _count_prints(chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]], bits: int):
+    """Counts of the fingerprints that ``chosen`` gives for the stretches of a chunk, as rows of one for each of 2 ** ``bits`` buckets."""
+
+    def batch(held: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        prints, counts = held
+        rows = [(k, pack_sorted(prints[own]), pack(counts[own].astype(np.uint64))) for k, own in _rows((prints >> np.uint64(PRINT - bits)).astype(np.int64), len(prints))]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "prints", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for stretches, salt, _ in _chunks(batches):
             for prints in chosen(stretches, salt):
                 if len(prints):
-                    held.append(np.unique(prints, return_counts=True))
+                    held.append(np.unique(prints >> np.uint64(64 - PRINT), return_counts=True))
                     size += len(held[-1][0])
             if size > 2 * HELD:
                 held = [_counted(held)]
                 size = len(held[0][0])
                 if size > HELD:
-                    yield batch(held)
+                    yield batch(held[0])
                     held, size = [], 0
         if held:
-            yield batch([_counted(held)])
+            yield batch(_counted(held))
 
     return run
 
 
-def _frequent_bits(texts: DataFrame, chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]], least: int) -> np.ndarray:
+def _frequent_bits(texts: DataFrame, chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]], least: int, bits: int) -> np.ndarray:
     """Table of bits of the fingerprints that occur ``least`` times or more. Its size is fixed."""
 
     def to_bits(table: pa.Table) -> pa.Table:
-        prints = table.column("print").to_numpy().view(np.uint64)
-        part = int(prints[0] >> np.uint64(64 - SLICES))
-        bits = np.zeros(1 << (BITS - SLICES), np.uint8)
-        bits[(prints >> np.uint64(64 - BITS)).astype(np.int64) & ((1 << (BITS - SLICES)) - 1)] = 1
-        return pa.table({"part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    counts = texts.mapInArrow(_count_prints(chosen), "print long, n long").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    # One row of 64 KB for each of 256 parts.
-    parts = counts.groupBy(F.shiftrightunsigned("print", 64 - SLICES).alias("part")).applyInArrow(to_bits, "part int, bits binary")
-    found = np.zeros(1 << (BITS - 3), np.uint8)
-    width = len(found) >> SLICES
-    for r in parts.toLocalIterator():
-        found[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return found
+        cells = zip(table.column("prints").to_pylist(), table.column("counts").to_pylist(), strict=True)
+        prints, counts = _counted([(unpack_sorted(p), unpack(c, np.uint64)) for p, c in cells])
+        spots = np.unique(prints[counts >= least] >> np.uint64(PRINT - BITS)).astype(np.uint32)
+        return pa.table({"spots": pa.array([pack(np.diff(spots, prepend=np.uint32(0)))], pa.binary())})
+
+    rows = texts.mapInArrow(_count_prints(chosen, bits), "bucket long, prints binary, counts binary")
+    found = np.zeros(1 << BITS, bool)
+    # At most one number for each bit, as compressed steps.
+    for r in rows.groupBy("bucket").applyInArrow(to_bits, "spots binary").collect():
+        found[np.cumsum(unpack(r["spots"], np.uint32), dtype=np.uint32)] = True
+    return np.packbits(found, bitorder="little")
 
 
 def _frequent_pairs(s: Stretches, salt: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -156,14 +165,14 @@ def _frequent_longer(s: Stretches, salt: np.ndarray, pairs: np.ndarray, longest:
         yield k, at
 
 
-def _spell(words, pairs, longer, longest: int):
-    """(lang, phrase, words, count) of the marked stretches, and the number of all words as the empty phrase."""
+def _spell(words, pairs, longer, longest: int, bits: int):
+    """Counts of the marked stretches by language and phrase, and of all words as the empty phrase, as rows of one for each of 2 ** ``bits`` buckets."""
 
     def stretches_of(s: Stretches, salt: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         every = [(1, np.arange(len(s.piece)), words), (2, _frequent_pairs(s, salt, words.value), pairs)]
-        for k, at, bits in [*every, *((k, at, longer) for k, at in _frequent_longer(s, salt, pairs.value, longest))]:
+        for k, at, marks in [*every, *((k, at, longer) for k, at in _frequent_longer(s, salt, pairs.value, longest))]:
             prints = s.prints(at, k, salt)
-            ok = _marked(bits.value, prints)
+            ok = _marked(marks.value, prints)
             yield k, at[ok], prints[ok]
 
     def spelled(s: Stretches, k: int, at: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
@@ -185,9 +194,16 @@ def _spell(words, pairs, longer, longest: int):
             yield int(at[i]), raw[start[i] : stop[i]], n
 
     def batch(held: dict) -> pa.RecordBatch:
-        langs, phrases, sizes = zip(*held, strict=True)
-        columns = [pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(sizes, pa.int32()), pa.array(held.values(), pa.int64())]
-        return pa.record_batch(columns, names=["lang", "phrase", "words", "n"])
+        # No language or phrase holds a line end: languages come as numbers, phrases never cross one.
+        langs = sorted({k[0] for k in held})
+        number = {x: b"%d" % i for i, x in enumerate(langs)}
+        lines = [number[lang] + b" " + phrase for lang, phrase, _ in held]
+        n = np.fromiter(held.values(), np.uint64, len(held))
+        bucket = np.fromiter((zlib.crc32(line) >> (32 - bits) for line in (f"{lang}\0".encode() + phrase for lang, phrase, _ in held)), np.int64, len(held))
+        order = np.argsort(bucket, kind="stable")
+        rows = [(k, langs, pa.compress(b"\n".join(lines[i] for i in order[own].tolist()), "zstd", asbytes=True), sum(len(lines[i]) + 1 for i in order[own].tolist()) - 1, pack(n[order[own]])) for k, own in _rows(bucket[order], len(n))]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "langs", "lines", "size", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -208,6 +224,23 @@ def _spell(words, pairs, longer, longest: int):
     return run
 
 
+def _add_up(least: int):
+    """The phrases of a bucket that occur ``least`` times or more, and the numbers of all words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total: dict = {}
+        for r in table.to_pylist():
+            lines = pa.decompress(r["lines"], r["size"], "zstd", asbytes=True).split(b"\n")
+            for line, n in zip(lines, unpack(r["counts"], np.uint64).tolist(), strict=True):
+                number, _, phrase = line.partition(b" ")
+                key = r["langs"][int(number)], phrase
+                total[key] = total.get(key, 0) + n
+        kept = [(lang, p.decode(), p.count(b" ") + 1 if p else 0, n) for (lang, p), n in total.items() if n >= least or not p]
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip({"lang": pa.string(), "phrase": pa.string(), "words": pa.int32(), "n": pa.int64()}.items(), zip(*kept, strict=True) if kept else [[]] * 4, strict=True)})
+
+    return run
+
+
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``lang, phrase, words, n``: the exact count of each phrase of up to ``longest`` words that occurs ``least`` times or more in its language.
 
@@ -216,13 +249,15 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     lang = F.coalesce(F.col(lang_col), F.lit("und"))
     texts = docs.select(lang.alias("lang"), F.xxhash64(lang).alias("salt"), text_or_empty(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
-
-    words = context.broadcast(_frequent_bits(texts, lambda s, salt: iter([s.prints(np.arange(len(s.piece)), 1, salt)]), least))
-    pairs = context.broadcast(_frequent_bits(texts, lambda s, salt: iter([s.prints(_frequent_pairs(s, salt, words.value), 2, salt)]), least))
-    longer = context.broadcast(_frequent_bits(texts, lambda s, salt: (s.prints(at, k, salt) for k, at in _frequent_longer(s, salt, pairs.value, longest)), least))
-    counts = texts.mapInArrow(_spell(words, pairs, longer, longest), "lang string, phrase string, words int, n long")
-    counts = counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return written(counts.where((F.col("n") >= least) | (F.col("words") == 0)))
+    # So many buckets that each has a bounded share of the stretches, however many there are.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(32, max(6, (size // BUCKET_BYTES).bit_length()))
+
+    words = context.broadcast(_frequent_bits(texts, lambda s, salt: iter([s.prints(np.arange(len(s.piece)), 1, salt)]), least, bits))
+    pairs = context.broadcast(_frequent_bits(texts, lambda s, salt: iter([s.prints(_frequent_pairs(s, salt, words.value), 2, salt)]), least, bits))
+    longer = context.broadcast(_frequent_bits(texts, lambda s, salt: (s.prints(at, k, salt) for k, at in _frequent_longer(s, salt, pairs.value, longest)), least, bits))
+    rows = texts.mapInArrow(_spell(words, pairs, longer, longest, bits), "bucket long, langs array<string>, lines binary, size long, counts binary")
+    return written(rows.groupBy("bucket").applyInArrow(_add_up(least), "lang string, phrase string, words int, n long"))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = 100) -> DataFrame:
