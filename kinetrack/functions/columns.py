@@ -79,6 +79,25 @@ def binary_median(c: str, kernel: int, w: WindowSpec | None = None) -> Column:
     return (F.sum(c).over((w or W()).rowsBetween(-half, half)) > half).cast("int")
 
 
+def row_range(reach: Column) -> WindowSpec:
+    """Rows of a track by number over a reach of their own, which a RANGE frame of one unit back or ahead covers.
+
+    ``reach`` is a number of rows, the same in a whole track; ``row_number`` must be there. Half a row more keeps the
+    rows at the ends of the frame clear of rounding.
+    """
+    return Window.partitionBy(*KEY).orderBy(F.col("row_number") / (reach + 0.5))
+
+
+def binary_median_within(c: str, half: Column) -> Column:
+    """``binary_median`` with half the kernel in a column: each track has a kernel of its own."""
+    return (F.sum(c).over(row_range(half).rangeBetween(-1, 1)) > half).cast("int")
+
+
+def lag_within(c: str, rows: Column) -> Column:
+    """The value a column's number of rows before; NULL before there are so many."""
+    return F.when(F.col("row_number") > rows, F.first(c).over(row_range(rows).rangeBetween(-1, 0)))
+
+
 def local_max(c: str, order: int = 10, w: WindowSpec | None = None) -> Column:
     """1 where a value other than 0 is not below any neighbour within ``order`` rows; plateaus all count."""
     return ((F.col(c) == F.max(c).over((w or W()).rowsBetween(-order, order))) & (F.col(c) != 0)).cast("int")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import WT, W, binary_median, delta, fold_angle, heading_deg, local_max, safe_ratio, since_first, step, to_um
+from ..functions.columns import WT, W, binary_median, binary_median_within, delta, fold_angle, heading_deg, lag_within, local_max, safe_ratio, since_first, step, to_um
 from ..schemas import ANALYSED_COLUMNS, KEY
-from ..settings import Settings, odd_kernel
+from ..settings import Settings
 from ..sources.tables import written
 
 MOVING_UM_PER_FRAME = 1e-3
@@ -20,28 +17,19 @@ RATIO_MOTILE, RUN_MOTILE = 1.5, 5
 OUTSIDE = 0.7
 
 
-def by_fps(df: DataFrame, f: Callable[[DataFrame, float], DataFrame], rates: list[float] | None = None) -> DataFrame:
-    """Apply ``f`` to the rows of each distinct ``fps``: row windows need literal bounds. There are few rates.
-
-    ``rates`` come from the table of recordings; without them the rows are read for them.
-    """
-    if rates is None:
-        rates = [r["fps"] for r in df.select("fps").distinct().orderBy("fps").collect()]
-    return reduce(DataFrame.unionByName, [f(df.where(F.col("fps") == r), r) for r in rates]) if rates else f(df, 30.0)
-
-
 def steps(df: DataFrame, s: Settings) -> DataFrame:
     """Lengths in micrometres, steps, and the raw moving flag."""
     out = df.withColumns({"width": to_um("width", s.px_per_um), "height": to_um("height", s.px_per_um)})
-    out = out.withColumns({"dx": delta("position_x", 0.0), "dy": delta("position_y", 0.0), "dt": delta("position_t", 1), "t_norm": since_first("position_t")})
+    out = out.withColumns({"row_number": F.row_number().over(W()), "dx": delta("position_x", 0.0), "dy": delta("position_y", 0.0), "dt": delta("position_t", 1), "t_norm": since_first("position_t")})
     out = out.withColumns({"travelled_dist": to_um(step(F.col("dx"), F.col("dy")), s.px_per_um), "bac_length": F.greatest("width", "height")})
     out = out.withColumns({"x_norm": to_um(since_first("position_x"), s.px_per_um), "y_norm": to_um(since_first("position_y"), s.px_per_um)})
     return out.withColumn("moving_raw", (F.col("travelled_dist") / F.col("dt") > MOVING_UM_PER_FRAME).cast("int"))
 
 
-def moving(df: DataFrame, fps: float) -> DataFrame:
-    """The moving flag after a median filter of three rows and one of about a second."""
-    return df.withColumn("moving", binary_median("moving_raw", 3)).withColumn("moving", binary_median("moving", odd_kernel(fps)))
+def moving(df: DataFrame) -> DataFrame:
+    """The moving flag after a median filter of three rows and one of about a second at each row's ``fps``."""
+    half = F.floor(F.bround("fps") / 2)  # of the rounded rate, made odd
+    return df.withColumn("moving", binary_median("moving_raw", 3)).withColumn("moving", binary_median_within("moving", half))
 
 
 def headings(df: DataFrame, s: Settings) -> DataFrame:
@@ -58,7 +46,7 @@ def turns(df: DataFrame, s: Settings) -> DataFrame:
     """Turning points: local maxima of large enough heading changes while moving; the first row always counts."""
     out = df.withColumn("turn_candidate", F.when((F.col("angle_diff") > s.minimal_angle) & (F.col("moving") == 1), F.col("angle_diff")).otherwise(0))
     out = out.withColumn("turn_points", local_max("turn_candidate"))
-    return out.withColumn("turn_points", F.when(F.row_number().over(W()) == 1, 1).otherwise(F.col("turn_points")))
+    return out.withColumn("turn_points", F.when(F.col("row_number") == 1, 1).otherwise(F.col("turn_points")))
 
 
 def runs(df: DataFrame) -> DataFrame:
@@ -69,27 +57,27 @@ def runs(df: DataFrame) -> DataFrame:
     return out.withColumn("run_distance", F.when(F.col("tp_of_tracks").isNotNull(), path))
 
 
-def motility(df: DataFrame, s: Settings, fps: float) -> DataFrame:
+def motility(df: DataFrame, s: Settings) -> DataFrame:
     """Displacement over a lag, longest run, both by mean cell length, the phenotype, and the final turning points."""
-    n = s.lag_rows(fps)
-    far = to_um(step(F.col("position_x") - F.lag("position_x", n).over(W()), F.col("position_y") - F.lag("position_y", n).over(W())), s.px_per_um)
+    n = F.bround(F.col("fps") * s.lag_seconds)
+    far = to_um(step(F.col("position_x") - lag_within("position_x", n), F.col("position_y") - lag_within("position_y", n)), s.px_per_um)
     out = df.withColumn("lag_displacement", far)
     mean = F.avg("bac_length").over(WT())
     out = out.withColumns({"displacement_ratio": F.max("lag_displacement").over(WT()) / mean, "run_ratio": F.max("run_distance").over(WT()) / mean})
     far_enough = F.col("displacement_ratio") > RATIO_MOTILE
     phenotype = F.when(far_enough & (F.col("run_ratio") > RUN_MOTILE), 2).when(far_enough & (F.col("run_ratio") <= RUN_MOTILE), 1).otherwise(0)
     out = out.withColumn("motility_phenotype", phenotype)
-    points = F.when(F.row_number().over(W()) == 1, 1).when(F.col("motility_phenotype") == 0, 0).otherwise(F.col("turn_points"))
+    points = F.when(F.col("row_number") == 1, 1).when(F.col("motility_phenotype") == 0, 0).otherwise(F.col("turn_points"))
     return out.withColumn("turn_points", points)
 
 
-def features(df: DataFrame, s: Settings, rates: list[float] | None = None) -> DataFrame:
-    """All per-row features. ``df`` has the columns of ``tracks`` and ``fps``; ``rates`` are the frame rates that occur."""
-
-    def one_rate(part: DataFrame, fps: float) -> DataFrame:
-        return motility(runs(turns(headings(moving(steps(part, s), fps), s), s)), s, fps)
+def features(df: DataFrame, s: Settings) -> DataFrame:
+    """All per-row features, at any number of frame rates in one pass.
 
-    return by_fps(df, one_rate, rates)
+    ``df`` has the columns of ``tracks`` and ``fps``; where that is NULL or not above 0, the settings' rate holds.
+    """
+    rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit(float(s.fps)))
+    return motility(runs(turns(headings(moving(steps(df.withColumn("fps", rate), s)), s), s)), s)
 
 
 def analysed(found: DataFrame) -> DataFrame:

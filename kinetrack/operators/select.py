@@ -31,12 +31,6 @@ def min_rows(s: Settings) -> Column:
     return F.floor(F.lit(s.minimal_length_s) * F.bround("fps"))
 
 
-def frame_rates(recordings: DataFrame, s: Settings) -> list[float]:
-    """The distinct frame rates, from the table of recordings alone: there are few."""
-    every = with_recording(recordings.select("recording_id"), recordings, s)
-    return [r["fps"] for r in every.select("fps").distinct().orderBy("fps").collect()]
-
-
 def sort_tracks(df: DataFrame) -> DataFrame:
     """Rows by recording, track and time."""
     return df.orderBy(*KEY, "position_t")

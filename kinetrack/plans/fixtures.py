@@ -12,7 +12,7 @@ WITH o AS (
            l_partkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn
   FROM lineitem),
 s AS (
-  SELECT CAST(l_suppkey % 4 AS BIGINT) AS recording_id, l_suppkey AS track_id, rn,
+  SELECT CAST(l_suppkey % 4 + 4 * floor(l_suppkey / 100) AS BIGINT) AS recording_id, l_suppkey AS track_id, rn,
     CASE WHEN rn = 1 THEN 0 WHEN l_partkey % 193 = 0 THEN 9 WHEN l_partkey % 29 = 0 THEN 2 ELSE 1 END AS dt,
     CASE WHEN l_suppkey % 3 = 0 THEN 0
          WHEN l_suppkey % 3 = 1 THEN CAST(l_quantity AS BIGINT) - 25
@@ -38,13 +38,16 @@ FROM s
 WINDOW c AS (PARTITION BY track_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """
 
+#: Metadata of the recordings that have some; one in five has none.
 RECORDINGS = """
-SELECT * FROM (VALUES
-  (CAST(0 AS BIGINT), '191224133700_a_selected data', CAST(30 AS DOUBLE), 922, 1228, CAST(9000 AS BIGINT)),
-  (CAST(1 AS BIGINT), '200101000000_b', CAST(29.97 AS DOUBLE), 922, 1228, CAST(700 AS BIGINT)),
-  (CAST(2 AS BIGINT), 'sample_c', CAST(NULL AS DOUBLE), 922, CAST(NULL AS INT), CAST(600 AS BIGINT)),
-  (CAST(3 AS BIGINT), '210630235959 d', CAST(25 AS DOUBLE), 922, 1228, CAST(599 AS BIGINT))
-) AS r(recording_id, name, fps, frame_height, frame_width, frame_count)
+SELECT recording_id,
+  CASE recording_id % 4 WHEN 0 THEN '191224133700_a' || CAST(recording_id AS VARCHAR(9)) || '_selected data' WHEN 1 THEN '200101000000_b' || CAST(recording_id AS VARCHAR(9))
+    WHEN 2 THEN 'sample_c' || CAST(recording_id AS VARCHAR(9)) ELSE '210630235959 d' || CAST(recording_id AS VARCHAR(9)) END AS name,
+  CAST(CASE recording_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 29.97 WHEN 3 THEN 25 END AS DOUBLE) AS fps,
+  922 AS frame_height, CASE WHEN recording_id % 4 <> 2 THEN 1228 END AS frame_width,
+  CAST(CASE recording_id % 4 WHEN 0 THEN 9000 WHEN 1 THEN 700 WHEN 2 THEN 600 ELSE 599 END AS BIGINT) AS frame_count
+FROM (SELECT DISTINCT CAST(l_suppkey % 4 + 4 * floor(l_suppkey / 100) AS BIGINT) AS recording_id FROM lineitem) AS r
+WHERE recording_id % 5 <> 4
 """
 
 FRAME_STATS = """
@@ -70,8 +73,8 @@ def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, FRAME_STATS)
 
 
-def recordings(spark: SparkSession) -> DataFrame:
-    return spark.sql(RECORDINGS)
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, RECORDINGS)
 
 
 def detections(rows: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.with_recording(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark), S)
+    return select.with_recording(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark, sf_dir), S)
 
 
 def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of all tracks' rows that are not lost (every phenotype occurs among them)."""
-    return evaluate.features(prepared(spark, sf_dir).where("width > 0"), S, select.frame_rates(fixtures.recordings(spark), S))
+    return evaluate.features(prepared(spark, sf_dir).where("width > 0"), S)
 
 
 # The SQL of the steps, each reading the ones before it.
@@ -56,7 +56,7 @@ _STEPS: dict[str, str] = {
     "frame_stats": fixtures.FRAME_STATS,
     "prepared": """SELECT t.*, CASE WHEN r.fps > 0 THEN r.fps ELSE 30.0 END AS fps,
         CASE WHEN r.frame_width IS NULL THEN 922 ELSE r.frame_height END AS frame_height, coalesce(r.frame_width, 1228) AS frame_width
-        FROM tracks t JOIN recordings r USING (recording_id)""",
+        FROM tracks t LEFT JOIN recordings r USING (recording_id)""",
     "areas": """SELECT *, width * height AS area, median(width * height) OVER k AS median_area,
         max(position_t) OVER k - min(position_t) OVER k + 1 AS length FROM prepared WINDOW k AS (PARTITION BY recording_id, track_id)""",
     "clean": """SELECT * FROM areas WHERE median_area BETWEEN 2 AND 50 AND area <> 0 AND area <= 1.5 * median_area
@@ -188,9 +188,9 @@ def p7_clean_rows(spark, sf_dir):
     return select.guard_recordings(select.clean_rows(rows, S), S).select(*TRACK_COLUMNS)
 
 
-@query(" SELECT recording_id, name, frame_count FROM recordings WHERE frame_count >= 600 AND recording_id IN (SELECT l_suppkey % 4 FROM lineitem)")
+@query(" SELECT recording_id, name, frame_count FROM recordings WHERE frame_count >= 600 AND recording_id IN (SELECT recording_id FROM tracks)")
 def p9_guard_frame_count(spark, sf_dir):
-    kept = select.guard_frame_count(fixtures.recordings(spark), S)
+    kept = select.guard_frame_count(fixtures.recordings(spark, sf_dir), S)
     return kept.join(fixtures.tracks(spark, sf_dir), "recording_id", "left_semi").select("recording_id", "name", "frame_count")
 
 
@@ -264,7 +264,7 @@ def w2_steps(spark, sf_dir):
 @query(" SELECT recording_id, track_id, position_t, moving_raw, moving FROM moved")
 def w8_binary_median(spark, sf_dir):
     rows = prepared(spark, sf_dir).where("width > 0")
-    return evaluate.by_fps(rows, lambda part, fps: evaluate.moving(evaluate.steps(part, S), fps)).select(*KEY, "position_t", "moving_raw", "moving")
+    return evaluate.moving(evaluate.steps(rows, S)).select(*KEY, "position_t", "moving_raw", "moving")
 
 
 @query(" SELECT recording_id, track_id, position_t, round(heading, 6) AS heading, round(heading_deg, 6) AS heading_deg, angle_diff FROM headed")
@@ -274,11 +274,8 @@ def w11_turn_angle(spark, sf_dir):
 
 @query(" SELECT recording_id, track_id, position_t, turn_candidate, turn_points, tp_of_tracks, round(run_distance, 6) AS run_distance FROM ran")
 def w13_turns_and_runs(spark, sf_dir):
-    def one(part, fps):
-        return evaluate.runs(evaluate.turns(evaluate.headings(evaluate.moving(evaluate.steps(part, S), fps), S), S))
-
-    rows = prepared(spark, sf_dir).where("width > 0")
-    return rounded(evaluate.by_fps(rows, one).select(*KEY, "position_t", "turn_candidate", "turn_points", "tp_of_tracks", "run_distance"))
+    rows = evaluate.steps(prepared(spark, sf_dir).where("width > 0"), S)
+    return rounded(evaluate.runs(evaluate.turns(evaluate.headings(evaluate.moving(rows), S), S)).select(*KEY, "position_t", "turn_candidate", "turn_points", "tp_of_tracks", "run_distance"))
 
 
 @query(" SELECT DISTINCT recording_id, track_id, round(displacement_ratio, 6) AS displacement_ratio, round(run_ratio, 6) AS run_ratio, motility_phenotype FROM found")
@@ -449,7 +446,7 @@ def w19_lsf_predict(spark, sf_dir):
 )
 def f5_names(spark, sf_dir):
     rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
-    r = fixtures.recordings(spark).join(rows, "recording_id")
+    r = fixtures.recordings(spark, sf_dir).join(rows, "recording_id")
     return r.select("recording_id", F.date_format(C.recorded_at(F.col("name")), "yyyy-MM-dd HH:mm:ss").alias("at"), C.display_name(F.col("name")).alias("display"), "n")
 
 
@@ -479,7 +476,7 @@ def o1_sort_tracks(spark, sf_dir):
 def f9_parse_metadata(spark, sf_dir):
     rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
     text = F.to_json(F.struct("fps", "frame_height", "frame_width", "frame_count"))
-    return fixtures.recordings(spark).select("recording_id", files.parse_metadata(text).alias("m")).join(rows, "recording_id").select("recording_id", "m.*", "n")
+    return fixtures.recordings(spark, sf_dir).select("recording_id", files.parse_metadata(text).alias("m")).join(rows, "recording_id").select("recording_id", "m.*", "n")
 
 
 _scratch = scratch
@@ -491,7 +488,7 @@ def s4_write_and_read(spark, sf_dir):
     return spark.read.parquet(where).select(*[F.col(c).cast("long") if c in KEY else F.col(c) for c in TRACK_COLUMNS])
 
 
-@query(" SELECT name, count(*) AS n, round(sum(position_x), 4) AS sum_x, CAST(sum(position_t) AS BIGINT) AS sum_t FROM tracks JOIN (VALUES (0, 'r0'), (1, 'r1'), (2, 'r2'), (3, 'r3')) v(recording_id, name) USING (recording_id) GROUP BY 1")
+@query(" SELECT name, count(*) AS n, round(sum(position_x), 4) AS sum_x, CAST(sum(position_t) AS BIGINT) AS sum_t FROM tracks JOIN (SELECT DISTINCT recording_id, 'r' || recording_id AS name FROM tracks) USING (recording_id) GROUP BY 1")
 def s1_read_tracks(spark, sf_dir):
     rows = fixtures.tracks(spark, sf_dir)
     where = _scratch(spark)
@@ -507,7 +504,7 @@ def s1_read_tracks(spark, sf_dir):
 _STATISTICS = ("distance_um", "speed_um_s", "time_s")
 
 
-@query(" SELECT v.name AS folder, count(*) AS n, " + ", ".join(f"round(sum(round({c}, 6)), 3) AS {c}" for c in _STATISTICS) + " FROM stats JOIN (VALUES (0, 'r0'), (1, 'r1'), (2, 'r2'), (3, 'r3')) v(recording_id, name) USING (recording_id) GROUP BY 1")
+@query(" SELECT v.name AS folder, count(*) AS n, " + ", ".join(f"round(sum(round({c}, 6)), 3) AS {c}" for c in _STATISTICS) + " FROM stats JOIN (SELECT DISTINCT recording_id, 'r' || recording_id AS name FROM tracks) v USING (recording_id) GROUP BY 1")
 def s6_collate_statistics(spark, sf_dir):
     rows = rounded(stats(spark, sf_dir).select(F.concat(F.lit("r"), "recording_id").alias("folder"), "track_id", *_STATISTICS))
     where = _scratch(spark)
@@ -517,12 +514,12 @@ def s6_collate_statistics(spark, sf_dir):
     return raw.groupBy(F.regexp_extract("path", r"folder=(\w+)", 1).alias("folder")).agg(F.count("*").alias("n"), *[F.round(F.sum(c), 3).alias(c) for c in _STATISTICS])
 
 
-@query(" , t AS (SELECT *, row_number() OVER (ORDER BY recording_id) - 1 AS k FROM recordings WHERE recording_id IN (SELECT recording_id FROM tracks)) SELECT name, CASE k % 4 WHEN 0 THEN 'finished' WHEN 1 THEN 'evaluate' WHEN 2 THEN 'select' ELSE 'track' END AS stage, n FROM t JOIN (SELECT recording_id, count(*) AS n FROM tracks GROUP BY 1) USING (recording_id)")
+@query(" , t AS (SELECT *, recording_id AS k FROM recordings WHERE recording_id IN (SELECT recording_id FROM tracks)) SELECT name, CASE k % 4 WHEN 0 THEN 'finished' WHEN 1 THEN 'evaluate' WHEN 2 THEN 'select' ELSE 'track' END AS stage, n FROM t JOIN (SELECT recording_id, count(*) AS n FROM tracks GROUP BY 1) USING (recording_id)")
 def s7_classify_stage(spark, sf_dir):
     endings = F.array(*[F.lit(e) for e in ("_analysed.csv", "_selected_data.csv", "_list.csv", ".avi")])
     rows = fixtures.tracks(spark, sf_dir).groupBy("recording_id").agg(F.count("*").alias("n"))
     path = F.concat("name", F.element_at(endings, (F.col("recording_id") % 4 + 1).cast("int")))
-    return fixtures.recordings(spark).join(rows, "recording_id").select("name", files.classify_stage(path).alias("stage"), "n")
+    return fixtures.recordings(spark, sf_dir).join(rows, "recording_id").select("name", files.classify_stage(path).alias("stage"), "n")
 
 
 @query(f" SELECT {_T} FROM selected WHERE recording_id <> 1 UNION ALL SELECT {_T} FROM clean WHERE recording_id = 1")
@@ -536,8 +533,8 @@ def s5_overwrite_recordings(spark, sf_dir):
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fixtures.recordings(spark).select("recording_id", F.coalesce("fps", F.lit(30.0)).alias("fps"), F.lit(None).cast("long").alias("frame_count"))
-    return fixtures.detections(fixtures.tracks(spark, sf_dir)).join(r, "recording_id")
+    seen = select.with_recording(fixtures.detections(fixtures.tracks(spark, sf_dir)), fixtures.recordings(spark, sf_dir), S)
+    return seen.withColumn("frame_count", F.lit(None).cast("long"))
 
 
 @query()
@@ -605,19 +602,19 @@ def t8_threshold_stream(spark, sf_dir):
 
 @query(f" SELECT {_T} FROM selected")
 def x3_run_pipeline(spark, sf_dir):
-    return pipeline.run_pipeline(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark), S, stop_after="select").selected
+    return pipeline.run_pipeline(fixtures.tracks(spark, sf_dir), fixtures.recordings(spark, sf_dir), S, stop_after="select").selected
 
 
 @query()
 def x3_from_detections(spark, sf_dir):
     d = fixtures.detections(fixtures.tracks(spark, sf_dir))
-    return rounded(pipeline.run_pipeline(d, fixtures.recordings(spark), S, start_at="track", stop_after="summarise").summary)
+    return rounded(pipeline.run_pipeline(d, fixtures.recordings(spark, sf_dir), S, start_at="track", stop_after="summarise").summary)
 
 
 @query()
 def t2_track_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    d = fixtures.detections(fixtures.tracks(spark, sf_dir)).join(fixtures.recordings(spark).select("recording_id", "fps"), "recording_id")
+    d = fixtures.detections(fixtures.tracks(spark, sf_dir)).join(fixtures.recordings(spark, sf_dir).select("recording_id", "fps"), "recording_id", "left")
     return rounded(_streamed(spark, jobs.track_stream, d))
 
 

@@ -58,10 +58,14 @@ class Settings:
         """Whole frames of a duration at the rounded frame rate (halves to even)."""
         return int(seconds * int(round(self.fps if fps is None else fps)))
 
+    @property
+    def lag_seconds(self) -> float:
+        """Time of the long displacement: 10 s, or half a length limit if that is between 0 and 10 s."""
+        return min([10, *(x / 2 for x in (self.minimal_length_s, self.limit_length_s) if 0 < x / 2 < 10)])
+
     def lag_rows(self, fps: float) -> int:
-        """Rows of the long displacement: at most 10 s, or half a length limit that is between 0 and 10 s."""
-        halves = [x / 2 for x in (self.minimal_length_s, self.limit_length_s) if 0 < x / 2 < 10]
-        return int(round(fps * min([10, *halves])))
+        """Rows of the long displacement."""
+        return int(round(fps * self.lag_seconds))
 
 
 def odd_kernel(fps: float) -> int:

@@ -140,6 +140,34 @@ def test_one_row_and_kernels(spark):
     assert [odd_kernel(f) for f in (25, 30, 24.5)] == [25, 31, 25]
 
 
+def test_recordings_without_metadata_keep_their_rows(spark):
+    rows = table(spark, {1: straight(300), 2: [(t, 5.0, 5.0) for t in range(200)]})
+    both = rows.union(rows.withColumn("recording_id", F.lit(7).cast("long"))).drop("fps", "frame_height", "frame_width")
+    recordings = spark.createDataFrame([(1, 25.0, 922, 1228)], "recording_id long, fps double, frame_height int, frame_width int")
+    got = evaluate.features(select.with_recording(both, recordings, Settings()), Settings())
+    assert {(r.recording_id, r.fps): r["count"] for r in got.groupBy("recording_id", "fps").count().collect()} == {(1, 25.0): 500, (7, 30.0): 500}
+
+
+def test_each_rate_has_its_own_windows(spark):
+    """Rows windows of several rates in one pass give what each rate gives alone, and what plain Python gives."""
+    import random
+
+    r, rates = random.Random(4), (0.4, 5.0, 24.5, 25.0, 29.97, 30.0, 61.0)
+    rows = [(i, 1, t, float(r.randrange(40)), float(r.randrange(3)), 3.0, 4.0, 0.0, fps) for i, fps in enumerate(rates) for t in range(r.randint(1, 160))]
+    df = spark.createDataFrame(rows, "recording_id long, track_id long, position_t long, position_x double, position_y double, width double, height double, degrees_angle double, fps double")
+    s = Settings(minimal_length_s=1, limit_length_s=3)
+    got = evaluate.features(df, s).select("recording_id", "row_number", "moving_raw", "moving", "lag_displacement", "position_x", "position_y").orderBy("recording_id", "row_number").collect()
+    for i, fps in enumerate(rates):
+        own = [x for x in got if x.recording_id == i]
+        def median(v, k):
+            return [int(sum(v[max(0, n - k // 2) : n + k // 2 + 1]) > k // 2) for n in range(len(v))]
+        assert [x.moving for x in own] == median(median([x.moving_raw for x in own], 3), odd_kernel(fps))
+        n = s.lag_rows(fps)
+        for k, x in enumerate(own):
+            far = None if k < n else ((x.position_x - own[k - n].position_x) ** 2 + (x.position_y - own[k - n].position_y) ** 2) ** 0.5 / s.px_per_um
+            assert x.lag_displacement == (far if far is None else pytest.approx(far)), (fps, k)
+
+
 def test_settings_are_checked():
     for wrong in ({"fps": 0}, {"area_lower": 60}, {"filters": 1}, {"shape": "cube"}):
         with pytest.raises(ValueError):
@@ -189,7 +217,6 @@ def test_settings_that_change_the_selection(spark):
     recordings = spark.createDataFrame([(1, 25.0, None, 10)], "recording_id long, fps double, frame_height int, frame_width int")
     rows = spark.createDataFrame([(1,)], "recording_id long")
     assert select.with_recording(rows, recordings, Settings(force_fps=True)).first().fps == 30.0
-    assert select.frame_rates(recordings, Settings()) == [25.0] and select.frame_rates(recordings.limit(0), Settings()) == []
     cut = select.cut_tracks(table(spark, {1: [(t if t < 30 else t + 9, 100 + t, 100) for t in range(60)], 2: straight(60)}), Settings(**{**S.__dict__, "max_recursion_depth": 0}))
     assert {r.track_id for r in select.fragment_profile(cut, S).collect()} == {2}
     exact, near = (select.select_tracks(table(spark, {1: straight(60), 2: straight(80)}), S, accuracy).count() for accuracy in (None, 10_000))
