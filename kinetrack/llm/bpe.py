@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,10 @@ from .tokens import piece_starts, tokenizer
 WORDS, LONGEST = 65_536, 48
 #: Pieces outside the lexicon that a worker remembers; distinct pieces that a task counts before it passes them on.
 REMEMBER, HELD = 1 << 18, 1 << 18
+#: The rank of pairs that never merge.
+NEVER = np.iinfo(np.int32).max
+#: Pieces that the pre-tokenizer leaves whole: letters, digits or signs, with a space before them or not.
+PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 
 
 def byte_signs() -> list[str]:
@@ -54,6 +59,14 @@ class Merger:
         self.one = {s: vocab[s] for s in signs}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        # The merges as sorted keys of pairs, for many pieces at once.
+        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        ranks = np.array(list(self.rank.values()), np.int64).reshape(-1, 2)
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], np.iinfo(np.int64).max), np.append(ranks[order, 0], NEVER).astype(np.int32)
+        self.made = np.zeros(len(keys) + 1, np.int64)
+        self.made[ranks[:, 0]] = ranks[:, 1]
+        self.of_byte = np.array([self.one[s] for s in signs], np.int64)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         to_byte = {s: b for b, s in enumerate(signs)}
@@ -114,15 +127,47 @@ class Merger:
                 out += ids
         return out
 
-    def piece(self, piece: bytes) -> list[int]:
-        """``encode`` that remembers short pieces."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.encode(piece.decode())
-            if len(piece) <= LONGEST:
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """``merge`` of many words at once: in each step every word that can still merge does its first merge of the lowest rank."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ids, word = self.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.repeat(np.arange(len(words)), size)
+        done_ids, done_words = [], []
+        while len(ids):
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.searchsorted(self.keys, key)
+            rank = np.append(np.where((self.keys[at] == key) & (word[1:] == word[:-1]), self.ranks[at], NEVER), NEVER)
+            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            size = np.diff(np.append(begin, len(word)))
+            least = np.repeat(np.minimum.reduceat(rank, begin), size)
+            ended = least == NEVER
+            done_ids.append(ids[ended])
+            done_words.append(word[ended])
+            hit = np.flatnonzero((rank == least) & ~ended)
+            hit = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])] if len(hit) else hit
+            ids[hit] = self.made[rank[hit]]
+            left = ~ended
+            left[hit + 1] = False
+            ids, word = ids[left], word[left]
+        ids, word = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (done_ids, done_words))
+        order = np.argsort(word, kind="stable")
+        cut = np.searchsorted(word[order], np.arange(len(words) + 1)).tolist()
+        flat = ids[order].tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]  # noqa: B905
+
+    def pieces_of(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of distinct pieces; short ones are remembered."""
+        found = [self.pieces.get(p) for p in pieces]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        plain = [k for k in new if len(pieces[k]) <= LONGEST and PLAIN.fullmatch(pieces[k])]
+        for k, ids in zip(plain, self.merge_many([pieces[k] for k in plain]), strict=True):
+            found[k] = ids
+        for k in new:
+            if found[k] is None:
+                found[k] = self.encode(pieces[k].decode())
+            if len(pieces[k]) <= LONGEST:
                 self.pieces = {} if len(self.pieces) >= REMEMBER else self.pieces
-                self.pieces[piece] = ids
-        return ids
+                self.pieces[pieces[k]] = found[k]
+        return found
 
 
 @cache
@@ -143,18 +188,12 @@ def _encode(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon, m: Merger)
     start, size = _cut(data, offsets, m)
     number = lexicon.find(data, start, size)
     unseen = np.flatnonzero(number < 0)
-    raw, own, ids, first = data.tobytes(), {}, [], [0]
-    of = []
-    for a, n in zip(start[unseen].tolist(), size[unseen].tolist(), strict=True):
-        piece = raw[a : a + n]
-        at = own.get(piece)
-        if at is None:
-            at = own[piece] = len(own)
-            ids += m.piece(piece)
-            first.append(len(ids))
-        of.append(at)
+    raw, own = data.tobytes(), {}
+    of = [own.setdefault(raw[a:b], len(own)) for a, b in zip(start[unseen].tolist(), (start + size)[unseen].tolist(), strict=True)]
     number[unseen] = len(lexicon) + np.array(of, np.int64)
-    out, count = spread(lexicon, number, np.array(first), np.array(ids, np.int32))
+    found = m.pieces_of(list(own))
+    first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    out, count = spread(lexicon, number, first, np.fromiter(chain.from_iterable(found), np.int32, first[-1]))
     total = np.concatenate([[0], np.cumsum(count)])
     return out, total[np.searchsorted(start, offsets)]
 
