@@ -95,6 +95,15 @@ class Tracker:
     at: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     extra: np.ndarray = field(default_factory=lambda: np.zeros((0, 3)))
     missed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: Whether to look for two objects that are equally near to one detection, and whether there were any.
+    watch: bool = False
+    tied: bool = False
+
+    def _look_for_ties(self, want: np.ndarray, distance: np.ndarray) -> None:
+        by = np.lexsort((distance, want))
+        w, d = want[by], distance[by]
+        nearest = np.append(True, w[1:] != w[:-1])[:-1]
+        self.tied |= bool((nearest & (w[1:] == w[:-1]) & (d[1:] == d[:-1])).any())
 
     def _register(self, at: np.ndarray, extra: np.ndarray) -> None:
         k = len(at)
@@ -122,6 +131,8 @@ class Tracker:
         else:
             far = np.sqrt(((self.at[:, None, :] - at[None, :, :]) ** 2).sum(axis=2))
             want, distance = far.argmin(axis=1), far.min(axis=1)
+            if self.watch:
+                self._look_for_ties(want, distance)
             # Of the objects that want a detection the closest has it; ties go to the one registered first.
             order = np.lexsort((np.arange(len(want)), distance))
             taken, first = np.unique(want[order], return_index=True)

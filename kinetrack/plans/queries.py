@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evaluate, linking, select, summary, tracking
+from ..operators import evaluate, linking, select, slices, summary, tracking
 from ..schemas import KEY, TRACK_COLUMNS
 from ..sources import files
 from ..sources.tables import scratch, written
@@ -542,6 +542,11 @@ def t1_track(spark, sf_dir):
     return rounded(tracking.track(_tracked(spark, sf_dir)))
 
 
+@query()
+def t1_track_in_slices(spark, sf_dir):
+    return rounded(slices.track_in_slices(_tracked(spark, sf_dir), 200))
+
+
 @query()
 def t1_track_filtered(spark, sf_dir):
     return rounded(tracking.track(_tracked(spark, sf_dir), S))
@@ -614,7 +619,9 @@ def x3_from_detections(spark, sf_dir):
 @query()
 def t2_track_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    d = fixtures.detections(fixtures.tracks(spark, sf_dir)).join(fixtures.recordings(spark, sf_dir).select("recording_id", "fps"), "recording_id", "left")
+    d = fixtures.detections(fixtures.tracks(spark, sf_dir))
+    ends = d.groupBy("recording_id").agg((F.max("frame") + 1).alias("frame"))
+    d = d.unionByName(ends, allowMissingColumns=True).join(fixtures.recordings(spark, sf_dir).select("recording_id", "fps"), "recording_id", "left")
     return rounded(_streamed(spark, jobs.track_stream, d))
 
 

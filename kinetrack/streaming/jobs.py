@@ -24,7 +24,9 @@ _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
 class StreamingTracker(StatefulProcessor):
     """The batch tracker's state machine per recording; frames wait in state until the watermark has passed them.
 
-    A recording without detections for ``idle`` seconds of event time is over: its state goes.
+    A row without ``det_id`` says that the recording has ended and how many frames it has: what waits is walked at
+    once, up to that frame, and all state goes. Without such a row a recording that has no detections for ``idle``
+    seconds of event time is over; only its next id is kept, so that ids never repeat should it go on.
     """
 
     def __init__(self, settings: Settings | None, idle: float):
@@ -35,11 +37,14 @@ class StreamingTracker(StatefulProcessor):
         self.rate = handle.getValueState("rate", "fps double")
         self.saved = handle.getValueState("tracker", "tracker binary, frame long")
         self.waiting = handle.getMapState("waiting", "frame long", "rows binary")
+        self.next_id = handle.getValueState("next_id", "id long")
 
-    def _advance(self, recording: int, upto: int) -> Iterator[pd.DataFrame]:
-        """Walk the waiting frames before ``upto``."""
+    def _advance(self, recording: int, upto: int, end: bool = False) -> Iterator[pd.DataFrame]:
+        """Walk the waiting frames before ``upto``; at the recording's ``end`` also those after the last that waits."""
         state = self.saved.get() if self.saved.exists() else None
         tracker, frame = (pickle.loads(state[0]), state[1]) if state else (new_tracker(self.rate.get()[0], self.settings), None)
+        if not state and self.next_id.exists():
+            tracker.next_id = self.next_id.get()[0]
         ready = sorted(k[0] for k in self.waiting.keys() if k[0] < upto)
         rows = []
         for f in ready:
@@ -50,6 +55,9 @@ class StreamingTracker(StatefulProcessor):
             rows.append(rows_of(recording, f, tracker.step(d[:, :2], d[:, 2:])))
             self.waiting.removeKey((f,))
             frame = f + 1
+        while end and frame is not None and frame < upto and len(tracker.ids):
+            rows.append(rows_of(recording, frame, tracker.step(np.zeros((0, 2)), np.zeros((0, 3)))))
+            frame += 1
         if ready:
             self.saved.update((pickle.dumps(tracker), frame))
         if rows:
@@ -66,19 +74,30 @@ class StreamingTracker(StatefulProcessor):
         if over > mark:
             self.handle.registerTimer(over)
         else:
+            self.next_id.update((pickle.loads(self.saved.get()[0]).next_id,))
             for state in (self.rate, self.saved):
                 state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        end = None
         for part in rows:
             if len(part) and not self.rate.exists():
                 self.rate.update((float(part["fps"].iloc[0]),))
+            marks = part[part["det_id"].isna()]
+            if len(marks):
+                end, part = int(marks["frame"].max()), part[part["det_id"].notna()]
             for f, own in part.groupby("frame"):
                 held = pickle.loads(self.waiting.getValue((int(f),))[0]) if self.waiting.containsKey((int(f),)) else []
                 held += list(own[["det_id", "x", "y", "width", "height", "degrees_angle"]].itertuples(index=False, name=None))
                 self.waiting.updateValue((int(f),), (pickle.dumps(held),))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+        if end is not None:
+            last = max((k[0] for k in self.waiting.keys()), default=-1)
+            yield from self._advance(key[0], max(end, last + 1), end=True)
+            for state in (self.rate, self.saved, self.next_id):
+                state.clear()
+            return
         self._wait(timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({n: [] for n in _NAMES})
 
@@ -95,7 +114,9 @@ def track_stream(detections: DataFrame, fps: float | None = None, settings: Sett
     """Track a stream of detections. Event time is frame / fps seconds, a second later; needs the RocksDB state store.
 
     Without ``fps`` each recording has the rate in its rows' column ``fps`` (NULL or not above 0: the settings' default).
-    ``idle`` must be longer than any pause inside a recording: detections after it are tracked as a new one.
+    A row without ``det_id`` ends its recording: ``frame`` is then the number of frames, and what comes later is of a new
+    one. Without an end, the frames of the last ``delay`` stay in state. ``idle`` must be longer than any pause inside a
+    recording: objects after it are new ones.
     """
     rate = F.lit(float(fps)) if fps else F.when(F.col("fps") > 0, F.col("fps")).otherwise(F.lit((settings or Settings()).fps)).cast("double")
     timed = detections.withColumn("fps", rate)

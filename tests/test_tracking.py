@@ -188,7 +188,34 @@ def test_streaming_tracker_takes_rates_and_ends_recordings(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out").where("recording_id < 9")
     want = tracking.track(spark.createDataFrame(rows, COLUMNS))
     assert sorted(map(tuple, got.where("position_t < 100").collect())) == sorted(map(tuple, want.collect()))
-    assert [tuple(r)[:3] for r in got.where("position_t >= 100").collect()] == [(0, 0, 9200)]
+    # What comes after the end has an id of its own.
+    after = 1 + max(r.track_id for r in want.collect() if r.recording_id == 0)
+    assert [tuple(r)[:3] for r in got.where("position_t >= 100").collect()] == [(0, after, 9200)]
+
+
+def test_end_rows_close_streamed_recordings(spark, tmp_path):
+    """Nothing waits in state once a recording's end has come, and its rows are those of the walk to the same frame."""
+    from kinetrack.streaming import jobs
+
+    counts = {0: 30, 1: 33, 2: 60}
+    rows = [(r, f, k, *d, 4.0, counts[r]) for r in counts for f, ds in random_frames(r, 30, 3).items() for k, d in enumerate(ds)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    df.where("frame < 20").drop("frame_count").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    ends = spark.createDataFrame(list(counts.items()), "recording_id long, frame long").withColumn("fps", F.lit(4.0))
+    time.sleep(0.1)
+    df.where("frame >= 20").drop("frame_count").unionByName(ends, allowMissingColumns=True).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    source = spark.readStream.schema(df.drop("frame_count").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.write_stream(jobs.track_stream(source), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, tracking.track(df).collect()))
+
+
+def test_streamed_and_sliced_queries_give_the_batch_rows(spark):
+    from kinetrack.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, queries.QUERIES["t1_track"](spark, sf).collect()))
+    assert sorted(map(tuple, queries.QUERIES["t2_track_stream"](spark, sf).collect())) == want
+    assert sorted(map(tuple, queries.QUERIES["t1_track_in_slices"](spark, sf).collect())) == want
 
 
 def test_markers_inside_turned_boxes(spark):
