@@ -33,8 +33,9 @@ STANDS_FOR = {
 SIGN_COST, RUN_COST = 0.7, 0.3
 SIGNS = re.escape("".join(STANDS_FOR))
 UNIT = rf"(?:[^\W\d_]|[{SIGNS.replace(re.escape('*'), '')}])"
-#: Three or more letters or signs apart, with a letter among them. Possessive separators keep the search linear.
-APART = re.compile(rf"(?<![\w{SIGNS}]){UNIT}(?:[\s.\-_*]++{UNIT}){{2,}}(?![\w{SIGNS}])")
+#: Three or more letters or signs apart, as far as they go. Nothing is given back, so the search is linear.
+APART = re.compile(rf"(?<![\w{SIGNS}]){UNIT}(?:[\s.\-_*]++{UNIT}){{2,}}+")
+BETWEEN, JOINED = re.compile(r"[\s.\-_*]"), re.compile(rf"[\w{SIGNS}]")
 #: A sign or a doubled letter, in lower case.
 DISGUISED = re.compile(rf"[{SIGNS}]|([^\W\d_])\1")
 LETTER = re.compile(r"[^\W\d_]")
@@ -160,8 +161,7 @@ def apart(text: str) -> set[str]:
     Stars alone between letters are separators, among others they stand for a letter.
     """
     found = set()
-    for m in APART.finditer(text):
-        run = m.group(0)
+    for run in apart_runs(text):
         if LETTER.search(run):
             units = [c for c in re.split(r"[\s.\-_]+", run) if c]
             units = "".join(units) if len(units) > 1 and max(map(len, units)) == 1 else run.translate(_NO_SEPARATORS)
@@ -203,6 +203,18 @@ def words_of(word: str, letters: list[float]) -> set[str]:
     return found
 
 
+def apart_runs(text: str) -> Iterator[str]:
+    """Runs of three or more letters or signs apart, up to the last one that nothing is joined to."""
+    for m in APART.finditer(text):
+        begin, end = m.span()
+        while end > begin and end < len(text) and JOINED.match(text, end):
+            end -= 1
+            while end > begin and BETWEEN.match(text, end - 1):
+                end -= 1
+        if len(BETWEEN.sub("", text[begin:end])) > 2:
+            yield text[begin:end]
+
+
 def all_words(text: str, letters: list[float], known: dict[str, set[str]]) -> set[str]:
     """All words of a text in lower case, the restored ones included; ``known`` remembers those of runs."""
     found: set[str] = set()
