@@ -176,5 +176,8 @@ def pack_documents(docs: DataFrame, path: Callable[[], str] | str, id_col: str =
     Null and repeated ids are packed like others. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows of one id, equal ones too, may lie in several tasks.
+    keys = ["doc_id", "hash", "row"]
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return ordered.mapInArrow(_pack(path, limit, block), SCHEMA)
