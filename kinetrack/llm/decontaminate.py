@@ -1,15 +1,18 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each task builds suffix arrays (shards) of the words of its documents and binary-searches every suffix
-of every benchmark item in them. The neighbours of the insertion point give the longest verbatim match
+Each task builds suffix arrays (shards) of the words of its documents and binary-searches the benchmark
+items' suffixes in them. The neighbours of the insertion point give the longest verbatim match
 of that suffix in the shard, and the range of suffixes that share a whole window gives its locations.
 Only document words in runs of the benchmark's own words that are as long as the shortest window can
-begin a match, so only those enter a shard.
+begin a match, so only those enter a shard. Of the items' suffixes only those whose first words stand
+together in the shard can be found there: they are looked up by the shard's own stretches of words in a list
+that is sorted once, so the work follows the text, not the benchmark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from . import words as W
 
 WINDOW = 10
+#: First words by which the items' suffixes are looked up.
+HEAD = 5
 #: Characters of benchmark text that are sent to the tasks at once; a longer benchmark is searched in blocks.
 BLOCK_CHARS = 4_000_000
 
@@ -42,6 +47,33 @@ class Items:
         self.ranks = np.concatenate([ranks + 1, np.zeros(window, np.int64)])
         self.least = int(self.length.min()) if len(self.length) else 0
         self.left = w.first[self.item + 1] - self.at  # words from a window's first to its item's end
+        # For each number of first words: the windows by the hash of those.
+        self.heads: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        k_of = np.minimum(self.length, HEAD)
+        for k in np.unique(k_of).tolist():
+            own = np.flatnonzero(k_of == k)
+            head = stretch_hashes(self.ranks, self.at[own], k)
+            order = np.argsort(head, kind="stable")
+            self.heads[k] = head[order], own[order]
+
+    def present(self, shard: np.ndarray) -> np.ndarray:
+        """Windows whose first words stand together in the shard."""
+        found = [np.zeros(0, np.int64)]
+        for k, (heads, windows) in self.heads.items():
+            known = np.append(shard, np.zeros(k - 1, np.int64)) > 0
+            at = np.flatnonzero(np.logical_and.reduce([known[j : j + len(shard)] for j in range(k)]))
+            names = np.unique(stretch_hashes(np.append(shard, np.zeros(k, np.int64)), at, k))
+            low, high = np.searchsorted(heads, names), np.searchsorted(heads, names, "right")
+            found.append(windows[W.ranges(low, high - low)])
+        return np.sort(np.concatenate(found))
+
+
+def stretch_hashes(ranks: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k ranks from each place on."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(k):
+        h = W.mix(h ^ ranks[at + j].astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+    return h
 
 
 def suffix_array(ranks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,28 +98,30 @@ def find_matches(ranks: np.ndarray, doc: np.ndarray, items: Items) -> tuple[np.n
     array = array[ranks[array] > 0]
     padded = np.concatenate([ranks, np.zeros(2 * items.window + 1, np.int64)])
     own = np.concatenate([items.ranks, np.zeros(2 * items.window + 1, np.int64)])
+    chosen = items.present(ranks)
+    begin, length = items.at[chosen], items.length[chosen]
 
     def bound(upper: bool) -> np.ndarray:
-        """Binary search of every item suffix among the sorted suffixes, all at once."""
-        low, high = np.zeros(len(items.at), np.int64), np.full(len(items.at), len(array))
+        """Binary search of the chosen item suffixes among the sorted suffixes, all at once."""
+        low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(array))
         while (open_ := low < high).any():
             mid = (low + high) // 2
             order, same = np.zeros(len(low), np.int8), np.ones(len(low), bool)
             here = array[np.minimum(mid, len(array) - 1)]
             for j in range(items.window):
-                a, b = padded[here + j], own[items.at + j]
-                same &= j < items.length
+                a, b = padded[here + j], own[begin + j]
+                same &= j < length
                 order = np.where(same & (a != b), np.where(a < b, -1, 1), order).astype(np.int8)
                 same &= a == b
             goes_up = open_ & ((order < 0) | ((order == 0) & upper))
             low, high = np.where(goes_up, mid + 1, low), np.where(open_ & ~goes_up, mid, high)
         return low
 
-    if not len(array) or not len(items.at):
+    if not len(array) or not len(chosen):
         return (np.zeros(0, np.int64),) * 3
     low = bound(False)
     count = bound(True) - low
-    window = np.repeat(np.arange(len(low)), count)
+    window = np.repeat(chosen, count)
     where = array[W.ranges(low, count)]
     verbatim, going, j = np.zeros(len(where), np.int64), np.arange(len(where)), 0
     while len(going):  # the matches that still go on
@@ -151,7 +185,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     """
     out = docs.drop("n_words", "spans").withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(SPANS)})
     spark = docs.sparkSession
-    for items in [*item_blocks(benchmark, item_id, item_text, window, block_chars)] or [Items([], window)]:
+    blocks = item_blocks(benchmark, item_id, item_text, window, block_chars)
+    for items in chain([next(blocks, Items([], window))], blocks):
         sent = spark.sparkContext.broadcast(items)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
