@@ -75,7 +75,7 @@ class Stretches:
 
 
 def _marked(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    spot = prints >> np.uint64(64 - BITS)
+    spot = prints >> np.uint64(64 - (8 * len(bits) - 1).bit_length())
     return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -132,15 +132,16 @@ def _count_prints(chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]
 
 def _frequent_bits(texts: DataFrame, chosen: Callable[[Stretches, np.ndarray], Iterator[np.ndarray]], least: int, bits: int) -> np.ndarray:
     """Table of bits of the fingerprints that occur ``least`` times or more. Its size is fixed."""
+    size = BITS
 
     def to_bits(table: pa.Table) -> pa.Table:
         cells = zip(table.column("prints").to_pylist(), table.column("counts").to_pylist(), strict=True)
         prints, counts = _counted([(unpack_sorted(p), unpack(c, np.uint64)) for p, c in cells])
-        spots = np.unique(prints[counts >= least] >> np.uint64(PRINT - BITS)).astype(np.uint32)
+        spots = np.unique(prints[counts >= least] >> np.uint64(PRINT - size)).astype(np.uint32)
         return pa.table({"spots": pa.array([pack(np.diff(spots, prepend=np.uint32(0)))], pa.binary())})
 
     rows = texts.mapInArrow(_count_prints(chosen, bits), "bucket long, prints binary, counts binary")
-    found = np.zeros(1 << BITS, bool)
+    found = np.zeros(1 << size, bool)
     # At most one number for each bit, as compressed steps.
     for r in rows.groupBy("bucket").applyInArrow(to_bits, "spots binary").collect():
         found[np.cumsum(unpack(r["spots"], np.uint32), dtype=np.uint32)] = True

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinetrack.llm import chat_format, decontaminate, exact_dedup, histogram_shards, language_id, packing, queries, repeated_passages, shingle_join, token_counts, toxicity
+from kinetrack.llm import bpe, chat_format, decontaminate, exact_dedup, histogram_shards, language_id, lexicon, packing, periodic_runs, phrases, queries, repeated_passages, shingle_join, token_counts, toxicity
 from kinetrack.llm.tables import written
 
 SF = "/root/testdata/sf0.001"
@@ -350,7 +350,7 @@ def test_long_disguised_words_are_decoded(spark):
 def test_long_texts_take_linear_time(spark):
     r, letters = random.Random(2), letters_of(spark)
     model = toxicity.Model(letters, {"idiot": 9.0}, -3.0)
-    for text in ("".join(r.choice("abcdefgh") for _ in range(70_000)), "漢字" * 35_000, "a" + "*" * 70_000 + "b", "a . " * 20_000, "1l|" * 10_000, " " * 70_000):
+    for text in ("".join(r.choice("abcdefgh") for _ in range(70_000)), "漢字" * 35_000, "a" + "*" * 70_000 + "b", "a . " * 20_000, "1l|" * 10_000, " " * 70_000, "a* " * 30_000 + "ab"):
         begin = time.monotonic()
         assert model.score(text) < 0.5 < model.score(text + " 1d10t")
         assert time.monotonic() - begin < 10
@@ -508,11 +508,14 @@ def test_cuts_are_optimal():
 def brute_hits(text, items, window):
     words = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
     w, hit, names = words(text), set(), set()
+    places = {}
+    for p, x in enumerate(w):
+        places.setdefault(x, []).append(p)
     for name, t in items:
         own = words(t)
         for k in range(max(1, len(own) - window + 1) if own else 0):
             part = own[k : k + window]
-            for p in range(len(w) - len(part) + 1):
+            for p in places.get(part[0], ()):
                 if w[p : p + len(part)] == part:
                     hit |= set(range(p, p + len(part)))
                     names.add(name)
@@ -577,6 +580,68 @@ def test_digest_is_of_the_text(spark):
     assert all(got[r.doc_id] == hashlib.sha256((r.text or "").encode()).hexdigest() for r in queries.table(spark, SF, "documents").collect())
 
 
+def packed_as_stated(got, want):
+    """Pieces hold each id of each document once, in order; sequences are gapless and 2048 long or a power of two, but for their padding. ``want``: id -> the documents' ids."""
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert set(by_doc) == set(want)
+    for i, own in by_doc.items():
+        left = sorted(want[i], key=len)
+        assert sum(r.length for r in own) == sum(map(len, left)) and all(r.length > 0 and r.doc_tokens in set(map(len, left)) for r in own)
+        if len(left) == 1:
+            at = 0
+            for r in sorted(own, key=lambda r: r.start):
+                assert r.start == at and r.ids_crc32 == zlib.crc32(np.array(left[0][at : at + r.length], "<u4").tobytes())
+                at += r.length
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append(r)
+    lengths = []
+    for own in sequences.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+        lengths.append(at)
+    padding = sum(2048 - n for n in lengths if n & (n - 1))
+    assert padding <= 0.1 * sum(lengths) + 2048 * 64
+
+
+def plain_runs(words, least=12):
+    """Maximal runs by comparing each word with the one a period before."""
+    out = []
+    for q in range(1, len(words) // 2 + 1):
+        same = [words[i] == words[i - q] for i in range(q, len(words))] + [False]
+        begin = None
+        for i, s in enumerate(same):
+            if s and begin is None:
+                begin = i
+            elif not s and begin is not None:
+                length = i - begin + q
+                if length >= max(least, 2 * q) and not any(q % p == 0 and all(words[k] == words[k - p] for k in range(begin + p, begin + length)) for p in range(1, q)):
+                    out.append((begin, length, q))
+                begin = None
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def brute_digest(doc_id, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n, h = len(words), zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = plain_runs(words)
+    gone = {k for s, length, q in runs for k in range(s + q, s + length)}
+    best = max(runs, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    four = (None,) * 4 if best is None else (*best, 1000 * best[1] // best[2])
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return len(runs), *four, sha("".join(f"{s},{length},{q}\n" for s, length, q in runs)), sha(" ".join(w for k, w in enumerate(words) if k not in gone))
+
+
 CONTRACTS = {
     "op1_jaccard_join": "doc_id n_shingles component_id",
     "op2_repeated_passages": "doc_id start_word n_words partner_id partner_start partner_words similarity keeps class_id",
@@ -586,6 +651,8 @@ CONTRACTS = {
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_bpe_round_trip": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op13_periodic_runs": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
@@ -607,6 +674,12 @@ def test_registered_queries(spark, name):
         assert all((by_id[r.doc_id].n_shingles, by_id[r.doc_id].component_id) == (len(sets[k]), names[k]) for k, r in enumerate(rows))
     elif name == "op3_histogram_shards":
         assert {r.law for r in got} == {"bytes"} and all(r.grown_shard is None and 0 <= r.shard < 16 and r.size == len(texts[r.doc_id].encode()) + 1 for r in got)
+        assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
+        total, largest = sum(r.size for r in got), max(r.size for r in got)
+        for shard in range(16):
+            own = [r for r in got if r.shard == shard]
+            assert sorted(r.slot for r in own) == list(range(len(own)))
+            assert abs(sum(r.size for r in own) - total / 16) <= 0.02 * total / 16 + 2 * largest
     elif name == "op5_language_id":
         lang = {r.doc_id: r.lang for r in rows}
         assert all(r.held_out == (crc(r.doc_id) % 4 == 2) for r in got)
@@ -618,13 +691,21 @@ def test_registered_queries(spark, name):
         held = [r for r in got if r.held_out and marks.get(r.doc_id) is not None]
         assert sum(r.predicted == marks[r.doc_id] for r in held) >= 0.9 * len(held)
     elif name == "op8_packing":
-        assert {r.doc_id for r in got} == set(texts) and sum(r.length for r in got) == sum(len(e) + 1 for e in encodings(list(texts.values())))
+        packed_as_stated(got, {i: [[*e, 1]] for i, e in zip(texts, encodings(list(texts.values())))})
     elif name == "op9_token_counts":
         want = dict(zip(texts, map(len, encodings(list(texts.values())))))
         assert all((r.n_tokens, r.n_bytes, r.over_limit) == (want[r.doc_id], len(texts[r.doc_id].encode()), want[r.doc_id] > 512) for r in got)
+    elif name == "op11_bpe_round_trip":
+        want = dict(zip(texts, encodings(list(texts.values()))))
+        for r in got:
+            ids = ",".join(map(str, want[r.doc_id]))
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want[r.doc_id]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+    elif name == "op13_periodic_runs":
+        for r in got:
+            assert tuple(r) == (r.doc_id, *brute_digest(r.doc_id, texts[r.doc_id]))
     elif name == "op10_decontaminate":
         items = [(str(b.item_id), b.text) for b in queries.table(spark, SF, "benchmark").collect()]
-        for r in got[:40]:
+        for r in got:
             n, hit, found = brute_hits(texts[r.doc_id], items, 10)
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0)
 
@@ -664,3 +745,157 @@ def test_passages_against_all_pairs(spark):
     assert len(found & near) >= 0.9 * len(near)
     group = {x.doc_id: x.class_id for x in got}
     assert all(group[x.doc_id] == group[x.partner_id] <= x.doc_id for x in got)
+
+
+def test_packing_spreads_one_id(spark, docs, empty):
+    """Thousands of rows without an id, many of them equal, are not left to one task."""
+    rows = [(None, f"text {i % 40} " * 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(df, queries.tokenizer_path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    packed_as_stated(got.collect(), {None: [[*e, 1] for e in encodings([t for _, t in rows])]})
+    assert packing.pack_documents(empty, queries.tokenizer_path).count() == 0
+
+
+def test_bpe_round_trip(spark, docs, empty):
+    want = sorted(((r.doc_id, e, r.text or "") for r, e in zip(docs.collect(), encodings([r.text for r in docs.collect()]))), key=repr)
+    for words in (0, 7, 65_536):
+        got = bpe.encode(docs, queries.tokenizer_path, words=words, decoded=True)
+        assert sorted(((r.doc_id, r.ids, r.decoded) for r in got.collect()), key=repr) == want
+    assert bpe.encode(empty, queries.tokenizer_path).count() == 0
+
+
+def test_merges_and_decoding_are_the_library_s(spark):
+    from tokenizers import Tokenizer
+
+    library, m, r = Tokenizer.from_file(queries.tokenizer_path()), bpe.Merger(queries.tokenizer_path()), random.Random(6)
+    signs = [*"abcdefghijABC   '.,!?\n\t12_", "é", "ß", "中", "<|endoftext|>", "'ll", "\xa0", "😀", "٣", "x" * 100, "№"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 50))) for _ in range(400)] + ["ab" * 5000]
+    assert all(m.encode(t) == library.encode(t, add_special_tokens=False).ids for t in texts)
+    plain = [w for t in texts for w in re.findall(r" ?[a-zA-Z]+", t)]
+    assert m.merge_many([w.encode() for w in plain]) == [library.encode(w).ids for w in plain]
+    lists = [None, [], [-1], [10**6], *([r.randrange(50257) for _ in range(r.randint(1, 20))] for _ in range(50))]
+    df = spark.createDataFrame([(i, x, "old") for i, x in enumerate(lists)], "id long, ids array<int>, decoded string")
+    got = {x.id: x.decoded for x in bpe.decode(df, queries.tokenizer_path).collect()}
+    assert got == {i: library.decode([k for k in x or () if 0 <= k < 50257], skip_special_tokens=False) for i, x in enumerate(lists)}
+
+
+def test_lexicon_is_a_minimal_automaton():
+    r = random.Random(8)
+    words = sorted({bytes(r.choice(b"abcd") for _ in range(r.randint(0, 7))) for _ in range(2000)})
+    edges, final = lexicon.minimal_automaton(words)
+    below: dict[frozenset, int] = {}
+    for state in range(len(edges)):
+        endings = {b""} if final[state] else set()
+        for byte, to, _ in edges[state]:
+            endings |= {bytes([byte]) + e for e in ends[to]}
+        ends = (ends if state else {}) | {state: endings}
+        assert below.setdefault(frozenset(endings), state) == state, "two states accept the same endings"
+    assert ends[len(edges) - 1] == set(words)
+    compiled = lexicon.Lexicon(np.frombuffer(lexicon.compile_lexicon({w: [k] * (k % 3) for k, w in enumerate(words)}), np.int32))
+    asked = words + [bytes(r.choice(b"abcde") for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    size = np.array([len(w) for w in asked])
+    number = compiled.find(np.frombuffer(b"".join(asked) + b"\0", np.uint8), np.cumsum(size) - size, size)
+    known = {w: k for k, w in enumerate(words)}
+    assert number.tolist() == [known.get(w, -1) for w in asked]
+    assert all(compiled.ids[compiled.first[k] : compiled.first[k + 1]].tolist() == [k] * (k % 3) for k in range(len(words)))
+
+
+def test_periodic_runs(spark, docs, empty):
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = [r.choice("abcde"[: r.choice((1, 2, 3, 5))]) for _ in range(r.randint(0, 70))]
+        if words and r.random() < 0.6:
+            a = r.randrange(len(words))
+            p = 1 + (len(words) - a) // r.randint(2, 9)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(len(words))]
+        rows.append((i, r.choice((" ", "\n", "  ")).join(words)))
+    for df in (spark.createDataFrame(rows, "doc_id long, text string").repartition(2), docs.where("doc_id is null or doc_id not in (21, 22)")):
+        texts = sorted(((x.doc_id, x.text or "") for x in df.collect()), key=repr)
+        got = sorted(((x.doc_id, x.n_words, [tuple(y) for y in x.runs], x.collapsed) for x in periodic_runs.periodic_runs(df).collect()), key=repr)
+        want = []
+        for i, t in texts:
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            runs = plain_runs(words)
+            gone = {k for s, length, q in runs for k in range(s + q, s + length)}
+            want.append((i, len(words), runs, " ".join(w for k, w in enumerate(words) if k not in gone)))
+        assert got == sorted(want, key=repr)
+    assert periodic_runs.periodic_runs(empty).count() == 0
+    begin = time.monotonic()
+    one = periodic_runs.periodic_runs(spark.createDataFrame([(1, "the " * 200_000), (2, " ".join(r.choice("ab") for _ in range(100_000)))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(x) for x in one[0].runs] == [(0, 200_000, 1)] and one[0].collapsed == "the" and time.monotonic() - begin < 60
+
+
+def test_words_with_equal_hashes_are_compared():
+    from kinetrack.llm import words as W
+
+    raw = b" ".join(b"w%d" % i for i in range(24))
+    w = W.split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), W.SPACED, lower=False)
+    w.hash = np.tile(w.hash[:4], 6)
+    assert not len(periodic_runs.word_runs(w)[0])
+
+
+def plain_collocations(rows, least, top, longest=5):
+    counts, total = {}, {}
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate({c: c + 32 for c in range(65, 91)})):
+            w = [x for x in re.split(r"[ \t]+", piece) if x]
+            total[lang] = total.get(lang, 0) + len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    key = (lang, tuple(w[i : i + k]))
+                    counts[key] = counts.get(key, 0) + 1
+    good = {k: n for k, n in counts.items() if len(k[1]) > 1 and n >= least}
+    inside = {}
+    for (lang, w), n in good.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                inside[lang, w[i : i + k]] = max(n, inside.get((lang, w[i : i + k]), 0))
+    out = []
+    for (lang, w), a in good.items():
+        if inside.get((lang, w), 0) < a:
+            n = total[lang]
+            score, k = min((1000 * a * n // (counts[lang, w[:k]] * counts[lang, w[k:]]), k) for k in range(1, len(w)))
+            out.append((lang, -score, -a, " ".join(w).encode(), counts[lang, w[:k]], counts[lang, w[k:]], n))
+    ranked, seen = [], {}
+    for lang, score, a, phrase, left, right, n in sorted(out):
+        seen[lang] = seen.get(lang, 0) + 1
+        if seen[lang] <= top:
+            ranked.append((lang, seen[lang], phrase.decode(), -a, left, right, n, -score))
+    return ranked
+
+
+@pytest.mark.parametrize(("bits", "top"), [(27, 2000), (3, 2000), (27, 5)])
+def test_collocations(spark, docs, empty, monkeypatch, bits, top):
+    """Also with tables of eight bits, where all fingerprints look frequent."""
+    monkeypatch.setattr(phrases, "BITS", bits)
+    r = random.Random(13)
+    few = VOCABULARY[:12]
+    rows = [(i, r.choice(("en", "de", None)), "".join(r.choice(few) + r.choice(("  ", " ", " ", " ", "\t", ". ", "\n", "; ")) for _ in range(r.randint(0, 120)))) for i in range(120)]
+    rows += [(500 + i, "en", "Strong Tea is  strong tea, and über den wolken naïve") for i in range(30)] + [(900, None, None), (901, "fr", "")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4).withColumns({c: F.lit(c) for c in ("n", "phrase", "salt", "rank")})
+    got = phrases.collocations(df, least=20, top=top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_collocations([x[1:] for x in rows], 20, top)) and len(got) > 4
+    if top == 5:
+        assert phrases.collocations(empty).count() == 0 and phrases.frequent_phrases(empty).count() == 0
+
+
+def test_equal_fingerprints_are_told_apart_by_the_text(spark, monkeypatch):
+    """With fingerprints that are all equal the phrases and their counts are still those of the text."""
+    monkeypatch.setattr(phrases.Stretches, "prints", lambda self, at, k, salt: np.full(len(at), 1 << 63, np.uint64))
+    texts = [("en", "a b c. a b. c c c c"), ("de", "a b"), ("en", "b c c")]
+    import pyarrow as pa
+
+    class Bits:
+        value = np.full(1 << 24, 255, np.uint8)
+
+    batch = pa.record_batch([pa.array([x for x, _ in texts]), pa.array([1, 2, 1], pa.int64()), pa.array([t for _, t in texts])], names=["lang", "salt", "text"])
+    rows = pa.Table.from_batches(list(phrases._spell(Bits, Bits, Bits, 5, 6)(iter([batch]))))
+    got = {(x["lang"], x["phrase"]): x["n"] for x in phrases._add_up(1)(rows).to_pylist()}
+    assert got["en", "c c"] == 4 and got["en", "a b"] == 2 and got["de", "a b"] == 1 and got["en", "b c"] == 2 and got["en", "c"] == 7 and got["en", ""] == 12 and got["de", ""] == 2
