@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from . import words as W
 from .lexicon import Lexicon, compile_lexicon, mapped_lexicon, spread
-from .tables import text_or_empty
+from .tables import text_or_empty, written
 from .tokens import piece_starts, tokenizer
 
 #: Most words of the lexicon, and bytes of the longest one.
@@ -247,11 +247,23 @@ def _count_pieces(path: Callable[[], str] | str):
 
 
 def frequent_lexicon(docs: DataFrame, path: Callable[[], str] | str, text_col: str = "text", words: int = WORDS) -> bytes:
-    """The transducer of the ``words`` most frequent pieces of all texts (ties by bytes). Its size is bounded by ``words`` and ``LONGEST``."""
+    """The transducer of the most frequent pieces of all texts, at most ``words``. Its size is bounded by that and ``LONGEST``.
+
+    A histogram of the pieces by their counts, to eight binary digits, says from which count on they are few enough;
+    no task and not the driver sees more of them.
+    """
     counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_count_pieces(path), "piece binary, n long")
-    top = counts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(words)
+    counts = counts.groupBy("piece").agg(F.sum("n").alias("n")).withColumn("digits", F.greatest(F.length(F.bin("n")) - 8, F.lit(0)))
+    counts = written(counts.select("piece", F.expr("shiftleft(shiftright(n, digits), digits)").alias("step")))
+    least, total = None, 0
+    for r in sorted(counts.groupBy("step").count().collect(), reverse=True):  # at most 128 steps for each power of two
+        total += r["count"]
+        if total > words:
+            break
+        least = r["step"]
+    top = counts.where(F.col("step") >= least).select("piece").collect() if least is not None else []
     m = merger(_path(path))
-    return compile_lexicon({(piece := bytes(r["piece"])): m.encode(piece.decode()) for r in top.toLocalIterator()})
+    return compile_lexicon({(piece := bytes(r["piece"])): m.encode(piece.decode()) for r in top})
 
 
 def _batches(path: Callable[[], str] | str, lexicon, decoded: bool):
