@@ -9,6 +9,7 @@ from ..functions.columns import WT, W, area, side_ratio, step
 from ..schemas import KEY, TRACK_COLUMNS
 from ..settings import Settings
 from ..sources.tables import written
+from .quantiles import quantiles
 
 
 def with_recording(df: DataFrame, recordings: DataFrame, s: Settings) -> DataFrame:
@@ -60,14 +61,25 @@ def clean_rows(df: DataFrame, s: Settings) -> DataFrame:
     return with_track_area(df).where(keep)
 
 
+def _quantiles(rows: DataFrame, value: str, probabilities: list[float], accuracy: int | None) -> DataFrame:
+    """Exact quantiles of each recording, or with ``accuracy`` those of a sketch in one pass."""
+    if accuracy:
+        return rows.groupBy("recording_id").agg(F.percentile_approx(value, probabilities, accuracy).alias("q"))
+    return quantiles(rows, value, probabilities)
+
+
+def cleaned(df: DataFrame, s: Settings) -> DataFrame:
+    """Cleaned rows with steps, of recordings that still have the minimal length. What is too short before is so after."""
+    return guard_recordings(written(with_speed(clean_rows(df, s))), s)
+
+
 def area_bounds(rows: DataFrame, s: Settings, accuracy: int | None = None) -> DataFrame:
     """Area quantiles q and 1 - q of each recording; without a quantile -1 and infinity."""
     q = s.area_quantile_percent / 100
     if not q:
         return rows.select("recording_id").distinct().select("recording_id", F.lit(-1.0).alias("q_lo"), F.lit(float("inf")).alias("q_hi"))
-    both = F.array(F.lit(q), F.lit(1 - q))
-    found = F.percentile_approx("area", [q, 1 - q], accuracy) if accuracy else F.percentile("area", both)
-    return rows.groupBy("recording_id").agg(found.alias("q")).select("recording_id", F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
+    found = _quantiles(rows, "area", [q, 1 - q], accuracy)
+    return found.select("recording_id", F.col("q")[0].alias("q_lo"), F.col("q")[1].alias("q_hi"))
 
 
 def with_speed(rows: DataFrame) -> DataFrame:
@@ -79,8 +91,7 @@ def with_speed(rows: DataFrame) -> DataFrame:
 
 def speed_fence(rows: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Per recording: upper quartile plus three times the quartile range of the speed."""
-    found = F.percentile_approx("speed", [0.25, 0.75], accuracy) if accuracy else F.percentile("speed", F.array(F.lit(0.25), F.lit(0.75)))
-    q = rows.groupBy("recording_id").agg(found.alias("q"))
+    q = _quantiles(rows, "speed", [0.25, 0.75], accuracy)
     return q.select("recording_id", (F.col("q")[1] + 3 * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
 
 
@@ -139,8 +150,7 @@ def fragment_reason(s: Settings) -> Column:
 def cut_tracks(df: DataFrame, s: Settings, accuracy: int | None = None) -> DataFrame:
     """Cleaned rows with area bounds, outlier flags and fragment ids. ``df`` has fps and frame size."""
     # Bounds, fences, shares and the cut itself read the cleaned rows, so they are written once.
-    rows = written(with_speed(clean_rows(guard_recordings(df, s), s)))
-    rows = guard_recordings(rows, s)
+    rows = cleaned(df, s)
     bounds = area_bounds(rows, s, accuracy).join(outlier_switch(rows, speed_fence(rows, accuracy), s), "recording_id")
     rows = rows.join(bounds, "recording_id")
     rows = rows.withColumn("outlier", F.col("use") & (F.col("speed") > F.col("fence")))

@@ -232,20 +232,67 @@ def track(detections: DataFrame, s: Settings | None = None, luminosity: bool = F
     return ordered.mapInArrow(_track(s, 2 + luminosity), schema)
 
 
+#: Rows of whole tracks that are filtered together.
+TOGETHER = 200_000
+
+
+def filter_together(at: np.ndarray, first: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Filtered positions of several tracks' rows; all tracks take a step at once, the longest first.
+
+    ``first`` has the first row of each track and the end.
+    """
+    size = np.diff(first)
+    order = np.argsort(-size, kind="stable")
+    begin, size = first[:-1][order], size[order]
+    out, bank = np.empty_like(at), FilterBank(lengths)
+    bank.add(len(order))
+    alive = len(order)
+    for t in range(int(size[0]) if len(size) else 0):
+        going = int(np.searchsorted(-size, -t, "left"))  # tracks with more than t rows
+        if going < alive:
+            bank.keep_only(np.arange(alive) < going)
+            alive = going
+        rows = begin[:alive] + t
+        out[rows] = bank.correct(at[rows])
+        bank.predict()
+    return out
+
+
+def _filter(lengths: list[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        enough = TOGETHER
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, enough
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = np.stack([table.column(c).fill_null(-1).to_numpy() for c in KEY])
+            first = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+            if not last:  # the last track may go on
+                first = first[:-1]
+            held = table.slice(int(first[-1])).to_batches()
+            ready = table.slice(0, int(first[-1]))
+            enough = max(TOGETHER, 2 * (table.num_rows - ready.num_rows))  # a long track is not put together again with each batch
+            if ready.num_rows:
+                at = filter_together(np.stack([ready.column(c).to_numpy() for c in ("position_x", "position_y")], axis=1), first, lengths)
+                ready = ready.append_column("filtered_x", pa.array(at[:, 0])).append_column("filtered_y", pa.array(at[:, 1]))
+                yield from ready.to_batches(max_chunksize=10_000)
+
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= enough:
+                yield from done(False)
+        if held:
+            yield from done(True)
+
+    return run
+
+
 def gsff(tracks: DataFrame, s: Settings, fps: float | None = None) -> DataFrame:
-    """Filter finished tracks: each row's corrected position in ``filtered_x`` and ``filtered_y``."""
-    lengths = horizons(s.filters, s.min_horizon, int(round(fps or s.fps)) if s.max_horizon is None else s.max_horizon)
+    """Filter finished tracks: each row's corrected position in ``filtered_x`` and ``filtered_y``.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("position_t")
-        bank = FilterBank(lengths)
-        bank.add(1)
-        out = []
-        for x, y in zip(table.column("position_x").to_pylist(), table.column("position_y").to_pylist(), strict=True):
-            out.append(bank.correct(np.array([[x, y]]))[0])
-            bank.predict()
-        both = np.array(out).reshape(-1, 2)
-        return table.append_column("filtered_x", pa.array(both[:, 0])).append_column("filtered_y", pa.array(both[:, 1]))
-
-    wanted = tracks.select(*KEY, "position_t", "position_x", "position_y")
-    return wanted.groupBy(*KEY).applyInArrow(run, "recording_id long, track_id long, position_t long, position_x double, position_y double, filtered_x double, filtered_y double")
+    The tracks of a partition are filtered together, row by row; a task holds about ``TOGETHER`` rows, or one track.
+    """
+    lengths = horizons(s.filters, s.min_horizon, int(round(fps or s.fps)) if s.max_horizon is None else s.max_horizon)
+    ordered = tracks.select(*KEY, "position_t", "position_x", "position_y").repartition(*KEY).sortWithinPartitions(*KEY, "position_t")
+    return ordered.mapInArrow(_filter(lengths), "recording_id long, track_id long, position_t long, position_x double, position_y double, filtered_x double, filtered_y double")

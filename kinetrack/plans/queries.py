@@ -184,8 +184,7 @@ def a1_track_median_area(spark, sf_dir):
 
 @query(f" SELECT {_T} FROM clean")
 def p7_clean_rows(spark, sf_dir):
-    rows = select.guard_recordings(prepared(spark, sf_dir), S)
-    return select.guard_recordings(select.clean_rows(rows, S), S).select(*TRACK_COLUMNS)
+    return select.cleaned(prepared(spark, sf_dir), S).select(*TRACK_COLUMNS)
 
 
 @query(" SELECT recording_id, name, frame_count FROM recordings WHERE frame_count >= 600 AND recording_id IN (SELECT recording_id FROM tracks)")

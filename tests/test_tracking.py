@@ -156,6 +156,42 @@ def test_gsff_equals_plain_version(spark):
     assert np.allclose([tuple(g) for g in got], want, atol=1e-6)
 
 
+def test_tracks_are_filtered_together(spark, monkeypatch):
+    """Tracks of all lengths in one lockstep walk, ten times as fast as one by one, whatever the batches."""
+    r, lengths = random.Random(17), tracking.horizons(3, 0, 12)
+    tracks = {(i % 3, i): [(100 + r.uniform(-9, 9) + k, 50 + r.uniform(-9, 9)) for k in range(r.choice((1, 2, 15, 40, 150)))] for i in range(300)}
+    want = {}
+    for key, points in list(tracks.items())[:60]:
+        plain = PlainFilter(lengths)
+        want[key] = []
+        for p in points:
+            want[key].append(plain.correct(p))
+            plain.predict()
+    rows = [(*key, t, *p) for key, points in tracks.items() for t, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "recording_id long, track_id long, position_t long, position_x double, position_y double").repartition(3)
+    got = {}
+    for x in tracking.gsff(df, Settings(max_horizon=12)).orderBy("position_t").collect():
+        got.setdefault((x.recording_id, x.track_id), []).append((x.filtered_x, x.filtered_y))
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in tracks.items()}
+    assert all(np.allclose(got[k], v, atol=1e-6) for k, v in want.items())
+    assert tracking.gsff(df.limit(0), Settings()).count() == 0
+
+    at = np.concatenate([np.array(v) for v in tracks.values()])
+    first = np.concatenate([[0], np.cumsum([len(v) for v in tracks.values()])])
+    begin = time.monotonic()
+    together = tracking.filter_together(at, first, lengths)
+    middle = time.monotonic()
+    alone = np.concatenate([tracking.filter_together(at[a:b], np.array([0, b - a]), lengths) for a, b in zip(first, first[1:], strict=False)])
+    assert np.allclose(together, alone, atol=1e-9) and time.monotonic() - middle > 10 * (middle - begin)
+    # Cut into small batches, tracks that go on in the next one are held back.
+    import pyarrow as pa
+
+    monkeypatch.setattr(tracking, "TOGETHER", 70)
+    table = pa.table({"recording_id": [k[0] for k, v in tracks.items() for _ in v], "track_id": [k[1] for k, v in tracks.items() for _ in v], "position_t": [t for v in tracks.values() for t in range(len(v))], "position_x": at[:, 0], "position_y": at[:, 1]})
+    parts = pa.Table.from_batches(list(tracking._filter(lengths)(iter(table.to_batches(max_chunksize=37)))))
+    assert np.allclose(parts.column("filtered_x").to_numpy(), together[:, 0], atol=1e-9)
+
+
 def test_streaming_tracker_equals_batch(spark, tmp_path):
     from kinetrack.streaming import jobs
 
