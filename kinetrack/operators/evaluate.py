@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -98,36 +100,73 @@ def median_speed(found: DataFrame, aligned: str = "recording") -> DataFrame:
     return sums.groupBy(*KEY).agg(F.median("path").alias("median_speed"))
 
 
-def hull_diameter(x: np.ndarray, y: np.ndarray) -> float:
-    """The largest distance between two points, by way of the convex hull."""
-    p = np.unique(np.stack([x, y], axis=1), axis=0)
-    if len(p) < 2:
-        return 0.0
-
-    def chain(points: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for q in points:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]):
+def hull(p: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points, counterclockwise; one or two where they are one point or on a line."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+    points = p.tolist()
+
+    def chain(order: list[list[float]]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for x, y in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
                 out.pop()
-            out.append(q)
+            out.append([x, y])
         return out
 
-    hull = np.array(chain(p)[:-1] + chain(p[::-1])[:-1])
-    best = 0.0
-    for k in range(0, len(hull), 256):  # a bounded part of the hull's pairs at a time
-        d = hull[k : k + 256, None, :] - hull[None, :, :]
-        best = max(best, float((d * d).sum(axis=2).max()))
-    return float(np.sqrt(best))
+    return np.array(chain(points)[:-1] + chain(points[::-1])[:-1])
+
+
+def diameter(corners: np.ndarray) -> float:
+    """The largest distance between two corners of a convex hull, by two parallel lines that turn around it."""
+    n, c = len(corners), corners.tolist()
+    if n < 3:
+        return float(np.hypot(*(corners[-1] - corners[0]))) if n else 0.0
+    cross = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    best, far = 0.0, 1
+    for i in range(n):
+        a, b = c[i], c[(i + 1) % n]
+        while cross(a, b, c[(far + 1) % n]) > cross(a, b, c[far]):
+            far = (far + 1) % n
+        for p in (c[far], c[(far + 1) % n]):  # parallel sides have both ends of the far one
+            for q in (a, b):
+                best = max(best, (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2)
+    return best**0.5
+
+
+def hull_diameter(x: np.ndarray, y: np.ndarray) -> float:
+    """The largest distance between two points, by way of the convex hull."""
+    return diameter(hull(np.stack([x, y], axis=1)))
+
+
+def _part_hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch the corners of each track's hull."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in KEY])
+        at = np.stack([batch.column(c).to_numpy() for c in ("x_norm", "y_norm")], axis=1)
+        order = np.lexsort(key[::-1])
+        key, at = key[:, order], at[order]
+        begin = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        hulls = [hull(at[a:b]) for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(at)], strict=True)]
+        of, corners = np.repeat(begin, [len(h) for h in hulls]), np.concatenate(hulls)
+        yield pa.record_batch([pa.array(key[0, of]), pa.array(key[1, of]), pa.array(corners[:, 0]), pa.array(corners[:, 1])], names=[*KEY, "x_norm", "y_norm"])
 
 
 def max_displacement(found: DataFrame) -> DataFrame:
-    """Largest distance between any two positions of a track (``x_norm``, ``y_norm``); 0 for a single row."""
+    """Largest distance between any two positions of a track (``x_norm``, ``y_norm``); 0 for a single row.
+
+    Each batch of rows is reduced to the hulls of its tracks where it lies; only their corners are shuffled and meet.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         d = hull_diameter(table.column("x_norm").to_numpy(), table.column("y_norm").to_numpy())
         return pa.table({**{k: table.column(k).slice(0, 1) for k in KEY}, "displacement_um": pa.array([d], pa.float64())})
 
-    return found.select(*KEY, "x_norm", "y_norm").groupBy(*KEY).applyInArrow(run, "recording_id long, track_id long, displacement_um double")
+    corners = found.select(*KEY, "x_norm", "y_norm").mapInArrow(_part_hulls, "recording_id long, track_id long, x_norm double, y_norm double")
+    return corners.groupBy(*KEY).applyInArrow(run, "recording_id long, track_id long, displacement_um double")
 
 
 def track_stats(found: DataFrame, aligned: str = "recording") -> DataFrame:

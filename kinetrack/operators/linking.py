@@ -48,13 +48,33 @@ def link_consecutive(detections: DataFrame) -> DataFrame:
     return want.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
 
+def _extents(df: DataFrame) -> DataFrame:
+    """Add half the width and height (``ex``, ``ey``) of the upright box around each turned one."""
+    a, w, h = F.radians("degrees_angle"), F.col("width") / 2, F.col("height") / 2
+    return df.withColumns({"ex": F.abs(w * F.cos(a)) + F.abs(h * F.sin(a)), "ey": F.abs(w * F.sin(a)) + F.abs(h * F.cos(a))})
+
+
 def link_marked(candidates: DataFrame, markers: DataFrame) -> DataFrame:
-    """Candidates whose box (turned by its angle) contains the centre of a marker of the same frame."""
-    c, m = candidates.alias("c"), markers.select("recording_id", "frame", F.col("x").alias("mx"), F.col("y").alias("my")).alias("m")
-    dx, dy, a = F.col("m.mx") - F.col("c.x"), F.col("m.my") - F.col("c.y"), F.radians("c.degrees_angle")
+    """Candidates whose box (turned by its angle) contains the centre of a marker of the same frame.
+
+    A box is entered in the cells of a grid whose side is a power of two above its own, of which it touches four at
+    most; a marker is entered in its cell of each grid that occurs. Only a box and a marker of one cell are compared.
+    Boxes with equal numbers are compared once; boxes and markers with NULLs meet nothing.
+    """
+    shape = ["recording_id", "frame", "x", "y", "width", "height", "degrees_angle"]
+    # A margin keeps rounding at a box's edge inside its cells.
+    boxes = _extents(candidates.select(*shape).distinct()).where("ex is not null and ey is not null and x is not null and y is not null")
+    boxes = boxes.withColumns({"ex": F.col("ex") * 1.000001 + 1e-6, "ey": F.col("ey") * 1.000001 + 1e-6})
+    boxes = boxes.withColumn("side", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("ex"), F.col("ey")) * 2))))
+    cells = lambda at, by: F.explode(F.sequence(F.floor((F.col(at) - F.col(by)) / F.col("side")), F.floor((F.col(at) + F.col(by)) / F.col("side"))))
+    b = boxes.withColumn("cx", cells("x", "ex")).withColumn("cy", cells("y", "ey"))
+    sides = sorted(r["side"] for r in boxes.select("side").distinct().collect())  # one for each power of two
+    m = markers.select("recording_id", "frame", F.col("x").alias("mx"), F.col("y").alias("my")).where("mx is not null and my is not null").distinct()
+    m = m.withColumn("side", F.explode(F.array(*map(F.lit, sides)).cast("array<double>"))).withColumns({"cx": F.floor(F.col("mx") / F.col("side")), "cy": F.floor(F.col("my") / F.col("side"))})
+    dx, dy, a = F.col("mx") - F.col("x"), F.col("my") - F.col("y"), F.radians("degrees_angle")
     along, across = dx * F.cos(a) + dy * F.sin(a), dy * F.cos(a) - dx * F.sin(a)
-    same = (F.col("c.recording_id") == F.col("m.recording_id")) & (F.col("c.frame") == F.col("m.frame"))
-    return c.join(m, same & (F.abs(along) <= F.col("c.width") / 2) & (F.abs(across) <= F.col("c.height") / 2), "left_semi")
+    inside = b.join(m, ["recording_id", "frame", "side", "cx", "cy"]).where((F.abs(along) <= F.col("width") / 2) & (F.abs(across) <= F.col("height") / 2))
+    return candidates.join(inside.select(*shape).distinct(), shape, "left_semi").select(*candidates.columns)
 
 
 keep_marked = link_marked

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,8 @@ def fragments(rows: DataFrame, s: Settings) -> DataFrame:
     """Cut tracks before rows after large gaps, and at outlier rows, which go.
 
     ``rows`` has ``gap`` and ``outlier``. Adds ``fragment_id``, and ``hole_id`` for the runs that only
-    gaps cut. The recursion of the splitting does not matter: what survives are the maximal runs.
+    gaps cut. Splitting goes on until nothing is left to cut, so what survives are the maximal runs; ``limit_depth``
+    takes those away that a limited number of nested splits does not reach.
     """
     hole = F.coalesce((F.col("gap") > s.max_holes).cast("int"), F.lit(0))
     out = rows.withColumns({"hole_id": F.sum(hole).over(W()), "fragment_id": F.sum(hole + F.col("outlier").cast("int")).over(W())})
@@ -115,6 +118,61 @@ def fragments(rows: DataFrame, s: Settings) -> DataFrame:
     return out
 
 
+def _depths(gaps: np.ndarray, hole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many nested splits lead to each fragment of a track, and to the run between gaps in which it lies.
+
+    ``gaps`` has the gap before each row where the track is cut, ``hole`` says whether that is too large; the others
+    are outliers. A part is first split at its largest gap, the earliest on ties; without gaps at its first outlier.
+    So the gaps that lead to a run are those that no gap between them and the run exceeds: found on either side by a
+    stack of gaps.
+    """
+    sizes = gaps[hole].tolist()
+    left, right = [0], [0]
+    for found, order, gives_way in ((left, sizes, lambda a, b: a < b), (right, sizes[::-1], lambda a, b: a <= b)):
+        stack: list[float] = []
+        for g in order:
+            while stack and gives_way(stack[-1], g):
+                stack.pop()
+            stack.append(g)
+            found.append(len(stack))
+    runs = np.array(left) + np.array(right[::-1])
+    run = np.concatenate([[0], np.cumsum(hole)])
+    first = np.concatenate([[0], np.flatnonzero(hole) + 1])
+    nth = np.arange(len(run)) - first[run]
+    outliers = np.diff(np.append(first, len(run))) - 1
+    return runs[run] + np.minimum(nth + 1, outliers[run]), runs[run]
+
+
+def limit_depth(cut: DataFrame, s: Settings) -> DataFrame:
+    """Take the ids of fragments and runs away to which more than ``max_recursion_depth`` nested splits lead.
+
+    A track with as many cuts or fewer has none, so only the cuts of other tracks are looked at. ``cut`` should be a table.
+    """
+    limit = s.max_recursion_depth
+    deep = cut.where(F.col("track_cuts") > limit)
+    if limit == 0 or deep.isEmpty():
+        return cut
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position_t")
+        hole = table.column("hole").to_numpy()
+        outlier = table.column("outlier").to_numpy()
+        # A row may be both: the gap cuts before it, and then it goes.
+        row = np.repeat(np.arange(len(hole)), hole.astype(int) + outlier)
+        second = np.append(False, row[1:] == row[:-1]) if len(row) else np.zeros(0, bool)
+        depth, runs = _depths(table.column("gap").fill_null(0).to_numpy()[row], hole[row] & ~second)
+        n = len(depth)
+        columns = [table.column(c).take(pa.array(np.zeros(n, np.int64))) for c in KEY]
+        return pa.table([*columns, pa.array(np.arange(n)), pa.array(depth), pa.array(runs)], names=[*KEY, "fragment_id", "depth", "run_depth"])
+
+    hole = F.coalesce(F.col("gap") > s.max_holes, F.lit(False))
+    cuts = deep.where(hole | F.col("outlier")).select(*KEY, "position_t", "gap", hole.alias("hole"), "outlier")
+    depths = cuts.groupBy(*KEY).applyInArrow(run, "recording_id long, track_id long, fragment_id long, depth long, run_depth long")
+    out = cut.join(depths, [*KEY, "fragment_id"], "left")
+    kept = {"hole_id": F.when(F.coalesce("run_depth", F.lit(0)) <= limit, F.col("hole_id")), "fragment_id": F.when(F.coalesce("depth", F.lit(0)) <= limit, F.col("fragment_id"))}
+    return out.withColumns(kept).select(*cut.columns)
+
+
 def fragment_profile(cut: DataFrame, s: Settings) -> DataFrame:
     """Measures of each fragment and its reject reason (0: accepted), given the recording's area quantiles."""
     inside = cut.where(~F.col("outlier") & F.col("fragment_id").isNotNull())
@@ -156,7 +214,7 @@ def cut_tracks(df: DataFrame, s: Settings, accuracy: int | None = None) -> DataF
     rows = rows.withColumn("outlier", F.col("use") & (F.col("speed") > F.col("fence")))
     rows = fragments(rows, s)
     cuts = F.max(F.coalesce("fragment_id", F.lit(1))).over(WT())
-    return rows.withColumns({"track_rows": F.count("*").over(WT()), "track_cuts": cuts})
+    return limit_depth(written(rows.withColumns({"track_rows": F.count("*").over(WT()), "track_cuts": cuts})), s)
 
 
 def _long_enough(rows: str, s: Settings) -> Column:
@@ -196,7 +254,7 @@ def keep_fragments(rows: DataFrame, chosen: DataFrame, s: Settings) -> DataFrame
 
 def select_tracks(df: DataFrame, s: Settings, accuracy: int | None = None) -> DataFrame:
     """The selected rows, in the columns of ``tracks``. ``df`` has fps and frame size."""
-    cut = written(cut_tracks(df, s, accuracy))
+    cut = cut_tracks(df, s, accuracy)
     return keep_fragments(cut, longest_fragment(fragment_profile(cut, s), s), s).select(*TRACK_COLUMNS)
 
 

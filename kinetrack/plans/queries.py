@@ -184,7 +184,7 @@ def a1_track_median_area(spark, sf_dir):
 
 @query(f" SELECT {_T} FROM clean")
 def p7_clean_rows(spark, sf_dir):
-    return select.cleaned(prepared(spark, sf_dir), S).select(*TRACK_COLUMNS)
+    return select.guard_recordings(written(select.clean_rows(prepared(spark, sf_dir), S).select(*TRACK_COLUMNS, "fps")), S).select(*TRACK_COLUMNS)
 
 
 @query(" SELECT recording_id, name, frame_count FROM recordings WHERE frame_count >= 600 AND recording_id IN (SELECT recording_id FROM tracks)")
@@ -521,16 +521,50 @@ def s7_classify_stage(spark, sf_dir):
     return fixtures.recordings(spark, sf_dir).join(rows, "recording_id").select("name", files.classify_stage(path).alias("stage"), "n")
 
 
-@query(f" SELECT {_T} FROM selected WHERE recording_id <> 1 UNION ALL SELECT {_T} FROM clean WHERE recording_id = 1")
+@query(f" SELECT {_T} FROM tracks WHERE recording_id <> 1 UNION ALL SELECT {_T} FROM clean WHERE recording_id = 1")
 def s5_overwrite_recordings(spark, sf_dir):
     where = _scratch(spark)
-    rows = prepared(spark, sf_dir)
-    files.write_stage(select.select_tracks(rows, S), where, "rows")
-    one = select.clean_rows(rows.where("recording_id = 1"), S).select(*TRACK_COLUMNS)
+    files.write_stage(fixtures.tracks(spark, sf_dir), where, "rows")
+    one = select.clean_rows(prepared(spark, sf_dir).where("recording_id = 1"), S).select(*TRACK_COLUMNS)
     where = files.write_stage(one, where, "rows", mode="overwrite")
     return spark.read.parquet(where).select(*[F.col(c).cast("long") if c in KEY else F.col(c) for c in TRACK_COLUMNS])
 
 
+@query(f" SELECT 'first' AS version, {_T} FROM tracks UNION ALL SELECT 'latest', {_T} FROM clean")
+def s5_versions(spark, sf_dir):
+    where = _scratch(spark)
+    files.write_version(fixtures.tracks(spark, sf_dir), where, "rows", "a")
+    files.write_version(select.clean_rows(prepared(spark, sf_dir), S).select(*TRACK_COLUMNS), where, "rows", "b")
+    both = [files.read_version(spark, where, "rows", run).select(F.lit(name).alias("version"), *TRACK_COLUMNS) for name, run in (("first", "a"), ("latest", None))]
+    return both[0].unionByName(both[1])
+
+
+@query(" SELECT recording_id, track_id, count(*) AS n, CAST(sum(position_t) AS BIGINT) AS sum_t FROM tracks WHERE recording_id % 2 = 0 GROUP BY 1, 2")
+def s2_find_files(spark, sf_dir):
+    # Only recordings with even ids have files of the wanted ending, each in a folder below.
+    where, rows = _scratch(spark), fixtures.tracks(spark, sf_dir).withColumn("folder", F.col("recording_id"))
+    for name, part in (("lists", rows.where("folder % 2 = 0")), ("other", rows)):
+        part.write.partitionBy("folder").option("header", True).option("compression", "none" if name == "lists" else "gzip").csv(f"{where}/{name}")
+    schema = ", ".join(f"{c} {'long' if c in (*KEY, 'position_t') else 'double'}" for c in TRACK_COLUMNS)
+    found = files.find_files(spark, where, suffix=".csv", recursive=True, modified_after="2000-01-01T00:00:00").schema(schema).option("header", True).csv(where)
+    return found.groupBy(*KEY).agg(F.count("*").alias("n"), F.sum("position_t").alias("sum_t"))
+
+
+@query(" SELECT 'r' || recording_id AS name, fps, CAST(frame_height AS INT) AS frame_height, CAST(1000 AS INT) AS frame_width, frame_count, n FROM recordings JOIN (SELECT recording_id, count(*) AS n FROM tracks GROUP BY 1) USING (recording_id)")
+def s3_read_recordings(spark, sf_dir):
+    # Sidecars and tracks of a recording lie in one folder and are joined by it.
+    where, meta = _scratch(spark), fixtures.recordings(spark, sf_dir)
+    name = F.concat(F.lit("r"), "recording_id").alias("folder")
+    rows = fixtures.tracks(spark, sf_dir).select(name, *[F.col(c).alias(c.upper()) for c in TRACK_COLUMNS[1:]], F.lit(None).cast("double").alias("ILLUMINATION"))
+    rows.write.partitionBy("folder").option("header", True).csv(where)
+    lines = meta.select(name, F.to_json(F.struct("fps", "frame_height", "frame_width", "frame_count")).alias("value"))
+    lines.write.partitionBy("folder").mode("append").text(where)
+    raw = files.read_recordings(spark, where, overrides={"frame_width": 1000}, by="folder", recursive=True, ending=".txt")
+    counts = files.read_tracks(spark, where, suffix=".csv", by="folder", recursive=True).withColumn("path", F.input_file_name())
+    counts = counts.groupBy("recording_id").agg(F.regexp_extract(F.first("path"), r"folder=(\w+)", 1).alias("folder"), F.count("*").alias("n"))
+    return raw.join(counts, "recording_id").select(F.col("folder").alias("name"), "fps", "frame_height", "frame_width", "frame_count", "n")
+
+
 def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = select.with_recording(fixtures.detections(fixtures.tracks(spark, sf_dir)), fixtures.recordings(spark, sf_dir), S)
     return seen.withColumn("frame_count", F.lit(None).cast("long"))
@@ -581,11 +615,14 @@ def t6_speed_per_second(spark, sf_dir):
 
 @query(
     f""" SELECT recording_id, track_id, count(*) AS n_rows, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS stop_us FROM (SELECT *, sum(cut) OVER (PARTITION BY recording_id, track_id ORDER BY ts, event_id) AS s FROM
-    (SELECT event_id, user_id % 8 AS recording_id, user_id AS track_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR THEN 1 ELSE 0 END AS cut FROM events))
-    GROUP BY 1, 2, s HAVING max(ts) + INTERVAL 1 HOUR <= {_LATE}"""
+    (SELECT event_id, user_id % 8 AS recording_id, user_id AS track_id, ts, gap, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= gap THEN 1 ELSE 0 END AS cut
+     FROM (SELECT *, CASE WHEN user_id % 2 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 20 MINUTE END AS gap FROM events)))
+    GROUP BY 1, 2, s HAVING max(ts) + any_value(gap) <= {_LATE}"""
 )
 def t7_fragments_stream(spark, sf_dir):
-    out = _streamed(spark, lambda d: jobs.fragments_stream(d, "1 hour"), _event_rows(spark, sf_dir))
+    # Two rates in one stream: holes of 5.5 frames last an hour in one half of the recordings, 20 minutes in the other.
+    rows = _event_rows(spark, sf_dir).withColumn("fps", F.when(F.col("recording_id") % 2 == 0, 5.5 / 3600).otherwise(5.5 / 1200))
+    out = _streamed(spark, lambda d: jobs.fragments_stream(d, jobs.hole_gap(S)), rows)
     return out.select("recording_id", "track_id", "n_rows", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("stop_ts").alias("stop_us"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +47,20 @@ def read_tracks(spark: SparkSession, paths: str | list[str], suffix: str = "_lis
     return raw.withColumns(clean).toDF(*[c.lower() for c in raw.columns])
 
 
-def read_recordings(spark: SparkSession, paths: str | list[str], priority: list[str] | None = None, overrides: dict | None = None) -> DataFrame:
-    """Metadata sidecars, one row per recording: of several places the first in ``priority`` wins, overrides win over all."""
-    raw = spark.read.schema(METADATA).option("pathGlobFilter", "*_meta.json").option("multiLine", True).json(paths)
+def read_recordings(spark: SparkSession, paths: str | list[str], priority: list[str] | None = None, overrides: dict | None = None, by: str = "name", recursive: bool = False, ending: str = "_meta.json") -> DataFrame:
+    """Metadata sidecars, one row per recording: of several places the first in ``priority`` wins, overrides win over all.
+
+    ``by`` says what tells recordings apart, as in ``read_tracks``, so that both have the same ids: with ``folder`` or
+    ``path`` a recording's sidecar lies where its tracks lie.
+    """
+    raw = spark.read.schema(METADATA).option("pathGlobFilter", f"*{ending}").option("recursiveFileLookup", recursive).option("multiLine", True).json(paths)
     path = F.col("_metadata.file_path")
     rank = F.coalesce(*[F.when(path.contains(p), F.lit(i)) for i, p in enumerate(priority or [])], F.lit(len(priority or [])))
-    raw = raw.select(base_name(F.col("_metadata.file_name")).alias("name"), F.struct(rank.alias("rank"), path.alias("path")).alias("at"), F.struct("fps", "frame_height", "frame_width", "frame_count").alias("m"))
-    one = raw.groupBy("name").agg(F.min_by("m", "at").alias("m")).select("name", "m.*")
+    raw = raw.select(identity(by).alias("recording_id"), F.struct(rank.alias("rank"), path.alias("path")).alias("at"), F.struct(base_name(F.col("_metadata.file_name")).alias("name"), "fps", "frame_height", "frame_width", "frame_count").alias("m"))
+    one = raw.groupBy("recording_id").agg(F.min_by("m", "at").alias("m")).select("recording_id", "m.*")
     for c, v in (overrides or {}).items():
         one = one.withColumn(c, F.coalesce(F.lit(v), F.col(c)).cast(one.schema[c].dataType))
-    return one.select(F.xxhash64("name").alias("recording_id"), "name", recorded_at(F.col("name")).alias("recorded_at"), "fps", "frame_height", "frame_width", "frame_count")
+    return one.select("recording_id", "name", recorded_at(F.col("name")).alias("recorded_at"), "fps", "frame_height", "frame_width", "frame_count")
 
 
 def parse_metadata(json: str | Column) -> Column:
@@ -78,6 +83,48 @@ def write_stage(df: DataFrame, path: str, stage: str, fmt: str = "parquet", mode
     return where
 
 
+def write_version(df: DataFrame, path: str, stage: str, run_id: str) -> None:
+    """Write a stage's table as the version ``run_id``, next to earlier ones.
+
+    The version counts once the table is complete and a row that names it has been added to the list of versions, in one
+    commit; until then, and if the writing fails, readers see the version before. A version is written once.
+    """
+    spark, where = df.sparkSession, f"{path.rstrip('/')}/{stage}"
+    before = versions(spark, path, stage)
+    if not before.where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"version {run_id} is there already")
+    df.write.partitionBy("recording_id").mode("overwrite").parquet(f"{where}/run={run_id}")
+    number = before.agg(F.max("number")).first()[0]
+    row = spark.createDataFrame([(run_id, 0 if number is None else number + 1)], VERSIONS).withColumn("written_at", F.current_timestamp())
+    row.coalesce(1).write.mode("append").parquet(f"{where}/versions")
+
+
+#: Columns of the list of versions.
+VERSIONS = "run_id string, number long"
+
+
+def versions(spark: SparkSession, path: str, stage: str) -> DataFrame:
+    """``run_id, number, written_at`` of the versions of a stage; none if nothing has been written."""
+    where, schema = f"{path.rstrip('/')}/{stage}", VERSIONS + ", written_at timestamp"
+    try:
+        return spark.read.schema(schema).parquet(f"{where}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_version(spark: SparkSession, path: str, stage: str, run_id: str | None = None) -> DataFrame:
+    """A stage's table in the version ``run_id``, or in the latest one."""
+    known = versions(spark, path, stage)
+    found = known.where(F.col("run_id") == run_id) if run_id else known.orderBy(F.desc("number"), F.desc("written_at")).limit(1)
+    rows = found.collect()
+    if not rows:
+        raise ValueError(f"no version {run_id or ''} of {stage}")
+    raw = spark.read.parquet(f"{path.rstrip('/')}/{stage}/run={rows[0]['run_id']}")
+    return raw.withColumn("recording_id", F.col("recording_id").cast("long"))
+
+
 def collate_statistics(spark: SparkSession, folder: str, schema: str, pattern: str = "*statistics*.csv") -> DataFrame:
     """The statistics files of a folder as one table, each row with its file's name."""
     raw = spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).csv(folder)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -130,14 +130,34 @@ def write_stream(df: DataFrame, path: str, checkpoint: str):
     return df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
 
 
+def write_batches(df: DataFrame, path: str, checkpoint: str):
+    """Write each batch of a stream to a folder of its own, which a replay of the batch replaces: no row comes twice."""
+    return df.writeStream.foreachBatch(batch_writer(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def batch_writer(path: str):
+    """What ``write_batches`` does with a batch. Read the folder as a table; ``batch`` is its partition column."""
+
+    def write(part: DataFrame, number: int) -> None:
+        part.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
 def speed_per_second(rows: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Path of each track in tumbling seconds of event time ``ts``."""
     out = rows.withWatermark("ts", delay).groupBy("recording_id", "track_id", F.window("ts", "1 second").alias("w"))
     return out.agg(F.sum("step").alias("path"), F.count("*").alias("n")).select("recording_id", "track_id", F.col("w.start").alias("second"), "path", "n")
 
 
-def fragments_stream(rows: DataFrame, gap: str, delay: str = "10 seconds") -> DataFrame:
-    """Session form of the hole rule: a larger gap than ``gap`` closes a fragment."""
+def hole_gap(s: Settings, fps: str | Column = "fps") -> Column:
+    """The gap that closes a fragment: half a frame more than the largest hole, at each row's rate."""
+    seconds = (s.max_holes + 0.5) / (F.col(fps) if isinstance(fps, str) else fps)
+    return F.concat(F.round(seconds * 1e6).cast("long").cast("string"), F.lit(" microseconds"))
+
+
+def fragments_stream(rows: DataFrame, gap: str | Column, delay: str = "10 seconds") -> DataFrame:
+    """Session form of the hole rule: a larger gap than ``gap`` closes a fragment. A column gives each row its own."""
     out = rows.withWatermark("ts", delay).groupBy("recording_id", "track_id", F.session_window("ts", gap).alias("w"))
     return out.agg(F.count("*").alias("n_rows"), F.min("ts").alias("start_ts"), F.max("ts").alias("stop_ts")).select("recording_id", "track_id", "n_rows", "start_ts", "stop_ts")
 

@@ -234,3 +234,49 @@ def test_all_stages_from_detections(spark):
     assert out.stats.count() == 3 and out.summary.first().tracks == 3
     assert {round(r.arc_chord_ratio, 6) for r in out.stats.collect()} == {1.0}
     assert run_pipeline(seen, recordings, S, start_at="track", stop_after="track").selected is None
+
+
+def nested_splits(rows, holes, limit, least):
+    """Fragments (start, stop) that repeated splitting reaches. rows: (t, outlier)."""
+    out = []
+
+    def look(part, depth):
+        if len(part) < least:
+            return
+        gaps = [b[0] - a[0] for a, b in zip(part, part[1:])]
+        if gaps and max(gaps) > holes:
+            k = gaps.index(max(gaps)) + 1
+            parts = part[:k], part[k:]
+        elif any(o for _, o in part):
+            k = [o for _, o in part].index(True)
+            parts = part[:k], part[k + 1 :]
+        else:
+            out.append((part[0][0], part[-1][0]))
+            return
+        if depth < limit:
+            for p in parts:
+                look(p, depth + 1)
+
+    look(rows, 0)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3, 5, 960])
+def test_depth_of_splitting(spark, limit):
+    import random
+
+    r, tracks = random.Random(31), {}
+    for i in range(60):
+        t, rows = 0, []
+        for _ in range(r.randint(1, 60)):
+            t += r.choice((1, 1, 1, 1, 2, 6, 7, 7, 9))
+            rows.append((t, r.random() < 0.12))
+        tracks[i] = rows
+    flat = [(1, i, t, o, None if k == 0 else t - rows[k - 1][0]) for i, rows in tracks.items() for k, (t, o) in enumerate(rows)]
+    df = spark.createDataFrame(flat, "recording_id long, track_id long, position_t long, outlier boolean, gap long")
+    s = Settings(max_recursion_depth=limit)
+    cut = select.fragments(df, s)
+    cut = cut.withColumn("track_cuts", F.max("fragment_id").over(select.WT()))
+    got = select.limit_depth(cut, s).where("not outlier and fragment_id is not null").groupBy("track_id", "fragment_id").agg(F.min("position_t").alias("a"), F.max("position_t").alias("b")).collect()
+    for i, rows in tracks.items():
+        assert sorted((x.a, x.b) for x in got if x.track_id == i) == nested_splits(rows, s.max_holes, limit, 1), (i, limit)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinetrack.sources import files
@@ -65,3 +66,35 @@ def test_what_tells_recordings_apart(spark, tmp_path):
         (tmp_path / name).write_text(head)
     ids = {by: files.read_tracks(spark, str(tmp_path), by=by, recursive=True).select("recording_id").distinct().count() for by in ("name", "folder", "path")}
     assert ids == {"name": 2, "folder": 2, "path": 3}
+
+
+def test_versions_stay_readable(spark, tmp_path):
+    from kinetrack.sources import files
+
+    first, second = (spark.createDataFrame([(r, v) for r in range(2)], "recording_id long, v long") for v in (1, 2))
+    with pytest.raises(ValueError):
+        files.read_version(spark, str(tmp_path), "stats")
+    files.write_version(first, str(tmp_path), "stats", "a")
+    files.write_version(second, str(tmp_path), "stats", "b")
+    value = lambda **k: {x.v for x in files.read_version(spark, str(tmp_path), "stats", **k).collect()}
+    assert value() == {2} and value(run_id="a") == {1}
+    with pytest.raises(ValueError):
+        files.write_version(first, str(tmp_path), "stats", "a")
+    # A version that was not completed is not there, and may be written again.
+    broken = second.withColumn("v", F.expr("raise_error('stopped')").cast("long"))
+    with pytest.raises(Exception, match="stopped"):
+        files.write_version(broken, str(tmp_path), "stats", "c")
+    assert value() == {2}
+    files.write_version(first, str(tmp_path), "stats", "c")
+    assert value() == {1} and [x.number for x in files.versions(spark, str(tmp_path), "stats").orderBy("number").collect()] == [0, 1, 2]
+
+
+def test_a_replayed_batch_adds_no_row(spark, tmp_path):
+    from kinetrack.streaming import jobs
+
+    rows = spark.createDataFrame([(i, float(i)) for i in range(10)], "recording_id long, v double")
+    rows.write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    jobs.write_batches(source, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    jobs.batch_writer(f"{tmp_path}/out")(rows, 0)  # as after a failure between the write and the checkpoint
+    assert sorted(tuple(x)[:2] for x in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(map(tuple, rows.collect()))

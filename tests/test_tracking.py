@@ -261,6 +261,29 @@ def test_markers_inside_turned_boxes(spark):
     assert {r.det_id for r in linking.keep_marked(boxes, marks).collect()} == {0, 1}
 
 
+def test_marked_boxes_are_those_of_all_pairs(spark):
+    """Boxes from a point to more than the frame, at all angles, over cells of many sizes."""
+    r = random.Random(23)
+    names = "recording_id long, frame long, det_id long, x double, y double, width double, height double, degrees_angle double"
+    boxes = [(1, f, k, r.uniform(-50, 300), r.uniform(-50, 300), *(r.choice((0.0, 0.5, 3.0, 8.0, 40.0, 700.0)) for _ in range(2)), r.choice((0.0, 90.0, r.uniform(-180, 180)))) for f in range(6) for k in range(120)]
+    boxes += boxes[:5] + [(1, 0, 900, None, 1.0, 5.0, 5.0, 0.0), (1, 0, 901, 5.0, 1.0, 5.0, None, 0.0)]
+    marks = [(1, f, k, *((b[3], b[4]) if r.random() < 0.2 and b[3] is not None else (r.uniform(-50, 300), r.uniform(-50, 300))), 1.0, 1.0, 0.0) for f in range(5) for k in range(40) for b in [r.choice(boxes)]]
+    marks += [(1, 1, 99, None, None, 1.0, 1.0, 0.0), marks[0]]
+    want = []
+    for b in boxes:
+        if None not in b:
+            a = math.radians(b[7])
+            for m in marks:
+                if m[1] == b[1] and m[3] is not None:
+                    dx, dy = m[3] - b[3], m[4] - b[4]
+                    if abs(dx * math.cos(a) + dy * math.sin(a)) <= b[5] / 2 and abs(dy * math.cos(a) - dx * math.sin(a)) <= b[6] / 2:
+                        want.append(b[:3])
+                        break
+    got = linking.keep_marked(spark.createDataFrame(boxes, names), spark.createDataFrame(marks, names)).collect()
+    assert sorted(tuple(x)[:3] for x in got) == sorted(want) and 50 < len(want) < len(boxes)
+    assert linking.keep_marked(spark.createDataFrame([], names), spark.createDataFrame(marks, names)).count() == 0
+
+
 def test_brightness_is_a_third_coordinate(spark):
     # Two objects swap places in one frame; only their brightness tells them apart.
     rows = [(1, t, i, 10.0 + (i if t < 5 else 1 - i) * 0.2, 10.0, 2.0, 5.0, 0.0, 10.0, None, float(2 * i)) for t in range(10) for i in range(2)]
