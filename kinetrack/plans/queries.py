@@ -161,7 +161,7 @@ def _full(sql: str) -> str:
                 needed.add(name)
                 todo.append(_STEPS[name])
     parts = [f"{name} AS MATERIALIZED ({body})" for name, body in _STEPS.items() if name in needed]
-    return "WITH " + ", ".join(parts) + sql if parts else sql
+    return "WITH RECURSIVE " + ", ".join(parts) + sql if parts else sql
 
 
 _T = ", ".join(TRACK_COLUMNS)
@@ -570,12 +570,34 @@ def _tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.withColumn("frame_count", F.lit(None).cast("long"))
 
 
-@query()
+#: The walk over the frames of each recording, whose state is one row with the list of living objects.
+_WALK = """ , seen AS MATERIALIZED (SELECT recording_id, frame, list({'x': x, 'y': y, 'w': width, 'h': height, 'a': degrees_angle} ORDER BY det_id) AS dets FROM detections GROUP BY 1, 2),
+    ends AS MATERIALIZED (SELECT s.recording_id, min(frame) AS first, max(frame) AS last, CAST(round_even(any_value(p.fps), 0) AS BIGINT) AS most FROM seen s JOIN (SELECT recording_id, any_value(fps) AS fps FROM prepared GROUP BY 1) p USING (recording_id) GROUP BY 1),
+    walk AS (
+      SELECT recording_id, first - 1 AS frame, CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, a DOUBLE, m BIGINT)[]) AS objs, CAST(0 AS BIGINT) AS next_id FROM ends
+      UNION ALL
+      SELECT recording_id, frame, list_concat(list_filter(moved, lambda o: o.m <= most), born) AS objs, next_id + len(born) AS next_id FROM (
+        SELECT *, list_transform(objs, lambda o, k: CASE
+            WHEN wins[near[k].i].k = k THEN {'id': o.id, 'x': dets[near[k].i].x, 'y': dets[near[k].i].y, 'w': dets[near[k].i].w, 'h': dets[near[k].i].h, 'a': dets[near[k].i].a, 'm': CAST(0 AS BIGINT)}
+            WHEN len(dets) > len(objs) THEN o
+            ELSE {'id': o.id, 'x': o.x, 'y': o.y, 'w': CAST(0 AS DOUBLE), 'h': CAST(0 AS DOUBLE), 'a': CAST(0 AS DOUBLE), 'm': o.m + 1} END) AS moved,
+          CASE WHEN len(dets) > len(objs) THEN list_transform(list_filter(range(1, len(dets) + 1), lambda i: wins[i] IS NULL),
+            lambda i, j: {'id': next_id + j - 1, 'x': dets[i].x, 'y': dets[i].y, 'w': dets[i].w, 'h': dets[i].h, 'a': dets[i].a, 'm': CAST(0 AS BIGINT)}) ELSE [] END AS born
+        FROM (
+          SELECT *, list_transform(range(1, len(dets) + 1), lambda i: list_min(list_filter(list_transform(near, lambda n, k: CASE WHEN n.i = i THEN {'d': n.d, 'k': k} END), lambda n: n IS NOT NULL))) AS wins
+          FROM (
+            SELECT *, list_transform(objs, lambda o: list_min(list_transform(dets, lambda e, i: {'d': sqrt((o.x - e.x) * (o.x - e.x) + (o.y - e.y) * (o.y - e.y)), 'i': i}))) AS near
+            FROM (SELECT w.recording_id, w.frame + 1 AS frame, w.objs, w.next_id, e.most, coalesce(s.dets, []) AS dets
+              FROM walk w JOIN ends e USING (recording_id) LEFT JOIN seen s ON s.recording_id = w.recording_id AND s.frame = w.frame + 1 WHERE w.frame < e.last))))) 
+    SELECT recording_id, o.id AS track_id, frame AS position_t, round(o.x, 6) AS position_x, round(o.y, 6) AS position_y, o.w AS width, o.h AS height, o.a AS degrees_angle FROM (SELECT recording_id, frame, unnest(objs) AS o FROM walk)"""
+
+
+@query(_WALK)
 def t1_track(spark, sf_dir):
     return rounded(tracking.track(_tracked(spark, sf_dir)))
 
 
-@query()
+@query(_WALK)
 def t1_track_in_slices(spark, sf_dir):
     return rounded(slices.track_in_slices(_tracked(spark, sf_dir), 200))
 
@@ -585,9 +607,38 @@ def t1_track_filtered(spark, sf_dir):
     return rounded(tracking.track(_tracked(spark, sf_dir), S))
 
 
-@query()
+def _line(c: str, n: int) -> str:
+    """The next value on the line through the last n of the 30 values in ``c``."""
+    return f"list_sum(list_transform({c}[{31 - n}:30], lambda v, k: v * 2 * (3 * (k - 1) - {n - 1}) / {n * (n - 1)}))"
+
+
+#: The filters' predictions come from windows; their weights are walked row by row.
+_FILTERED = (
+    """ , padded AS (SELECT *, list_concat(list_transform(range(30 - len(bx)), lambda i: first_x), bx) AS px, list_concat(list_transform(range(30 - len(bx)), lambda i: first_y), bz) AS py
+      FROM (SELECT recording_id, track_id, position_t, position_x AS x, position_y AS y, row_number() OVER k - 1 AS t, first(position_x) OVER k AS first_x, first(position_y) OVER k AS first_y,
+        coalesce(list(position_x) OVER b, []) AS bx, coalesce(list(position_y) OVER b, []) AS bz FROM tracks WHERE width > 0
+        WINDOW k AS (PARTITION BY recording_id, track_id ORDER BY position_t), b AS (PARTITION BY recording_id, track_id ORDER BY position_t ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))),
+    guesses AS MATERIALIZED (SELECT recording_id, track_id, position_t, t, x, y, """
+    + ", ".join(f"CASE WHEN t >= {n - 10} THEN {_line(f'p{a}', n)} ELSE 0 END AS {a}{n}" for n in (10, 20, 30) for a in "xy")
+    + """ FROM padded),
+    likely AS MATERIALIZED (SELECT *, """
+    + ", ".join(f"greatest(exp(-0.5 * ((x - x{n}) * (x - x{n}) + (y - y{n}) * (y - y{n}))), 1e-20) AS l{n}" for n in (10, 20, 30))
+    + """ FROM guesses),
+    weights AS (
+      SELECT recording_id, track_id, t, CAST(1 AS DOUBLE) AS w10, CAST(0 AS DOUBLE) AS w20, CAST(0 AS DOUBLE) AS w30 FROM likely WHERE t = 0
+      UNION ALL
+      SELECT recording_id, track_id, t, w10 / total, w20 / total, w30 / total FROM (SELECT *, w10 + w20 + w30 AS total FROM (
+        SELECT l.recording_id, l.track_id, l.t, l.l10 * CASE WHEN l.t = 10 THEN 1.0 / 2 WHEN l.t = 20 THEN 1.0 / 3 ELSE w.w10 END AS w10,
+          l.l20 * CASE WHEN l.t = 10 THEN 1.0 / 2 WHEN l.t = 20 THEN 1.0 / 3 ELSE w.w20 END AS w20, l.l30 * CASE WHEN l.t = 20 THEN 1.0 / 3 ELSE w.w30 END AS w30
+        FROM weights w JOIN likely l ON l.recording_id = w.recording_id AND l.track_id = w.track_id AND l.t = w.t + 1)))
+    SELECT recording_id, track_id, position_t, x AS position_x, y AS position_y, round(w10 * x10 + w20 * x20 + w30 * x30, 4) AS filtered_x, round(w10 * y10 + w20 * y20 + w30 * y30, 4) AS filtered_y
+    FROM guesses JOIN weights USING (recording_id, track_id, t)"""
+)
+
+
+@query(_FILTERED)
 def t4_gsff(spark, sf_dir):
-    return rounded(tracking.gsff(fixtures.tracks(spark, sf_dir).where("width > 0"), S))
+    return rounded(tracking.gsff(fixtures.tracks(spark, sf_dir).where("width > 0"), S), 4)
 
 
 def _streamed(spark: SparkSession, df_of: Callable[[DataFrame], DataFrame], rows: DataFrame) -> DataFrame:
@@ -652,7 +703,7 @@ def x3_from_detections(spark, sf_dir):
     return rounded(pipeline.run_pipeline(d, fixtures.recordings(spark, sf_dir), S, start_at="track", stop_after="summarise").summary)
 
 
-@query()
+@query(_WALK)
 def t2_track_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     d = fixtures.detections(fixtures.tracks(spark, sf_dir))
