@@ -103,16 +103,25 @@ def canonical_turns(records: DataFrame, record: str, extra: tuple[Mapping, ...]
     return found.withColumns({"turns": turns, "layout": layout}).drop("__print", "__record")
 
 
-def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def records_of_rows(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", mixed: bool = False) -> DataFrame:
     """One record per conversation from a table with one row per turn: ``id, record`` (a variant).
 
+    The layout is ``turns``, or with ``mixed`` it goes by the id: ``messages``, ``conversations`` with from and value,
+    ``prompt`` and ``response`` where a user's turn and an assistant's are all there is, or ``turns``.
+
     Turns are ordered by turn, role and text, so ties and repeated rows have one order; a null turn comes
     first, null roles and texts are empty, and null ids form one conversation.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     listed = rows.groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("all"))
-    plain = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return listed.select("id", F.to_variant_object(F.struct(plain.alias("turns"))).alias("record"))
+    as_list = lambda name, role, text: F.to_variant_object(F.struct(F.transform("all", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text))).alias(name)))
+    record = as_list("turns", "role", "text")
+    if mixed:
+        kind, one, two = F.pmod(F.col("id"), F.lit(4)), F.get("all", F.lit(0)), F.get("all", F.lit(1))
+        pair = (F.size("all") == 2) & (one["role"] == "user") & (two["role"] == LOSS_ROLE)
+        both = F.to_variant_object(F.struct(one["text"].alias("prompt"), two["text"].alias("response")))
+        record = F.when(kind == 0, as_list("messages", "role", "content")).when(kind == 1, as_list("conversations", "from", "value")).when((kind == 2) & pair, both).otherwise(record)
+    return listed.select("id", record.alias("record"))
 
 
 def escaped(text: Column) -> Column:

@@ -899,3 +899,15 @@ def test_equal_fingerprints_are_told_apart_by_the_text(spark, monkeypatch):
     rows = pa.Table.from_batches(list(phrases._spell(Bits, Bits, Bits, 5, 6)(iter([batch]))))
     got = {(x["lang"], x["phrase"]): x["n"] for x in phrases._add_up(1)(rows).to_pylist()}
     assert got["en", "c c"] == 4 and got["en", "a b"] == 2 and got["de", "a b"] == 1 and got["en", "b c"] == 2 and got["en", "c"] == 7 and got["en", ""] == 12 and got["de", ""] == 2
+
+
+def test_conversations_of_all_layouts_read_back(spark):
+    """Dealt over four layouts, conversations keep their turns."""
+    rows = [(i, t, r, x) for i in [*range(-8, 40)] for t, (r, x) in enumerate([("user", f"a {i} <turn>"), ("assistant", f"b: {i} \\#")][: 1 + i % 3] + [("user", None)] * (i % 5 == 4))]
+    df = spark.createDataFrame([*rows, (None, 0, "user", "lost")], "conv_id long, turn int, role string, text string")
+    out = chat_format.format_chats(chat_format.records_of_rows(df, mixed=True)).select("id", "layout", chat_format.read_back(F.col("formatted")).alias("back")).collect()
+    assert {r.layout for r in out} == {"messages", "from_value", "prompt_response", "turns"}
+    want = {}
+    for i, _, r, x in rows:
+        want.setdefault(i, []).append((r, x or ""))
+    assert {r.id: [(t.role, t.text) for t in r.back] for r in out if r.id is not None} == want
