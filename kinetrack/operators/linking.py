@@ -9,8 +9,15 @@ from ..functions.columns import step
 from ..sources.tables import written
 
 
-#: Sides of the grid cells in which near detections are looked for, in the order of the rounds; what has none near meets its whole frame.
-CELLS = (64.0,)
+#: Sides of the grid cells of each round, as parts of the mean distance between neighbours in a frame.
+ROUNDS = (0.5, 2.0)
+
+
+def spacing(rows: DataFrame) -> float | None:
+    """The mean distance between neighbours if a frame's detections were spread evenly; None if no frame has room for it."""
+    frames = rows.groupBy("recording_id", "frame").agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    room = frames.where("w * h > 0").agg(F.avg(F.sqrt(F.col("w") * F.col("h") / F.col("n")))).first()[0]
+    return room if room and room < float("inf") else None
 
 
 def _nearest(a: DataFrame, b: DataFrame, side: float | None) -> DataFrame:
@@ -34,13 +41,14 @@ def _nearest(a: DataFrame, b: DataFrame, side: float | None) -> DataFrame:
 def link_consecutive(detections: DataFrame) -> DataFrame:
     """Link each detection to the nearest of the next frame; of several that want the same one the closest has it.
 
-    Ties go to the smaller ``det_id``. Pairs are formed between neighbouring grid cells of a frame; only detections
-    without a near one are compared with the whole frame.
+    Ties go to the smaller ``det_id``. Pairs are formed between neighbouring grid cells of a frame, whose side goes by how
+    dense the frames are; what has none near goes on to larger cells, and only what is left meets its whole frame.
     """
     rows = written(detections.select("recording_id", "frame", "det_id", "x", "y"))
     b = rows.select("recording_id", (F.col("frame") - 1).alias("frame"), F.col("det_id").alias("next_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     want, rest = None, rows
-    for side in (*CELLS, None):
+    between = spacing(rows)
+    for side in (*(p * between for p in ROUNDS if between), None):
         near = written(_nearest(rest, b, side))
         want = near if want is None else want.unionByName(near)
         rest = rest.join(near, ["recording_id", "frame", "det_id"], "left_anti")

@@ -261,6 +261,22 @@ def test_markers_inside_turned_boxes(spark):
     assert {r.det_id for r in linking.keep_marked(boxes, marks).collect()} == {0, 1}
 
 
+def test_links_are_those_of_all_pairs(spark):
+    """Dense frames, lone detections, frames on a line or a point, and the next frame missing."""
+    r, rows = random.Random(29), []
+    for f, (n, size) in enumerate(((120, 40), (90, 40), (3, 3000), (5, 3000), (1, 1), (40, 0), (40, 900), (0, 1), (8, 50), (8, 5000))):
+        rows += [(1, f, k, r.uniform(0, size), r.uniform(0, size) if f != 6 else 7.0) for k in range(n)]
+    want = {}
+    for _, f, k, x, y in rows:
+        near = min(((math.sqrt((bx - x) ** 2 + (by - y) ** 2), b) for _, g, b, bx, by in rows if g == f + 1), default=None)
+        if near and (near[0], k) < want.get((f, near[1]), (math.inf, 0)):
+            want[f, near[1]] = (near[0], k)
+    df = spark.createDataFrame(rows, "recording_id long, frame long, det_id long, x double, y double")
+    got = {(x.frame, x.next_id): (x.distance, x.det_id) for x in linking.link_consecutive(df).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and got[k][0] == pytest.approx(want[k][0]) for k in want)
+    assert linking.link_consecutive(df.limit(0)).count() == 0
+
+
 def test_marked_boxes_are_those_of_all_pairs(spark):
     """Boxes from a point to more than the frame, at all angles, over cells of many sizes."""
     r = random.Random(23)
