@@ -911,3 +911,73 @@ def test_conversations_of_all_layouts_read_back(spark):
     for i, _, r, x in rows:
         want.setdefault(i, []).append((r, x or ""))
     assert {r.id: [(t.role, t.text) for t in r.back] for r in out if r.id is not None} == want
+
+
+def test_near_passages_alone(spark):
+    """Recall of pairs that share a passage only with changed words, and no 50 words in a row: all pairs are known."""
+    r, rows = random.Random(41), []
+    for k in range(150):
+        passage = [f"p{k}w{r.randrange(10**6)}" for _ in range(r.randint(100, 140))]
+        other = list(passage)
+        for at in range(r.randint(35, 48), len(other), r.randint(38, 48)):
+            other[at] = f"e{r.randrange(10**9)}"
+        for words in (passage, other):
+            own = [f"d{len(rows)}w{r.randrange(10**6)}" for _ in range(r.randint(10, 200))]
+            at = r.randrange(len(own))
+            rows.append((len(rows), " ".join([*own[:at], *words, *own[at:]])))
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = {(min(x.doc_id, x.partner_id), max(x.doc_id, x.partner_id)) for x in got}
+    assert found <= {(i, i + 1) for i in range(0, 300, 2)}
+    assert len(found) >= 0.95 * 150, len(found)
+
+
+def test_language_features_are_plain_counts():
+    texts = ["", "a", "The the", "Ünï çödé", prose(40, 3).upper(), "xy" * 300]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]).astype(np.int64)
+    got = language_id.features(data, offsets, 256)
+    for row, text in zip(got, texts):
+        low, counts = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()), [0] * 256
+        for order in (1, 2, 3):
+            for i in range(len(low) - order + 1):
+                gram = 0
+                for c in low[i : i + order]:
+                    gram = (gram * 257 + c + 1) % 2**32
+                counts[((gram * 2654435761 + order * 97) % 2**32) >> 24] += 1
+        assert np.allclose(row, [(c / max(1, sum(counts))) ** 0.5 for c in counts], atol=1e-6)
+
+
+def test_duels_are_counted_one_by_one():
+    r = np.random.default_rng(3)
+    duels = language_id.Duels(["a", "b", "c", "d"], list(itertools.combinations(range(4), 2)), r.normal(size=(6, 6)).astype(np.float32))
+    x = r.normal(size=(200, 5)).astype(np.float32)
+    best, trust = duels.decide(x)
+    for k, row in enumerate(x):
+        wins, least = [0.0] * 4, [1.0] * 4
+        for (a, b), w in zip(duels.pairs, duels.weights.T):
+            p = 1 / (1 + np.exp(-4 * float(row @ w[:-1] + w[-1])))
+            wins[a], wins[b] = wins[a] + (p >= 0.5) + p / 1000, wins[b] + (p < 0.5) + (1 - p) / 1000
+            least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+        winner = max(range(4), key=wins.__getitem__)
+        assert best[k] == winner and trust[k] == pytest.approx(least[winner], abs=1e-5)
+
+
+def test_toxicity_scores_are_sums_over_restored_words(spark):
+    letters = letters_of(spark, "you stupid moron and idiot are here")
+    weights = {"idiot": 2.5, "idio*": 0.25, "stupid": 1.75, "moron": 1.0, "here": 0.5}
+    model = toxicity.Model(letters, weights, -3.0)
+    for text in ("", "you are here", "you 1d10t", "s t u p 1 d moron here here", "idiotic m0r0n!!", "STUPID " * 50, "i.d.i.o.t", "nothing at all"):
+        words = toxicity.all_words(text, letters, {})
+        found = {f for w in words for f in toxicity.features_of(w)}
+        want = 1 / (1 + np.exp(3.0 - sum(v for f, v in weights.items() if f in found)))
+        assert model.score(text) == pytest.approx(want), text
+    # Counts of features over the labelled rows, against plain counting.
+    rows = [(1, ["idiot", "you"]), (1, ["idiot", "idiots"]), (0, ["you"]), (0, []), (1, [])]
+    df = spark.createDataFrame(rows, "y int, words array<string>").repartition(3)
+    got = df.mapInArrow(toxicity._count_features, "feature string, t long, n long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()
+    plain = {}
+    for y, words in rows:
+        for f in {f for w in words for f in toxicity.features_of(w)}:
+            t, n = plain.get(f, (0, 0))
+            plain[f] = (t + y, n + 1)
+    assert {r.feature: (r.t, r.n) for r in got} == plain
