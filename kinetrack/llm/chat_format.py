@@ -92,8 +92,9 @@ def canonical_turns(records: DataFrame, record: str, extra: tuple[Mapping, ...]
     """Add ``turns`` and ``layout`` to ``records``, whose column ``record`` is a variant.
 
     The record's field paths, hashed, select the mapping. A null record and a record of an unknown layout
-    have null ``turns`` and ``layout``; null texts and roles are empty. Lists keep their order. An empty
-    table gives an empty result.
+    have null ``turns`` and ``layout``; null texts and roles are empty. Lists keep their order. A record is one row
+    with all its texts, however long; repeated rows are formatted alike; columns named ``turns`` and ``layout`` are
+    replaced. An empty table gives an empty result.
     """
     found = records.drop("turns", "layout").withColumn("__print", fingerprint(field_paths(F.col(record)))).withColumn("__record", F.col(record))
     turns, layout = F.lit(None).cast(TURNS), F.lit(None).cast("string")

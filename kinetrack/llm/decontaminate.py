@@ -180,8 +180,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
 
     A span is (first word, end word, item id) with the longest verbatim match from that word. Words are ASCII lower-cased runs of letters, digits and non-ASCII characters. An
     item of fewer words than ``window`` is one window; null texts have no words. Columns of ``docs`` named
-    like the added ones are replaced; repeated rows each get their spans. An empty benchmark gives empty
-    spans, empty documents an empty table.
+    like the added ones are replaced; repeated rows each get their spans, items that share a window one each. A very
+    long text is a shard of its own. An empty benchmark gives empty spans, empty documents an empty table.
     """
     out = docs.drop("n_words", "spans").withColumns({"n_words": F.lit(None).cast("long"), "spans": F.array().cast(SPANS)})
     spark = docs.sparkSession

@@ -69,7 +69,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     group: that with the largest id; among rows that repeat the same id, the last one read). A null text
     counts as empty; a null id is smaller than any other. Other columns pass through unless they have
     these three names, which are replaced. With ``carry`` (names and expressions) only these columns
-    stand beside the three, which spares moving the texts. An empty table gives an empty result.
+    stand beside the three, which spares moving the texts. An empty table gives an empty result. A text of any
+    length is compared whole, cut into blocks that are spread over tasks.
     """
     rows = numbered(docs.drop("keep_id", "group_size", "kept"), "__rid")
     copies = _groups(rows, id_col, text_col, block, seed).select(F.col("rid").alias("__rid"), F.struct("last", "size").alias("__group"))

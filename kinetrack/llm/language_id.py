@@ -152,7 +152,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
     """Add ``lang_pred`` and ``score`` to ``docs``, from the whole text alone.
 
     A null text, a text without a letter (an empty one, too) and any text without a model are ``und``
-    with score 0. Columns with the added names are replaced; repeated rows each get their prediction.
+    with score 0. Columns with the added names are replaced; repeated rows each get their prediction. Of languages
+    with equal votes and margins the first by name wins. A very long text is counted whole. An empty table gives an
+    empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     marked = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.when(F.col(text_col).rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNDETERMINED)), "score": F.lit(0.0)})

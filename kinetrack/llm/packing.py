@@ -173,7 +173,9 @@ def pack_documents(docs: DataFrame, path: Callable[[], str] | str, id_col: str =
 
     A document is its token ids and then ``END_ID``; a null text is empty and so has that id alone. Each
     id lies in one piece; pieces of a sequence have gapless offsets. Sequence ids are unique, not gapless.
-    Null and repeated ids are packed like others. An empty table gives an empty result.
+    Null and repeated ids are packed like others, and rows of one id, equal ones too, may lie in several tasks. A very
+    long text is cut into many sequences; one task encodes it, a block of tokens at a time. Cuts of equal penalty go to
+    the one found first. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # Rows of one id, equal ones too, may lie in several tasks.

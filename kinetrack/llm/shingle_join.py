@@ -295,6 +295,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a Jaccard similarity of 0.8 on; ``component_id`` is the smallest doc_id that links reach. Null texts
     and texts without words have an empty set and link with nothing. A null id never is a component's
     name unless all its rows have one; repeated rows each get their row. An empty table gives an empty result.
+    A text of any length is one set, built by one task from the whole text; a similarity of exactly 0.8 links. Other
+    columns are not read, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = written(rows.mapInArrow(_set_rows, "doc_id long, n_shingles long, set_id long"))

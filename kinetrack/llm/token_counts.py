@@ -120,6 +120,7 @@ def count_tokens(docs: DataFrame, path: Callable[[], str] | str, id_col: str = "
 
     ``path`` is the file, or a function that finds it on the executor. Null texts are empty and have no
     tokens; null and repeated ids each keep their row; other columns are not read. An empty table gives an empty result.
+    Overlaps are spliced at the first common place, and any of them gives the same count.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
