@@ -1,4 +1,9 @@
-"""A corpus pipeline: five stages, each an operator, each over all rows that the stage before it kept."""
+"""A corpus pipeline: five stages, each an operator, each over all rows that the stage before it kept.
+
+All stages but the last return the columns of their input, whatever their names. Null texts count as empty; null ids
+are ids like others, but they have no label and are not named in a group of near copies. Repeated rows are judged
+alike, exact dedup keeps one of them. Texts of any length are read whole. Empty tables give empty ones.
+"""
 
 from __future__ import annotations
 
