@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import recorded_at
-from ..schemas import METADATA, TRACKS_CSV
+from ..schemas import KEY, METADATA, TRACKS_CSV
 
 #: Endings that later stages add to a recording's name. Fixed values.
 SUFFIXES = ("_list.csv", "_selected_data.csv", "_analysed.csv", "_statistics.csv", "_meta.json")
@@ -83,6 +83,17 @@ def write_stage(df: DataFrame, path: str, stage: str, fmt: str = "parquet", mode
     return where
 
 
+def write_bucketed(df: DataFrame, path: str, table: str, buckets: int) -> DataFrame:
+    """Store rows of tracks as the catalog's ``table`` below ``path``, bucketed and sorted by recording and track.
+
+    Windows, aggregations and joins by track on the table that is returned need no exchange. A bucket is one file.
+    """
+    spark, keys = df.sparkSession, [*KEY, "position_t"]
+    dealt = df.repartition(buckets, *KEY).sortWithinPartitions(*keys)
+    dealt.write.bucketBy(buckets, *KEY).sortBy(*keys).option("path", f"{path.rstrip('/')}/{table}").mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_version(df: DataFrame, path: str, stage: str, run_id: str) -> None:
     """Write a stage's table as the version ``run_id``, next to earlier ones.
 

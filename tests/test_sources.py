@@ -98,3 +98,24 @@ def test_a_replayed_batch_adds_no_row(spark, tmp_path):
     jobs.write_batches(source, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     jobs.batch_writer(f"{tmp_path}/out")(rows, 0)  # as after a failure between the write and the checkpoint
     assert sorted(tuple(x)[:2] for x in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_bucketed_tracks_need_no_exchange(spark, tmp_path):
+    from kinetrack.operators import select
+    from kinetrack.schemas import KEY
+
+    rows = [(r, i, t, float(t * i), 1.0, 2.0, 5.0, 0.0) for r in range(3) for i in range(7) for t in range(12)]
+    df = spark.createDataFrame(rows, "recording_id long, track_id long, position_t long, position_x double, position_y double, width double, height double, degrees_angle double").orderBy(F.rand(1))
+    stored = files.write_bucketed(df, f"file://{tmp_path}", "bucketed_tracks", 4)
+    try:
+        # Windows, sums and a join by track, as the selection has them.
+        moved = select.with_speed(select.with_track_area(stored))
+        best = moved.groupBy(*KEY).agg(F.max("speed").alias("top"))
+        found = moved.join(best, KEY)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Exchange range" not in plan and plan.count("Window") >= 4
+        want = select.with_speed(select.with_track_area(df)).join(select.with_speed(select.with_track_area(df)).groupBy(*KEY).agg(F.max("speed").alias("top")), KEY)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.select(*found.columns).collect()))
+        assert len(list((tmp_path / "bucketed_tracks").glob("part-*"))) <= 4
+    finally:
+        spark.sql("DROP TABLE bucketed_tracks")
