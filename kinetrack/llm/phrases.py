@@ -176,12 +176,12 @@ def _spell(words, pairs, longer, longest: int, bits: int):
             ok = _marked(marks.value, prints)
             yield k, at[ok], prints[ok]
 
-    def spelled(s: Stretches, k: int, at: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-        """(first word, phrase, count) of stretches; those of one fingerprint are compared with the first of them."""
+    def spelled(s: Stretches, lang: np.ndarray, k: int, at: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
+        """(first word, phrase, count) of stretches; those of one fingerprint are compared with the first of them. ``lang`` numbers each word's language."""
         _, pointer, of, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
         start, stop = s.start[at], s.stop[at + k - 1] - 1
         here, there, size = start, start[pointer][of], stop - start
-        differ = size != (stop - start)[pointer][of]
+        differ = (size != (stop - start)[pointer][of]) | (lang[at] != lang[at][pointer][of])
         same = np.flatnonzero(~differ)
         wrong = s.bytes[W.ranges(here[same], size[same])] != s.bytes[W.ranges(there[same], size[same])]
         if wrong.any():
@@ -209,11 +209,12 @@ def _spell(words, pairs, longer, longest: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for s, salt, langs in _chunks(batches):
-            lang, doc = langs.to_pylist(), np.repeat(np.arange(len(langs)), np.diff(s.first)).tolist()
-            for name, n in zip(lang, np.diff(s.first).tolist(), strict=True):
+            lang, words_of = langs.to_pylist(), np.diff(s.first)
+            doc, number = np.repeat(np.arange(len(lang)), words_of), np.unique(np.array(lang, object), return_inverse=True)[1]
+            for name, n in zip(lang, words_of.tolist(), strict=True):
                 held[name, b"", 0] = held.get((name, b"", 0), 0) + n
             for k, at, prints in stretches_of(s, salt):
-                for i, phrase, n in spelled(s, k, at, prints):
+                for i, phrase, n in spelled(s, number[doc], k, at, prints):
                     key = (lang[doc[i]], phrase, k)
                     held[key] = held.get(key, 0) + n
             if len(held) > HELD_PHRASES:
