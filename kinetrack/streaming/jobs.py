@@ -163,10 +163,16 @@ def fragments_stream(rows: DataFrame, gap: str | Column, delay: str = "10 second
 
 
 def threshold_stream(stats: DataFrame, offset: float, length: str = "5 seconds", slide: str = "1 second", delay: str = "10 seconds", dark: bool = False) -> DataFrame:
-    """Sliding mean of the grey threshold over event time; of dark cells the deviation is taken off."""
+    """Sliding mean of the grey threshold over event time, truncated; of dark cells the deviation is taken off.
+
+    Thresholds are summed in whole millionths: a sum of doubles depends on the order of the rows, and with it whether a
+    mean that is a whole number is cut to the one below.
+    """
     deviation = -F.col("grey_std") if dark else F.col("grey_std")
+    one = (F.col("grey_mean") + deviation + offset).cast("decimal(28,6)")
     out = stats.withWatermark("ts", delay).groupBy("recording_id", F.window("ts", length, slide).alias("w"))
-    return out.agg(F.avg(F.col("grey_mean") + deviation + offset).cast("int").alias("threshold")).select("recording_id", F.col("w.end").alias("at"), "threshold")
+    whole = F.expr("cast(total div n as int)").alias("threshold")
+    return out.agg(F.sum(one).alias("total"), F.count(one).alias("n")).select("recording_id", F.col("w.end").alias("at"), F.when(F.col("n") > 0, whole).alias("threshold"))
 
 
 def dedupe_stream(detections: DataFrame, delay: str = "10 seconds") -> DataFrame:
