@@ -21,11 +21,24 @@ START_MS = 1000
 _NAMES = [c.split()[0] for c in TRACKS.split(", ")]
 
 
+def _stretches(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, first place, place after the last) of each stretch of equal values."""
+    if len(sorted_values):
+        begins = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])).tolist()
+        yield from ((int(sorted_values[i]), i, j) for i, j in zip(begins, [*begins[1:], len(sorted_values)], strict=True))
+
+
+def _by_id(held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A frame's values in the order of ``det_id``, then of the values."""
+    ids, values = (np.concatenate(c) for c in zip(*held, strict=True))
+    return values[np.lexsort((*values.T[::-1], ids))]
+
+
 class StreamingTracker(StatefulProcessor):
     """The batch tracker's state machine per recording; frames wait in state until the watermark has passed them.
 
-    A row without ``det_id`` says that the recording has ended and how many frames it has: what waits is walked at
-    once, up to that frame, and all state goes. Without such a row a recording that has no detections for ``idle``
+    A row without ``det_id`` says that the recording has ended and how many frames it has: what waits, and what comes
+    with it, which is not stored first, is walked at once, up to that frame, and all state goes. Without such a row a recording that has no detections for ``idle``
     seconds of event time is over; only its next id is kept, so that ids never repeat should it go on.
     """
 
@@ -39,26 +52,34 @@ class StreamingTracker(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "frame long", "rows binary")
         self.next_id = handle.getValueState("next_id", "id long")
 
-    def _advance(self, recording: int, upto: int, end: bool = False) -> Iterator[pd.DataFrame]:
-        """Walk the waiting frames before ``upto``; at the recording's ``end`` also those after the last that waits."""
+    def _advance(self, recording: int, upto: int, end: bool = False, fresh: dict[int, list] | None = None) -> Iterator[pd.DataFrame]:
+        """Walk the waiting frames before ``upto``; at the recording's ``end`` also those after the last that waits.
+
+        ``fresh`` has detections that have just come and are walked without being stored.
+        """
+        fresh = fresh or {}
         state = self.saved.get() if self.saved.exists() else None
         tracker, frame = (pickle.loads(state[0]), state[1]) if state else (new_tracker(self.rate.get()[0], self.settings), None)
         if not state and self.next_id.exists():
             tracker.next_id = self.next_id.get()[0]
-        ready = sorted(k[0] for k in self.waiting.keys() if k[0] < upto)
+        stored = {k[0] for k in self.waiting.keys()}
+        ready = sorted(f for f in stored | fresh.keys() if f < upto)
         rows = []
         for f in ready:
             while frame is not None and frame < f:
                 rows.append(rows_of(recording, frame, tracker.step(np.zeros((0, 2)), np.zeros((0, 3)))))
                 frame += 1
-            d = np.array(sorted(pickle.loads(self.waiting.getValue((f,))[0])), float)[:, 1:]
+            held = fresh.get(f, [])
+            if f in stored:
+                held = pickle.loads(self.waiting.getValue((f,))[0]) + held
+                self.waiting.removeKey((f,))
+            d = _by_id(held)
             rows.append(rows_of(recording, f, tracker.step(d[:, :2], d[:, 2:])))
-            self.waiting.removeKey((f,))
             frame = f + 1
         while end and frame is not None and frame < upto and len(tracker.ids):
             rows.append(rows_of(recording, frame, tracker.step(np.zeros((0, 2)), np.zeros((0, 3)))))
             frame += 1
-        if ready:
+        if ready and not end:
             self.saved.update((pickle.dumps(tracker), frame))
         if rows:
             yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(_NAMES, zip(*rows, strict=True), strict=True)})
@@ -79,25 +100,30 @@ class StreamingTracker(StatefulProcessor):
                 state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        end = None
+        end, fresh = None, {}
         for part in rows:
             if len(part) and not self.rate.exists():
                 self.rate.update((float(part["fps"].iloc[0]),))
             marks = part[part["det_id"].isna()]
             if len(marks):
                 end, part = int(marks["frame"].max()), part[part["det_id"].notna()]
-            for f, own in part.groupby("frame"):
-                held = pickle.loads(self.waiting.getValue((int(f),))[0]) if self.waiting.containsKey((int(f),)) else []
-                held += list(own[["det_id", "x", "y", "width", "height", "degrees_angle"]].itertuples(index=False, name=None))
-                self.waiting.updateValue((int(f),), (pickle.dumps(held),))
+            order = np.argsort(part["frame"].to_numpy(), kind="stable")
+            frames, ids = part["frame"].to_numpy()[order], part["det_id"].to_numpy().astype(np.int64)[order]
+            values = part[["x", "y", "width", "height", "degrees_angle"]].to_numpy(float)[order]
+            for f, i, j in _stretches(frames):
+                fresh.setdefault(f, []).append((ids[i:j], values[i:j]))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if end is not None:
-            last = max((k[0] for k in self.waiting.keys()), default=-1)
-            yield from self._advance(key[0], max(end, last + 1), end=True)
+            last = max([*(k[0] for k in self.waiting.keys()), *fresh], default=-1)
+            yield from self._advance(key[0], max(end, last + 1), end=True, fresh=fresh)
             for state in (self.rate, self.saved, self.next_id):
                 state.clear()
             return
+        for f, held in fresh.items():
+            if self.waiting.containsKey((f,)):
+                held = pickle.loads(self.waiting.getValue((f,))[0]) + held
+            self.waiting.updateValue((f,), (pickle.dumps(held),))
         self._wait(timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame({n: [] for n in _NAMES})
 
