@@ -172,6 +172,7 @@ def track_in_slices(detections: DataFrame, slice_frames: int = 2000, luminosity:
     next_ = F.when((F.col("frame") >= (own + 1) * F.col("length") - F.col("early")) & ((own + 1) * F.col("length") < F.col("stop")), own + 1)
     cut = rows.join(ends, "recording_id").withColumn("slice", F.explode(F.array_compact(F.array(own, next_))))
     cut = cut.withColumns({"begin": F.col("slice") * F.col("length"), "end": F.least((F.col("slice") + 1) * F.col("length"), "stop"), "state": F.lit(None).cast("binary")}).drop("early", "length", "stop")
+    cut = written(cut)  # every round reads it
     schema = "slice long, " + TRACKS.replace("BIGINT", "long") + (", illumination double, " if luminosity else ", ") + _STATE
 
     def walk(part: DataFrame, number: int) -> DataFrame:
