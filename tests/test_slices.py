@@ -46,3 +46,17 @@ def test_slices_of_nothing_and_of_one_frame(spark):
     df = spark.createDataFrame(walks(9, 1, 1, 0), COLUMNS)
     assert sorted(map(tuple, slices.track_in_slices(df, 10).collect())) == sorted(map(tuple, tracking.track(df).collect()))
     assert slices.track_in_slices(df.limit(0), 10).count() == 0
+
+
+def test_rounds_do_not_read_the_detections_again(spark):
+    rows = walks(3, 2, 160, 20)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(len(part))
+            yield part
+
+    df = spark.createDataFrame(rows, COLUMNS).mapInPandas(counted, COLUMNS)
+    slices.track_in_slices(df, 9).count()
+    assert read.value <= 2 * len(rows)  # once for the recordings' ends, once for the slices
