@@ -5,25 +5,28 @@ window (l, c, r) covers all passages between l and r that contain c and have c a
 c's subtree in the Cartesian tree of the tokens' hashes. Two passages share a min-hash exactly if they
 lie in windows with the same centre value, so documents are joined on centres:
 
-1. For each function, the windows of at least ``least`` tokens are found (nearest smaller values on both
-   sides, from minima over doubling spans). A centre becomes a key together with the ``CONTEXT`` tokens
-   that begin or end at it, which keeps short common lines from meeting.
-2. A key with two postings makes a pair, if the two windows, aligned at the centre, have ``least`` tokens
-   in common (the interval join). Keys with more postings are refined in a second pass: the documents'
-   windows of ``least`` tokens around such a centre become keys of their own, and so do ``LONGER`` tokens on
-   either side of it. Postings of a refined key are joined with the key's first holder, first inside a batch
-   of documents, then between batches: the pairs grow with the postings, not with the square of a group.
-   Holders of one window share the passage, so a link to the first of them stands for all and needs no proof.
+1. The values are hashes of ``CONTEXT`` tokens in a row, one for each token, under one hash function. Two passages
+   of which no token stands twice and which count share ``certain_run`` tokens in a row: 21, if 46 are the fewest.
+   Windows of as many values as such a run has (10) are taken, so both documents have a centre in the run, and with
+   the same value; this does not depend on luck.
+2. A centre whose value stands at two places or more is marked, and all runs of 21 tokens around it become keys. The
+   postings of a key say which tokens stand before and after it. Holders of the same ``least`` tokens are joined with
+   the first of them, which needs no proof, and those of the same 41 distinct tokens too, which count whatever stands
+   around them, but are verified. All others are paired, but only where their common run begins: the pairs are those
+   of different texts that share 21 to 40 tokens. Rows with the same surroundings are paired once.
+   Runs of one to three tokens that repeat at once are paired at their end only.
 3. Shared windows on one diagonal of two documents that overlap make one passage. The other centres of a
-   diagonal make one candidate. It is verified on the tokens themselves: from each centre the passage grows
+   diagonal make one candidate, unless passages found before hold the centre in both documents and tie these into one class: first
+   shared windows, then what one candidate for each place of a document has given.
+   It is verified on the tokens themselves: from each centre the passage grows
    while it pays, and it counts if the token sets have a Jaccard similarity of ``0.8`` and both sides have
    ``least`` tokens. If what has grown does not count, all spans around the centre with the same bounds on
    both sides are tried, up to twice ``least`` tokens: of a longer one that counts, one half does so too.
 
-Exact repeats of ``least`` tokens share every centre and have half of ``least`` tokens on one side of it,
-more than the context, so they are found whatever else holds the key. A near copy can be missed if no
-function's centre has its context intact, or if on all its centres the first holder of the longer keys is
-another text.
+Exact repeats of ``least`` tokens are all found. Near passages are found if they share 21 tokens in a row; only
+passages that repeat their own tokens or four-word phrases can count without such a run. Spans that count only with
+different bounds on both sides may fail verification. The pairs of one key grow with the square of its holders with
+different surroundings; they are made block by block, but by one task.
 """
 
 from __future__ import annotations
@@ -41,36 +44,37 @@ from .packed import pack, pack_sorted, unpack, unpack_sorted
 from .tables import min_label, numbered, written
 
 K = 5
-#: Words of the shortest passage; hash functions; tokens of context in a key.
-LEAST_WORDS, FUNCTIONS, CONTEXT = 50, 4, 12
-#: Tokens of context in the longer keys of centres whose key has more than two postings.
-LONGER = 24
-#: Bits that mark such keys by their upper bits; more keys than bits only mean that more centres are refined.
+#: Words of the shortest passage; tokens of context that make a value.
+LEAST_WORDS, CONTEXT = 50, 12
+#: Bits that mark keys of two places by their upper bits; more keys than bits only mean that more places are looked at.
 HOT_BITS = 27
 NUMERATOR, DENOMINATOR = 80, 100
 SHARD_BYTES, BATCH_TOKENS, LEAST_SHARDS = 4 << 20, 1 << 20, 64
+#: Pairs of postings that are compared or written at once.
+PAIRS_AT_ONCE = 1 << 18
 
 
-def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r), r included, of the Cartesian tree nodes that cover at least ``least`` values.
+def _minima(values: np.ndarray, levels: int) -> list[np.ndarray]:
+    """spans[k][i]: the minimum of 2 ** k values from i on, for up to ``levels`` k."""
+    spans = [values]
+    while len(spans) < levels and 1 << len(spans) <= len(values):
+        a = spans[-1]
+        spans.append(np.minimum(a[: len(values) - (1 << len(spans)) + 1], a[1 << (len(spans) - 1) :][: len(values) - (1 << len(spans)) + 1]))
+    return spans
 
-    A value 0 separates documents. Of equal values the first counts as the smaller one.
+
+def centres(values: np.ndarray, least: int) -> np.ndarray:
+    """The centres of all compact windows of at least ``least`` values: the first minimum of each ``least`` values in a row.
+
+    A value 0 separates documents.
     """
     n = len(values)
-    none = (np.zeros(0, np.int64),) * 3
     if n < least:
-        return none
-    # spans[k][i]: the minimum of 2 ** k values from i on.
-    spans = [values]
-    while 2 << (len(spans) - 1) <= n:
-        a = spans[-1]
-        spans.append(np.minimum(a[: n - (1 << len(spans)) + 1], a[1 << (len(spans) - 1) :][: n - (1 << len(spans)) + 1]))
-    # A node covers ``least`` values only if it is the minimum of some window of that length.
-    k = (least).bit_length() - 1
+        return np.zeros(0, np.int64)
+    k = least.bit_length() - 1
+    spans = _minima(values, k + 1)
     low = np.minimum(spans[k][: n - least + 1], spans[k][least - (1 << k) :][: n - least + 1])
     inside = np.flatnonzero(low > 0)
-    if not len(inside):
-        return none
     near = np.zeros(n, bool)
     # The position of each window's first minimum.
     step = inside.copy()
@@ -80,8 +84,18 @@ def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
         fits = step + width <= n
         skip = fits & (spans[j][np.minimum(step, len(spans[j]) - 1)] > rest)
         step = np.where(skip, step + width, step)
-    near[np.minimum(step, n - 1)] = True
-    c = np.flatnonzero(near)
+    near[np.minimum(step, n - 1)] = len(inside) > 0
+    return np.flatnonzero(near)
+
+
+def compact_windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r), r included, of the Cartesian tree nodes that cover at least ``least`` values.
+
+    A value 0 separates documents. Of equal values the first counts as the smaller one.
+    """
+    n = len(values)
+    c = centres(values, least)
+    spans = _minima(values, n.bit_length())
     own = values[c]
     left, right = c.copy(), c.copy()  # the window so far
     for j in reversed(range(len(spans))):
@@ -104,128 +118,231 @@ def document_tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
         yield a, b, h, first, w
 
 
-def _anchors(h: np.ndarray, first: np.ndarray, least: int, functions: int) -> dict[str, np.ndarray]:
-    """Keys with the document, centre, and tokens of the window before and after the centre."""
-    n = np.diff(first)
-    # Documents are separated by a 0; tokens keep their order.
-    spot = np.arange(len(h)) + np.repeat(np.arange(1, len(n) + 1), n)
-    doc = np.full(len(h) + len(n) + 1, -1)
-    doc[spot] = np.repeat(np.arange(len(n)), n)
-    plain = np.zeros(len(doc), np.uint64)
-    plain[spot] = h
-    parts = []
-    for f in range(functions):
-        values = np.zeros(len(doc), np.uint64)
-        values[spot] = W.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (f + 1) % 2**64)) | np.uint64(1)
-        parts.append(np.stack(compact_windows(values, least)))
-    l, c, r = np.concatenate(parts, axis=1)
-    # One posting for each centre: its widest window (the same centre may be found by several functions).
-    order = np.lexsort((l - r, c))
-    l, c, r = l[order], c[order], r[order]
-    once = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-    l, c, r = l[once], c[once], r[once]
-    out = {"key": [], "doc": [], "centre": [], "before": [], "after": []}
-    for side in (1, -1):
-        ok = (r - c if side == 1 else c - l) >= CONTEXT - 1
-        at = c[ok]
-        key = np.full(len(at), side, np.int64).astype(np.uint64)
-        for j in range(CONTEXT):
-            key = W.mix(key ^ plain[at + side * j]) + np.uint64(j)
-        for name, v in zip(out, (W.mix(key) & ~np.uint64(1), doc[at], at, at - l[ok], r[ok] - at), strict=True):
-            out[name].append(v)
-    found = {k: np.concatenate(v) for k, v in out.items()}
-    start = first[:-1] + np.arange(1, len(n) + 1)  # of each document in the separated array
-    found["centre"] = found["centre"] - start[found["doc"]]
-    return found
+def certain_run(least: int) -> int:
+    """Tokens in a row that two passages which count surely share, if no token stands twice in either of them.
+
+    Of ``s`` shared tokens in ``r`` runs, each of the ``r - 1`` breaks costs both sides ``K - 1`` tokens at least.
+    """
+    fewest, loss = _proof(least), NUMERATOR * 2 * (K - 1) // (DENOMINATOR - NUMERATOR)
+    return min(-(-s // (s // loss + 1)) for s in range(fewest, fewest + 2 * loss))
 
 
-def _windows(h: np.ndarray, first: np.ndarray, least: int, functions: int, hot: np.ndarray) -> dict[str, np.ndarray]:
-    """Postings like those of ``_anchors`` for the centres with a marked key: windows of ``least`` tokens, and longer context."""
-    p = _anchors(h, first, least, functions)
-    at = (p["key"] >> np.uint64(64 - HOT_BITS)).astype(np.int64)
-    marked = (hot[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-    doc, c, before, after = (p[k][marked] for k in ("doc", "centre", "before", "after"))
-    _, once = np.unique(first[doc] + c, return_index=True)
-    doc, c, before, after = doc[once], c[once], before[once], after[once]
+def _proof(least: int) -> int:
+    """Distinct tokens in a row that make two passages of ``least`` tokens count, whatever stands around them."""
+    return -(-2 * least * NUMERATOR // (NUMERATOR + DENOMINATOR))
+
+
+def _sums(h: np.ndarray) -> np.ndarray:
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * W._power(W._BASE, len(h))[: len(h)], out=total[1:])
-    inverse = W._power(W._INVERSE, len(h))
-    start = first[doc] + c
-    low = np.maximum(start - before, start - least + 1)
-    spots = np.unique(W.ranges(low, np.minimum(start, start + after - least + 1) - low + 1))
-    of = np.searchsorted(first, spots, side="right") - 1
-    found = [(spots, least, of, spots - first[of], np.zeros(len(spots), np.int64), np.full(len(spots), least - 1))]
-    for ok, begin, salt in ((after >= LONGER - 1, start, 1), (before >= LONGER - 1, start - LONGER + 1, 2)):
-        found.append((begin[ok], LONGER, doc[ok], c[ok], before[ok], after[ok], salt))
-    # The lowest bit of a key tells whole windows from context.
-    keys = [W.mix((total[f[0] + f[1]] - total[f[0]]) * inverse[f[0]] + np.uint64(f[6] if len(f) > 6 else 0)) >> np.uint64(1) << np.uint64(1) | np.uint64(len(f) == 6) for f in found]
-    return {"key": np.concatenate(keys)} | {k: np.concatenate([f[i] for f in found]) for i, k in enumerate(("doc", "centre", "before", "after"), 2)}
+    return total
 
 
-_PAIRS = "x long, y long, diagonal long, start long, stop long, centre long"
-_JOINED = _PAIRS + ", hot binary"
-_FIELDS = (("rid", np.int64), ("centre", np.uint32), ("before", np.uint32), ("after", np.uint32))
-_INDEX = "bucket long, keys binary, rid binary, centre binary, before binary, after binary, pairs binary"
+def _hashes(total: np.ndarray, at: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+    """Hashes of the ``n`` tokens from each place on, from the sums of all tokens."""
+    return W.mix((total[at + n] - total[at]) * W._power(W._INVERSE, len(total))[at])
 
 
-def _paired(key: np.ndarray, p: dict[str, np.ndarray], least: int, refined: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Join postings (sorted by key, then rid, then place).
+def _contexts(h: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sums of the tokens, the value of the context that begins at each token (0: none), the centres of its windows, and their width."""
+    run = certain_run(least)
+    context = min(CONTEXT, run)
+    total, values = _sums(h), np.zeros(len(h), np.uint64)
+    whole = np.flatnonzero(np.arange(len(h)) + context <= np.repeat(first[1:], np.diff(first)))
+    values[whole] = _hashes(total, whole, context) | np.uint64(1)
+    return total, values, centres(values, run - context + 1), run - context + 1
 
-    Of keys that are not refined, those with two postings make a pair. Postings of a refined key are joined with the
-    first one, those of the first document with the last one. Returns the pairs as rows of ``_PAIRS``, with
-    centre -1 for a whole window that both have, and the positions of the postings that go on to other batches.
-    """
-    if not len(key):
-        return np.zeros((0, 6), np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    last = np.append(first[1:], len(key)) - 1
-    size = last - first + 1
-    if refined:
-        x, head, tail = np.arange(len(key)), np.repeat(first, size), np.repeat(last, size)
-        own = p["rid"][x] == p["rid"][head]
-        y = np.where(own, tail, head)
-        onward = np.flatnonzero(own | (x == tail))
-    else:  # a third posting tells that the key is to be refined
-        x, y = last[size == 2], first[size == 2]
-        onward = np.unique(np.concatenate([first, last, np.minimum(first + 1, last)]))
+
+def _keys(least: int):
+    def found(h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        _, values, c, _ = _contexts(h, first, least)
+        return {"key": W.mix(values[c])}
+
+    return found
+
+
+#: Bits of a key: the place is one of those whose windows are listed inside a run, and the tokens there repeat at once.
+LISTED, FLAT = np.uint64(1), np.uint64(2)
+
+
+def _windows(least: int, hot: np.ndarray):
+    """The runs of ``certain_run`` tokens around the centres whose key is marked, with what stands around them."""
+    run, proof = certain_run(least), _proof(least)
+    reach = 2 * least - 2
+
+    def found(h: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+        total, values, c, width = _contexts(h, first, least)
+        at = (W.mix(values[c]) >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+        c = c[(hot[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
+        doc = np.searchsorted(first, c, side="right") - 1
+        low = np.maximum(first[doc], c - width + 1)
+        spots = np.unique(W.ranges(low, np.maximum(0, np.minimum(c, first[doc + 1] - run) - low + 1)))
+        doc = np.searchsorted(first, spots, side="right") - 1
+        begin, end = first[doc], first[doc + 1]
+        listed = np.ones(len(spots), bool)
+        for j in range(1, width):
+            listed &= values[spots] <= values[spots + j]
+        flat = np.zeros(len(h) + 1, bool)
+        for d in range(1, min(4, run)):
+            same = np.concatenate([[0], np.cumsum(h[:-d] == h[d:]), np.zeros(d, np.int64)])
+            n = max(0, len(h) - run + 1)
+            flat[:n] |= same[run - d : run - d + n] - same[:n] == run - d
+        # The place before each token where it stood last, and the last such place of all tokens so far.
+        order = np.argsort(h, kind="stable")
+        again = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+        last = np.full(len(h), -1)
+        last[order[again + 1]] = order[again]
+        last = np.maximum.accumulate(last)
+
+        def within(n: int, where: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(spots), np.uint32)
+            out[where] = (_hashes(total, spots[where], n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            return out
+
+        whole = within(least, spots + least <= end)
+        fits = (spots + proof <= end) & (end - begin >= least)
+        distinct = fits & (last[np.minimum(spots + proof, len(h)) - 1] < spots)
+        near = np.where(distinct, within(proof, distinct), whole)
+        before, after = np.minimum(spots - begin, reach), np.minimum(end - 1 - spots, run - 1 + reach)
+        # No run goes on to the left of a document's begin, nor, as far as links go, into tokens that repeat at once.
+        opens = (spots == begin) | (flat[np.maximum(spots - 1, 0)] & ~flat[spots])
+        token = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        after_it = (token[np.minimum(spots + least, len(h) - 1)] >> np.uint32(8)).astype(np.uint8) | np.uint8(1)
+        around = W.mix(_hashes(total, spots - before, before + after + 1) + (before * 1024 + after).astype(np.uint64))
+        key = _hashes(total, spots, run) & ~(LISTED | FLAT) | listed * LISTED | flat[spots] * FLAT
+        return {"key": key, "doc": doc, "place": spots - begin, "before": before, "after": after, "prev": np.where(opens, np.uint32(0), token[np.maximum(spots - 1, 0)]), "next": np.where(spots + least < end, after_it, np.uint8(0)), "near": near, "whole": whole, "around": (around >> np.uint64(32)).astype(np.uint32)}
+
+    return found
+
+
+_PAIRS = "x long, y long, diagonal long, start long, stop long, centre long"
+_FIELDS = {"rid": np.int64, "place": np.uint32, "before": np.uint16, "after": np.uint16, "prev": np.uint32, "next": np.uint8, "near": np.uint32, "whole": np.uint32, "around": np.uint32}
+_MARKS = "bucket long, keys binary"
+_INDEX = "bucket long, keys binary, " + ", ".join(f"{c} binary" for c in _FIELDS) + ", pairs binary"
+
+
+def _rows_of_pairs(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, least: int, whole: bool) -> np.ndarray:
+    """Pairs of postings as rows of ``_PAIRS``: a window that both have, with centre -1, or a region with a centre to be verified."""
     other = p["rid"][x] != p["rid"][y]
     x, y = x[other], y[other]
     swap = p["rid"][x] < p["rid"][y]
     x, y = np.where(swap, y, x), np.where(swap, x, y)
-    before, after = np.minimum(p["before"][x], p["before"][y]).astype(np.int64), np.minimum(p["after"][x], p["after"][y]).astype(np.int64)
-    joint = before + after + 1 >= least  # the interval join
-    x, y, before, after = x[joint], y[joint], before[joint], after[joint]
-    cx, cy = p["centre"][x].astype(np.int64), p["centre"][y].astype(np.int64)
-    whole = refined & ((key[x] & np.uint64(1)) == 1)
-    found = np.stack([p["rid"][x], p["rid"][y], cx - cy, cx - before, cx + after, np.where(whole, -1, cx)], axis=1)
+    cx, cy = p["place"][x].astype(np.int64), p["place"][y].astype(np.int64)
+    if whole:
+        start, stop, centre = cx, cx + least - 1, np.full(len(x), -1)
+    else:
+        # A span with enough of the run in it contains this token of the run.
+        start, stop, centre = cx - np.minimum(p["before"][x], p["before"][y]), cx + np.minimum(p["after"][x], p["after"][y]), cx + certain_run(least) - 1
+    found = np.stack([p["rid"][x], p["rid"][y], cx - cy, start, stop, centre], axis=1)
+    if not len(found):
+        return found
     found = found[np.lexsort(found.T[::-1])]
-    return found[np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])] if len(found) else found, onward
+    return found[np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)])]
+
+
+def _sorted(p: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by ``by``, then rid and place; the first and last of each one's group, and the first of each group."""
+    order = np.lexsort((p["place"], p["rid"], *(p[c] for c in reversed(by))))
+    p = {c: v[order] for c, v in p.items()}
+    begins = np.ones(len(order), bool)
+    begins[1:] = False
+    for c in by:
+        begins[1:] |= p[c][1:] != p[c][:-1]
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, len(order)))
+    return p, np.repeat(first, size), np.repeat(first + size - 1, size), first
+
 
+def _differ(v: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether two postings differ in a value; 0 differs from all."""
+    return (v[x] != v[y]) | (v[x] == 0)
 
-def _index_rows(buckets: int, least: int, postings, refined: bool):
+
+def _tied(p: dict[str, np.ndarray], head: np.ndarray, tail: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that postings share with the first one of their group (those of its document with the last one), and the partners.
+
+    Inside a run that two documents share only windows at listed places are given, and those where the run begins and ends.
+    """
+    x = np.arange(len(head))
+    y = np.where(p["rid"] == p["rid"][head], tail, head)
+    wanted = ~_differ(p["whole"], x, y) & (_differ(p["prev"], x, y) | _differ(p["next"], x, y) | ((p["key"] & LISTED) > 0))
+    return _rows_of_pairs(p, x[wanted], y[wanted], least, True), y
+
+
+def _gathered(p: dict[str, np.ndarray], least: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Postings of one batch that go on to other batches, by key, and pairs: one posting stands for all with the same surroundings."""
+    p, head, tail, _ = _sorted(p, "key", "around")
+    pairs, _ = _tied(p, head, tail, least)
+    onward = (p["rid"] == p["rid"][head]) | (np.arange(len(head)) == tail)
+    return {c: v[onward] for c, v in p.items()}, pairs
+
+
+def _joined(p: dict[str, np.ndarray], least: int) -> Iterator[np.ndarray]:
+    """All pairs of a bucket's postings that are to be linked or verified."""
+    p, head, tail, _ = _sorted(p, "key", "whole")
+    yield _tied(p, head, tail, least)[0]
+    # The same ``_proof`` tokens: a link to the first holder stands for all, but passages are verified.
+    p, head, tail, _ = _sorted(p, "key", "near")
+    x = np.arange(len(head))
+    y = np.where(p["rid"] == p["rid"][head], tail, head)
+    wanted = ~_differ(p["near"], x, y) & _differ(p["prev"], x, y) & _differ(p["whole"], x, y)
+    yield _rows_of_pairs(p, x[wanted], y[wanted], least, False)
+    # All others that share a run which begins here; of the same surroundings two rows are enough.
+    p, head, tail, _ = _sorted(p, "key", "around")
+    some = ((np.arange(len(head)) == head) | (np.arange(len(head)) == tail)) & ((p["key"] & FLAT) == 0)
+    p, head, tail, first = _sorted({c: v[some] for c, v in p.items()}, "key")
+    if not len(head):
+        return
+    x = np.arange(len(head))
+    mixed = np.add.reduceat((_differ(p["prev"], x, head) & (x > head)).astype(np.int64), first) * np.add.reduceat((_differ(p["near"], x, head) & (x > head)).astype(np.int64), first)
+    held, count = [], 0
+    for a in first[mixed > 0].tolist():
+        b = int(tail[a]) + 1
+        step = max(1, PAIRS_AT_ONCE // (b - a))
+        for i in range(a, b, step):
+            x, y = np.arange(i, min(i + step, b))[:, None], np.arange(a, b)[None, :]
+            x, y = np.nonzero((y > x) & _differ(p["prev"], x, y) & _differ(p["near"], x, y) & (p["rid"][x] != p["rid"][y]))
+            held.append(np.stack([x + i, y + a]))
+            count += len(x)
+            if count >= PAIRS_AT_ONCE:
+                yield _rows_of_pairs(p, *np.concatenate(held, axis=1), least, False)
+                held, count = [], 0
+    if count:
+        yield _rows_of_pairs(p, *np.concatenate(held, axis=1), least, False)
+
+
+def _index_rows(buckets: int, least: int, postings, marking: bool):
+    """Postings of batches of documents by bucket: only keys, each twice at most, or all that ``_joined`` needs."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    names = [c.split()[0] for c in (_MARKS if marking else _INDEX).split(", ")]
 
     def flush(held: list, number: int) -> Iterator[pa.RecordBatch]:
         p = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
-        order = np.lexsort((p["centre"], p["rid"], p["key"]))
-        p = {k: v[order] for k, v in p.items()}
-        pairs, onward = _paired(p["key"], p, least, refined)
-        p = {k: v[onward] for k, v in p.items()}
+        if marking:
+            key = np.sort(p["key"])
+            p, pairs = {"key": np.concatenate([key[:2], key[2:][key[2:] != key[:-2]]])}, None
+        else:
+            p, pairs = _gathered({"key": p["key"]} | {c: p[c].astype(t) for c, t in _FIELDS.items()}, least)
         home = int(W.mix(np.array([TaskContext.get().partitionId() * 2**20 + number], np.uint64))[0]) % buckets
-        out = {c.split()[0]: [] for c in _INDEX.split(", ")}
+        rows = []
         for k, a, b in W.buckets_of(p["key"] >> shift, home):
-            row = (k, pack_sorted(p["key"][a:b]), *(pack(p[c][a:b].astype(t)) for c, t in _FIELDS), pack(pairs.ravel()) if k == home else None)
-            for c, v in zip(out, row, strict=True):
-                out[c].append(v)
-        yield pa.record_batch([pa.array(out["bucket"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in list(out)[1:])], names=list(out))
+            row = [k, pack_sorted(p["key"][a:b])]
+            if not marking:
+                row += [*(pack(p[c][a:b]) for c in _FIELDS), pack(pairs.ravel()) if k == home else None]
+            rows.append(row)
+        columns = list(zip(*rows, strict=True))
+        yield pa.record_batch([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count, number = [], 0, 0
         for batch in batches:
             rid = batch.column("rid").to_numpy()
             for a, _, h, first, _ in document_tokens(batch.column("text")):
+                if not len(h):
+                    continue
                 found = postings(h, first)
-                found["rid"] = rid[a:][found.pop("doc")]
+                if not marking:
+                    found["rid"] = rid[a:][found.pop("doc")]
                 held.append(found)
                 count += len(h)
                 if count >= BATCH_TOKENS:
@@ -237,24 +354,33 @@ def _index_rows(buckets: int, least: int, postings, refined: bool):
     return run
 
 
-def _join_batches(buckets: int, least: int, refined: bool):
-    """Pairs of a bucket's postings, and in a row of its own the marks of its keys that are to be refined."""
+def _mark_keys(buckets: int):
+    """A bit for each key of a bucket that stands at two places."""
 
     def run(rows: pa.Table) -> pa.Table:
-        cells = rows.to_pydict()
-        key = np.concatenate([unpack_sorted(r) for r in cells["keys"]])
-        p = {c: np.concatenate([unpack(r, t) for r in cells[c]]) for c, t in _FIELDS}
-        order = np.lexsort((p["centre"], p["rid"], key))
-        key = key[order]
-        pairs, _ = _paired(key, {c: v[order] for c, v in p.items()}, least, refined)
-        span = max(8, (1 << HOT_BITS) // buckets)
-        marks = np.zeros(span, np.uint8)
-        if not refined and len(key) > 2:
-            marks[(key[:-2][key[2:] == key[:-2]] >> np.uint64(64 - HOT_BITS)).astype(np.int64) % span] = 1
-        hot = [cells["bucket"][0].to_bytes(8, "little") + pack(np.packbits(marks))]
-        pairs = np.concatenate([pairs, *(unpack(r, np.int64).reshape(-1, 6) for r in cells["pairs"] if r is not None)])
-        columns = [pa.array(np.append(pairs[:, i], -1)) for i in range(6)] + [pa.array([None] * len(pairs) + hot, pa.binary())]
-        return pa.table(columns, names=[c.split()[0] for c in _JOINED.split(", ")])
+        key = np.sort(np.concatenate([unpack_sorted(r) for r in rows.column("keys").to_pylist()]))
+        marks = np.zeros(max(8, (1 << HOT_BITS) // buckets), np.uint8)
+        marks[(key[:-1][key[1:] == key[:-1]] >> np.uint64(64 - HOT_BITS)).astype(np.int64) % len(marks)] = 1
+        return pa.table({"bucket": rows.column("bucket")[:1], "marks": pa.array([pack(np.packbits(marks))], pa.binary())})
+
+    return run
+
+
+def _join_batches(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names = [], [c.split()[0] for c in _PAIRS.split(", ")]
+
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(6)], names=names)
+
+        for batch in batches:
+            cells = batch.to_pydict()
+            held.append({"key": np.concatenate([unpack_sorted(r) for r in cells["keys"]])} | {c: np.concatenate([unpack(r, t) for r in cells[c]]) for c, t in _FIELDS.items()})
+            for r in cells["pairs"]:
+                if r is not None:
+                    yield out(unpack(r, np.int64).reshape(-1, 6))
+        for pairs in _joined({c: np.concatenate([h[c] for h in held]) for c in held[0]}, least):
+            yield out(pairs)
 
     return run
 
@@ -398,7 +524,37 @@ def _verify(least: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, functions: int = FUNCTIONS) -> DataFrame:
+def _not_tied(loose: DataFrame, found: DataFrame) -> DataFrame:
+    """The candidates but those whose centre stands in found passages on both sides, of documents that such passages tie into one class."""
+    spans = found.select(F.col("x").alias("rid"), F.col("x_start").alias("run_start"), (F.col("x_start") + F.col("x_words") - K + 1).alias("run_stop"))
+    spans = spans.union(found.select("y", "y_start", F.col("y_start") + F.col("y_words") - K + 1)).distinct()
+    by_start = Window.partitionBy("rid").orderBy("run_start", "run_stop")
+    apart = F.coalesce((F.col("run_start") > F.max("run_stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).cast("long"), F.lit(1))
+    spans = spans.withColumn("apart", apart).withColumn("part", F.sum("apart").over(by_start)).groupBy("rid", "part").agg(F.min("run_start").alias("begin"), F.max("run_stop").alias("end"))
+    labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
+    spans = written(spans.join(labels, "rid").select("rid", "begin", "end", "label"))
+    for side, at in (("x", F.col("centre")), ("y", F.col("centre") - F.col("diagonal"))):
+        own = spans.select(F.col("rid").alias(f"{side}_rid"), F.col("begin").alias(f"{side}_begin"), F.col("end").alias(f"{side}_end"), F.col("label").alias(f"{side}_label"))
+        loose = loose.join(own, (F.col(side) == F.col(f"{side}_rid")) & (at >= F.col(f"{side}_begin")) & (at < F.col(f"{side}_end")), "left")
+    return loose.where("coalesce(x_label <> y_label, true)").select("x", "y", "diagonal", "start", "stop", "centre")
+
+
+def _verified(texts: DataFrame, loose: DataFrame, least: int) -> DataFrame:
+    """The passages among candidates (rows of ``_PAIRS``)."""
+    candidates = loose.groupBy("x", "y", "diagonal").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("centre").alias("centres"))
+    candidates = written(candidates)
+    y_start, y_stop = F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
+    regions = candidates.select(F.col("x").alias("rid"), "start", "stop").union(candidates.select("y", y_start, y_stop)).distinct()
+    wanted = regions.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("regions"))
+    tokens = texts.select("rid", "text").join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, start long, stop long, tokens binary")
+    tokens = written(tokens)
+    x = tokens.select(F.col("rid").alias("x"), "start", "stop", F.col("tokens").alias("x_tokens"))
+    y = tokens.select(F.col("rid").alias("y"), F.col("start").alias("y_start"), F.col("stop").alias("y_stop"), F.col("tokens").alias("y_tokens"))
+    both = candidates.withColumns({"y_start": y_start, "y_stop": y_stop}).join(x, ["x", "start", "stop"]).join(y, ["y", "y_start", "y_stop"])
+    return both.select("x", "y", "start", "diagonal", "centres", "x_tokens", "y_tokens").mapInArrow(_verify(least), _FOUND)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Passages of ``least_words`` words or more that stand in more than one row.
 
     One row per passage and partner: ``doc_id, start_word, n_words, partner_id, partner_start,
@@ -409,47 +565,40 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     have no passages; repeated rows are each other's partners, ties go to the smaller row number, and other columns are
     not read. Texts of any length are read whole. An empty table gives an empty result.
     """
-    return _listed(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "rid"), least_words, functions)
+    return _listed(numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "rid"), least_words)
 
 
-def _listed(texts: DataFrame, least_words: int, functions: int) -> DataFrame:
+def _listed(texts: DataFrame, least_words: int) -> DataFrame:
     """The passages of ``texts`` (``rid, doc_id, text``)."""
     least = least_words - K + 1
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(LEAST_SHARDS.bit_length() - 1, (total // SHARD_BYTES).bit_length())
     rows = texts.select("rid", "text")
 
-    def joined(postings, refined: bool) -> DataFrame:
-        return rows.mapInArrow(_index_rows(buckets, least, postings, refined), _INDEX).groupBy("bucket").applyInArrow(_join_batches(buckets, least, refined), _JOINED)
-
-    first = written(joined(lambda h, at: _anchors(h, at, least, functions), False))
+    shared = written(rows.mapInArrow(_index_rows(buckets, least, _keys(least), True), _MARKS).groupBy("bucket").applyInArrow(_mark_keys(buckets), "bucket long, marks binary"))
     marks = np.zeros(1 << HOT_BITS >> 3, np.uint8)
-    for r in first.where("hot is not null").select("hot").toLocalIterator():  # a bit for each of 2 ** HOT_BITS
-        part = unpack(bytes(r["hot"][8:]), np.uint8)
-        k = int.from_bytes(r["hot"][:8], "little") * (1 << HOT_BITS) // buckets >> 3
+    for r in shared.toLocalIterator():  # a bit for each of 2 ** HOT_BITS
+        part = unpack(bytes(r["marks"]), np.uint8)
+        k = r["bucket"] * (1 << HOT_BITS) // buckets >> 3
         marks[k : k + len(part)] |= part
     hot = texts.sparkSession.sparkContext.broadcast(marks)
-    second = joined(lambda h, at: _windows(h, at, least, functions, hot.value), True).where("hot is null")
-    pairs = written(first.where("hot is null").union(second).drop("hot"))
+    postings = rows.mapInArrow(_index_rows(buckets, least, lambda h, at: _windows(least, hot.value)(h, at), False), _INDEX)
+    pairs = written(postings.groupBy("bucket").applyInArrow(_join_batches(least), _PAIRS))
     # Shared windows that overlap on one diagonal are one passage.
     diagonal = Window.partitionBy("x", "y", "diagonal").orderBy("start")
     apart = F.coalesce((F.col("start") > F.lag("start").over(diagonal) + least).cast("long"), F.lit(1))
     runs = pairs.where("centre = -1").select("x", "y", "diagonal", "start").withColumn("apart", apart).withColumn("run", F.sum("apart").over(diagonal))
     runs = written(runs.groupBy("x", "y", "diagonal", "run").agg(F.min("start").alias("run_start"), (F.max("start") + least).alias("run_stop")).drop("run"))
     inside = [pairs[c] == runs[c] for c in ("x", "y", "diagonal")] + [pairs["centre"] >= runs["run_start"], pairs["centre"] < runs["run_stop"]]
-    loose = pairs.where("centre >= 0").join(runs, inside, "left_anti")
-    candidates = loose.groupBy("x", "y", "diagonal").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("centre").alias("centres"))
-    candidates = written(candidates)
-    y_start, y_stop = F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
-    regions = candidates.select(F.col("x").alias("rid"), "start", "stop").union(candidates.select("y", y_start, y_stop)).distinct()
-    wanted = regions.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("regions"))
-    tokens = texts.select("rid", "text").join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, start long, stop long, tokens binary")
-    tokens = written(tokens)
-    x = tokens.select(F.col("rid").alias("x"), "start", "stop", F.col("tokens").alias("x_tokens"))
-    y = tokens.select(F.col("rid").alias("y"), F.col("start").alias("y_start"), F.col("stop").alias("y_stop"), F.col("tokens").alias("y_tokens"))
     shared = runs.select("x", "y", F.col("run_start").alias("x_start"), (F.col("run_stop") - F.col("run_start") + K - 1).alias("x_words"), (F.col("run_start") - F.col("diagonal")).alias("y_start"), (F.col("run_stop") - F.col("run_start") + K - 1).alias("y_words"), F.lit(1.0).alias("similarity"))
-    both = candidates.withColumns({"y_start": y_start, "y_stop": y_stop}).join(x, ["x", "start", "stop"]).join(y, ["y", "y_start", "y_stop"])
-    found = written(both.select("x", "y", "start", "diagonal", "centres", "x_tokens", "y_tokens").mapInArrow(_verify(least), _FOUND).union(shared))
+    loose = written(_not_tied(pairs.where("centre >= 0").join(runs, inside, "left_anti"), shared))
+    # One partner for each place first: what that ties need not be verified again.
+    place = Window.partitionBy("x", F.floor(F.col("centre") / least))
+    chosen = loose.withColumn("least_y", F.min("y").over(place)).where("y = least_y").select("x", "y", "diagonal").distinct()
+    chosen = written(loose.join(chosen, ["x", "y", "diagonal"]))
+    found = written(_verified(texts, chosen, least).union(shared))
+    rest = loose.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti")
+    found = written(_verified(texts, _not_tied(rest, found), least).union(found))
     ids = texts.select("rid", "doc_id")
     labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
     named = labels.join(ids, "rid")
@@ -472,7 +621,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = numbered(docs, "__rid")
     texts = rows.select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = _listed(texts, least_words, FUNCTIONS).where("not keeps")
+    spans = _listed(texts, least_words).where("not keeps")
     spans = written(spans.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut")))
     rows = rows.join(spans, "__rid", "left").drop("__rid")
 

@@ -163,6 +163,19 @@ def test_middle_holders_of_a_common_line_are_paired(spark):
     assert all(r.n_words >= least + 4 and r.partner_words >= least + 4 for r in got)
 
 
+def test_near_copies_of_common_lines_are_linked(spark):
+    # Two documents share two common lines around a changed word; all first holders have only one of the lines.
+    assert repeated_passages.certain_run(46) == 21
+    rows, want = [], set()
+    for i in range(6):
+        one, two = prose(30, f"one{i}"), prose(30, f"two{i}")
+        rows += [(100 * i + j, f"{prose(60, f'a{i}{j}')} {one if j % 2 else two} {prose(60, f'b{i}{j}')}") for j in range(20)]
+        rows += [(100 * i + j, f"{prose(60, f'a{i}{j}')} {one} changed{j} {two} {prose(60, f'b{i}{j}')}") for j in (50, 51)]
+        want.add((100 * i + 50, 100 * i + 51))
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
+
+
 def test_every_place_of_a_repeated_passage_is_listed(spark):
     parts = [w for i in range(6) for w in (prose(70, f"p{i}"), PASSAGE)]
     rows = [(1, " ".join(parts)), (2, prose(90, "q") + " " + PASSAGE), (3, PASSAGE + " " + prose(90, "r"))]
