@@ -6,7 +6,7 @@ c's subtree in the Cartesian tree of the tokens' hashes. Two passages share a mi
 lie in windows with the same centre value, so documents are joined on centres:
 
 1. The values are hashes of ``CONTEXT`` tokens in a row, one for each token, under one hash function. Two passages
-   of which no token stands twice and which count share ``certain_run`` tokens in a row: 21, if 46 are the fewest.
+   that count and repeat no token or phrase of their own share ``certain_run`` tokens in a row: 21, if 46 are the fewest.
    Windows of as many values as such a run has (10) are taken, so both documents have a centre in the run, and with
    the same value; this does not depend on luck.
 2. A centre whose value stands at two places or more is marked, and all runs of 21 tokens around it become keys. The
@@ -24,7 +24,7 @@ lie in windows with the same centre value, so documents are joined on centres:
    both sides are tried, up to twice ``least`` tokens: of a longer one that counts, one half does so too.
 
 Exact repeats of ``least`` tokens are all found. Near passages are found if they share 21 tokens in a row; only
-passages that repeat their own tokens or four-word phrases can count without such a run. Spans that count only with
+passages that repeat their own tokens or phrases can count without such a run. Spans that count only with
 different bounds on both sides may fail verification. The pairs of one key grow with the square of its holders with
 different surroundings; they are made block by block, but by one task.
 """
@@ -119,7 +119,7 @@ def document_tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
 
 
 def certain_run(least: int) -> int:
-    """Tokens in a row that two passages which count surely share, if no token stands twice in either of them.
+    """Tokens in a row that two passages which count surely share, if neither repeats a token or phrase.
 
     Of ``s`` shared tokens in ``r`` runs, each of the ``r - 1`` breaks costs both sides ``K - 1`` tokens at least.
     """
