@@ -13,7 +13,10 @@ lie in windows with the same centre value, so documents are joined on centres:
    postings of a key say which tokens stand before and after it. Holders of the same ``least`` tokens are joined with
    the first of them, which needs no proof, and those of the same 41 distinct tokens too, which count whatever stands
    around them, but are verified. All others are paired, but only where their common run begins: the pairs are those
-   of different texts that share 21 to 40 tokens. Rows with the same surroundings are paired once.
+   of different texts that share 21 to 40 tokens. Rows with the same surroundings are paired once. Of a run with more than
+   ``FEW`` holders those stay that passages found so far do not tie into one class there. Each class is tried with the
+   run's largest first; then holders of different classes are candidates if the tokens around the run let them count:
+   a span of ``least`` tokens whose tokens, but for a fifth, stand around the other's run too.
    Runs of one to three tokens that repeat at once are paired at their end only.
 3. Shared windows on one diagonal of two documents that overlap make one passage. The other centres of a
    diagonal make one candidate, unless passages found before hold the centre in both documents and tie these into one class: first
@@ -25,8 +28,9 @@ lie in windows with the same centre value, so documents are joined on centres:
 
 Exact repeats of ``least`` tokens are all found. Near passages are found if they share 21 tokens in a row; only
 passages that repeat their own tokens or phrases can count without such a run. Spans that count only with
-different bounds on both sides may fail verification. The pairs of one key grow with the square of its holders with
-different surroundings; they are made block by block, but by one task.
+different bounds on both sides may fail verification. The holders of one key are compared by one task, which holds
+the tokens around them; candidates are only those that their tokens do not rule out, but where many holders of a run
+are nearly alike without being tied, those still grow with the square of their number.
 """
 
 from __future__ import annotations
@@ -50,8 +54,10 @@ LEAST_WORDS, CONTEXT = 50, 12
 HOT_BITS = 27
 NUMERATOR, DENOMINATOR = 80, 100
 SHARD_BYTES, BATCH_TOKENS, LEAST_SHARDS = 4 << 20, 1 << 20, 64
-#: Pairs of postings that are compared or written at once.
-PAIRS_AT_ONCE = 1 << 18
+#: Holders of one run of which all pairs are made at once; more are listed one by one.
+FEW = 16
+#: Pairs of holders whose tokens are compared at once.
+PAIRS_AT_ONCE = 1 << 10
 
 
 def _minima(values: np.ndarray, levels: int) -> list[np.ndarray]:
@@ -278,7 +284,7 @@ def _gathered(p: dict[str, np.ndarray], least: int) -> tuple[dict[str, np.ndarra
 
 
 def _joined(p: dict[str, np.ndarray], least: int) -> Iterator[np.ndarray]:
-    """All pairs of a bucket's postings that are to be linked or verified."""
+    """A bucket's postings as pairs that are to be linked or verified, and the holders of the runs that more than ``FEW`` hold."""
     p, head, tail, _ = _sorted(p, "key", "whole")
     yield _tied(p, head, tail, least)[0]
     # The same ``_proof`` tokens: a link to the first holder stands for all, but passages are verified.
@@ -295,20 +301,20 @@ def _joined(p: dict[str, np.ndarray], least: int) -> Iterator[np.ndarray]:
         return
     x = np.arange(len(head))
     mixed = np.add.reduceat((_differ(p["prev"], x, head) & (x > head)).astype(np.int64), first) * np.add.reduceat((_differ(p["near"], x, head) & (x > head)).astype(np.int64), first)
-    held, count = [], 0
-    for a in first[mixed > 0].tolist():
-        b = int(tail[a]) + 1
-        step = max(1, PAIRS_AT_ONCE // (b - a))
-        for i in range(a, b, step):
-            x, y = np.arange(i, min(i + step, b))[:, None], np.arange(a, b)[None, :]
-            x, y = np.nonzero((y > x) & _differ(p["prev"], x, y) & _differ(p["near"], x, y) & (p["rid"][x] != p["rid"][y]))
-            held.append(np.stack([x + i, y + a]))
-            count += len(x)
-            if count >= PAIRS_AT_ONCE:
-                yield _rows_of_pairs(p, *np.concatenate(held, axis=1), least, False)
-                held, count = [], 0
-    if count:
-        yield _rows_of_pairs(p, *np.concatenate(held, axis=1), least, False)
+    size = tail[first] + 1 - first
+    for n in range(2, FEW + 1):
+        begin = first[(mixed > 0) & (size == n)][:, None]
+        i, j = np.triu_indices(n, 1)
+        x, y = (begin + i).ravel(), (begin + j).ravel()
+        wanted = _differ(p["prev"], x, y) & _differ(p["near"], x, y)
+        yield _rows_of_pairs(p, x[wanted], y[wanted], least, False)
+    yield _rows_of_holders({c: v[np.repeat((mixed > 0) & (size > FEW), size)] for c, v in p.items()})
+
+
+def _rows_of_holders(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Postings in the columns of ``_PAIRS``: the document, the key, ``prev`` and ``near``, the region, and the place as a centre below -1."""
+    place, ends = p["place"].astype(np.int64), p["prev"].astype(np.uint64) << np.uint64(32) | p["near"]
+    return np.stack([p["rid"], p["key"].view(np.int64), ends.view(np.int64), place - p["before"], place + p["after"], -2 - place], axis=1)
 
 
 def _index_rows(buckets: int, least: int, postings, marking: bool):
@@ -524,21 +530,185 @@ def _verify(least: int):
     return run
 
 
-def _not_tied(loose: DataFrame, found: DataFrame) -> DataFrame:
-    """The candidates but those whose centre stands in found passages on both sides, of documents that such passages tie into one class."""
+def _spans(found: DataFrame) -> DataFrame:
+    """Where found passages stand in each document, with the class that they tie it into (``rid, begin, end, label``)."""
     spans = found.select(F.col("x").alias("rid"), F.col("x_start").alias("run_start"), (F.col("x_start") + F.col("x_words") - K + 1).alias("run_stop"))
     spans = spans.union(found.select("y", "y_start", F.col("y_start") + F.col("y_words") - K + 1)).distinct()
     by_start = Window.partitionBy("rid").orderBy("run_start", "run_stop")
     apart = F.coalesce((F.col("run_start") > F.max("run_stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).cast("long"), F.lit(1))
     spans = spans.withColumn("apart", apart).withColumn("part", F.sum("apart").over(by_start)).groupBy("rid", "part").agg(F.min("run_start").alias("begin"), F.max("run_stop").alias("end"))
     labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
-    spans = written(spans.join(labels, "rid").select("rid", "begin", "end", "label"))
+    return written(spans.join(labels, "rid").select("rid", "begin", "end", "label"))
+
+
+def _not_tied(loose: DataFrame, spans: DataFrame) -> DataFrame:
+    """The candidates but those whose centre stands in found passages on both sides, of documents that such passages tie into one class."""
     for side, at in (("x", F.col("centre")), ("y", F.col("centre") - F.col("diagonal"))):
         own = spans.select(F.col("rid").alias(f"{side}_rid"), F.col("begin").alias(f"{side}_begin"), F.col("end").alias(f"{side}_end"), F.col("label").alias(f"{side}_label"))
         loose = loose.join(own, (F.col(side) == F.col(f"{side}_rid")) & (at >= F.col(f"{side}_begin")) & (at < F.col(f"{side}_end")), "left")
     return loose.where("coalesce(x_label <> y_label, true)").select("x", "y", "diagonal", "start", "stop", "centre")
 
 
+_HOLDER = ("key", "rid", "place", "start", "stop", "ends")
+
+
+def _not_tied_holders(holders: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """The holders of runs whose holders are not all tied into one class by found passages that hold the run, with their class (else an own one)."""
+    own, at = spans.withColumnRenamed("rid", "own_rid"), F.col("place") + certain_run(least) - 1
+    named = holders.select(*_HOLDER).join(own, (F.col("rid") == F.col("own_rid")) & (at >= F.col("begin")) & (at < F.col("end")), "left")
+    named = written(named.select(*_HOLDER, F.coalesce("label", -1 - F.col("rid")).alias("label")))
+    several = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return written(named.join(several.select("key"), "key", "left_semi"))
+
+
+def _pairs_of(both: DataFrame, least: int) -> DataFrame:
+    """Holders ``a`` and ``b`` of a run that begins there, as candidates (rows of ``_PAIRS``)."""
+    prev, near = (lambda c: F.shiftrightunsigned(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    wanted = [(f("a.ends") == 0) | (f("a.ends") != f("b.ends")) for f in (prev, near)]
+    both = both.where((F.col("a.rid") != F.col("b.rid")) & wanted[0] & wanted[1])
+    first = F.col("a.rid") > F.col("b.rid")
+    both = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("p"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("q"))
+    before = F.least(F.col("p.place") - F.col("p.start"), F.col("q.place") - F.col("q.start"))
+    after = F.least(F.col("p.stop") - F.col("p.place"), F.col("q.stop") - F.col("q.place"))
+    at = F.col("p.place")
+    return both.select(F.col("p.rid").alias("x"), F.col("q.rid").alias("y"), (at - F.col("q.place")).alias("diagonal"), (at - before).alias("start"), (at + after).alias("stop"), (at + certain_run(least) - 1).alias("centre")).distinct()
+
+
+def _stars(held: DataFrame, least: int) -> DataFrame:
+    """One holder of each class with one of the run's largest class, if that has two holders at least."""
+    classes = held.groupBy("key", "label").agg(F.min(F.struct(*_HOLDER[1:])).alias("b"), F.count("*").alias("n"))
+    largest = classes.groupBy("key").agg(F.max(F.struct("n", -F.col("label"), "b")).alias("m")).where("m.n > 1").select("key", F.col("m.b").alias("a"))
+    return _pairs_of(classes.join(largest, "key").select("a", "b"), least)
+
+
+_HELD = "key long, rid long, place long, start long, stop long, ends long, label long"
+
+
+def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Holders of runs with the tokens of their regions."""
+    names = [c.split()[0] for c in _HELD.split(", ")]
+    for batch in batches:
+        rid, wanted = batch.column("rid").to_pylist(), batch.column("regions").to_pylist()
+        for a, b, h, first, _ in document_tokens(batch.column("text")):
+            token = (h >> np.uint64(32)).astype(np.uint32)
+            rows = [(*(rid[i] if c == "rid" else r[c] for c in names), token[first[i - a] + r["start"] : first[i - a] + r["stop"] + 1].tobytes()) for i in range(a, b) for r in wanted[i]]
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=[*names, "tokens"])
+
+
+def _may_count(held: np.ndarray, again: np.ndarray, at: np.ndarray, plain: np.ndarray, least: int) -> np.ndarray:
+    """Whether a span of ``least`` tokens around ``at`` can count, for rows of tokens of which the other side has those ``held``.
+
+    A token in both counts 1, another -4 (80 of 100 must be shared), and a break of shared tokens costs the other side
+    ``K - 1`` tokens too, if it is ``plain``: without repeats on both sides. Tokens that come ``again`` are free.
+    """
+    n, loss = held.shape[1], NUMERATOR // (DENOMINATOR - NUMERATOR)
+    if n < least:
+        return np.zeros(len(held), bool)
+    gain = np.where(held, 1, np.where(again, 0, -loss)).astype(np.int32)
+    breaks = np.zeros(held.shape, bool)
+    breaks[:, 1:] = held[:, :-1] & ~held[:, 1:]
+    cost = loss * (K - 1)
+    gain -= np.where(breaks & plain[:, None], cost, 0).astype(np.int32)
+    total = np.zeros((len(held), n + 1), np.int32)
+    np.cumsum(gain, axis=1, out=total[:, 1:])
+
+    def free(rows: np.ndarray) -> np.ndarray:
+        """What is given back where a span ends at each token: behind its last break the other side may have left out a few tokens."""
+        few, run = rows.astype(np.int32), rows
+        for d in range(1, -(-cost // (loss + 1))):
+            run = run[:, 1:] & rows[:, :-d]
+            few[:, d:] += run
+        return np.where(plain[:, None], np.maximum(0, cost - (loss + 1) * few), 0)
+
+    # The best of all ends from each place on; a span may begin so too, unless it begins inside a break.
+    top = np.maximum.accumulate((total[:, 1:] + free(held))[:, ::-1], axis=1)[:, ::-1]
+    start = total[:, :-1] - np.where(held, free(held[:, ::-1])[:, ::-1], 0)
+    begin = np.arange(n - least + 1)
+    end = np.maximum(begin + least, at[:, None] + 1) - 1
+    return ((begin <= at[:, None]) & (np.take_along_axis(top, end, axis=1) >= start[:, : len(begin)])).any(axis=1)
+
+
+def _close_ones(least: int):
+    """The pairs of a run's holders of different classes that can count, by the tokens around the run."""
+    run, names = certain_run(least), [c.split()[0] for c in _PAIRS.split(", ")]
+
+    def padded(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each holder's region, numbered from 1, in a row (0: none), and which stood before in it."""
+        size = p["stop"] - p["start"] + 1
+        inside = np.arange(size.max()) < size[:, None]
+        rows = np.zeros(inside.shape, np.int64)
+        rows[inside] = np.unique(np.concatenate([np.frombuffer(t, np.uint32) for t in p["tokens"]]), return_inverse=True)[1] + 1
+        order = np.argsort(rows, axis=1, kind="stable")
+        sorted_ = np.take_along_axis(rows, order, axis=1)
+        again = np.zeros(rows.shape, bool)
+        np.put_along_axis(again, order[:, 1:], (sorted_[:, 1:] == sorted_[:, :-1]) & (sorted_[:, 1:] > 0), axis=1)
+        return rows, again
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        p = {c: table.column(c).to_numpy() for c in table.column_names if c != "tokens"}
+        p["tokens"] = np.array(table.column("tokens").to_pylist(), object)
+        while True:
+            # Only tokens that other classes have too can be shared.
+            rows, again = padded(p)
+            at = p["place"] - p["start"] + run - 1
+            top = int(rows.max()) + 1
+            low, high = np.full(top, np.iinfo(np.int64).max), np.full(top, np.iinfo(np.int64).min)
+            label = np.broadcast_to(p["label"][:, None], rows.shape)
+            np.minimum.at(low, rows, label)
+            np.maximum.at(high, rows, label)
+            plain = ~again.any(axis=1)
+            alive = _may_count((rows > 0) & (low < high)[rows], again, at, plain & plain.all(), least)
+            if alive.all() or not alive.any():
+                break
+            p = {c: v[alive] for c, v in p.items()}
+        if not alive.any():
+            return
+        p |= {"before": p["place"] - p["start"], "after": p["stop"] - p["place"], "prev": p["ends"].view(np.uint64) >> np.uint64(32), "near": p["ends"].view(np.uint64) & np.uint64(0xFFFFFFFF)}
+        labels, count = np.unique(p["label"], return_counts=True)
+        largest = p["label"] == labels[count.argmax()]
+        place = np.zeros(top, np.int64)  # of each token of one holder, from 1
+        for o in np.flatnonzero(~largest).tolist():
+            y = np.flatnonzero((p["label"] != p["label"][o]) & (largest | (np.arange(len(rows)) > o)) & (p["rid"] != p["rid"][o]))
+            x = np.full(len(y), o)
+            y = y[_differ(p["prev"], x, y) & _differ(p["near"], x, y)]
+            if not len(y):
+                continue
+            own, back = np.unique(rows[o][rows[o] > 0], return_inverse=True)
+            place[own] = np.arange(1, len(own) + 1)
+            for i in range(0, len(y), PAIRS_AT_ONCE):
+                part = y[i : i + PAIRS_AT_ONCE]
+                held = np.zeros((len(part), len(own) + 1), bool)
+                held[np.arange(len(part))[:, None], place[rows[part]]] = True
+                same = np.broadcast_to(again[o, : len(back)], (len(part), len(back)))
+                part = part[_may_count(held[:, 1:][:, back], same, np.full(len(part), at[o]), plain[o] & plain[part], least)]
+                found = _rows_of_pairs(p, np.full(len(part), o), part, least, False)
+                if len(found):
+                    yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, j])) for j in range(6)], names=names)
+            place[own] = 0
+
+    return close
+
+
+def _close(texts: DataFrame, held: DataFrame, least: int) -> DataFrame:
+    """The candidates among a run's holders of different classes: those that the tokens around the run do not rule out."""
+    fields = [c.split()[0] for c in _HELD.split(", ") if not c.startswith("rid ")]
+    regions = held.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("regions"))
+    tokens = texts.select("rid", "text").join(regions, "rid").mapInArrow(_cut_regions, _HELD + ", tokens binary")
+    return tokens.groupBy("key").applyInArrow(_close_ones(least), _PAIRS)
+
+
+def _one_partner(loose: DataFrame, least: int) -> DataFrame:
+    """The candidates of one partner for each place of both documents."""
+    x_place = Window.partitionBy("x", F.floor(F.col("centre") / least))
+    y_place = Window.partitionBy("y", F.floor((F.col("centre") - F.col("diagonal")) / least))
+    chosen = loose.withColumns({"least_y": F.min("y").over(x_place), "least_x": F.min("x").over(y_place)})
+    chosen = chosen.where("y = least_y or x = least_x").select("x", "y", "diagonal").distinct()
+    return loose.join(chosen, ["x", "y", "diagonal"])
+
+
 def _verified(texts: DataFrame, loose: DataFrame, least: int) -> DataFrame:
     """The passages among candidates (rows of ``_PAIRS``)."""
     candidates = loose.groupBy("x", "y", "diagonal").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("centre").alias("centres"))
@@ -591,14 +761,22 @@ def _listed(texts: DataFrame, least_words: int) -> DataFrame:
     runs = written(runs.groupBy("x", "y", "diagonal", "run").agg(F.min("start").alias("run_start"), (F.max("start") + least).alias("run_stop")).drop("run"))
     inside = [pairs[c] == runs[c] for c in ("x", "y", "diagonal")] + [pairs["centre"] >= runs["run_start"], pairs["centre"] < runs["run_stop"]]
     shared = runs.select("x", "y", F.col("run_start").alias("x_start"), (F.col("run_stop") - F.col("run_start") + K - 1).alias("x_words"), (F.col("run_start") - F.col("diagonal")).alias("y_start"), (F.col("run_stop") - F.col("run_start") + K - 1).alias("y_words"), F.lit(1.0).alias("similarity"))
-    loose = written(_not_tied(pairs.where("centre >= 0").join(runs, inside, "left_anti"), shared))
-    # One partner for each place first: what that ties need not be verified again.
-    place = Window.partitionBy("x", F.floor(F.col("centre") / least))
-    chosen = loose.withColumn("least_y", F.min("y").over(place)).where("y = least_y").select("x", "y", "diagonal").distinct()
-    chosen = written(loose.join(chosen, ["x", "y", "diagonal"]))
-    found = written(_verified(texts, chosen, least).union(shared))
-    rest = loose.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti")
-    found = written(_verified(texts, _not_tied(rest, found), least).union(found))
+    spans = _spans(shared)
+    loose = written(_not_tied(pairs.where("centre >= 0").join(runs, inside, "left_anti"), spans))
+    holders = pairs.where("centre < -1").select(F.col("y").alias("key"), F.col("x").alias("rid"), (-2 - F.col("centre")).alias("place"), "start", "stop", F.col("diagonal").alias("ends"))
+    held = _not_tied_holders(holders, spans, least)
+    # One partner for each place and class first: what that ties need not be verified again.
+    chosen = written(_one_partner(loose, least))
+    found = written(_verified(texts, chosen.union(_stars(held, least)), least).union(shared))
+    spans = _spans(found)
+    rest = _not_tied(loose.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti"), spans)
+    close = written(_close(texts, _not_tied_holders(held, spans, least), least))
+    chosen = written(_one_partner(close, least))
+    found = written(_verified(texts, chosen.union(rest), least).union(found))
+    rest = close.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti")
+    if not rest.isEmpty():
+        found = written(_verified(texts, _not_tied(rest, _spans(found)), least).union(found))
+    found = found.distinct()
     ids = texts.select("rid", "doc_id")
     labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
     named = labels.join(ids, "rid")

@@ -176,6 +176,41 @@ def test_near_copies_of_common_lines_are_linked(spark):
     assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
 
 
+def test_holders_of_a_common_run_are_not_all_compared(spark, monkeypatch):
+    # 80 documents share a line of 24 tokens; only those with the same words after a changed one share a passage.
+    line, rows, want, seen = prose(28, "run"), [], set(), []
+    rows += [(i, f"{prose(60, f'u{i}')} {line} {prose(60, f'v{i}')}") for i in range(70)]
+    for i in range(5):
+        tail = prose(25, f"tail{i}")
+        rows += [(100 + 2 * i + j, f"{prose(60, f'x{i}{j}')} {line} changed{i}{j} {tail} {prose(60, f'y{i}{j}')}") for j in (0, 1)]
+        want.add((100 + 2 * i, 101 + 2 * i))
+    verified = repeated_passages._verified
+    monkeypatch.setattr(repeated_passages, "_verified", lambda texts, loose, least: seen.append(loose.distinct().count()) or verified(texts, loose, least))
+    got = repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
+    assert sum(seen) <= len(rows)
+
+
+def test_spans_that_count_are_never_ruled_out():
+    # Against all spans: random rows of tokens with edits on both sides.
+    r, least = np.random.default_rng(9), 20
+    counted = ruled_out = 0
+    for _ in range(400):
+        words = [f"w{v}" for v in r.integers(0, 10**6 if r.random() < 0.7 else 40, 64)]
+        other = list(words)
+        for at in r.integers(0, 64, r.integers(1, 6)):
+            other[at : at + r.integers(0, 2)] = [f"e{v}" for v in r.integers(0, 10**6, r.integers(0, 3))]
+        x, y = ([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] for w in (words, other))
+        again = np.array([t in x[:i] for i, t in enumerate(x)])
+        plain = len(set(x)) == len(x) and len(set(y)) == len(y) and len({" ".join(words[i : i + 4]) for i in range(61)}) == 61
+        at = int(r.integers(0, len(x)))
+        may = bool(repeated_passages._may_count(np.isin(x, y)[None], again[None], np.array([at]), np.array([plain]), least)[0])
+        brute = any(5 * len(set(x[a:b]) & set(y[c:d])) >= 4 * len(set(x[a:b]) | set(y[c:d])) for a in range(at + 1) for b in range(max(at + 1, a + least), min(len(x), a + least + 6) + 1) for c in range(max(0, a - 3), a + 4) for d in range(c + least, min(len(y), c + least + 6) + 1))
+        assert may or not brute
+        counted, ruled_out = counted + brute, ruled_out + (not may)
+    assert counted > 20 and ruled_out > 20
+
+
 def test_every_place_of_a_repeated_passage_is_listed(spark):
     parts = [w for i in range(6) for w in (prose(70, f"p{i}"), PASSAGE)]
     rows = [(1, " ".join(parts)), (2, prose(90, "q") + " " + PASSAGE), (3, PASSAGE + " " + prose(90, "r"))]
