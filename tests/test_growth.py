@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,59 @@ def test_nearest_against_all_pairs(monkeypatch, pairs):
         assert (at == far.argmin(axis=1)).all() and (distance == far.min(axis=1)).all()
 
 
+def test_marked_boxes_exchange_rows_once(spark):
+    rows = [(1, f, k, 10.0 * k, 5.0, 4.0, 2.0, 0.0) for f in range(3) for k in range(4)] + [(1, 5, 0, float("inf"), 0.0, 4.0, 2.0, 0.0), (1, 5, 1, 1e17, 0.0, 4.0, 2.0, 0.0), (1, 5, 2, 0.0, 0.0, float("inf"), 2.0, 90.0)]
+    boxes = spark.createDataFrame(rows, "recording_id long, frame long, det_id long, x double, y double, width double, height double, degrees_angle double")
+    found = linking.link_marked(boxes, boxes.where("frame <> 1 and det_id < 2"))
+    assert plan(found).count("Exchange") == 1
+    assert sorted((r.frame, r.det_id) for r in found.collect()) == [(0, 0), (0, 1), (2, 0), (2, 1), (5, 1)]
+    # The detections come by frame already: only those of the tracks are exchanged, for boxes and for markers.
+    found = plan(queries.j6_keep_marked(spark, SF))
+    assert found.count("Exchange hashpartitioning") == 4 and "Join" not in found
+
+
+def brute(b, m):
+    below = lambda v, limit: (np.abs(v) <= limit[:, None]) | np.isnan(limit)[:, None]
+    with np.errstate(all="ignore"):
+        dx, dy = m["x"] - b["x"][:, None], m["y"] - b["y"][:, None]
+        cos, sin = b["cos"][:, None], b["sin"][:, None]
+        return ((b["number"][:, None] == m["number"]) & below(dx * cos + dy * sin, b["half_width"]) & below(dy * cos - dx * sin, b["half_height"])).any(axis=1)
+
+
+@pytest.mark.parametrize("pairs", [40, 1 << 20])
+def test_marks_against_all_pairs(monkeypatch, pairs):
+    monkeypatch.setattr(linking, "PAIRS", pairs)
+    r = np.random.default_rng(2)
+    names = ("recording_id", "frame", "marker", "x", "y", "half_width", "half_height", "cos", "sin")
+    hits = 0
+    for t in range(150):
+        n, k = r.integers(1, 60, 2)
+        far = (0.0, 0.0, 1e3, -1e9, 1e16, 1e300)[t % 6]
+        b = {"number": np.sort(r.integers(0, 3, n)), "x": r.integers(0, 40, n) + far, "y": r.normal(0, 20, n) + far / 3}
+        b |= {c: r.choice([0.0, 0.25, 1.0, 4.0, 30.0, 500.0], n) for c in ("half_width", "half_height")}
+        angle = np.radians(r.choice([0.0, 90.0, 45.0, 13.7, -120.0], n))
+        b |= {"cos": np.cos(angle), "sin": np.sin(angle)}
+        m = {"number": np.sort(r.integers(0, 3, k)), "x": r.integers(0, 40, k) + far, "y": r.normal(0, 20, k) + far / 3}
+        same = r.integers(0, n, k)
+        m["x"], m["y"] = np.where(r.random(k) < 0.2, b["x"][same], m["x"]), np.where(r.random(k) < 0.2, b["y"][same], m["y"])
+        if t % 5 == 0:
+            for v in (b["x"], b["y"], b["half_width"], b["half_height"], b["cos"], m["x"], m["y"]):
+                v[r.integers(0, len(v))] = r.choice([np.nan, np.inf, -np.inf])
+        want = brute(b, m)
+        assert (linking.holding(b, m) == want).all()
+        # Rows by frame, markers first, in batches that end anywhere.
+        rows = [(1, f, True, m["x"][i], m["y"][i], *[None] * 4, None) for f in range(3) for i in np.flatnonzero(m["number"] == f)]
+        rows += [(1, f, False, *(b[c][i] for c in names[3:]), {"i": int(i)}) for f in range(3) for i in np.flatnonzero(b["number"] == f)]
+        rows.sort(key=lambda v: (v[1], not v[2]))
+        schema = pa.schema([("recording_id", pa.int64()), ("frame", pa.int64()), ("marker", pa.bool_()), *((c, pa.float64()) for c in names[3:]), ("row", pa.struct([("i", pa.int64())]))])
+        whole = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        size = int(r.integers(1, 20))
+        got = [i for part in linking._keep(whole.slice(a, size) for a in range(0, len(rows), size)) for i in part.column("i").to_pylist()]
+        assert sorted(got) == np.flatnonzero(want).tolist()
+        hits += len(got)
+    assert hits > 500
+
+
 class State:
     """A state of one recording that counts what is stored."""
 
