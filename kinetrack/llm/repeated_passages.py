@@ -36,11 +36,12 @@ are nearly alike without being tied, those still grow with the square of their n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -56,6 +57,8 @@ NUMERATOR, DENOMINATOR = 80, 100
 SHARD_BYTES, BATCH_TOKENS, LEAST_SHARDS = 4 << 20, 1 << 20, 64
 #: Holders of one run of which all pairs are made at once; more are listed one by one.
 FEW = 16
+#: Bits that mark documents whose tokens are wanted; more documents than bits only mean that more texts are joined.
+WANTED_BITS = 24
 #: Pairs of holders whose tokens are compared at once.
 PAIRS_AT_ONCE = 1 << 10
 
@@ -391,14 +394,48 @@ def _join_batches(least: int):
     return run
 
 
+def _only(marks):
+    """The texts whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            kept = (marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            if kept.any():
+                yield batch.filter(pa.array(kept)).select(["rid", "text"])
+
+    return run
+
+
 def _cut_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of the wanted regions of each document, as the upper 32 bits of their hashes: enough within one pair of regions."""
+    """The tokens of each document from ``begin`` to ``end``, as the upper 32 bits of their hashes: enough within one pair of regions."""
     for batch in batches:
-        rid, wanted = batch.column("rid").to_pylist(), batch.column("regions").to_pylist()
+        rid, begin, end = (batch.column(c).to_pylist() for c in ("rid", "begin", "end"))
         for a, b, h, first, _ in document_tokens(batch.column("text")):
-            rows = [(rid[i], r["start"], r["stop"], (h[first[i - a] + r["start"] : first[i - a] + r["stop"] + 1] >> np.uint64(32)).astype(np.uint32).tobytes()) for i in range(a, b) for r in wanted[i]]
-            if rows:
-                yield pa.record_batch([pa.array(v, pa.int64()) for v in list(zip(*rows, strict=True))[:3]] + [pa.array([r[3] for r in rows], pa.binary())], names=["rid", "start", "stop", "tokens"])
+            tokens = [(h[first[i - a] + begin[i] : first[i - a] + end[i] + 1] >> np.uint64(32)).astype(np.uint32).tobytes() for i in range(a, b)]
+            yield pa.record_batch([pa.array(rid[a:b], pa.int64()), pa.array(begin[a:b], pa.int64()), pa.array(tokens, pa.binary())], names=["rid", "begin", "tokens"])
+
+
+def _stretches(texts: DataFrame, loose: DataFrame, held: DataFrame) -> DataFrame:
+    """The tokens that candidates and holders, and all candidates made of them, can ask for (``rid, begin, tokens``), one stretch a document.
+
+    Most documents have none: their texts are left out by a table of bits of fixed size before the others are joined.
+    """
+    regions = loose.select(F.col("x").alias("rid"), "start", "stop").union(loose.select("y", F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")))
+    wanted = written(regions.union(held.select("rid", "start", "stop")).groupBy("rid").agg(F.min("start").alias("begin"), F.max("stop").alias("end")))
+    at = F.shiftrightunsigned(F.xxhash64("rid"), 64 - WANTED_BITS)
+    marks = np.zeros(1 << WANTED_BITS >> 6, np.uint64)
+    bits = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits"))
+    for r in bits.toLocalIterator():
+        marks[r["word"]] = r["bits"] & (1 << 64) - 1
+    marks = texts.sparkSession.sparkContext.broadcast(marks)
+    some = texts.select("rid", "text", at.alias("at")).mapInArrow(_only(marks), "rid long, text string")
+    return written(some.join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, begin long, tokens binary"))
+
+
+def _region(start: str, stop: str) -> Column:
+    """The tokens from ``start`` to ``stop`` of a stretch."""
+    return F.expr(f"substring(tokens, int(({start} - begin) * 4 + 1), int(({stop} - {start} + 1) * 4))")
 
 
 #: What a token that the other side lacks costs while a passage grows; a stricter one is tried if the passage fails, then all spans.
@@ -530,14 +567,17 @@ def _verify(least: int):
     return run
 
 
-def _spans(found: DataFrame) -> DataFrame:
-    """Where found passages stand in each document, with the class that they tie it into (``rid, begin, end, label``)."""
+def _spans(found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Where found passages, and the spans of those found before, stand in each document, with the class that they tie it into (``rid, begin, end, label``)."""
     spans = found.select(F.col("x").alias("rid"), F.col("x_start").alias("run_start"), (F.col("x_start") + F.col("x_words") - K + 1).alias("run_stop"))
-    spans = spans.union(found.select("y", "y_start", F.col("y_start") + F.col("y_words") - K + 1)).distinct()
+    spans = spans.union(found.select("y", "y_start", F.col("y_start") + F.col("y_words") - K + 1))
+    ties = found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if before is not None:
+        spans, ties = spans.union(before.select("rid", "begin", "end")), ties.union(before.select("rid", "label"))
     by_start = Window.partitionBy("rid").orderBy("run_start", "run_stop")
     apart = F.coalesce((F.col("run_start") > F.max("run_stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))).cast("long"), F.lit(1))
-    spans = spans.withColumn("apart", apart).withColumn("part", F.sum("apart").over(by_start)).groupBy("rid", "part").agg(F.min("run_start").alias("begin"), F.max("run_stop").alias("end"))
-    labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
+    spans = spans.distinct().withColumn("apart", apart).withColumn("part", F.sum("apart").over(by_start)).groupBy("rid", "part").agg(F.min("run_start").alias("begin"), F.max("run_stop").alias("end"))
+    labels = min_label(ties).withColumnRenamed("node", "rid")
     return written(spans.join(labels, "rid").select("rid", "begin", "end", "label"))
 
 
@@ -581,22 +621,6 @@ def _stars(held: DataFrame, least: int) -> DataFrame:
     return _pairs_of(classes.join(largest, "key").select("a", "b"), least)
 
 
-_HELD = "key long, rid long, place long, start long, stop long, ends long, label long"
-
-
-def _cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Holders of runs with the tokens of their regions."""
-    names = [c.split()[0] for c in _HELD.split(", ")]
-    for batch in batches:
-        rid, wanted = batch.column("rid").to_pylist(), batch.column("regions").to_pylist()
-        for a, b, h, first, _ in document_tokens(batch.column("text")):
-            token = (h >> np.uint64(32)).astype(np.uint32)
-            rows = [(*(rid[i] if c == "rid" else r[c] for c in names), token[first[i - a] + r["start"] : first[i - a] + r["stop"] + 1].tobytes()) for i in range(a, b) for r in wanted[i]]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())], names=[*names, "tokens"])
-
-
 def _may_count(held: np.ndarray, again: np.ndarray, at: np.ndarray, plain: np.ndarray, least: int) -> np.ndarray:
     """Whether a span of ``least`` tokens around ``at`` can count, for rows of tokens of which the other side has those ``held``.
 
@@ -692,11 +716,9 @@ def _close_ones(least: int):
     return close
 
 
-def _close(texts: DataFrame, held: DataFrame, least: int) -> DataFrame:
+def _close(stretches: DataFrame, held: DataFrame, least: int) -> DataFrame:
     """The candidates among a run's holders of different classes: those that the tokens around the run do not rule out."""
-    fields = [c.split()[0] for c in _HELD.split(", ") if not c.startswith("rid ")]
-    regions = held.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("regions"))
-    tokens = texts.select("rid", "text").join(regions, "rid").mapInArrow(_cut_regions, _HELD + ", tokens binary")
+    tokens = held.join(stretches, "rid").select(*_HOLDER, "label", _region("start", "stop").alias("tokens"))
     return tokens.groupBy("key").applyInArrow(_close_ones(least), _PAIRS)
 
 
@@ -709,19 +731,13 @@ def _one_partner(loose: DataFrame, least: int) -> DataFrame:
     return loose.join(chosen, ["x", "y", "diagonal"])
 
 
-def _verified(texts: DataFrame, loose: DataFrame, least: int) -> DataFrame:
+def _verified(stretches: DataFrame, loose: DataFrame, least: int) -> DataFrame:
     """The passages among candidates (rows of ``_PAIRS``)."""
     candidates = loose.groupBy("x", "y", "diagonal").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("centre").alias("centres"))
-    candidates = written(candidates)
-    y_start, y_stop = F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
-    regions = candidates.select(F.col("x").alias("rid"), "start", "stop").union(candidates.select("y", y_start, y_stop)).distinct()
-    wanted = regions.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("regions"))
-    tokens = texts.select("rid", "text").join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, start long, stop long, tokens binary")
-    tokens = written(tokens)
-    x = tokens.select(F.col("rid").alias("x"), "start", "stop", F.col("tokens").alias("x_tokens"))
-    y = tokens.select(F.col("rid").alias("y"), F.col("start").alias("y_start"), F.col("stop").alias("y_stop"), F.col("tokens").alias("y_tokens"))
-    both = candidates.withColumns({"y_start": y_start, "y_stop": y_stop}).join(x, ["x", "start", "stop"]).join(y, ["y", "y_start", "y_stop"])
-    return both.select("x", "y", "start", "diagonal", "centres", "x_tokens", "y_tokens").mapInArrow(_verify(least), _FOUND)
+    rows = ["x", "y", "start", "stop", "diagonal", "centres"]
+    x = candidates.join(stretches.withColumnRenamed("rid", "x"), "x").select(*rows, _region("start", "stop").alias("x_tokens"))
+    y = x.join(stretches.withColumnRenamed("rid", "y"), "y").select(*rows, "x_tokens", _region("(start - diagonal)", "(stop - diagonal)").alias("y_tokens"))
+    return y.drop("stop").mapInArrow(_verify(least), _FOUND)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -765,18 +781,19 @@ def _listed(texts: DataFrame, least_words: int) -> DataFrame:
     loose = written(_not_tied(pairs.where("centre >= 0").join(runs, inside, "left_anti"), spans))
     holders = pairs.where("centre < -1").select(F.col("y").alias("key"), F.col("x").alias("rid"), (-2 - F.col("centre")).alias("place"), "start", "stop", F.col("diagonal").alias("ends"))
     held = _not_tied_holders(holders, spans, least)
+    stretches = _stretches(texts, loose, held)
     # One partner for each place and class first: what that ties need not be verified again.
     chosen = written(_one_partner(loose, least))
-    found = written(_verified(texts, chosen.union(_stars(held, least)), least).union(shared))
-    spans = _spans(found)
+    found = [shared, written(_verified(stretches, chosen.union(_stars(held, least)), least))]
+    spans = _spans(found[-1], spans)
     rest = _not_tied(loose.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti"), spans)
-    close = written(_close(texts, _not_tied_holders(held, spans, least), least))
+    close = written(_close(stretches, _not_tied_holders(held, spans, least), least))
     chosen = written(_one_partner(close, least))
-    found = written(_verified(texts, chosen.union(rest), least).union(found))
+    found.append(written(_verified(stretches, chosen.union(rest), least)))
     rest = close.join(chosen.select("x", "y", "diagonal").distinct(), ["x", "y", "diagonal"], "left_anti")
     if not rest.isEmpty():
-        found = written(_verified(texts, _not_tied(rest, _spans(found)), least).union(found))
-    found = found.distinct()
+        found.append(written(_verified(stretches, _not_tied(rest, _spans(found[-1], spans)), least)))
+    found = reduce(DataFrame.union, found).distinct()
     ids = texts.select("rid", "doc_id")
     labels = min_label(found.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "rid")
     named = labels.join(ids, "rid")

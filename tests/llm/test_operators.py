@@ -191,6 +191,40 @@ def test_holders_of_a_common_run_are_not_all_compared(spark, monkeypatch):
     assert sum(seen) <= len(rows)
 
 
+def test_texts_without_common_runs_are_not_shuffled(spark):
+    # Two documents of many are near copies: without broadcasts only their tokens are joined, not the texts of all.
+    rows = [(i, prose(2000, f"lone{i}")) for i in range(120)]
+    left, right = prose(40, "left"), prose(40, "right")
+    rows += [(500 + j, f"{prose(60, f'a{j}')} {left} changed{j} {right} {prose(60, f'b{j}')}") for j in (0, 1)]
+    df = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()).iterator()
+        while found.hasNext():
+            s = found.next()
+            yield s.stageId(), s.shuffleWriteBytes()
+
+    last = max(i for i, _ in stages())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = repeated_passages.repeated_passages(df).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.doc_id, r.partner_id, r.n_words >= 81) for r in got} == {(500, 501, True), (501, 500, True)}
+    time.sleep(1)  # figures of stages come a little later
+    assert sum(n for i, n in stages() if i > last) < 0.5 * sum(len(t) for _, t in rows)
+
+
+def test_spans_of_passages_found_later_are_merged(spark):
+    names = "x long, y long, x_start long, x_words long, y_start long, y_words long"
+    r = random.Random(5)
+    rows = [(a, b, r.randrange(300), r.randint(50, 90), r.randrange(300), r.randint(50, 90)) for a, b in ((r.randrange(30), r.randrange(30)) for _ in range(60)) if a != b]
+    df = lambda part: spark.createDataFrame(part, names)
+    whole = repeated_passages._spans(df(rows)).collect()
+    assert sorted(repeated_passages._spans(df(rows[25:]), repeated_passages._spans(df(rows[:25]))).collect()) == sorted(whole) and len(whole) > 30
+
+
 def test_spans_that_count_are_never_ruled_out():
     # Against all spans: random rows of tokens with edits on both sides.
     r, least = np.random.default_rng(9), 20
