@@ -41,7 +41,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -433,9 +433,27 @@ def _stretches(texts: DataFrame, loose: DataFrame, held: DataFrame) -> DataFrame
     return written(some.join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, begin long, tokens binary"))
 
 
-def _region(start: str, stop: str) -> Column:
-    """The tokens from ``start`` to ``stop`` of a stretch."""
-    return F.expr(f"substring(tokens, int(({start} - begin) * 4 + 1), int(({stop} - {start} + 1) * 4))")
+def _cut_regions(fields: tuple[str, ...]):
+    """The wanted regions of each stretch with their tokens, a row for each; one copy of a stretch serves them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, begin = (batch.column(c).to_pylist() for c in ("rid", "begin"))
+            tokens, regions = batch.column("tokens"), batch.column("regions")
+            for i in range(batch.num_rows):
+                wanted = regions[i].values
+                columns = {c: wanted.field(c) for c in fields}
+                own = tokens[i].as_py()
+                cut = [own[4 * (a - begin[i]) : 4 * (b - begin[i] + 1)] for a, b in zip(columns["start"].to_pylist(), columns["stop"].to_pylist(), strict=True)]
+                yield pa.record_batch([pa.array([rid[i]] * len(cut), pa.int64()), *columns.values(), pa.array(cut, pa.binary())], names=["rid", *fields, "tokens"])
+
+    return run
+
+
+def _regions(stretches: DataFrame, regions: DataFrame, *fields: str) -> DataFrame:
+    """``regions`` (``rid``, ``start``, ``stop`` and other ``fields``, all long) with their tokens."""
+    wanted = regions.groupBy("rid").agg(F.collect_list(F.struct(*fields)).alias("regions"))
+    return stretches.join(wanted, "rid").mapInArrow(_cut_regions(fields), ", ".join(f"{c} long" for c in ("rid", *fields)) + ", tokens binary")
 
 
 #: What a token that the other side lacks costs while a passage grows; a stricter one is tried if the passage fails, then all spans.
@@ -718,7 +736,7 @@ def _close_ones(least: int):
 
 def _close(stretches: DataFrame, held: DataFrame, least: int) -> DataFrame:
     """The candidates among a run's holders of different classes: those that the tokens around the run do not rule out."""
-    tokens = held.join(stretches, "rid").select(*_HOLDER, "label", _region("start", "stop").alias("tokens"))
+    tokens = _regions(stretches, held, *(c for c in (*_HOLDER, "label") if c != "rid"))
     return tokens.groupBy("key").applyInArrow(_close_ones(least), _PAIRS)
 
 
@@ -734,10 +752,14 @@ def _one_partner(loose: DataFrame, least: int) -> DataFrame:
 def _verified(stretches: DataFrame, loose: DataFrame, least: int) -> DataFrame:
     """The passages among candidates (rows of ``_PAIRS``)."""
     candidates = loose.groupBy("x", "y", "diagonal").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("centre").alias("centres"))
-    rows = ["x", "y", "start", "stop", "diagonal", "centres"]
-    x = candidates.join(stretches.withColumnRenamed("rid", "x"), "x").select(*rows, _region("start", "stop").alias("x_tokens"))
-    y = x.join(stretches.withColumnRenamed("rid", "y"), "y").select(*rows, "x_tokens", _region("(start - diagonal)", "(stop - diagonal)").alias("y_tokens"))
-    return y.drop("stop").mapInArrow(_verify(least), _FOUND)
+    candidates = written(candidates)
+    y_start, y_stop = F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")
+    regions = candidates.select(F.col("x").alias("rid"), "start", "stop").union(candidates.select("y", y_start, y_stop)).distinct()
+    tokens = written(_regions(stretches, regions, "start", "stop"))
+    x = tokens.select(F.col("rid").alias("x"), "start", "stop", F.col("tokens").alias("x_tokens"))
+    y = tokens.select(F.col("rid").alias("y"), F.col("start").alias("y_start"), F.col("stop").alias("y_stop"), F.col("tokens").alias("y_tokens"))
+    both = candidates.withColumns({"y_start": y_start, "y_stop": y_stop}).join(x, ["x", "start", "stop"]).join(y, ["y", "y_start", "y_stop"])
+    return both.select("x", "y", "start", "diagonal", "centres", "x_tokens", "y_tokens").mapInArrow(_verify(least), _FOUND)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
