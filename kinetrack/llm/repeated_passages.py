@@ -394,19 +394,6 @@ def _join_batches(least: int):
     return run
 
 
-def _only(marks):
-    """The texts whose bit is set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("at").to_numpy()
-            kept = (marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            if kept.any():
-                yield batch.filter(pa.array(kept)).select(["rid", "text"])
-
-    return run
-
-
 def _cut_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The tokens of each document from ``begin`` to ``end``, as the upper 32 bits of their hashes: enough within one pair of regions."""
     for batch in batches:
@@ -419,17 +406,14 @@ def _cut_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stretches(texts: DataFrame, loose: DataFrame, held: DataFrame) -> DataFrame:
     """The tokens that candidates and holders, and all candidates made of them, can ask for (``rid, begin, tokens``), one stretch a document.
 
-    Most documents have none: their texts are left out by a table of bits of fixed size before the others are joined.
+    Most documents have none: their texts are left out by a broadcast table of ``2 ** WANTED_BITS`` bits before the others are joined.
     """
     regions = loose.select(F.col("x").alias("rid"), "start", "stop").union(loose.select("y", F.col("start") - F.col("diagonal"), F.col("stop") - F.col("diagonal")))
     wanted = written(regions.union(held.select("rid", "start", "stop")).groupBy("rid").agg(F.min("start").alias("begin"), F.max("stop").alias("end")))
     at = F.shiftrightunsigned(F.xxhash64("rid"), 64 - WANTED_BITS)
-    marks = np.zeros(1 << WANTED_BITS >> 6, np.uint64)
     bits = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias("bits"))
-    for r in bits.toLocalIterator():
-        marks[r["word"]] = r["bits"] & (1 << 64) - 1
-    marks = texts.sparkSession.sparkContext.broadcast(marks)
-    some = texts.select("rid", "text", at.alias("at")).mapInArrow(_only(marks), "rid long, text string")
+    some = texts.select("rid", "text", at.alias("at")).withColumn("word", F.shiftright("at", 6))
+    some = some.join(F.broadcast(bits), "word").where("bits & shiftleft(1L, int(at & 63)) <> 0").select("rid", "text")
     return written(some.join(wanted, "rid").mapInArrow(_cut_tokens, "rid long, begin long, tokens binary"))
 
 
